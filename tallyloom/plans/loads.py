@@ -1 +1,221 @@
+"""Incremental loads, each run at least twice."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyloom.functions.dates import period_start
+from tallyloom.functions.money import to_major, to_minor
+from tallyloom.operators.incremental import (
+    append_to,
+    delete_insert,
+    merge_rows,
+    newer_rows,
+    refresh_partitions,
+    run_increment,
+)
+from tallyloom.operators.projections import with_load_stamp
+from tallyloom.plans.registry import ORDER_DAY, cents, dollars, model
+from tallyloom.plans.shop import n_rows, staged_orders
+from tallyloom.session import scratch_path
+from tallyloom.sources.sinks import VersionedTable
+from tallyloom.streaming.upsert import upsert_stream
+
+CUT, LATER = "1998-01-01", "2000-01-01"
+AMOUNT = cents("o_totalprice")
+ORDERS = f"""o AS (SELECT o_orderkey AS order_id, o_custkey AS customer_id, {ORDER_DAY} AS order_date,
+ o_orderstatus AS status, {AMOUNT} AS amount FROM orders)"""
+# A second delivery: pending orders come again as fulfilled, 900 days later.
+RESTATED = f"""{ORDERS},
+ first_run AS (SELECT order_id, status, amount, order_date AS updated_on FROM o WHERE order_date < DATE '{CUT}'),
+ again AS (SELECT order_id, CASE WHEN status = 'P' THEN 'F' ELSE status END AS status, amount,
+                  CASE WHEN status = 'P' THEN order_date + 900 ELSE order_date END AS updated_on FROM o),
+ batch AS (SELECT * FROM again WHERE updated_on > (SELECT MAX(updated_on) FROM first_run))"""
+
+
+def date(text: str):
+    return F.lit(text).cast("date")
+
+
+def orders(t):
+    return staged_orders(t).select("order_id", "customer_id", "order_date", "status", "amount")
+
+
+def first_delivery(t):
+    rows = orders(t).filter(F.col("order_date") < date(CUT))
+    return rows.select("order_id", "status", "amount", F.col("order_date").alias("updated_on"))
+
+
+def second_delivery(t):
+    pending = F.col("status") == "P"
+    return orders(t).select(
+        "order_id",
+        F.when(pending, "F").otherwise(F.col("status")).alias("status"),
+        "amount",
+        F.when(pending, F.date_add("order_date", 900))
+        .otherwise(F.col("order_date"))
+        .alias("updated_on"),
+    )
+
+
+def merge_on(*keys):
+    return lambda target, batch: merge_rows(target, batch, list(keys), ["-updated_on"])
+
+
+@model("inc_01_high_water", f"""
+WITH {ORDERS} SELECT order_id, order_date, amount FROM o
+WHERE order_date > (SELECT MAX(order_date) FROM o WHERE order_date < DATE '{CUT}')
+""")
+def high_water(t):
+    rows = orders(t).select("order_id", "order_date", "amount")
+    return newer_rows(rows, rows.filter(F.col("order_date") < date(CUT)), "order_date")
+
+
+@model("inc_02_append", f"""
+WITH {ORDERS}, seen AS (SELECT * FROM o WHERE order_date < DATE '{CUT}' AND status <> 'P')
+SELECT order_id, order_date, status FROM seen UNION ALL
+SELECT order_id, order_date, status FROM o WHERE order_date > (SELECT MAX(order_date) FROM seen)
+""")
+def append(t):
+    """Pending orders are missing from the first run; by the second run they
+    are older than the mark and stay out."""
+    path = scratch_path(t.spark, "appended")
+    rows = orders(t).select("order_id", "order_date", "status")
+    early = rows.filter((F.col("order_date") < date(CUT)) & (F.col("status") != "P"))
+    append_to(path, early, "order_date", first_run=True)
+    return append_to(path, rows, "order_date", first_run=False)
+
+
+@model("inc_03_merge", f"""
+WITH {RESTATED}
+SELECT * FROM first_run WHERE order_id NOT IN (SELECT order_id FROM batch) UNION ALL SELECT * FROM batch
+""")
+def merge(t):
+    table = VersionedTable(t.spark, scratch_path(t.spark, "merged"))
+    run_increment(table, first_delivery(t), "updated_on", merge_on("order_id"))
+    return run_increment(table, second_delivery(t), "updated_on", merge_on("order_id"))
+
+
+@model("inc_04_merge_composite", f"""
+WITH l AS (SELECT l_partkey AS product_id, l_suppkey AS warehouse_id, CAST(l_shipdate AS DATE) AS d,
+                  CAST(l_quantity AS BIGINT) AS q FROM lineitem),
+ a AS (SELECT product_id, warehouse_id, MAX(d) AS updated_on, CAST(SUM(q) AS BIGINT) AS quantity FROM l WHERE d < DATE '{LATER}' GROUP BY 1, 2),
+ b AS (SELECT product_id, warehouse_id, MAX(d) AS updated_on, CAST(SUM(q) AS BIGINT) AS quantity FROM l WHERE d >= DATE '{LATER}' GROUP BY 1, 2)
+SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.product_id = a.product_id AND b.warehouse_id = a.warehouse_id)
+UNION ALL SELECT * FROM b
+""")
+def merge_composite(t):
+    lines = t.lineitem.select(
+        F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("warehouse_id"),
+        F.col("l_shipdate").cast("date").alias("d"), F.col("l_quantity").cast("bigint").alias("q"),
+    )
+
+    def snapshot(condition):
+        kept = lines.filter(condition).groupBy("product_id", "warehouse_id")
+        return kept.agg(F.max("d").alias("updated_on"), F.sum("q").alias("quantity"))
+
+    table = VersionedTable(t.spark, scratch_path(t.spark, "snapshot"))
+    combine = merge_on("product_id", "warehouse_id")
+    run_increment(table, snapshot(F.col("d") < date(LATER)), "updated_on", combine)
+    return run_increment(table, snapshot(F.col("d") >= date(LATER)), "updated_on", combine)
+
+
+@model("inc_05_delete_insert", f"""
+WITH l AS (SELECT l_orderkey AS order_id, l_linenumber AS line_no, CAST(l_shipdate AS DATE) AS shipped,
+                  {cents('l_extendedprice')} AS price FROM lineitem),
+ seen AS (SELECT * FROM l WHERE shipped < DATE '{LATER}'),
+ batch AS (SELECT * FROM l WHERE shipped > (SELECT MAX(shipped) FROM seen))
+SELECT * FROM seen WHERE order_id NOT IN (SELECT order_id FROM batch) UNION ALL SELECT * FROM batch
+""")
+def replace_orders(t):
+    """The key repeats inside the batch: every batch row is inserted."""
+    lines = t.lineitem.select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_no"),
+        F.col("l_shipdate").cast("date").alias("shipped"), to_minor("l_extendedprice").alias("price"),
+    )
+    table = VersionedTable(t.spark, scratch_path(t.spark, "replaced"))
+
+    def combine(target, batch):
+        return delete_insert(target, batch, ["order_id"])
+
+    run_increment(table, lines.filter(F.col("shipped") < date(LATER)), "shipped", combine)
+    return run_increment(table, lines, "shipped", combine)
+
+
+@model("inc_06_incremental_aggregate", f"""
+WITH {ORDERS}
+SELECT order_date, CAST(SUM(amount) AS BIGINT) AS daily_revenue, COUNT(*) AS order_count,
+       date_trunc('month', order_date)::DATE AS order_month FROM o GROUP BY 1, 4
+""")
+def incremental_aggregate(t):
+    """The first run ends inside a month; the second recomputes that month
+    and the later ones."""
+    path = scratch_path(t.spark, "daily")
+    rows = orders(t).withColumn("order_month", period_start(F.col("order_date"), "month"))
+
+    def by_day(df):
+        return df.groupBy("order_month", "order_date").agg(
+            F.sum("amount").alias("daily_revenue"), n_rows().alias("order_count")
+        )
+
+    refresh_partitions(path, rows.filter(F.col("order_date") < date("1998-01-15")), "order_month", by_day)
+    return refresh_partitions(path, rows, "order_month", by_day)
+
+
+@model("inc_07_transform_and_stamp", f"""
+WITH {RESTATED},
+ a AS (SELECT order_id, status, {dollars('amount')} AS amount_dollars, updated_on, TIMESTAMP '2001-01-01 00:00:00' AS loaded_at FROM first_run),
+ b AS (SELECT order_id, status, {dollars('amount')} AS amount_dollars, updated_on, TIMESTAMP '2001-01-02 00:00:00' AS loaded_at FROM batch)
+SELECT * FROM a WHERE order_id NOT IN (SELECT order_id FROM b) UNION ALL SELECT * FROM b
+""")
+def transform_and_stamp(t):
+    table = VersionedTable(t.spark, scratch_path(t.spark, "stamped"))
+
+    def transform(day):
+        def apply(df):
+            staged = df.select(
+                "order_id", "status", to_major("amount").alias("amount_dollars"), "updated_on"
+            )
+            return with_load_stamp(staged, f"{day} 00:00:00")
+
+        return apply
+
+    combine = merge_on("order_id")
+    run_increment(table, first_delivery(t), "updated_on", combine, transform("2001-01-01"))
+    return run_increment(table, second_delivery(t), "updated_on", combine, transform("2001-01-02"))
+
+
+@model("inc_08_stream_upsert", f"""
+WITH {ORDERS}
+SELECT order_id, CASE WHEN status = 'P' AND order_date < DATE '{LATER}' THEN 'F' ELSE status END AS status,
+       amount, CASE WHEN status = 'P' AND order_date < DATE '{LATER}' THEN order_date + 900 ELSE order_date END AS updated_on
+FROM o
+""")
+def stream_upsert(t):
+    """Three deliveries of files; each brings new orders and, as fulfilled,
+    the pending ones of the delivery before."""
+    folder, target = scratch_path(t.spark, "inbox"), scratch_path(t.spark, "kept")
+    checkpoint = scratch_path(t.spark, "progress")
+    table = VersionedTable(t.spark, target)
+    rows = orders(t)
+    limits = ["0001-01-01", CUT, LATER, "9999-12-31"]
+    state = None
+    previous = None
+    for low, high in zip(limits, limits[1:], strict=False):
+        inside = (F.col("order_date") >= date(low)) & (F.col("order_date") < date(high))
+        fresh = rows.filter(inside)
+        delivery = fresh.select(
+            "order_id", "status", "amount", F.col("order_date").alias("updated_on")
+        )
+        if previous is not None:
+            done = previous.filter(F.col("status") == "P").select(
+                "order_id", F.lit("F").alias("status"), "amount",
+                F.date_add("order_date", 900).alias("updated_on"),
+            )
+            delivery = delivery.unionByName(done)
+        delivery.write.mode("append").parquet(folder)
+        state = upsert_stream(
+            t.spark, folder, delivery.schema, table, checkpoint, merge_on("order_id")
+        )
+        previous = fresh
+    return state

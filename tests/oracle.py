@@ -5,12 +5,14 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 
 import duckdb
 import pyarrow as pa
 
+from tallyloom.session import DEFAULT_GROUP_ROWS, GROUP_ROWS_KEY
 from tallyloom.sources.readers import TABLES
 
 
@@ -72,6 +74,7 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
+        .config(GROUP_ROWS_KEY, os.environ.get("GROUP_ROWS", str(DEFAULT_GROUP_ROWS)))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
