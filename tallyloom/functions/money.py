@@ -41,12 +41,12 @@ def ratio_or(top: Column, bottom: Column, default: float = 0.0) -> Column:
     return F.coalesce(ratio(top, bottom), F.lit(default))
 
 
-def percent(top: Column, bottom: Column, digits: int = 6) -> Column:
-    return F.round(ratio(top, bottom) * 100.0, digits)
+def percent(top: Column, bottom: Column) -> Column:
+    return ratio(top, bottom) * 100.0
 
 
-def margin_percent(price: Column, cost: Column, digits: int = 6) -> Column:
-    return percent(price - cost, price, digits)
+def margin_percent(price: Column, cost: Column) -> Column:
+    return percent(price - cost, price)
 
 
 def weighted_score(parts: list[tuple[Column, float]]) -> Column:

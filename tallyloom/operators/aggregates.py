@@ -55,13 +55,13 @@ def exact_median(
 
 
 def share_of_total(
-    df: DataFrame, keys: list[str], measure: Column, total: str, share: str, digits: int = 6
+    df: DataFrame, keys: list[str], measure: Column, total: str, share: str
 ) -> DataFrame:
     """A group sum and its share of the overall sum, in percent."""
     groups = df.groupBy(*keys).agg(measure.alias(total))
     whole = groups.agg(F.sum(total)).scalar().cast("double")
     pct = F.col(total).cast("double") / F.nullif(whole, F.lit(0.0)) * 100.0
-    return groups.withColumn(share, F.round(pct, digits))
+    return groups.withColumn(share, pct)
 
 
 def guarded_avg(value: Column, at_least: int) -> Column:

@@ -67,7 +67,7 @@ def pass_counts(scores: DataFrame, gates: list[str]) -> DataFrame:
     """How many items passed each gate, and the share that did."""
     counts = [F.count_if(F.col(g)).alias(f"{g}_count") for g in gates]
     shares = [
-        F.round(F.count_if(F.col(g)).cast("double") / F.count(F.lit(1)), 6).alias(f"{g}_share")
+        (F.count_if(F.col(g)).cast("double") / F.count(F.lit(1))).alias(f"{g}_share")
         for g in gates
     ]
     return scores.groupBy("model", "scorer").agg(F.count(F.lit(1)).alias("items"), *counts, *shares)

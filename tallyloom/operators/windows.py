@@ -358,13 +358,13 @@ def moving_average(
 
 
 def growth(
-    series: DataFrame, period: str, value: str, previous: str, pct: str, digits: int = 6
+    series: DataFrame, period: str, value: str, previous: str, pct: str
 ) -> DataFrame:
     """Previous period's value and growth in percent, for one row per period."""
     w = W.orderBy(F.col(period).asc_nulls_last())
     out = series.withColumn(previous, F.lag(value).over(w))
     change = (F.col(value) - F.col(previous)) / F.nullif(F.col(previous), F.lit(0.0)) * 100.0
-    return out.withColumn(pct, F.round(change, digits))
+    return out.withColumn(pct, change)
 
 
 def running_total(series: DataFrame, period: str, value: str, alias: str) -> DataFrame:

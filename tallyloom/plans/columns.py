@@ -189,17 +189,17 @@ def day_difference(t):
 
 @model("dat_04_time_difference", """
 WITH s AS (SELECT user_id, MIN(ts) AS a, MAX(ts) AS b FROM events GROUP BY 1)
-SELECT user_id, ROUND((epoch_us(b) - epoch_us(a)) / 1000000.0::DOUBLE, 6) AS seconds,
-       ROUND((epoch_us(b) - epoch_us(a)) / 60000000.0::DOUBLE, 6) AS minutes,
-       ROUND((epoch_us(b) - epoch_us(a)) / 3600000000.0::DOUBLE, 6) AS hours FROM s
+SELECT user_id, (epoch_us(b) - epoch_us(a)) / 1000000.0::DOUBLE AS seconds,
+       (epoch_us(b) - epoch_us(a)) / 60000000.0::DOUBLE AS minutes,
+       (epoch_us(b) - epoch_us(a)) / 3600000000.0::DOUBLE AS hours FROM s
 """)
 def time_difference(t):
     spans = t.events.groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
     a, b = F.col("a"), F.col("b")
     return spans.select(
-        "user_id", F.round(dates.seconds_between(a, b), 6).alias("seconds"),
-        F.round(dates.minutes_between(a, b), 6).alias("minutes"),
-        F.round(dates.hours_between(a, b), 6).alias("hours"),
+        "user_id", dates.seconds_between(a, b).alias("seconds"),
+        dates.minutes_between(a, b).alias("minutes"),
+        dates.hours_between(a, b).alias("hours"),
     )
 
 
@@ -238,7 +238,7 @@ def fiscal(t):
 
 @model("dat_08_tenure", f"""
 WITH c AS (SELECT o_custkey AS customer_id, date_diff('day', MIN({ORDER_DAY}), DATE '{AS_OF}') AS tenure_days FROM orders GROUP BY 1)
-SELECT *, ROUND(tenure_days / 30.0::DOUBLE, 6) AS tenure_months, ROUND(tenure_days / 365.25::DOUBLE, 6) AS tenure_years FROM c
+SELECT *, (tenure_days / 30.0::DOUBLE) AS tenure_months, (tenure_days / 365.25::DOUBLE) AS tenure_years FROM c
 """)
 def tenure(t, as_of: str = AS_OF):
     first = staged_orders(t).groupBy("customer_id").agg(F.min("order_date").alias("d"))
@@ -246,7 +246,7 @@ def tenure(t, as_of: str = AS_OF):
     return first.select(
         "customer_id", dates.age_days(F.col("d"), as_of).alias("tenure_days")
     ).withColumns({
-        "tenure_months": F.round(days / 30.0, 6), "tenure_years": F.round(days / 365.25, 6),
+        "tenure_months": (days / 30.0), "tenure_years": (days / 365.25),
     })
 
 
@@ -324,14 +324,14 @@ def rounding(t):
 
 
 @model("mth_02_safe_division", f"""
-SELECT {LINE_SQL}, ROUND(l_tax / NULLIF(l_discount, 0), 6) AS tax_per_discount,
-       COALESCE(ROUND(l_discount / NULLIF(l_tax, 0), 6), 0) AS discount_per_tax FROM lineitem
+SELECT {LINE_SQL}, (l_tax / NULLIF(l_discount, 0)) AS tax_per_discount,
+       COALESCE((l_discount / NULLIF(l_tax, 0)), 0) AS discount_per_tax FROM lineitem
 """)
 def safe_division(t):
     tax, discount = F.col("l_tax"), F.col("l_discount")
     return t.lineitem.select(
-        *line_keys(), F.round(ratio(tax, discount), 6).alias("tax_per_discount"),
-        F.round(ratio_or(discount, tax), 6).alias("discount_per_tax"),
+        *line_keys(), ratio(tax, discount).alias("tax_per_discount"),
+        ratio_or(discount, tax).alias("discount_per_tax"),
     )
 
 
@@ -505,14 +505,14 @@ def fallback_chain(t):
 @model("nul_05_impute_mean", f"""
 WITH r AS (SELECT d.doc_id, l.quality FROM {LABELLED})
 SELECT doc_id, quality IS NULL AS is_imputed,
-       ROUND(COALESCE(CAST(quality AS DOUBLE), (SELECT AVG(quality) FROM r)), 6) AS quality FROM r
+       COALESCE(CAST(quality AS DOUBLE), (SELECT AVG(quality) FROM r)) AS quality FROM r
 """)
 def impute_mean(t):
     rows = labelled(t).select("doc_id", "quality")
     filled = group_values(rows, [], {"mean": F.avg("quality")})
     value = F.coalesce(F.col("quality").cast("double"), F.col("mean"))
     return filled.select(
-        "doc_id", F.col("quality").isNull().alias("is_imputed"), F.round(value, 6).alias("quality")
+        "doc_id", F.col("quality").isNull().alias("is_imputed"), value.alias("quality")
     )
 
 

@@ -515,8 +515,8 @@ def matrix(t):
 @model("evl_05_pass_counts", SCORES_SQL + """
 SELECT model, scorer, COUNT(*) AS items, COUNT(*) FILTER (compile_ok) AS compile_ok_count,
        COUNT(*) FILTER (run_ok) AS run_ok_count,
-       ROUND(CAST(COUNT(*) FILTER (compile_ok) AS DOUBLE) / COUNT(*), 6) AS compile_ok_share,
-       ROUND(CAST(COUNT(*) FILTER (run_ok) AS DOUBLE) / COUNT(*), 6) AS run_ok_share
+       (CAST(COUNT(*) FILTER (compile_ok) AS DOUBLE) / COUNT(*)) AS compile_ok_share,
+       (CAST(COUNT(*) FILTER (run_ok) AS DOUBLE) / COUNT(*)) AS run_ok_share
 FROM scores GROUP BY 1, 2
 """)
 def pass_counts(t):

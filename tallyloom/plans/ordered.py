@@ -119,11 +119,11 @@ def ntile(t):
 
 
 @model("win_05_percent_rank", f"""
-SELECT customer_id, spend, ROUND(PERCENT_RANK() OVER (ORDER BY spend), 9) AS spend_percentile FROM {SPEND}
+SELECT customer_id, spend, PERCENT_RANK() OVER (ORDER BY spend) AS spend_percentile FROM {SPEND}
 """)
 def percent_rank(t):
     ranked = rank_columns(spend(t), [], ["spend"], percent="p", rows_at_most=t.customer)
-    return ranked.select("customer_id", "spend", F.round("p", 9).alias("spend_percentile"))
+    return ranked.select("customer_id", "spend", F.col("p").alias("spend_percentile"))
 
 
 @model("win_06_lag", f"""
@@ -165,7 +165,7 @@ def first_last_value(t):
 
 @model("win_09_running_group", f"""
 SELECT order_id, customer_id, SUM(amount) OVER w::BIGINT AS running_total, COUNT(*) OVER w AS running_count,
-       ROUND(CAST(SUM(amount) OVER w AS DOUBLE) / COUNT(*) OVER w, 4) AS running_avg
+       (CAST(SUM(amount) OVER w AS DOUBLE) / COUNT(*) OVER w) AS running_avg
 FROM {ORDERS} WINDOW w AS (PARTITION BY customer_id ORDER BY order_date, order_id
                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 """.replace("SUM(amount) OVER w::BIGINT", "CAST(SUM(amount) OVER w AS BIGINT)"))
@@ -175,7 +175,7 @@ def running_group(t):
     mean = ratio(F.col("running_total"), F.col("running_count"))
     return run.select(
         "order_id", "customer_id", "running_total", "running_count",
-        F.round(mean, 4).alias("running_avg"),
+        mean.alias("running_avg"),
     )
 
 
@@ -190,30 +190,30 @@ def running_global(t):
 
 
 @model("win_11_moving_average", f"""
-SELECT order_date, revenue, ROUND(AVG(revenue) OVER (ORDER BY order_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 4) AS moving_avg_7d
+SELECT order_date, revenue, AVG(revenue) OVER (ORDER BY order_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS moving_avg_7d
 FROM {DAILY}
 """)
 def moving(t):
     series = moving_average(daily(t), "order_date", "revenue", "m")
-    return series.select("order_date", "revenue", F.round("m", 4).alias("moving_avg_7d"))
+    return series.select("order_date", "revenue", F.col("m").alias("moving_avg_7d"))
 
 
 @model("win_12_group_total_beside", f"""
 SELECT order_id, customer_id, amount, CAST(SUM(amount) OVER w AS BIGINT) AS customer_total,
-       ROUND(CAST(amount AS DOUBLE) / CAST(SUM(amount) OVER w AS DOUBLE) * 100.0, 6) AS pct_of_total
+       (CAST(amount AS DOUBLE) / CAST(SUM(amount) OVER w AS DOUBLE) * 100.0) AS pct_of_total
 FROM {ORDERS} WINDOW w AS (PARTITION BY customer_id)
 """)
 def group_total(t):
     rows = staged_orders(t).select("order_id", "customer_id", "amount")
     beside = group_values(rows, ["customer_id"], {"customer_total": F.sum("amount")})
     pct = ratio(F.col("amount"), F.col("customer_total")) * 100.0
-    return beside.withColumn("pct_of_total", F.round(pct, 6))
+    return beside.withColumn("pct_of_total", pct)
 
 
 @model("win_13_growth", f"""
 WITH m AS (SELECT order_month, CAST(revenue AS DOUBLE) / 100.0 AS revenue FROM {MONTHLY}),
      p AS (SELECT *, LAG(revenue) OVER (ORDER BY order_month) AS prev_month_revenue FROM m)
-SELECT *, ROUND((revenue - prev_month_revenue) / NULLIF(prev_month_revenue, 0) * 100.0, 6) AS growth_pct FROM p
+SELECT *, (revenue - prev_month_revenue) / NULLIF(prev_month_revenue, 0) * 100.0 AS growth_pct FROM p
 """)
 def month_growth(t):
     series = monthly(t).withColumn("revenue", to_major("revenue"))
@@ -264,7 +264,7 @@ def rank_in_subset(t):
 
 @model("win_17_average_gap", f"""
 WITH g AS (SELECT customer_id, date_diff('day', LAG(order_date) OVER (PARTITION BY customer_id ORDER BY order_date, order_id), order_date) AS gap FROM {ORDERS})
-SELECT customer_id, COUNT(*) AS order_count, ROUND(CAST(SUM(gap) AS DOUBLE) / NULLIF(COUNT(gap), 0), 6) AS avg_days_between
+SELECT customer_id, COUNT(*) AS order_count, (CAST(SUM(gap) AS DOUBLE) / NULLIF(COUNT(gap), 0)) AS avg_days_between
 FROM g GROUP BY 1
 """)
 def average_gap(t):
@@ -275,13 +275,13 @@ def average_gap(t):
         days_between(F.min("order_date"), F.max("order_date")).alias("span"),
     )
     mean = ratio(F.col("span"), F.col("order_count") - 1)
-    return dates.select("customer_id", "order_count", F.round(mean, 6).alias("avg_days_between"))
+    return dates.select("customer_id", "order_count", mean.alias("avg_days_between"))
 
 
 @model("win_18_cumulative_share", f"""
 SELECT customer_id, spend,
-       ROUND(CAST(SUM(spend) OVER (ORDER BY spend DESC, customer_id ROWS UNBOUNDED PRECEDING) AS DOUBLE)
-             / CAST(SUM(spend) OVER () AS DOUBLE) * 100.0, 6) AS cumulative_pct,
+       (CAST(SUM(spend) OVER (ORDER BY spend DESC, customer_id ROWS UNBOUNDED PRECEDING) AS DOUBLE)
+             / CAST(SUM(spend) OVER () AS DOUBLE) * 100.0) AS cumulative_pct,
        ROW_NUMBER() OVER (ORDER BY spend DESC, customer_id) * 5 <= COUNT(*) OVER () AS is_top_20_pct
 FROM {SPEND}
 """)
@@ -293,7 +293,7 @@ def cumulative_share(t):
     run = group_values(run, [], {"whole": F.sum("spend"), "n": n_rows()})
     return run.select(
         "customer_id", "spend",
-        F.round(ratio(F.col("upto"), F.col("whole")) * 100.0, 6).alias("cumulative_pct"),
+        (ratio(F.col("upto"), F.col("whole")) * 100.0).alias("cumulative_pct"),
         (F.col("place") * 5 <= F.col("n")).alias("is_top_20_pct"),
     )
 

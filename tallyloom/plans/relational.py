@@ -298,14 +298,14 @@ def anti_with_predicate(t):
 @model("jon_15_scalar_beside_rows", f"""
 WITH o AS (SELECT o_orderkey AS order_id, {cents('o_totalprice')} AS amount FROM orders),
      a AS (SELECT CAST(SUM(amount) AS DOUBLE) / COUNT(*) AS m FROM o)
-SELECT order_id, amount, ROUND(m / 100.0, 6) AS avg_amount_dollars FROM o, a WHERE amount > m
+SELECT order_id, amount, (m / 100.0) AS avg_amount_dollars FROM o, a WHERE amount > m
 """)
 def scalar_beside_rows(t):
     orders = staged_orders(t).select("order_id", "amount")
     mean = orders.agg(F.sum("amount").cast("double") / n_rows()).scalar()
     above = orders.withColumn("mean", mean).filter(F.col("amount") > F.col("mean"))
     return above.select(
-        "order_id", "amount", F.round(F.col("mean") / 100.0, 6).alias("avg_amount_dollars")
+        "order_id", "amount", (F.col("mean") / 100.0).alias("avg_amount_dollars")
     )
 
 
@@ -411,7 +411,7 @@ def first_row_join(t):
 
 @model("agg_01_group", f"""
 SELECT o_orderstatus AS status, COUNT(*) AS order_count, {total(cents('o_totalprice'))} AS total_amount,
-       ROUND(CAST(SUM({cents('o_totalprice')}) AS DOUBLE) / COUNT(*) / 100.0, 6) AS avg_amount
+       (CAST(SUM({cents('o_totalprice')}) AS DOUBLE) / COUNT(*) / 100.0) AS avg_amount
 FROM orders GROUP BY 1
 """)
 def group(t):
@@ -419,7 +419,7 @@ def group(t):
     return staged_orders(t).groupBy("status").agg(
         n_rows().alias("order_count"),
         (cents_sum / 100.0).alias("total_amount"),
-        F.round(cents_sum / n_rows() / 100.0, 6).alias("avg_amount"),
+        (cents_sum / n_rows() / 100.0).alias("avg_amount"),
     )
 
 
@@ -495,8 +495,8 @@ def many_keys(t):
 
 @model("agg_07_rate", """
 SELECT l_partkey AS product_id, COUNT(*) AS sold, COUNT(*) FILTER (l_returnflag = 'R') AS returned,
-       ROUND(CAST(COUNT(*) FILTER (l_returnflag = 'R') AS DOUBLE)
-             / NULLIF(COUNT(*) FILTER (l_returnflag <> 'R'), 0), 6) AS return_rate
+       (CAST(COUNT(*) FILTER (l_returnflag = 'R') AS DOUBLE)
+             / NULLIF(COUNT(*) FILTER (l_returnflag <> 'R'), 0)) AS return_rate
 FROM lineitem GROUP BY 1
 """)
 def rate(t):
@@ -504,7 +504,7 @@ def rate(t):
     kept = count_where(F.col("l_returnflag") != "R")
     return t.lineitem.groupBy(F.col("l_partkey").alias("product_id")).agg(
         n_rows().alias("sold"), back.alias("returned"),
-        F.round(ratio(back, kept), 6).alias("return_rate"),
+        ratio(back, kept).alias("return_rate"),
     )
 
 
@@ -512,7 +512,7 @@ def rate(t):
 WITH g AS (SELECT p_type AS category, CAST(SUM({LINE_UNITS}) AS BIGINT) AS revenue_units
            FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
 SELECT category, revenue_units,
-       ROUND(CAST(revenue_units AS DOUBLE) / CAST(SUM(revenue_units) OVER () AS DOUBLE) * 100.0, 6) AS share_pct
+       (CAST(revenue_units AS DOUBLE) / CAST(SUM(revenue_units) OVER () AS DOUBLE) * 100.0) AS share_pct
 FROM g
 """)
 def share(t):
@@ -534,23 +534,23 @@ def mode(t):
 @model("agg_10_median", f"""
 WITH e AS ({EVENT_SQL}),
      r AS (SELECT campaign_id,
-                  ROUND(CAST(COUNT(*) FILTER (event_type = 'click') AS DOUBLE) / COUNT(*), 6) AS click_rate
+                  (CAST(COUNT(*) FILTER (event_type = 'click') AS DOUBLE) / COUNT(*)) AS click_rate
            FROM e GROUP BY 1),
      m AS (SELECT median(click_rate) AS median_click_rate FROM r)
-SELECT campaign_id, click_rate, ROUND(median_click_rate, 7) AS median_click_rate
+SELECT campaign_id, click_rate, median_click_rate AS median_click_rate
 FROM r, m WHERE click_rate > median_click_rate
 """)
 def median(t):
     events = staged_events(t, "click", "view", "purchase", "signup", "error")
     clicked = count_where(F.col("event_type") == "click")
     rates = events.groupBy("campaign_id").agg(
-        F.round(clicked.cast("double") / n_rows(), 6).alias("click_rate")
+        (clicked.cast("double") / n_rows()).alias("click_rate")
     )
     middle = exact_median(rates, [], "click_rate", "m", rows_at_most=t.events).scalar()
     return (
         rates.withColumn("m", middle)
         .filter(F.col("click_rate") > F.col("m"))
-        .select("campaign_id", "click_rate", F.round("m", 7).alias("median_click_rate"))
+        .select("campaign_id", "click_rate", F.col("m").alias("median_click_rate"))
     )
 
 
@@ -577,13 +577,13 @@ def text_list(t):
 
 @model("agg_13_guarded", f"""
 SELECT o_custkey AS customer_id, COUNT(*) AS order_count,
-       CASE WHEN COUNT(*) >= 8 THEN ROUND(CAST(SUM({cents('o_totalprice')}) AS DOUBLE) / COUNT(*), 4) END AS avg_cents
+       CASE WHEN COUNT(*) >= 8 THEN (CAST(SUM({cents('o_totalprice')}) AS DOUBLE) / COUNT(*)) END AS avg_cents
 FROM orders GROUP BY 1
 """)
 def guarded(t):
     return staged_orders(t).groupBy("customer_id").agg(
         n_rows().alias("order_count"),
-        F.round(guarded_avg(F.col("amount"), 8), 4).alias("avg_cents"),
+        guarded_avg(F.col("amount"), 8).alias("avg_cents"),
     )
 
 
@@ -602,7 +602,7 @@ def pivot(t):
 @model("agg_15_two_levels", f"""
 WITH o AS (SELECT l_orderkey, COUNT(*) AS items FROM lineitem GROUP BY 1)
 SELECT strftime({ORDER_DAY}, '%Y-%m') AS order_month, COUNT(*) AS orders,
-       ROUND(CAST(SUM(items) AS DOUBLE) / COUNT(*), 6) AS avg_items
+       (CAST(SUM(items) AS DOUBLE) / COUNT(*)) AS avg_items
 FROM orders JOIN o ON o_orderkey = l_orderkey GROUP BY 1
 """)
 def two_levels(t):
@@ -610,7 +610,7 @@ def two_levels(t):
     joined = staged_orders(t).join(items, F.col("order_id") == F.col("l_orderkey"))
     return joined.groupBy(month_label(F.col("order_date")).alias("order_month")).agg(
         n_rows().alias("orders"),
-        F.round(F.sum("items").cast("double") / n_rows(), 6).alias("avg_items"),
+        (F.sum("items").cast("double") / n_rows()).alias("avg_items"),
     )
 
 
@@ -620,7 +620,7 @@ WITH s AS (SELECT l_suppkey, COUNT(*) AS lines FROM lineitem GROUP BY 1),
                   CAST(SUM(lines) OVER w AS DOUBLE) / COUNT(*) OVER w AS mean
            FROM s JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
            WINDOW w AS (PARTITION BY n_name))
-SELECT supplier_id, nation, lines, ROUND(mean, 6) AS nation_avg_lines FROM p WHERE lines > mean
+SELECT supplier_id, nation, lines, mean AS nation_avg_lines FROM p WHERE lines > mean
 """)
 def peers(t):
     per_supplier = t.lineitem.groupBy("l_suppkey").agg(n_rows().alias("lines"))
@@ -632,7 +632,7 @@ def peers(t):
     mean = F.sum("lines").cast("double") / n_rows()
     beside = group_values(rows, ["nation"], {"mean": mean})
     return beside.filter(F.col("lines") > F.col("mean")).select(
-        "supplier_id", "nation", "lines", F.round("mean", 6).alias("nation_avg_lines")
+        "supplier_id", "nation", "lines", F.col("mean").alias("nation_avg_lines")
     )
 
 

@@ -229,8 +229,8 @@ def conditional_unit(t):
 @model("prj_06_derived", f"""
 SELECT l_orderkey AS order_id, l_linenumber AS line_no,
        CAST({LINE_UNITS} AS DOUBLE) / 10000.0 AS line_total,
-       ROUND(CAST({cents('p_retailprice')} - {cents('p_size')} AS DOUBLE)
-             / {cents('p_retailprice')} * 100.0, 6) AS margin_pct
+       (CAST({cents('p_retailprice')} - {cents('p_size')} AS DOUBLE)
+             / {cents('p_retailprice')} * 100.0) AS margin_pct
 FROM lineitem JOIN part ON l_partkey = p_partkey
 """)
 def derived(t):
