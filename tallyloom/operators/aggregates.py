@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.conditions import flag_name
 from tallyloom.operators.windows import (
+    Bound,
     Running,
     first_rows,
     group_values,
@@ -29,7 +30,7 @@ def exact_median(
     keys: list[str],
     value: str,
     alias: str,
-    rows_at_most: DataFrame | None = None,
+    rows_at_most: Bound = None,
 ) -> DataFrame:
     """Exact median per group; the mean of the two middle values if even.
 

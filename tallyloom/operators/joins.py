@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.dates import as_date
 from tallyloom.operators.windows import (
+    Bound,
     Lag,
     Running,
     first_rows,
     ordered_columns,
 )
+from tallyloom.session import frozen
 
 EPOCH = "1970-01-01"
 
@@ -85,22 +87,26 @@ def pairs_within_days(df: DataFrame, key: str, row_id: str, day: str, days: int)
     return left.join(right, [key, "__band"]).filter(near & other).drop("__band")
 
 
-def _pairs_in(items: DataFrame, basket: str, item: str, width: int) -> DataFrame:
-    """Item pairs per basket; a basket of many items is cut into slices of
-    about ``width`` that meet the whole basket in separate groups."""
-    sizes = items.groupBy(basket).agg(F.ceil(F.count(F.lit(1)) / width).cast("int").alias("__slices"))
-    sized = items.join(sizes, basket)
-    left = sized.select(
-        basket,
-        F.col(item).alias("item_a"),
-        F.pmod(F.xxhash64(item), F.col("__slices")).cast("int").alias("__slice"),
-    )
-    right = sized.select(
-        basket,
-        F.col(item).alias("item_b"),
-        F.explode(F.sequence(F.lit(0), F.col("__slices") - 1)).alias("__slice"),
-    )
-    return left.join(right, [basket, "__slice"]).filter(F.col("item_a") < F.col("item_b"))
+def _pairs_in(items: DataFrame, basket: str, item: str, width: int, largest: int) -> DataFrame:
+    """Count item pairs over all baskets.
+
+    Where a basket has more than ``width`` items, it is cut into slices of
+    about that many, and each slice meets the whole basket in a group of its
+    own.
+    """
+    on = [basket]
+    left = items.select(basket, F.col(item).alias("item_a"))
+    right = items.select(basket, F.col(item).alias("item_b"))
+    if largest > width:
+        slices = F.ceil(F.count(F.lit(1)) / width).cast("int")
+        sizes = items.groupBy(basket).agg(slices.alias("__slices"))
+        slot = F.pmod(F.xxhash64("item_a"), F.col("__slices")).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col("__slices") - 1))
+        left = left.join(sizes, basket).withColumn("__slice", slot)
+        right = right.join(sizes, basket).withColumn("__slice", every)
+        on = [basket, "__slice"]
+    pairs = left.join(right, on).filter(F.col("item_a") < F.col("item_b"))
+    return pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("pair_count"))
 
 
 def basket_pairs(
@@ -120,20 +126,21 @@ def basket_pairs(
     at least ``min_baskets`` giants are paired.
     """
     items = lines.select(basket, item).filter(F.col(item).isNotNull()).distinct()
-    support = items.groupBy(item).agg(F.count(F.lit(1)).alias("__support"))
-    frequent = support.filter(F.col("__support") >= min_baskets).select(item)
-    items = items.join(frequent, item)
+    if min_baskets > 1:
+        support = items.groupBy(item).agg(F.count(F.lit(1)).alias("__support"))
+        frequent = support.filter(F.col("__support") >= min_baskets).select(item)
+        items = items.join(frequent, item)
+    # Read several times below: written once, as two narrow columns.
+    items = frozen(items, "baskets")
     sizes = items.groupBy(basket).agg(F.count(F.lit(1)).alias("__size"))
     largest = sizes.agg(F.max("__size")).first()[0] or 0
-    counted = [F.count(F.lit(1)).alias("pair_count")]
+    enough = F.col("pair_count") >= min_baskets
     if largest <= giant:
-        pairs = _pairs_in(items, basket, item, width).groupBy("item_a", "item_b").agg(*counted)
-        return pairs.filter(F.col("pair_count") >= min_baskets)
+        return _pairs_in(items, basket, item, width, largest).filter(enough)
 
     big = sizes.filter(F.col("__size") > giant).select(basket)
     in_giants = items.join(big, basket)
-    ordinary = items.join(big, basket, "left_anti")
-    seen = _pairs_in(ordinary, basket, item, width).groupBy("item_a", "item_b").agg(*counted)
+    seen = _pairs_in(items.join(big, basket, "left_anti"), basket, item, width, giant)
     holds_a = in_giants.select(F.col(item).alias("item_a"), F.col(basket).alias("__giant"))
     holds_b = in_giants.select(F.col(item).alias("item_b"), F.col(basket).alias("__giant"))
     also = (
@@ -149,13 +156,10 @@ def basket_pairs(
     )
     often = in_giants.groupBy(item).agg(F.count(F.lit(1)).alias("__n"))
     often = often.filter(F.col("__n") >= min_baskets).select(item)
-    only = (
-        _pairs_in(in_giants.join(often, item), basket, item, width)
-        .groupBy("item_a", "item_b")
-        .agg(*counted)
-        .join(seen.select("item_a", "item_b"), ["item_a", "item_b"], "left_anti")
+    only = _pairs_in(in_giants.join(often, item), basket, item, width, largest).join(
+        seen.select("item_a", "item_b"), ["item_a", "item_b"], "left_anti"
     )
-    return both.unionByName(only).filter(F.col("pair_count") >= min_baskets)
+    return both.unionByName(only).filter(enough)
 
 
 def last_before(
@@ -164,7 +168,7 @@ def last_before(
     key: str,
     at: str,
     alias: str,
-    rows_at_most: DataFrame | None = None,
+    rows_at_most: Bound = None,
 ) -> DataFrame:
     """Beside each event: the time of the latest ``earlier`` row of the key
     that is not after it. Linear in both inputs, no pairs are formed."""
@@ -177,7 +181,7 @@ def next_after(
     key: str,
     at: str,
     alias: str,
-    rows_at_most: DataFrame | None = None,
+    rows_at_most: Bound = None,
 ) -> DataFrame:
     """Beside each event: the time of the first ``later`` row of the key that
     is not before it."""
@@ -202,7 +206,7 @@ def merge_intervals(
     keys: list[str],
     at: str,
     length: Column,
-    rows_at_most: DataFrame | None = None,
+    rows_at_most: Bound = None,
 ) -> DataFrame:
     """Join overlapping intervals ``[at, at + length]`` of a key into disjoint
     ones with columns ``start`` and ``end``."""
@@ -223,7 +227,7 @@ def sum_in_intervals(
     key: str,
     at: str,
     sums: dict[str, str],
-    rows_at_most: DataFrame | None = None,
+    rows_at_most: Bound = None,
 ) -> DataFrame:
     """Sum integer columns of the points inside each closed interval.
 

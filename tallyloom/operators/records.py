@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import WHITESPACE, strip
-from tallyloom.operators.windows import RowNumber, Running, first_rows, ordered_columns
+from tallyloom.operators.windows import first_rows, running_total
+from tallyloom.session import max_group_rows
 
 SQL_FENCE = rf"(?s)```sql{WHITESPACE}*\n(.*?)```"
 PLAIN_FENCE = rf"(?s)```{WHITESPACE}*\n(.*?)```"
@@ -69,14 +71,21 @@ def answer(text: Column, mode: str = "strict") -> Column:
 
 def task_class(instruction: Column) -> Column:
     """Class of a task by the first keyword list with a hit."""
-    text = F.lower(F.coalesce(instruction, F.lit("")))
-    label = None
-    for name, words in TASK_CLASSES:
-        hit = text.contains(words[0])
-        for word in words[1:]:
-            hit = hit | text.contains(word)
-        label = F.when(hit, name) if label is None else label.when(hit, name)
-    return label.otherwise("other")
+
+
+    def classify(text: Column) -> Column:
+        label = None
+        for name, words in TASK_CLASSES:
+            hit = text.contains(words[0])
+            for word in words[1:]:
+                hit = hit | text.contains(word)
+            label = F.when(hit, name) if label is None else label.when(hit, name)
+        return label.otherwise("other")
+
+    # A one-element array binds the lowered text: it is lowered once, not
+    # once per keyword.
+    lowered = F.array(F.lower(F.coalesce(instruction, F.lit(""))))
+    return F.transform(lowered, classify)[0]
 
 
 def class_report(
@@ -191,37 +200,37 @@ def chat_record(
 
 
 def exact_split(
-    df: DataFrame,
-    key: str,
-    test_ratio: float = 0.15,
-    seed: int = 42,
-    digits: int = 3,
+    df: DataFrame, key: str, test_ratio: float = 0.15, seed: int = 42
 ) -> DataFrame:
     """Seeded shuffle and exact cut at ``int(rows * (1 - test_ratio))``.
 
     Rows are ordered by a seeded hash of their key, so the order is the same
-    on every run and layout. The hash prefix cuts them into equal bands; band
-    offsets come from a small count table, and each band is numbered on its
-    own, so no task sorts the whole table. Adds ``split`` and ``index`` (the
-    position inside the split, from 0).
+    on every run and layout. The first hash digits cut them into equal bands;
+    band offsets come from a small count table, and each band is numbered on
+    its own, so no task sorts the whole table. Adds ``split`` and ``index``
+    (the position inside the split, from 0).
     """
+    # Enough bands that one holds a quarter of what a task may sort; never
+    # more than 16 ** 5 of them.
+    wanted = 4 * df.count() / max_group_rows(df.sparkSession)
+    digits = next((d for d in range(2, 5) if 16**d >= wanted), 5)
     mixed = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    hashed = df.withColumn("__hash", mixed).withColumn(
-        "__band", F.conv(F.substring("__hash", 1, digits), 16, 10).cast("int")
-    )
-    # At most 16 ** digits rows, whatever the size of the table.
+    hashed = df.withColumn("__hash", mixed).withColumn("__band", F.substring("__hash", 1, digits))
     bands = hashed.groupBy("__band").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = ordered_columns(
-        bands.withColumn("__all", F.lit(1)), ["__all"], ["__band"], [Running("__upto", "__n")]
-    ).select("__band", (F.col("__upto") - F.col("__n")).alias("__offset"))
-    rows = bands.agg(F.sum("__n")).scalar()
-    placed = ordered_columns(hashed, ["__band"], ["__hash", key], [RowNumber("__row")])
-    placed = placed.join(F.broadcast(offsets), "__band").withColumn(
-        "__place", F.col("__offset") + F.col("__row") - 1
+    offsets = running_total(bands, "__band", "__n", "__upto").select(
+        "__band", (F.col("__upto") - F.col("__n")).alias("__offset")
     )
+    rows = bands.agg(F.sum("__n")).scalar()
     cut = (rows.cast("double") * F.lit(1 - test_ratio)).cast("bigint")
+    in_band = W.partitionBy("__band").orderBy("__hash", key)
+    placed = (
+        hashed.withColumn("__row", F.row_number().over(in_band))
+        .join(F.broadcast(offsets), "__band")
+        .withColumn("__place", F.col("__offset") + F.col("__row") - 1)
+        .withColumn("__cut", cut)
+    )
     train = F.col("__place") < F.col("__cut")
-    return placed.withColumn("__cut", cut).select(
+    return placed.select(
         *df.columns,
         F.when(train, "train").otherwise("test").alias("split"),
         F.when(train, F.col("__place")).otherwise(F.col("__place") - F.col("__cut")).alias("index"),

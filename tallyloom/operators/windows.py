@@ -129,19 +129,26 @@ class Lead:
 
 
 Measure = RowNumber | Running | Lag | Lead
+Bound = DataFrame | int | None
 
 
 # --- the two plans ----------------------------------------------------------
 
 
-def fits_one_task(df: DataFrame, keys: list[str], rows_at_most: DataFrame | None = None) -> bool:
+def fits_one_task(df: DataFrame, keys: list[str], rows_at_most: Bound = None) -> bool:
     """Whether every group is small enough to be sorted by one task.
 
-    ``rows_at_most`` is a frame that is cheap to count (a bare table: its row
-    count comes from the file footers) and has no fewer rows than ``df``.
+    ``rows_at_most`` is an upper bound of the rows of ``df``: a number, or a
+    frame that is cheap to count (a bare table: its row count comes from the
+    file footers). Without it, and wherever the bound is too high to decide,
+    ``df`` itself is counted.
     """
     limit = max_group_rows(df.sparkSession)
-    if (df if rows_at_most is None else rows_at_most).count() <= limit:
+    if isinstance(rows_at_most, int):
+        bound = rows_at_most
+    else:
+        bound = (df if rows_at_most is None else rows_at_most).count()
+    if bound <= limit:
         return True
     if not keys:
         return rows_at_most is not None and df.count() <= limit
@@ -168,7 +175,7 @@ def ordered_columns(
     keys: list[str],
     order: list[str],
     measures: list[Measure],
-    rows_at_most: DataFrame | None = None,
+    rows_at_most: Bound = None,
 ) -> DataFrame:
     """Add one column per measure, computed along ``order`` inside each group.
 
@@ -256,7 +263,7 @@ def rank_columns(
     rank: str | None = None,
     dense: str | None = None,
     percent: str | None = None,
-    rows_at_most: DataFrame | None = None,
+    rows_at_most: Bound = None,
 ) -> DataFrame:
     """RANK, DENSE_RANK and PERCENT_RANK; ties share a rank.
 
@@ -291,7 +298,7 @@ def ntile_column(
     order: list[str],
     buckets: int,
     alias: str,
-    rows_at_most: DataFrame | None = None,
+    rows_at_most: Bound = None,
 ) -> DataFrame:
     """NTILE: the first ``rows % buckets`` tiles hold one row more."""
     if fits_one_task(df, keys, rows_at_most):

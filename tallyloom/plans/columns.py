@@ -533,8 +533,10 @@ def sentinels(t):
 
 
 @model("par_01_threshold", f"SELECT o_orderkey AS order_id, {AMOUNT} AS amount FROM orders WHERE {AMOUNT} >= 5000000")
-def threshold(t, min_amount: int = 5_000_000):
-    return at_least(staged_orders(t).select("order_id", "amount"), "amount", min_amount)
+def threshold(t, min_amount: float = 50_000):
+    """The stored column is compared, so the filter reaches the scan."""
+    kept = at_least(t.orders, "o_totalprice", min_amount)
+    return kept.select(F.col("o_orderkey").alias("order_id"), amount_cents().alias("amount"))
 
 
 @model("par_02_value", "SELECT c_custkey AS customer_id, c_mktsegment FROM customer WHERE c_mktsegment = 'MACHINERY'")

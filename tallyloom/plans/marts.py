@@ -225,7 +225,8 @@ def attributed(t, interval: str):
     )
     bought = staged_events(t, "purchase").withColumn("one", F.lit(1))
     hits = sum_in_intervals(
-        spans, bought, "user_id", "ts", {"orders": "one", "revenue": "value_cents"}
+        spans, bought, "user_id", "ts", {"orders": "one", "revenue": "value_cents"},
+        rows_at_most=2 * t.events.count(),
     )
     return hits.groupBy("campaign_id").agg(
         F.sum("orders").alias("orders"), F.sum("revenue").alias("revenue")

@@ -23,7 +23,9 @@ from tallyloom.operators.joins import (
     basket_pairs,
     join_first,
     join_on_name,
+    last_before,
     merge_intervals,
+    next_after,
     outer_by_key,
     pairs_within_days,
     parent_levels,
@@ -218,10 +220,45 @@ def event_window(t):
         clicks, ["campaign_id", "user_id"], "ts", F.expr("INTERVAL 1 DAY"), rows_at_most=t.events
     )
     sums = {"attributed_orders": "one", "revenue_cents": "value_cents"}
-    hits = sum_in_intervals(spans, bought, "user_id", "ts", sums)
+    # Two ends per interval and one row per purchase.
+    bound = 2 * t.events.count()
+    hits = sum_in_intervals(spans, bought, "user_id", "ts", sums, bound)
     return hits.groupBy("campaign_id").agg(*[F.sum(c).alias(c) for c in sums])
 
 
+@model("jon_09_next_event", f"""
+WITH e AS ({EVENT_SQL})
+SELECT c.campaign_id, COUNT(*) AS total_clicks, COUNT(*) FILTER (hit) AS purchases_within_3d,
+       CAST(COUNT(*) FILTER (hit) AS DOUBLE) / COUNT(*) AS click_to_purchase_rate
+FROM (SELECT campaign_id, EXISTS (SELECT 1 FROM e p WHERE p.event_type = 'purchase' AND p.user_id = k.user_id
+        AND p.ts >= k.ts AND p.ts <= k.ts + INTERVAL 3 DAYS) AS hit
+      FROM e k WHERE event_type = 'click') c GROUP BY 1
+""")
+def next_event(t):
+    """Clicks followed by a purchase of the user within three days."""
+    clicks = staged_events(t, "click").select("campaign_id", "user_id", "ts")
+    bought = staged_events(t, "purchase")
+    seen = next_after(clicks, bought, "user_id", "ts", "bought_at", rows_at_most=t.events)
+    hit = count_where(F.col("bought_at") <= F.col("ts") + F.expr("INTERVAL 3 DAYS"))
+    return seen.groupBy("campaign_id").agg(
+        n_rows().alias("total_clicks"), hit.alias("purchases_within_3d"),
+        ratio(hit, n_rows()).alias("click_to_purchase_rate"),
+    )
+
+
+@model("jon_09_last_touch", f"""
+WITH e AS ({EVENT_SQL})
+SELECT p.event_id, p.user_id, (SELECT MAX(c.ts) FROM e c WHERE c.event_type = 'click' AND c.user_id = p.user_id
+  AND c.ts <= p.ts) AS last_click FROM e p WHERE p.event_type = 'purchase'
+""")
+def last_touch(t):
+    """Each purchase with the user's latest click before it."""
+    bought = staged_events(t, "purchase").select("event_id", "user_id", "ts")
+    clicks = staged_events(t, "click")
+    seen = last_before(bought, clicks, "user_id", "ts", "last_click", rows_at_most=t.events)
+    return seen.drop("ts")
+
+
 @model("jon_10_validity_period", f"""
 WITH e AS ({EVENT_SQL}),
      s AS (SELECT event_id AS period_id, user_id, ts AS "start",
@@ -248,7 +285,7 @@ def validity_period(t):
     )
     bought = staged_events(t, "purchase").withColumn("one", F.lit(1))
     sums = {"orders_in_period": "one", "value_cents": "value_cents"}
-    inside = sum_in_intervals(periods, bought, "user_id", "ts", sums)
+    inside = sum_in_intervals(periods, bought, "user_id", "ts", sums, 2 * t.events.count())
     return inside.select("period_id", "user_id", *sums)
 
 
