@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators.joins import without_match
 from tallyloom.operators.windows import first_rows
 from tallyloom.sources.sinks import VersionedTable
 
@@ -43,14 +44,14 @@ def merge_rows(
     latest = first_rows(batch, keys, newest)
     if target is None:
         return latest
-    return target.join(latest.select(*keys), keys, "left_anti").unionByName(latest)
+    return without_match(target, latest, {k: k for k in keys}).unionByName(latest)
 
 
 def delete_insert(target: DataFrame | None, batch: DataFrame, keys: list[str]) -> DataFrame:
     """Drop target rows whose key is in the batch, then add the whole batch."""
     if target is None:
         return batch
-    return target.join(batch.select(*keys).distinct(), keys, "left_anti").unionByName(batch)
+    return without_match(target, batch, {k: k for k in keys}).unionByName(batch)
 
 
 def append_rows(target: DataFrame | None, batch: DataFrame) -> DataFrame:

@@ -45,6 +45,25 @@ def agg_then_join(
     return out
 
 
+def _keys_of(right: DataFrame, on: dict[str, str]) -> DataFrame:
+    return right.select(*[F.col(r).alias(name) for name, r in on.items()]).distinct()
+
+
+def having_match(left: DataFrame, right: DataFrame, on: dict[str, str]) -> DataFrame:
+    """Rows of ``left`` with a partner (EXISTS); ``on`` maps left to right
+    columns.
+
+    The right keys are made distinct first: map tasks reduce a hot key to one
+    row each, which the planner does not do by itself.
+    """
+    return left.join(_keys_of(right, on), list(on), "left_semi")
+
+
+def without_match(left: DataFrame, right: DataFrame, on: dict[str, str]) -> DataFrame:
+    """Rows of ``left`` without a partner (NOT EXISTS); a NULL key has none."""
+    return left.join(_keys_of(right, on), list(on), "left_anti")
+
+
 def outer_by_key(key: str, metrics: dict[str, tuple[DataFrame, Column, Column]]) -> DataFrame:
     """Several summed metrics side by side on one key, missing ones as 0.
 

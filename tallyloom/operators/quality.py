@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators.joins import without_match
 from tallyloom.operators.windows import first_rows
 
 MESSAGE_LENGTH = 200
@@ -30,7 +31,8 @@ def missing_columns(table_columns: DataFrame, expected: DataFrame, keys: list[st
     lowered = [
         df.withColumn("column_name", F.lower("column_name")) for df in (expected, table_columns)
     ]
-    return lowered[0].join(lowered[1], [*keys, "column_name"], "left_anti")
+    names = [*keys, "column_name"]
+    return without_match(*lowered, dict(zip(names, names, strict=True)))
 
 
 def row_bounds(expected: Column, tolerance: float = 0.2) -> tuple[Column, Column]:
@@ -185,8 +187,7 @@ def declared_tests(df: DataFrame, tests: list[tuple]) -> DataFrame:
             frames.append(_failures(twice, label))
         elif kind == "relationships":
             other, other_col = rest
-            keys = other.select(F.col(other_col).alias(column)).distinct()
-            lost = df.filter(col.isNotNull()).join(keys, column, "left_anti")
+            lost = without_match(df.filter(col.isNotNull()), other, {column: other_col})
             frames.append(_failures(lost, label))
         else:
             raise ValueError(f"unknown test {kind!r}")
@@ -233,5 +234,5 @@ def merge_first_wins(
 ) -> DataFrame:
     """Add the specs of a batch whose name is new; inside the batch the first
     one along ``order`` wins."""
-    fresh = batch.join(existing.select(name), name, "left_anti")
+    fresh = without_match(batch, existing, {name: name})
     return existing.unionByName(first_rows(fresh, [name], [*order]))

@@ -21,6 +21,7 @@ from tallyloom.operators.aggregates import (
 from tallyloom.operators.joins import (
     agg_then_join,
     basket_pairs,
+    having_match,
     join_first,
     join_on_name,
     last_before,
@@ -31,6 +32,7 @@ from tallyloom.operators.joins import (
     parent_levels,
     same_day,
     sum_in_intervals,
+    without_match,
 )
 from tallyloom.operators.windows import Lead, group_values, ordered_columns
 from tallyloom.plans.registry import (
@@ -308,8 +310,8 @@ WHERE EXISTS (SELECT 1 FROM orders JOIN lineitem ON o_orderkey = l_orderkey
 """)
 def semi(t):
     returned = t.lineitem.filter(F.col("l_returnflag") == "R")
-    orders = t.orders.join(returned, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
-    kept = t.customer.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_semi")
+    orders = having_match(t.orders, returned, {"o_orderkey": "l_orderkey"})
+    kept = having_match(t.customer, orders, {"c_custkey": "o_custkey"})
     return kept.select(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("name"))
 
 
@@ -318,7 +320,7 @@ SELECT o_orderkey AS order_id, o_custkey AS customer_id FROM orders
 WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)
 """)
 def anti(t):
-    kept = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
+    kept = without_match(t.orders, t.lineitem, {"o_orderkey": "l_orderkey"})
     return kept.select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"))
 
 
@@ -328,7 +330,7 @@ WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_lin
 """)
 def anti_with_predicate(t):
     done = t.lineitem.filter(F.col("l_linestatus") == "F")
-    kept = t.orders.join(done, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
+    kept = without_match(t.orders, done, {"o_orderkey": "l_orderkey"})
     return kept.select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"))
 
 

@@ -123,8 +123,9 @@ def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.csv(path, schema=schema, header=True, nullValue="", emptyValue="")
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_parquet(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """Parquet; with a schema given no footer is read at planning time."""
+    return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
 
 
 def read_tasks(
@@ -143,21 +144,24 @@ def read_tasks(
 class Tables:
     """Named source lookup: ``Tables(spark, folder).orders``.
 
-    Each name is read on first use and only its schema is fetched then.
+    A table's schema is read from its file footer once per process and folder;
+    later lookups start no job.
     """
 
+    _schemas: dict[str, StructType] = {}
+
     def __init__(self, spark: SparkSession, folder: str, names: list[str] | None = None):
         self.spark = spark
         self.folder = folder
         self.names = list(names or TABLES)
-        self._read: dict[str, DataFrame] = {}
 
     def source(self, name: str) -> DataFrame:
         if name not in self.names:
             raise KeyError(f"unknown source {name!r}; known: {', '.join(self.names)}")
-        if name not in self._read:
-            self._read[name] = read_parquet(self.spark, f"{self.folder}/{name}.parquet")
-        return self._read[name]
+        path = f"{self.folder}/{name}.parquet"
+        if path not in self._schemas:
+            self._schemas[path] = read_parquet(self.spark, path).schema
+        return read_parquet(self.spark, path, self._schemas[path])
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
