@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 
 
 def to_minor(amount: Column | str, scale: int = 100) -> Column:
-    """Major units (double) to an integer count of minor units."""
+    """Major units (double) to an integer count of minor units.
+
+    Rounds half away from zero. Written with floor and ceil: ``round`` on a
+    double goes through a decimal for every row.
+    """
     col = F.col(amount) if isinstance(amount, str) else amount
-    return F.round(col * float(scale)).cast("bigint")
+    scaled = col * float(scale)
+    return F.when(scaled < 0, F.ceil(scaled - 0.5)).otherwise(F.floor(scaled + 0.5))
 
 
 def to_major(minor: Column | str, scale: int = 100) -> Column:

@@ -138,17 +138,12 @@ def basket_pairs(
 ) -> DataFrame:
     """Pairs of items found together in at least ``min_baskets`` baskets.
 
-    Exact. Items in fewer baskets than that cannot form a pair and are left
-    out before the join. A pair inside a giant basket is not enumerated
-    unless it can reach the threshold: pairs seen in ordinary baskets look up
-    which giants hold both items, and among the giants alone only items in
-    at least ``min_baskets`` giants are paired.
+    Exact. A pair inside a giant basket is not enumerated unless it can reach
+    the threshold: pairs seen in ordinary baskets look up which giants hold
+    both items, and among the giants alone only items in at least
+    ``min_baskets`` giants are paired.
     """
     items = lines.select(basket, item).filter(F.col(item).isNotNull()).distinct()
-    if min_baskets > 1:
-        support = items.groupBy(item).agg(F.count(F.lit(1)).alias("__support"))
-        frequent = support.filter(F.col("__support") >= min_baskets).select(item)
-        items = items.join(frequent, item)
     # Read several times below: written once, as two narrow columns.
     items = frozen(items, "baskets")
     sizes = items.groupBy(basket).agg(F.count(F.lit(1)).alias("__size"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.functions.dates import as_date
+from tallyloom.functions.money import to_minor
 from tallyloom.operators import evals
 from tallyloom.operators import quality as q
 from tallyloom.operators import records as rec
@@ -465,7 +466,7 @@ WITH scores AS (SELECT l_returnflag AS model, CASE l_linestatus WHEN 'F' THEN 'p
 def scores(t):
     """Parts are items, return flags models, line states scorers."""
     scorer = F.when(F.col("l_linestatus") == "F", "permissive").otherwise("strict")
-    points = F.sum(F.round(F.col("l_discount") * 100).cast("bigint")).cast("double")
+    points = F.sum(to_minor("l_discount")).cast("double")
     return t.lineitem.groupBy(
         F.col("l_returnflag").alias("model"), scorer.alias("scorer"), F.col("l_partkey").alias("item")
     ).agg(
