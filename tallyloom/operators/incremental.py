@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators.joins import without_match
 from tallyloom.operators.windows import first_rows
+from tallyloom.session import frozen
 from tallyloom.sources.sinks import VersionedTable
 
 
@@ -54,6 +55,32 @@ def delete_insert(target: DataFrame | None, batch: DataFrame, keys: list[str]) -
     return without_match(target, batch, {k: k for k in keys}).unionByName(batch)
 
 
+def merge_partitions(
+    path: str, batch: DataFrame, keys: list[str], newest: list[str], partition: str
+) -> DataFrame:
+    """Upsert into a partitioned Parquet folder.
+
+    The partition column must be fixed for a key. Only partitions that occur
+    in the batch are read, merged and replaced; a rerun of the same batch
+    gives the same state.
+    """
+    spark = batch.sparkSession
+    merged = merge_rows(None, batch, keys, newest)
+    if _exists(spark, path):
+        # One value per partition folder, not per row.
+        touched = [r[0] for r in batch.select(partition).distinct().collect()]
+        old = spark.read.parquet(path).filter(F.col(partition).isin(touched))
+        # Written first: a folder cannot be replaced while it is being read.
+        merged = frozen(merge_rows(old, batch, keys, newest), "merge")
+    (
+        merged.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(partition)
+        .parquet(path)
+    )
+    return spark.read.parquet(path)
+
+
 def append_rows(target: DataFrame | None, batch: DataFrame) -> DataFrame:
     return batch if target is None else target.unionByName(batch)
 

@@ -223,12 +223,24 @@ def volume_gate(df: DataFrame, minimums: dict[str, tuple[Column, int]]) -> DataF
 
 def require_volume(df: DataFrame, minimums: dict[str, tuple[Column, int]]) -> DataFrame:
     """Stop before a write when a volume is below its minimum; ``df`` otherwise."""
-    failed = volume_gate(df, minimums).filter(~F.col("ok")).collect()
+    failed = volume_gate(df, minimums).filter(~F.col("ok")).collect() if minimums else []
     if failed:
         raise VolumeError("; ".join(f"{r.gate}: {r.actual} < {r.minimum}" for r in failed))
     return df
 
 
+class DuplicateNameError(ValueError):
+    """Names that should be unique occur more than once."""
+
+
+def require_unique(df: DataFrame, name: str, shown: int = 20) -> DataFrame:
+    """Stop when a name occurs more than once; ``df`` otherwise."""
+    found = [r[name] for r in duplicate_keys(df, [name]).orderBy(name).limit(shown).collect()]
+    if found:
+        raise DuplicateNameError(f"duplicate {name}: {', '.join(map(str, found))}")
+    return df
+
+
 def merge_first_wins(
     existing: DataFrame, batch: DataFrame, name: str, order: list[str]
 ) -> DataFrame:

@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import WHITESPACE, strip
+from tallyloom.operators.quality import require_unique, require_volume
 from tallyloom.operators.windows import first_rows, running_total
 from tallyloom.session import max_group_rows
+from tallyloom.sources.sinks import write_splits
 
 SQL_FENCE = rf"(?s)```sql{WHITESPACE}*\n(.*?)```"
 PLAIN_FENCE = rf"(?s)```{WHITESPACE}*\n(.*?)```"
@@ -88,6 +90,11 @@ def task_class(instruction: Column) -> Column:
     return F.transform(lowered, classify)[0]
 
 
+def tasks_of_class(tasks: DataFrame, instruction: str, wanted: str = "sql_generation") -> DataFrame:
+    """The tasks of one class."""
+    return tasks.filter(task_class(F.col(instruction)) == wanted)
+
+
 def class_report(
     tasks: DataFrame, task_id: str, instruction: str, samples: int = 3, width: int = 80
 ) -> DataFrame:
@@ -235,3 +242,36 @@ def exact_split(
         F.when(train, "train").otherwise("test").alias("split"),
         F.when(train, F.col("__place")).otherwise(F.col("__place") - F.col("__cut")).alias("index"),
     )
+
+
+def prepare_splits(
+    specs: DataFrame,
+    path: str,
+    system: str,
+    data_source: str,
+    ability: str,
+    minimums: dict[str, tuple[Column, int]] | None = None,
+    test_ratio: float = 0.15,
+    seed: int = 42,
+) -> DataFrame:
+    """From checked specs to stored training and test records.
+
+    ``specs`` has ``prompt, model_name, expected_columns,
+    expected_row_count, unique_key`` and optionally ``schema_yml``. Names must
+    be unique and the volume sufficient before anything is written.
+    """
+    require_volume(require_unique(specs, "model_name"), minimums or {})
+    if "schema_yml" not in specs.columns:
+        specs = specs.withColumn("schema_yml", F.lit(""))
+    placed = exact_split(specs, "model_name", test_ratio, seed)
+    extra = {
+        name: F.col(name)
+        for name in (
+            "split", "index", "model_name", "expected_columns", "expected_row_count",
+            "unique_key", "schema_yml",
+        )
+    }
+    record = chat_record(F.lit(system), F.col("prompt"), data_source, ability, extra)
+    records = placed.select(*record, "split")
+    write_splits(records, path)
+    return specs.sparkSession.read.schema(records.schema).parquet(path)

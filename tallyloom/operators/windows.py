@@ -143,17 +143,28 @@ def fits_one_task(df: DataFrame, keys: list[str], rows_at_most: Bound = None) ->
     file footers). Without it, and wherever the bound is too high to decide,
     ``df`` itself is counted.
     """
+    return _rows_to_split(df, keys, rows_at_most) is None
+
+
+def _rows_to_split(df: DataFrame, keys: list[str], rows_at_most: Bound) -> int | None:
+    """None when one task per group will do, else the number of rows at most."""
     limit = max_group_rows(df.sparkSession)
-    if isinstance(rows_at_most, int):
-        bound = rows_at_most
+    if rows_at_most is None:
+        rows = df.count()
+    elif isinstance(rows_at_most, int):
+        rows = rows_at_most
     else:
-        bound = (df if rows_at_most is None else rows_at_most).count()
-    if bound <= limit:
-        return True
-    if not keys:
-        return rows_at_most is not None and df.count() <= limit
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return (sizes.agg(F.max("n")).first()[0] or 0) <= limit
+        rows = rows_at_most.count()
+    if rows <= limit:
+        return None
+    if keys:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        largest = sizes.agg(F.max("n")).first()[0] or 0
+    elif rows_at_most is None:
+        largest = rows
+    else:
+        rows = largest = df.count()
+    return rows if largest > limit else None
 
 
 def join_beside(
@@ -181,19 +192,22 @@ def ordered_columns(
 
     ``order`` should be total: add a unique column at its end.
     """
-    if fits_one_task(df, keys, rows_at_most):
+    rows = _rows_to_split(df, keys, rows_at_most)
+    if rows is None:
         w = W.partitionBy(*keys).orderBy(*ordering(order))
         return df.select("*", *[m.over(w).alias(m.alias) for m in measures])
-    return _split_ordered(df, keys, order, measures)
+    return _split_ordered(df, keys, order, measures, rows)
 
 
 def _split_ordered(
-    df: DataFrame, keys: list[str], order: list[str], measures: list[Measure]
+    df: DataFrame, keys: list[str], order: list[str], measures: list[Measure], rows: int
 ) -> DataFrame:
     spark = df.sparkSession
+    # About a quarter of the limit per chunk, so that an uneven sample of the
+    # range bounds still leaves every chunk below it.
     chunks = max(
         int(spark.conf.get("spark.sql.shuffle.partitions")),
-        4 * -(-df.count() // max_group_rows(spark)),
+        4 * -(-rows // max_group_rows(spark)),
     )
     key_order = [F.col(k).asc_nulls_last() for k in keys]
     ranged = df.repartitionByRange(chunks, *key_order, *ordering(order)).withColumn(

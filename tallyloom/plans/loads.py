@@ -9,6 +9,7 @@ from tallyloom.functions.money import to_major, to_minor
 from tallyloom.operators.incremental import (
     append_to,
     delete_insert,
+    merge_partitions,
     merge_rows,
     newer_rows,
     refresh_partitions,
@@ -96,6 +97,22 @@ def merge(t):
     return run_increment(table, second_delivery(t), "updated_on", merge_on("order_id"))
 
 
+@model("inc_03_merge_partitions", f"""
+WITH {RESTATED.replace("order_date AS updated_on FROM o WHERE", "order_date AS updated_on, year(order_date) AS order_year FROM o WHERE")
+      .replace("END AS updated_on FROM o)", "END AS updated_on, year(order_date) AS order_year FROM o)")}
+SELECT order_id, status, amount, updated_on, CAST(order_year AS INTEGER) AS order_year FROM (
+SELECT * FROM first_run WHERE order_id NOT IN (SELECT order_id FROM batch) UNION ALL SELECT * FROM batch)
+""")
+def merge_by_partition(t):
+    """The same upsert into yearly partitions; untouched years stay as they are."""
+    path = scratch_path(t.spark, "yearly")
+    year = orders(t).select("order_id", F.year("order_date").alias("order_year"))
+    first = first_delivery(t).withColumn("order_year", F.year("updated_on"))
+    state = merge_partitions(path, first, ["order_id"], ["-updated_on"], "order_year")
+    fresh = newer_rows(second_delivery(t), state, "updated_on").join(year, "order_id")
+    return merge_partitions(path, fresh, ["order_id"], ["-updated_on"], "order_year")
+
+
 @model("inc_04_merge_composite", f"""
 WITH l AS (SELECT l_partkey AS product_id, l_suppkey AS warehouse_id, CAST(l_shipdate AS DATE) AS d,
                   CAST(l_quantity AS BIGINT) AS q FROM lineitem),

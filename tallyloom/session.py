@@ -34,18 +34,23 @@ def max_group_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(GROUP_ROWS_KEY, str(DEFAULT_GROUP_ROWS)))
 
 
+_local_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder named by ``spark.checkpoint.dir``.
+    """A fresh path in the shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local master without that setting gets a folder of its own; on a
+    Only a local master without a checkpoint folder gets one of its own; on a
     cluster every executor must reach the path, so the setting is required.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    base = base or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="tallyloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _local_scratch:
+            _local_scratch.append(tempfile.mkdtemp(prefix="tallyloom-"))
+        base = _local_scratch[0]
     return f"{base.rstrip('/')}/tallyloom/{label}-{uuid.uuid4().hex}"
 
 
