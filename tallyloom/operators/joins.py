@@ -64,24 +64,25 @@ def without_match(left: DataFrame, right: DataFrame, on: dict[str, str]) -> Data
     return left.join(_keys_of(right, on), list(on), "left_anti")
 
 
-def outer_by_key(key: str, metrics: dict[str, tuple[DataFrame, Column, Column]]) -> DataFrame:
-    """Several summed metrics side by side on one key, missing ones as 0.
+def outer_by_key(
+    key: str, sources: list[tuple[DataFrame, Column, dict[str, Column]]]
+) -> DataFrame:
+    """Summed metrics of several sources side by side on one key, 0 where a
+    source has nothing.
 
-    ``metrics`` maps a name to ``(frame, key column, summed column)``. A long
-    union and one aggregate replace a chain of full outer joins.
+    ``sources`` lists ``(frame, key column, {metric: summed column})``. A
+    padded union and one aggregate replace a chain of full outer joins: every
+    source is scanned once and one small row per key and task is exchanged.
     """
-    long = reduce(
-        DataFrame.unionByName,
+    names = [name for _, _, metrics in sources for name in metrics]
+    rows = reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True),
         [
-            df.select(k.alias(key), F.lit(name).alias("metric"), v.alias("value"))
-            for name, (df, k, v) in metrics.items()
+            df.select(k.alias(key), *[v.alias(name) for name, v in metrics.items()])
+            for df, k, metrics in sources
         ],
     )
-    columns = [
-        F.coalesce(F.sum(F.when(F.col("metric") == name, F.col("value"))), F.lit(0)).alias(name)
-        for name in metrics
-    ]
-    return long.groupBy(key).agg(*columns)
+    return rows.groupBy(key).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
 
 
 def pairs_within_days(df: DataFrame, key: str, row_id: str, day: str, days: int) -> DataFrame:

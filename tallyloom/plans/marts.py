@@ -648,17 +648,18 @@ def mrr_trend(t):
 
 
 def period_kpis(t, unit: str):
-    start = dates.period_start
+    def start(moment):
+        return dates.as_date(moment) if unit == "day" else dates.period_start(moment, unit)
+
     one = F.lit(1).cast("bigint")
     first = staged_orders(t).groupBy("customer_id").agg(F.min("order_date").alias("d"))
     kpis = outer_by_key(
         "period_start",
-        {
-            "orders": (t.orders, start(day(), unit), one),
-            "revenue_cents": (t.orders, start(day(), unit), amount_cents()),
-            "lines_shipped": (t.lineitem, start(F.col("l_shipdate"), unit), one),
-            "new_customers": (first, start(F.col("d"), unit), one),
-        },
+        [
+            (t.orders, start(day()), {"orders": one, "revenue_cents": amount_cents()}),
+            (t.lineitem, start(F.col("l_shipdate")), {"lines_shipped": one}),
+            (first, start(F.col("d")), {"new_customers": one}),
+        ],
     )
     mean = ratio(F.col("revenue_cents"), F.col("orders")) / 100.0
     return kpis.withColumn("avg_order_value", mean)
@@ -676,16 +677,31 @@ FROM a FULL JOIN b ON a.k = b.k FULL JOIN c ON COALESCE(a.k, b.k) = c.k
 """
 
 
+@model("cmp_24_daily_kpis", period_kpis_sql("day"), tags=("marts",))
+def daily_kpis(t):
+    return period_kpis(t, "day")
+
+
 @model("cmp_24_weekly_kpis", period_kpis_sql("week"), tags=("marts",))
 def weekly_kpis(t):
     return period_kpis(t, "week")
 
 
+@model("cmp_24_monthly_kpis", period_kpis_sql("month"), tags=("marts",))
+def monthly_kpis(t):
+    return period_kpis(t, "month")
+
+
 @model("cmp_24_quarterly_kpis", period_kpis_sql("quarter"), tags=("marts",))
 def quarterly_kpis(t):
     return period_kpis(t, "quarter")
 
 
+@model("cmp_24_annual_kpis", period_kpis_sql("year"), tags=("marts",))
+def annual_kpis(t):
+    return period_kpis(t, "year")
+
+
 @model("cmp_25_geographic_revenue", f"""
 WITH {ORDERS}, p AS (SELECT customer_id, COUNT(*) AS n, CAST(SUM(amount) AS BIGINT) AS v FROM o GROUP BY 1),
  g AS (SELECT n_name, r_name, c_mktsegment, COUNT(*) AS c, CAST(COALESCE(SUM(n), 0) AS BIGINT) AS n, CAST(COALESCE(SUM(v), 0) AS BIGINT) AS v

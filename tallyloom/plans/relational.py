@@ -170,17 +170,14 @@ SELECT COALESCE(o.d, s.d, r.d) AS metric_date, COALESCE(o.n, 0) AS orders_count,
 FROM o FULL JOIN s ON o.d = s.d FULL JOIN r ON COALESCE(o.d, s.d) = r.d
 """)
 def full_outer_dates(t):
-    ship = as_date(F.col("l_shipdate"))
-    returned = t.lineitem.filter(F.col("l_returnflag") == "R")
     one = F.lit(1).cast("bigint")
+    back = (F.col("l_returnflag") == "R").cast("bigint")
     return outer_by_key(
         "metric_date",
-        {
-            "orders_count": (t.orders, day(), one),
-            "revenue_cents": (t.orders, day(), amount_cents()),
-            "lines_shipped": (t.lineitem, ship, one),
-            "lines_returned": (returned, ship, one),
-        },
+        [
+            (t.orders, day(), {"orders_count": one, "revenue_cents": amount_cents()}),
+            (t.lineitem, as_date(F.col("l_shipdate")), {"lines_shipped": one, "lines_returned": back}),
+        ],
     )
 
 

@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.functions.conditions import text_or
-from tallyloom.functions.dates import as_date, days_between
 from tallyloom.functions.money import margin_percent, to_major, to_major_if, to_minor
-from tallyloom.operators.params import between_dates
+from tallyloom.operators.params import between_dates, most_recent
 from tallyloom.operators.projections import (
     cast_columns,
     stage,
     surrogate_key,
     with_load_stamp,
 )
-from tallyloom.operators.windows import first_rows, top_ranked
+from tallyloom.operators.windows import first_rows
 from tallyloom.plans.registry import AS_OF, LINE_UNITS, MODELS, ORDER_DAY, cents, dollars, model
 from tallyloom.plans.shop import amount_cents, day, line_units, staged_orders
 from tallyloom.session import scratch_path
@@ -391,7 +389,5 @@ def top_k(t):
 SELECT order_id, order_date, amount FROM ({ORDERS_SQL}) ORDER BY order_date DESC, order_id LIMIT 50
 """)
 def limit_parameter(t, limit_rows: int = 50):
-    from tallyloom.operators.params import most_recent
-
     rows = staged_orders(t).select("order_id", "order_date", "amount")
     return most_recent(rows, [F.col("order_date").desc(), F.col("order_id")], limit_rows)

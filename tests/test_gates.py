@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyloom.operators import evals
 from tallyloom.operators import quality as q
 from tallyloom.operators import records as rec
+from tallyloom.session import scratch_path
 from tests.conftest import rows
 
 ITEM = """item string, sql_text string, compile_ok boolean, run_ok boolean, actual_columns array<string>,
@@ -89,6 +90,24 @@ def test_volume_gate_stops(spark):
         q.require_volume(df, {"rows": (F.count("*"), 6)})
 
 
+def test_prepared_splits_check_before_they_write(spark):
+    schema = """prompt string, model_name string, expected_columns array<string>,
+     expected_row_count long, unique_key string"""
+    data = [(f"do {i}", f"m{i}", ["a"], None, None) for i in range(20)]
+    specs = spark.createDataFrame(data, schema)
+    path = scratch_path(spark, "records")
+    got = rec.prepare_splits(specs, path, "sys", "src", "sql", {"specs": (F.count("*"), 20)})
+    assert rows(got.groupBy("split").count()) == [("test", 3), ("train", 17)]
+    one = got.filter("extra_info.model_name = 'm3'").first()
+    assert [m["content"] for m in one["prompt"]] == ["sys", "do 3"]
+    assert one["reward_model"]["ground_truth"] == 0.0 and one["extra_info"]["schema_yml"] == ""
+    missing = scratch_path(spark, "records")
+    with pytest.raises(q.DuplicateNameError, match="m1"):
+        rec.prepare_splits(specs.unionByName(specs.limit(2)), missing, "s", "d", "a")
+    with pytest.raises(q.VolumeError):
+        rec.prepare_splits(specs, missing, "s", "d", "a", {"specs": (F.count("*"), 21)})
+
+
 def test_first_spec_wins(spark):
     old = spark.createDataFrame([("a", 1)], "name string, id int")
     new = spark.createDataFrame([("a", 2), ("b", 4), ("b", 3)], "name string, id int")

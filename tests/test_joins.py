@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyloom.operators.joins import (
     agg_then_join,
     basket_pairs,
+    having_match,
     join_first,
     join_on_name,
     last_before,
@@ -21,6 +22,7 @@ from tallyloom.operators.joins import (
     parent_levels,
     same_day,
     sum_in_intervals,
+    without_match,
 )
 from tallyloom.session import GROUP_ROWS_KEY
 from tests.conftest import rows
@@ -45,7 +47,8 @@ def test_aggregate_then_join_does_not_multiply(spark):
 def test_outer_by_key_keeps_every_date(spark):
     a = spark.createDataFrame([(date(2024, 1, 1), 2)], "d date, v int")
     b = spark.createDataFrame([(date(2024, 1, 2), 3)], "d date, v int")
-    got = outer_by_key("d", {"x": (a, F.col("d"), F.col("v")), "y": (b, F.col("d"), F.col("v"))})
+    v = F.col("v")
+    got = outer_by_key("d", [(a, F.col("d"), {"x": v}), (b, F.col("d"), {"y": v})])
     assert rows(got) == [(date(2024, 1, 1), 2, 0), (date(2024, 1, 2), 0, 3)]
 
 
@@ -126,6 +129,13 @@ def test_merge_intervals_touching_ends_join(spark):
     assert got == sorted([("u", at(0), at(6)), ("u", at(9), at(11)), ("u", at(30), at(32))], key=repr)
 
 
+def test_matches_and_null_keys(spark):
+    left = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+    right = spark.createDataFrame([(1,), (1,), (None,)], "r int")
+    assert rows(having_match(left, right, {"k": "r"})) == [(1,)]
+    assert rows(without_match(left, right, {"k": "r"})) == [(2,), (None,)]
+
+
 def test_same_day_ignores_null_keys(spark):
     a = spark.createDataFrame([("u", at(1)), ("u", at(30)), (None, at(1))], "u string, ts timestamp_ntz")
     b = spark.createDataFrame([("u", at(20)), ("u", at(21)), (None, at(1))], "u string, o timestamp_ntz")

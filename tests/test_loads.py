@@ -9,6 +9,7 @@ from tallyloom.operators.incremental import (
     append_rows,
     append_to,
     delete_insert,
+    merge_partitions,
     merge_rows,
     newer_rows,
     refresh_partitions,
@@ -104,6 +105,22 @@ def test_append_and_partition_refresh(spark):
     assert rows(got.select("d", "n")) == [(day(1), 1), (day(2), 2), (day(3), 1)]
 
 
+def test_partition_merge_touches_only_its_partitions(spark):
+    path = scratch_path(spark, "m")
+
+    def parts(*data):
+        return frame(spark, *data).withColumn("p", F.col("id") % 3)
+
+    first = parts((1, "a", day(1)), (2, "b", day(1)), (3, "c", day(1)))
+    merge_partitions(path, first, ["id"], ["-d"], "p")
+    files = {f for f in spark.read.parquet(path).inputFiles() if "p=2" in f or "p=0" in f}
+    second = parts((1, "a2", day(2)), (1, "a3", day(3)), (4, "n", day(2)))
+    for _ in range(2):
+        got = merge_partitions(path, second, ["id"], ["-d"], "p")
+    assert rows(got.select("id", "v")) == [(1, "a3"), (2, "b"), (3, "c"), (4, "n")]
+    assert files <= set(got.inputFiles())
+
+
 @pytest.mark.parametrize("per_trigger", [None, 1])
 def test_stream_equals_batch(spark, per_trigger):
     folder, progress = scratch_path(spark, "in"), scratch_path(spark, "cp")
