@@ -128,7 +128,7 @@ def lifetime_value(t):
     )
     span = dates.days_between(F.col("first_order_date"), F.col("last_order_date"))
     value = value.withColumn("days_as_customer", span)
-    return rank_columns(value, [], ["-spend_cents"], rank="value_rank", rows_at_most=t.customer)
+    return rank_columns(value, [], ["-spend_cents"], rank="value_rank", rows_at_most=t.row_count("customer"))
 
 
 @model("cmp_03_rfm", f"""
@@ -146,7 +146,7 @@ def rfm(t, as_of: str = AS_OF):
     )
     orders = {"r_score": "-recency_days", "f_score": "frequency", "m_score": "monetary"}
     for name, by in orders.items():
-        value = ntile_column(value, [], [by, "customer_id"], 4, name, rows_at_most=t.customer)
+        value = ntile_column(value, [], [by, "customer_id"], 4, name, rows_at_most=t.row_count("customer"))
     total = F.col("r_score") + F.col("f_score") + F.col("m_score")
     segment = cond.first_match(
         [(total >= 10, "champion"), (total >= 7, "loyal"), (F.col("r_score") >= 3, "recent")],
@@ -221,12 +221,12 @@ def attributed(t, interval: str):
     """Purchases of users in the given time after a click, per campaign."""
     spans = merge_intervals(
         staged_events(t, "click"), ["campaign_id", "user_id"], "ts",
-        F.expr(f"INTERVAL {interval}"), rows_at_most=t.events,
+        F.expr(f"INTERVAL {interval}"), rows_at_most=t.row_count("events"),
     )
     bought = staged_events(t, "purchase").withColumn("one", F.lit(1))
     hits = sum_in_intervals(
         spans, bought, "user_id", "ts", {"orders": "one", "revenue": "value_cents"},
-        rows_at_most=2 * t.events.count(),
+        rows_at_most=2 * t.row_count("events"),
     )
     return hits.groupBy("campaign_id").agg(
         F.sum("orders").alias("orders"), F.sum("revenue").alias("revenue")
@@ -327,7 +327,7 @@ def session_engagement(t):
         minutes.alias("duration_minutes"),
         cond.tiers(minutes, bands, "deep").alias("engagement"),
     )
-    return ordered_columns(rows, ["user_id"], ["day"], [RowNumber("session_rank")], t.events)
+    return ordered_columns(rows, ["user_id"], ["day"], [RowNumber("session_rank")], t.row_count("events"))
 
 
 @model("cmp_11_journey", """
@@ -404,7 +404,7 @@ def pareto(t):
     )
     run = ordered_columns(
         sales, [], ["-units", "product_id"], [Running("upto", "units"), RowNumber("place")],
-        rows_at_most=t.part,
+        rows_at_most=t.row_count("part"),
     )
     run = group_values(run, [], {"whole": F.sum("units"), "n": n_rows()})
     return run.select(
@@ -621,7 +621,7 @@ def mrr_trend(t):
     """Active subscriptions per day from their starts and ends: a running
     total over the calendar instead of a join of days and periods."""
     signups = staged_events(t, "signup").select("user_id", "event_id", "ts", "value_cents")
-    periods = ordered_columns(signups, ["user_id"], ["ts", "event_id"], [Lead("next", "ts")], t.events)
+    periods = ordered_columns(signups, ["user_id"], ["ts", "event_id"], [Lead("next", "ts")], t.row_count("events"))
     start, end = dates.as_date(F.col("ts")), dates.as_date(F.col("next"))
     periods = periods.select(start.alias("a"), end.alias("b"), "value_cents").filter(
         F.col("b").isNull() | (F.col("b") > F.col("a"))

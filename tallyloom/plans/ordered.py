@@ -78,7 +78,7 @@ FROM {ORDERS}
 """)
 def row_number(t):
     rows = staged_orders(t).select("order_id", "customer_id", "order_date")
-    return ordered_columns(rows, ["customer_id"], BY_DATE, [RowNumber("order_rank")], t.orders)
+    return ordered_columns(rows, ["customer_id"], BY_DATE, [RowNumber("order_rank")], t.row_count("orders"))
 
 
 @model("win_02_rank", f"""
@@ -92,7 +92,7 @@ def rank(t):
         F.col("p_partkey").alias("product_id"), F.col("p_type").alias("category"), "units"
     )
     return rank_columns(
-        rows, ["category"], ["-units"], rank="category_rank", rows_at_most=t.part
+        rows, ["category"], ["-units"], rank="category_rank", rows_at_most=t.row_count("part")
     )
 
 
@@ -106,7 +106,7 @@ def dense_rank(t):
         F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_no"),
         F.col("l_quantity").cast("bigint").alias("quantity"),
     )
-    return rank_columns(rows, [], ["-quantity"], dense="quantity_rank", rows_at_most=t.lineitem)
+    return rank_columns(rows, [], ["-quantity"], dense="quantity_rank", rows_at_most=t.row_count("lineitem"))
 
 
 @model("win_04_ntile", f"""
@@ -115,14 +115,14 @@ SELECT order_id, customer_id, amount,
 """)
 def ntile(t):
     rows = staged_orders(t).select("order_id", "customer_id", "amount")
-    return ntile_column(rows, ["customer_id"], ["amount", "order_id"], 4, "spend_quartile", t.orders)
+    return ntile_column(rows, ["customer_id"], ["amount", "order_id"], 4, "spend_quartile", t.row_count("orders"))
 
 
 @model("win_05_percent_rank", f"""
 SELECT customer_id, spend, PERCENT_RANK() OVER (ORDER BY spend) AS spend_percentile FROM {SPEND}
 """)
 def percent_rank(t):
-    ranked = rank_columns(spend(t), [], ["spend"], percent="p", rows_at_most=t.customer)
+    ranked = rank_columns(spend(t), [], ["spend"], percent="p", rows_at_most=t.row_count("customer"))
     return ranked.select("customer_id", "spend", F.col("p").alias("spend_percentile"))
 
 
@@ -135,7 +135,7 @@ FROM {ORDERS} WINDOW w AS (PARTITION BY customer_id ORDER BY order_date, order_i
 def lag(t):
     rows = staged_orders(t).select("order_id", "customer_id", "order_date")
     steps = ordered_columns(
-        rows, ["customer_id"], BY_DATE, [Lag("prev_order_date", "order_date")], t.orders
+        rows, ["customer_id"], BY_DATE, [Lag("prev_order_date", "order_date")], t.row_count("orders")
     )
     gap = days_between(F.col("prev_order_date"), F.col("order_date"))
     return steps.withColumn("gap_days", gap)
@@ -149,7 +149,7 @@ FROM {ORDERS} WINDOW w AS (PARTITION BY customer_id ORDER BY order_date, order_i
 def lead(t):
     rows = staged_orders(t).select("order_id", "customer_id", "order_date", "amount")
     ahead = [Lead("next_order_date", "order_date"), Lead("next_amount", "amount")]
-    return ordered_columns(rows, ["customer_id"], BY_DATE, ahead, t.orders)
+    return ordered_columns(rows, ["customer_id"], BY_DATE, ahead, t.row_count("orders"))
 
 
 @model("win_08_first_last_value", f"""
@@ -171,7 +171,7 @@ FROM {ORDERS} WINDOW w AS (PARTITION BY customer_id ORDER BY order_date, order_i
 """.replace("SUM(amount) OVER w::BIGINT", "CAST(SUM(amount) OVER w AS BIGINT)"))
 def running_group(t):
     measures = [Running("running_total", "amount"), RowNumber("running_count")]
-    run = ordered_columns(staged_orders(t), ["customer_id"], BY_DATE, measures, t.orders)
+    run = ordered_columns(staged_orders(t), ["customer_id"], BY_DATE, measures, t.row_count("orders"))
     mean = ratio(F.col("running_total"), F.col("running_count"))
     return run.select(
         "order_id", "customer_id", "running_total", "running_count",
@@ -186,7 +186,7 @@ FROM {ORDERS}
 """)
 def running_global(t):
     rows = staged_orders(t).select("order_id", "order_date", "amount")
-    return ordered_columns(rows, [], BY_DATE, [Running("running_total", "amount")], t.orders)
+    return ordered_columns(rows, [], BY_DATE, [Running("running_total", "amount")], t.row_count("orders"))
 
 
 @model("win_11_moving_average", f"""
@@ -258,7 +258,7 @@ def rank_in_subset(t):
         days_between(F.col("o_orderdate"), F.col("l_shipdate")).alias("ship_days"),
     )
     return rank_columns(
-        rows, ["carrier"], ["ship_days"], rank="speed_rank", rows_at_most=t.lineitem
+        rows, ["carrier"], ["ship_days"], rank="speed_rank", rows_at_most=t.row_count("lineitem")
     )
 
 
@@ -288,7 +288,7 @@ FROM {SPEND}
 def cumulative_share(t):
     run = ordered_columns(
         spend(t), [], ["-spend", "customer_id"],
-        [Running("upto", "spend"), RowNumber("place")], rows_at_most=t.customer,
+        [Running("upto", "spend"), RowNumber("place")], rows_at_most=t.row_count("customer"),
     )
     run = group_values(run, [], {"whole": F.sum("spend"), "n": n_rows()})
     return run.select(
@@ -302,7 +302,7 @@ def cumulative_share(t):
 SELECT customer_id, spend FROM {SPEND} QUALIFY PERCENT_RANK() OVER (ORDER BY spend DESC) <= 0.1
 """)
 def top_percent(t):
-    ranked = rank_columns(spend(t), [], ["-spend"], percent="p", rows_at_most=t.customer)
+    ranked = rank_columns(spend(t), [], ["-spend"], percent="p", rows_at_most=t.row_count("customer"))
     return ranked.filter(F.col("p") <= 0.1).select("customer_id", "spend")
 
 

@@ -216,11 +216,11 @@ def event_window(t):
     clicks = staged_events(t, "click")
     bought = staged_events(t, "purchase").withColumn("one", F.lit(1))
     spans = merge_intervals(
-        clicks, ["campaign_id", "user_id"], "ts", F.expr("INTERVAL 1 DAY"), rows_at_most=t.events
+        clicks, ["campaign_id", "user_id"], "ts", F.expr("INTERVAL 1 DAY"), rows_at_most=t.row_count("events")
     )
     sums = {"attributed_orders": "one", "revenue_cents": "value_cents"}
     # Two ends per interval and one row per purchase.
-    bound = 2 * t.events.count()
+    bound = 2 * t.row_count("events")
     hits = sum_in_intervals(spans, bought, "user_id", "ts", sums, bound)
     return hits.groupBy("campaign_id").agg(*[F.sum(c).alias(c) for c in sums])
 
@@ -237,7 +237,7 @@ def next_event(t):
     """Clicks followed by a purchase of the user within three days."""
     clicks = staged_events(t, "click").select("campaign_id", "user_id", "ts")
     bought = staged_events(t, "purchase")
-    seen = next_after(clicks, bought, "user_id", "ts", "bought_at", rows_at_most=t.events)
+    seen = next_after(clicks, bought, "user_id", "ts", "bought_at", rows_at_most=t.row_count("events"))
     hit = count_where(F.col("bought_at") <= F.col("ts") + F.expr("INTERVAL 3 DAYS"))
     return seen.groupBy("campaign_id").agg(
         n_rows().alias("total_clicks"), hit.alias("purchases_within_3d"),
@@ -254,7 +254,7 @@ def last_touch(t):
     """Each purchase with the user's latest click before it."""
     bought = staged_events(t, "purchase").select("event_id", "user_id", "ts")
     clicks = staged_events(t, "click")
-    seen = last_before(bought, clicks, "user_id", "ts", "last_click", rows_at_most=t.events)
+    seen = last_before(bought, clicks, "user_id", "ts", "last_click", rows_at_most=t.row_count("events"))
     return seen.drop("ts")
 
 
@@ -276,7 +276,7 @@ def validity_period(t):
         F.col("event_id").alias("period_id"), "user_id", F.col("ts").alias("start")
     )
     periods = ordered_columns(
-        signups, ["user_id"], ["start", "period_id"], [Lead("next", "start")], t.events
+        signups, ["user_id"], ["start", "period_id"], [Lead("next", "start")], t.row_count("events")
     )
     open_end = F.lit(f"{EVENTS_AS_OF} 00:00:00").cast("timestamp_ntz")
     periods = periods.select(
@@ -284,7 +284,7 @@ def validity_period(t):
     )
     bought = staged_events(t, "purchase").withColumn("one", F.lit(1))
     sums = {"orders_in_period": "one", "value_cents": "value_cents"}
-    inside = sum_in_intervals(periods, bought, "user_id", "ts", sums, 2 * t.events.count())
+    inside = sum_in_intervals(periods, bought, "user_id", "ts", sums, 2 * t.row_count("events"))
     return inside.select("period_id", "user_id", *sums)
 
 
@@ -582,7 +582,7 @@ def median(t):
     rates = events.groupBy("campaign_id").agg(
         (clicked.cast("double") / n_rows()).alias("click_rate")
     )
-    middle = exact_median(rates, [], "click_rate", "m", rows_at_most=t.events).scalar()
+    middle = exact_median(rates, [], "click_rate", "m", rows_at_most=t.row_count("events")).scalar()
     return (
         rates.withColumn("m", middle)
         .filter(F.col("click_rate") > F.col("m"))

@@ -154,6 +154,13 @@ class Tables:
         self.spark = spark
         self.folder = folder
         self.names = list(names or TABLES)
+        self._rows: dict[str, int] = {}
+
+    def row_count(self, name: str) -> int:
+        """Rows of a table, counted from the file footers once per query."""
+        if name not in self._rows:
+            self._rows[name] = self.source(name).count()
+        return self._rows[name]
 
     def source(self, name: str) -> DataFrame:
         if name not in self.names:
