@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.operators.joins import without_match
@@ -12,6 +12,9 @@ from tallyloom.operators.windows import first_rows
 from tallyloom.session import frozen
 from tallyloom.sources.sinks import VersionedTable
 
+#: ``(target or None, batch) -> new target``
+Combine = Callable[[DataFrame | None, DataFrame], DataFrame]
+
 
 def newer_rows(
     source: DataFrame, target: DataFrame | None, mark: str, look_back: str | None = None
@@ -55,25 +58,29 @@ def delete_insert(target: DataFrame | None, batch: DataFrame, keys: list[str]) -
     return without_match(target, batch, {k: k for k in keys}).unionByName(batch)
 
 
-def merge_partitions(
-    path: str, batch: DataFrame, keys: list[str], newest: list[str], partition: str
-) -> DataFrame:
-    """Upsert into a partitioned Parquet folder.
+def key_bucket(keys: list[str], buckets: int) -> Column:
+    """A partition number that is fixed for a key."""
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def combine_partitions(path: str, batch: DataFrame, combine: Combine, partition: str) -> DataFrame:
+    """Merge a batch into a partitioned Parquet folder.
 
     The partition column must be fixed for a key. Only partitions that occur
-    in the batch are read, merged and replaced; a rerun of the same batch
-    gives the same state.
+    in the batch are read, combined and replaced, so the cost follows the
+    batch and not the table; a rerun of the same batch gives the same state.
     """
     spark = batch.sparkSession
-    merged = merge_rows(None, batch, keys, newest)
     if _exists(spark, path):
         # One value per partition folder, not per row.
         touched = [r[0] for r in batch.select(partition).distinct().collect()]
         old = spark.read.parquet(path).filter(F.col(partition).isin(touched))
         # Written first: a folder cannot be replaced while it is being read.
-        merged = frozen(merge_rows(old, batch, keys, newest), "merge")
+        combined = frozen(combine(old, batch), "combined")
+    else:
+        combined = combine(None, batch)
     (
-        merged.write.mode("overwrite")
+        combined.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition)
         .parquet(path)
@@ -89,7 +96,7 @@ def run_increment(
     table: VersionedTable,
     source: DataFrame,
     mark: str,
-    combine: Callable[[DataFrame | None, DataFrame], DataFrame],
+    combine: Combine,
     transform: Callable[[DataFrame], DataFrame] | None = None,
     target_mark: str | None = None,
 ) -> DataFrame:

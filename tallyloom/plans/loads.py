@@ -8,8 +8,9 @@ from tallyloom.functions.dates import period_start
 from tallyloom.functions.money import to_major, to_minor
 from tallyloom.operators.incremental import (
     append_to,
+    combine_partitions,
     delete_insert,
-    merge_partitions,
+    key_bucket,
     merge_rows,
     newer_rows,
     refresh_partitions,
@@ -20,7 +21,7 @@ from tallyloom.plans.registry import ORDER_DAY, cents, dollars, model
 from tallyloom.plans.shop import n_rows, staged_orders
 from tallyloom.session import scratch_path
 from tallyloom.sources.sinks import VersionedTable
-from tallyloom.streaming.upsert import upsert_stream
+from tallyloom.streaming.upsert import into_partitions, into_versions, load_arrived
 
 CUT, LATER = "1998-01-01", "2000-01-01"
 AMOUNT = cents("o_totalprice")
@@ -108,9 +109,9 @@ def merge_by_partition(t):
     path = scratch_path(t.spark, "yearly")
     year = orders(t).select("order_id", F.year("order_date").alias("order_year"))
     first = first_delivery(t).withColumn("order_year", F.year("updated_on"))
-    state = merge_partitions(path, first, ["order_id"], ["-updated_on"], "order_year")
+    state = combine_partitions(path, first, merge_on("order_id"), "order_year")
     fresh = newer_rows(second_delivery(t), state, "updated_on").join(year, "order_id")
-    return merge_partitions(path, fresh, ["order_id"], ["-updated_on"], "order_year")
+    return combine_partitions(path, fresh, merge_on("order_id"), "order_year")
 
 
 @model("inc_04_merge_composite", f"""
@@ -137,6 +138,13 @@ def merge_composite(t):
     return run_increment(table, snapshot(F.col("d") >= date(LATER)), "updated_on", combine)
 
 
+def order_lines(t):
+    return t.lineitem.select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_no"),
+        F.col("l_shipdate").cast("date").alias("shipped"), to_minor("l_extendedprice").alias("price"),
+    )
+
+
 @model("inc_05_delete_insert", f"""
 WITH l AS (SELECT l_orderkey AS order_id, l_linenumber AS line_no, CAST(l_shipdate AS DATE) AS shipped,
                   {cents('l_extendedprice')} AS price FROM lineitem),
@@ -146,10 +154,7 @@ SELECT * FROM seen WHERE order_id NOT IN (SELECT order_id FROM batch) UNION ALL
 """)
 def replace_orders(t):
     """The key repeats inside the batch: every batch row is inserted."""
-    lines = t.lineitem.select(
-        F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_no"),
-        F.col("l_shipdate").cast("date").alias("shipped"), to_minor("l_extendedprice").alias("price"),
-    )
+    lines = order_lines(t)
     table = VersionedTable(t.spark, scratch_path(t.spark, "replaced"))
 
     def combine(target, batch):
@@ -159,6 +164,27 @@ def replace_orders(t):
     return run_increment(table, lines, "shipped", combine)
 
 
+@model("inc_05_delete_insert_partitions", f"""
+WITH l AS (SELECT l_orderkey AS order_id, l_linenumber AS line_no, CAST(l_shipdate AS DATE) AS shipped,
+                  {cents('l_extendedprice')} AS price FROM lineitem),
+ seen AS (SELECT * FROM l WHERE shipped < DATE '{LATER}'),
+ batch AS (SELECT * FROM l WHERE shipped > (SELECT MAX(shipped) FROM seen))
+SELECT * FROM seen WHERE order_id NOT IN (SELECT order_id FROM batch) UNION ALL SELECT * FROM batch
+""")
+def replace_orders_by_bucket(t):
+    """The same replacement in key buckets; untouched buckets stay as they are."""
+    path = scratch_path(t.spark, "buckets")
+    lines = order_lines(t).withColumn("bucket", key_bucket(["order_id"], 8))
+
+    def combine(target, batch):
+        return delete_insert(target, batch, ["order_id"])
+
+    early = lines.filter(F.col("shipped") < date(LATER))
+    state = combine_partitions(path, early, combine, "bucket")
+    fresh = newer_rows(lines, state, "shipped")
+    return combine_partitions(path, fresh, combine, "bucket").drop("bucket")
+
+
 @model("inc_06_incremental_aggregate", f"""
 WITH {ORDERS}
 SELECT order_date, CAST(SUM(amount) AS BIGINT) AS daily_revenue, COUNT(*) AS order_count,
@@ -202,21 +228,20 @@ def transform_and_stamp(t):
     return run_increment(table, second_delivery(t), "updated_on", combine, transform("2001-01-02"))
 
 
-@model("inc_08_stream_upsert", f"""
+STREAMED = f"""
 WITH {ORDERS}
 SELECT order_id, CASE WHEN status = 'P' AND order_date < DATE '{LATER}' THEN 'F' ELSE status END AS status,
        amount, CASE WHEN status = 'P' AND order_date < DATE '{LATER}' THEN order_date + 900 ELSE order_date END AS updated_on
 FROM o
-""")
-def stream_upsert(t):
+"""
+
+
+def deliver(t, folder, apply):
     """Three deliveries of files; each brings new orders and, as fulfilled,
-    the pending ones of the delivery before."""
-    folder, target = scratch_path(t.spark, "inbox"), scratch_path(t.spark, "kept")
+    the pending ones of the delivery before. The stream runs after each."""
     checkpoint = scratch_path(t.spark, "progress")
-    table = VersionedTable(t.spark, target)
     rows = orders(t)
     limits = ["0001-01-01", CUT, LATER, "9999-12-31"]
-    state = None
     previous = None
     for low, high in zip(limits, limits[1:], strict=False):
         inside = (F.col("order_date") >= date(low)) & (F.col("order_date") < date(high))
@@ -230,9 +255,22 @@ def stream_upsert(t):
                 F.date_add("order_date", 900).alias("updated_on"),
             )
             delivery = delivery.unionByName(done)
+        delivery = delivery.withColumn("bucket", key_bucket(["order_id"], 4))
         delivery.write.mode("append").parquet(folder)
-        state = upsert_stream(
-            t.spark, folder, delivery.schema, table, checkpoint, merge_on("order_id")
-        )
+        load_arrived(t.spark, folder, delivery.schema, checkpoint, apply)
         previous = fresh
-    return state
+
+
+@model("inc_08_stream_upsert", STREAMED)
+def stream_upsert(t):
+    table = VersionedTable(t.spark, scratch_path(t.spark, "kept"))
+    deliver(t, scratch_path(t.spark, "inbox"), into_versions(table, merge_on("order_id")))
+    return table.current().drop("bucket")
+
+
+@model("inc_08_stream_partitions", STREAMED)
+def stream_partitions(t):
+    path = scratch_path(t.spark, "kept")
+    apply = into_partitions(path, merge_on("order_id"), "bucket")
+    deliver(t, scratch_path(t.spark, "inbox"), apply)
+    return t.spark.read.parquet(path).drop("bucket")

@@ -198,6 +198,14 @@ def moving(t):
     return series.select("order_date", "revenue", F.col("m").alias("moving_avg_7d"))
 
 
+@model("win_11_moving_average_months", f"""
+SELECT order_month, revenue, AVG(revenue) OVER (ORDER BY order_month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS moving_avg_3m
+FROM {MONTHLY}
+""")
+def moving_months(t):
+    return moving_average(monthly(t), "order_month", "revenue", "moving_avg_3m", rows=3)
+
+
 @model("win_12_group_total_beside", f"""
 SELECT order_id, customer_id, amount, CAST(SUM(amount) OVER w AS BIGINT) AS customer_total,
        (CAST(amount AS DOUBLE) / CAST(SUM(amount) OVER w AS DOUBLE) * 100.0) AS pct_of_total

@@ -34,17 +34,20 @@ FROM orders
 # --- sources ----------------------------------------------------------------
 
 
-@model("src_01_csv_load", f"""
-SELECT order_id, order_date, amount, CASE WHEN status <> 'P' THEN priority END AS notes
-FROM ({ORDERS_SQL})
+@model("src_01_csv_load", """
+SELECT event_id, CAST(user_id AS INTEGER) AS user_id, ts, CAST(ts AS DATE) AS day, value, event_type = 'error' AS is_error,
+       CASE WHEN event_type <> 'view' THEN props END AS notes FROM events
 """)
 def csv_load(t):
-    rows = staged_orders(t).select(
-        "order_id", "order_date", "amount",
-        F.when(F.col("status") != "P", F.col("priority")).alias("notes"),
+    """Every column type of the data model, with empty fields and quotes."""
+    rows = t.events.select(
+        "event_id", F.col("user_id").cast("int"), "ts", F.col("ts").cast("date").alias("day"),
+        "value", (F.col("event_type") == "error").alias("is_error"),
+        F.when(F.col("event_type") != "view", F.col("props")).alias("notes"),
     )
     path = scratch_path(t.spark, "csv")
-    rows.write.csv(path, header=True)
+    micros = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    rows.write.option("timestampNTZFormat", micros).csv(path, header=True, escape='"')
     return read_csv(t.spark, path, rows.schema)
 
 

@@ -119,8 +119,15 @@ TASK_SCHEMA = StructType([
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """CSV with a header row; an empty field is NULL."""
-    return spark.read.csv(path, schema=schema, header=True, nullValue="", emptyValue="")
+    """CSV with a header row and doubled quotes; an empty field is NULL."""
+    return spark.read.csv(
+        path, schema=schema, header=True, nullValue="", emptyValue="", escape='"'
+    )
+
+
+def read_shop_table(spark: SparkSession, folder: str, name: str, prefix: str = "raw_") -> DataFrame:
+    """One of the 22 shop tables from ``<folder>/<prefix><name>.csv``."""
+    return read_csv(spark, f"{folder}/{prefix}{name}.csv", SHOP_SCHEMAS[name])
 
 
 def read_parquet(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:

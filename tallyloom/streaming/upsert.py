@@ -7,29 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from tallyloom.operators.incremental import Combine, combine_partitions
 from tallyloom.sources.sinks import VersionedTable
 
-Combine = Callable[[DataFrame | None, DataFrame], DataFrame]
+#: What a micro-batch does: ``(rows, batch number)``.
+Apply = Callable[[DataFrame, int], None]
 
 
-def upsert_stream(
+def into_versions(target: VersionedTable, combine: Combine) -> Apply:
+    """Micro-batch ``n`` is stored as version ``n``, built from the newest
+    older version: a batch replayed after a failure writes the same state."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        target.commit(combine(target.before(number), batch), version=number)
+
+    return apply
+
+
+def into_partitions(path: str, combine: Combine, partition: str) -> Apply:
+    """A micro-batch replaces only the partitions it touches; for tables too
+    large to be rewritten per batch. ``combine`` must give the same state when
+    a batch comes twice, as an upsert does."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        combine_partitions(path, batch, combine, partition)
+
+    return apply
+
+
+def load_arrived(
     spark: SparkSession,
     source: str,
     schema: StructType,
-    target: VersionedTable,
     checkpoint: str,
-    combine: Combine,
+    apply: Apply,
     files_per_batch: int | None = None,
-) -> DataFrame:
-    """Bring ``target`` up to date with all files that have arrived.
-
-    Micro-batch ``n`` is stored as version ``n``, built from the newest older
-    version: a batch replayed after a failure writes the same state again.
-    """
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        target.commit(combine(target.before(batch_id), batch), version=batch_id)
-
+) -> None:
+    """Process all files that have arrived since the last call, then stop."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -41,4 +55,3 @@ def upsert_stream(
         .start()
     )
     query.awaitTermination()
-    return target.current()

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tallyloom.operators.incremental import (
     append_rows,
     append_to,
+    combine_partitions,
     delete_insert,
-    merge_partitions,
     merge_rows,
     newer_rows,
     refresh_partitions,
@@ -18,7 +18,7 @@ from tallyloom.operators.incremental import (
 from tallyloom.session import scratch_path
 from tallyloom.sources.readers import read_csv, read_tasks, SHOP_SCHEMAS
 from tallyloom.sources.sinks import VersionedTable, materialize
-from tallyloom.streaming.upsert import upsert_stream
+from tallyloom.streaming.upsert import into_partitions, into_versions, load_arrived
 from tests.conftest import rows
 
 SCHEMA = "id int, v string, d date"
@@ -112,19 +112,29 @@ def test_partition_merge_touches_only_its_partitions(spark):
         return frame(spark, *data).withColumn("p", F.col("id") % 3)
 
     first = parts((1, "a", day(1)), (2, "b", day(1)), (3, "c", day(1)))
-    merge_partitions(path, first, ["id"], ["-d"], "p")
+    combine_partitions(path, first, upsert, "p")
     files = {f for f in spark.read.parquet(path).inputFiles() if "p=2" in f or "p=0" in f}
     second = parts((1, "a2", day(2)), (1, "a3", day(3)), (4, "n", day(2)))
     for _ in range(2):
-        got = merge_partitions(path, second, ["id"], ["-d"], "p")
+        got = combine_partitions(path, second, upsert, "p")
     assert rows(got.select("id", "v")) == [(1, "a3"), (2, "b"), (3, "c"), (4, "n")]
     assert files <= set(got.inputFiles())
 
 
 @pytest.mark.parametrize("per_trigger", [None, 1])
-def test_stream_equals_batch(spark, per_trigger):
-    folder, progress = scratch_path(spark, "in"), scratch_path(spark, "cp")
-    table = VersionedTable(spark, scratch_path(spark, "out"))
+@pytest.mark.parametrize("kind", ["versions", "partitions"])
+def test_stream_equals_batch(spark, per_trigger, kind):
+    folder, progress, out = (scratch_path(spark, p) for p in ("in", "cp", "out"))
+    table = VersionedTable(spark, out)
+    if kind == "versions":
+        apply = into_versions(table, upsert)
+    else:
+        apply = into_partitions(out, upsert, "p")
+
+    def state():
+        df = table.current() if kind == "versions" else spark.read.parquet(out)
+        return rows(df.select("id", "v", "d"))
+
     drops = [
         frame(spark, (1, "a", day(1)), (2, "b", day(1))),
         frame(spark, (2, "b2", day(2)), (3, "c", day(2))),
@@ -132,15 +142,16 @@ def test_stream_equals_batch(spark, per_trigger):
     ]
     batch = None
     for drop in drops:
-        drop.coalesce(1).write.mode("append").parquet(folder)
-        state = upsert_stream(spark, folder, drop.schema, table, progress, upsert, per_trigger)
+        arrived = drop.withColumn("p", F.col("id") % 2)
+        arrived.coalesce(1).write.mode("append").parquet(folder)
+        load_arrived(spark, folder, arrived.schema, progress, apply, per_trigger)
         batch = upsert(batch, drop)
-        assert rows(state) == rows(batch)
+        assert state() == rows(batch)
     # Nothing new: the state stays. A replayed micro-batch writes the same state.
-    again = upsert_stream(spark, folder, drops[0].schema, table, progress, upsert)
-    assert rows(again) == rows(batch)
-    table.commit(upsert(table.before(2), drops[2]), version=2)
-    assert rows(table.current()) == rows(batch)
+    load_arrived(spark, folder, arrived.schema, progress, apply)
+    assert state() == rows(batch)
+    apply(arrived, 2)
+    assert state() == rows(batch)
 
 
 # --- sources and sinks ------------------------------------------------------
