@@ -18,6 +18,7 @@ from tallyloom.plans.shop import amount_cents, day, line_units, staged_orders
 from tallyloom.session import scratch_path
 from tallyloom.sources.readers import read_csv, read_parquet, read_tasks
 from tallyloom.sources.sinks import (
+    bucketed_table,
     materialize,
     with_summary,
     write_json,
@@ -134,6 +135,26 @@ def as_table(t):
     return materialize(rows, "table", "products", scratch_path(t.spark, "products"))
 
 
+@model("snk_04_bucketed_tables", """
+SELECT o_orderkey AS order_id, o_orderstatus AS status, COUNT(l_linenumber) AS lines
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2
+""")
+def bucketed_tables(t, buckets: int = 8):
+    """Orders and lines stored in buckets of the order key: the join and the
+    aggregate on that key need no exchange."""
+    def stored(df, label):
+        path = scratch_path(t.spark, label)
+        name = "tallyloom_" + path.rsplit("/", 1)[1].replace("-", "_")
+        return bucketed_table(df, name, path, ["order_id"], buckets)
+
+    orders = stored(
+        stage(t.orders, {"o_orderkey": "order_id", "o_orderstatus": "status"}), "orders"
+    )
+    lines = stored(stage(t.lineitem, {"l_orderkey": "order_id"}, ["l_linenumber"]), "lines")
+    joined = orders.join(lines.hint("merge"), "order_id")
+    return joined.groupBy("order_id", "status").agg(F.count("l_linenumber").alias("lines"))
+
+
 @model("snk_05_view", "SELECT n_name, COUNT(*) AS suppliers FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name")
 def as_view(t):
     joined = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))

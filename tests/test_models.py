@@ -75,6 +75,16 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "EqualTo(o_orderstatus,F)" in plan
 
 
+def test_bucketed_tables_join_without_an_exchange(spark):
+    plan = plan_of(MODELS["snk_04_bucketed_tables"](spark, SMALL))
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_exists_keys_are_distinct_before_the_exchange(spark):
+    plan = plan_of(MODELS["jon_13_anti"](spark, SMALL))
+    assert "LeftAnti" in plan and plan.count("HashAggregate(keys=[o_orderkey") == 2
+
+
 def test_top_n_is_cut_before_the_exchange(spark):
     for name in ("win_15_latest_row", "flt_09_qualify", "win_14_top_n"):
         plan = plan_of(MODELS[name](spark, SMALL))
