@@ -117,49 +117,63 @@ def score_items(items: DataFrame, tolerance: float = 0.2) -> DataFrame:
         if name not in items.columns:
             items = items.withColumn(name, F.lit(None).cast(kind))
     c = F.col
-    has_text = F.coalesce(F.length(F.trim(c("sql_text"))) > 0, F.lit(False))
-    compiled = has_text & F.coalesce(c("compile_ok"), F.lit(False))
-    ran = compiled & F.coalesce(c("run_ok"), F.lit(False))
-    cols = ran & columns_ok(c("expected_columns"), c("actual_columns"))
-    rows = cols & row_count_ok(c("total_rows"), c("expected_row_count"), tolerance)
-    unique = cols & (
-        c("unique_key").isNull()
-        | (c("unique_key") == "")
-        | no_duplicates(c("total_rows"), c("distinct_keys"))
-    )
+
+    def true(name: str) -> Column:
+        return F.coalesce(c(name), F.lit(False))
+
+    # One gate per step: each builds on the ones before it.
+    no_key = c("unique_key").isNull() | (c("unique_key") == "")
+    steps = {
+        "__text": F.coalesce(F.length(F.trim(c("sql_text"))) > 0, F.lit(False)),
+        "__compiled": c("__text") & true("compile_ok"),
+        "__ran": c("__compiled") & true("run_ok"),
+        "__columns": c("__ran") & columns_ok(c("expected_columns"), c("actual_columns")),
+        "__rows": c("__columns")
+        & row_count_ok(c("total_rows"), c("expected_row_count"), tolerance),
+        "__unique": c("__columns")
+        & (no_key | no_duplicates(c("total_rows"), c("distinct_keys"))),
+        "__tests": c("__rows") & c("__unique") & true("tests_ok"),
+    }
     low, high = row_bounds(c("expected_row_count"), tolerance)
     has_tests = c("tests_ok").isNotNull()
-    tests = rows & unique & F.coalesce(c("tests_ok"), F.lit(False))
-    gates = {
-        "compile_ok": compiled,
-        "run_ok": ran,
-        "columns_ok": cols,
-        "row_count_ok": rows,
-        "no_duplicates": unique,
-        "test_ok": tests,
-    }
+
+    def failed(lead: str, message: str) -> Column:
+        return F.concat(F.lit(lead), cut(F.coalesce(c(message), F.lit(""))))
+
+    def text(*parts) -> Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
     errors = F.array_compact(F.array(
-        F.when(~has_text, F.lit("no text found")),
-        F.when(has_text & ~compiled, F.concat(
-            F.lit("compile failed: "), cut(F.coalesce(c("compile_message"), F.lit(""))))),
-        F.when(compiled & ~ran, F.concat(
-            F.lit("run failed: "), cut(F.coalesce(c("run_message"), F.lit(""))))),
-        F.when(ran & ~cols, F.lit("missing expected columns")),
-        F.when(cols & ~rows, F.concat(
-            F.lit("row count "), c("total_rows").cast("string"), F.lit(" outside ["),
-            low.cast("string"), F.lit(", "), high.cast("string"), F.lit("]"))),
-        F.when(cols & ~unique, F.concat(
-            F.lit("duplicates on "), c("unique_key"), F.lit(": "),
-            c("total_rows").cast("string"), F.lit(" rows but "),
-            c("distinct_keys").cast("string"), F.lit(" distinct"))),
-        F.when(rows & unique & has_tests & ~tests, F.lit("declared tests failed")),
+        F.when(~c("__text"), F.lit("no text found")),
+        F.when(c("__text") & ~c("__compiled"), failed("compile failed: ", "compile_message")),
+        F.when(c("__compiled") & ~c("__ran"), failed("run failed: ", "run_message")),
+        F.when(c("__ran") & ~c("__columns"), F.lit("missing expected columns")),
+        F.when(c("__columns") & ~c("__rows"), text(
+            "row count ", c("total_rows"), " outside [", low, ", ", high, "]")),
+        F.when(c("__columns") & ~c("__unique"), text(
+            "duplicates on ", c("unique_key"), ": ", c("total_rows"), " rows but ",
+            c("distinct_keys"), " distinct")),
+        F.when(c("__rows") & c("__unique") & has_tests & ~c("__tests"), F.lit("declared tests failed")),
     ))
-    score = tiered_score(has_text, compiled, ran, cols, rows, unique, has_tests, tests)
+    score = tiered_score(
+        c("__text"), c("__compiled"), c("__ran"), c("__columns"), c("__rows"), c("__unique"),
+        has_tests, c("__tests"),
+    )
+    gates = {
+        "compile_ok": "__compiled",
+        "run_ok": "__ran",
+        "columns_ok": "__columns",
+        "row_count_ok": "__rows",
+        "no_duplicates": "__unique",
+        "test_ok": "__tests",
+    }
     kept = [n for n in items.columns if n not in gates]
+    for name, gate in steps.items():
+        items = items.withColumn(name, gate)
     return items.select(
         *kept,
         score.alias("score"),
-        *[g.alias(n) for n, g in gates.items()],
+        *[c(step).alias(name) for name, step in gates.items()],
         errors.alias("errors"),
     )
 

@@ -128,7 +128,7 @@ def lifetime_value(t):
     )
     span = dates.days_between(F.col("first_order_date"), F.col("last_order_date"))
     value = value.withColumn("days_as_customer", span)
-    return rank_columns(value, [], ["-spend_cents"], rank="value_rank", rows_at_most=t.row_count("customer"))
+    return rank_columns(value, [], ["-spend_cents"], rank="value_rank", rows_at_most=t.row_count("orders"))
 
 
 @model("cmp_03_rfm", f"""
@@ -146,7 +146,7 @@ def rfm(t, as_of: str = AS_OF):
     )
     orders = {"r_score": "-recency_days", "f_score": "frequency", "m_score": "monetary"}
     for name, by in orders.items():
-        value = ntile_column(value, [], [by, "customer_id"], 4, name, rows_at_most=t.row_count("customer"))
+        value = ntile_column(value, [], [by, "customer_id"], 4, name, rows_at_most=t.row_count("orders"))
     total = F.col("r_score") + F.col("f_score") + F.col("m_score")
     segment = cond.first_match(
         [(total >= 10, "champion"), (total >= 7, "loyal"), (F.col("r_score") >= 3, "recent")],
@@ -404,7 +404,7 @@ def pareto(t):
     )
     run = ordered_columns(
         sales, [], ["-units", "product_id"], [Running("upto", "units"), RowNumber("place")],
-        rows_at_most=t.row_count("part"),
+        rows_at_most=t.row_count("lineitem"),
     )
     run = group_values(run, [], {"whole": F.sum("units"), "n": n_rows()})
     return run.select(

@@ -122,7 +122,7 @@ def ntile(t):
 SELECT customer_id, spend, PERCENT_RANK() OVER (ORDER BY spend) AS spend_percentile FROM {SPEND}
 """)
 def percent_rank(t):
-    ranked = rank_columns(spend(t), [], ["spend"], percent="p", rows_at_most=t.row_count("customer"))
+    ranked = rank_columns(spend(t), [], ["spend"], percent="p", rows_at_most=t.row_count("orders"))
     return ranked.select("customer_id", "spend", F.col("p").alias("spend_percentile"))
 
 
@@ -296,7 +296,7 @@ FROM {SPEND}
 def cumulative_share(t):
     run = ordered_columns(
         spend(t), [], ["-spend", "customer_id"],
-        [Running("upto", "spend"), RowNumber("place")], rows_at_most=t.row_count("customer"),
+        [Running("upto", "spend"), RowNumber("place")], rows_at_most=t.row_count("orders"),
     )
     run = group_values(run, [], {"whole": F.sum("spend"), "n": n_rows()})
     return run.select(
@@ -310,7 +310,7 @@ def cumulative_share(t):
 SELECT customer_id, spend FROM {SPEND} QUALIFY PERCENT_RANK() OVER (ORDER BY spend DESC) <= 0.1
 """)
 def top_percent(t):
-    ranked = rank_columns(spend(t), [], ["-spend"], percent="p", rows_at_most=t.row_count("customer"))
+    ranked = rank_columns(spend(t), [], ["-spend"], percent="p", rows_at_most=t.row_count("orders"))
     return ranked.filter(F.col("p") <= 0.1).select("customer_id", "spend")
 
 
