@@ -12,11 +12,18 @@ from tallyloom.operators.windows import first_rows, running_total
 from tallyloom.session import max_group_rows
 from tallyloom.sources.sinks import write_splits
 
+# The marks of answers and fenced blocks.
 SQL_FENCE = rf"(?s)```sql{WHITESPACE}*\n(.*?)```"
 PLAIN_FENCE = rf"(?s)```{WHITESPACE}*\n(.*?)```"
 ANY_FENCE = rf"(?s)```(?:sql)?{WHITESPACE}*\n(.*?)```"
 ANSWER = r"(?s)<answer>(.*?)</answer>"
 
+# The headings of task prompts.
+SCHEMA_HEADING = "## REQUIRED OUTPUT SCHEMA"
+COLUMN_HEADER = "| Column | Type |\n|--------|------|\n"
+EXPECTED_HEADING = "Expected output schema:"
+TABLES_HEADING = "Available tables:"
+
 # The keyword lists that decide the class of a task, first list
 # that hits wins.
 DEBUG_WORDS = ["fix", "debug", "error", "broken", "failing", "incorrect"]
@@ -112,7 +119,7 @@ def schema_prompt(
     instruction: Column,
     schema: Column,
     closing: str,
-    heading: str = "## REQUIRED OUTPUT SCHEMA",
+    heading: str = SCHEMA_HEADING,
     lead: str = "The result must match this exact schema:",
 ) -> Column:
     """Task text with one markdown table per table of the schema map.
@@ -127,7 +134,7 @@ def schema_prompt(
             lambda c: F.concat(F.lit("| "), c["key"], F.lit(" | "), c["value"], F.lit(" |\n")),
         )
         return F.concat(
-            F.lit("### "), entry["key"], F.lit("\n| Column | Type |\n|--------|------|\n"),
+            F.lit("### "), entry["key"], F.lit(f"\n{COLUMN_HEADER}"),
             F.array_join(lines, ""), F.lit("\n"),
         )
 
@@ -150,11 +157,11 @@ def metadata_prompt(instruction: Column, output_schema: Column, tables: Column)
     """
     shown = F.when(
         F.length(output_schema) > 0,
-        F.concat(F.lit("\n\nExpected output schema:\n"), output_schema),
+        F.concat(F.lit(f"\n\n{EXPECTED_HEADING}\n"), output_schema),
     )
     listed = F.when(
         F.size(tables) > 0,
-        F.concat(F.lit("\n\nAvailable tables:\n"), F.array_join(tables, "\n")),
+        F.concat(F.lit(f"\n\n{TABLES_HEADING}\n"), F.array_join(tables, "\n")),
     )
     return F.concat(instruction, F.coalesce(shown, F.lit("")), F.coalesce(listed, F.lit("")))
 
