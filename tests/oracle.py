@@ -59,7 +59,7 @@ def check(spark, con, folder: str, model) -> str | None:
     got = model(spark, folder).toArrow()
     if model.sql is None:
         return None if got.num_rows else "no rows"
-    return compare(got, con.execute(model.sql).to_arrow_table())
+    return compare(got, con.sql(model.sql).to_arrow_table())
 
 
 def main() -> None:
