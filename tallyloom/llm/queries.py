@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyloom.llm.exact_dedup import exact_groups
 from tallyloom.llm.mixing import mix
 from tallyloom.llm.sharding import shard_documents
+from tallyloom.llm.shipping import ship
+from tallyloom.llm.substrings import remove_repeats
 from tallyloom.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,7 +23,8 @@ def query(name: str, sql: str | None = None):
 
     def register(build: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return build(configure(spark), folder)
+            ship(configure(spark))
+            return build(spark, folder)
 
         QUERIES[name] = run
         if sql is not None:
@@ -48,6 +52,33 @@ def op1(spark, folder):
     return exact_groups(table(spark, folder, "documents")).drop("row")
 
 
+@query(
+    "op8_substring_dedup",
+    r"""
+    WITH w AS (
+        SELECT doc_id, UNNEST(ws) AS word, UNNEST(range(len(ws))) AS i, len(ws) AS n
+        FROM (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)),
+    win AS (
+        SELECT *, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS seq
+        FROM w),
+    hit AS (
+        SELECT doc_id, i, word, n, i + 12 < n AND doc_id > MIN(doc_id) OVER (PARTITION BY seq, i + 12 < n) AS bad FROM win),
+    cov AS (
+        SELECT *, BOOL_OR(bad) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone
+        FROM hit),
+    res AS (
+        SELECT doc_id, COUNT(*) AS n_words, COUNT(*) FILTER (WHERE gone) AS n_removed,
+               COALESCE(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept
+        FROM cov GROUP BY doc_id)
+    SELECT doc_id, COALESCE(n_words, 0) AS n_words, COALESCE(n_removed, 0) AS n_removed,
+           sha256(COALESCE(kept, '')) AS kept_sha256
+    FROM documents LEFT JOIN res USING (doc_id)""",
+)
+def op8(spark, folder):
+    left = remove_repeats(table(spark, folder, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query(
     "op9_mix_sources",
     r"""
