@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.exact_dedup import exact_groups
 from tallyloom.llm.mixing import mix
+from tallyloom.llm.near_dedup import near_groups
 from tallyloom.llm.sharding import shard_documents
 from tallyloom.llm.shipping import ship
 from tallyloom.llm.substrings import remove_repeats
@@ -52,6 +53,33 @@ def op1(spark, folder):
     return exact_groups(table(spark, folder, "documents")).drop("row")
 
 
+@query(
+    "op3_near_dedup",
+    r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    s AS (
+        SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 3), ' ') AS sh
+        FROM (SELECT doc_id, ws, UNNEST(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)),
+    n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id),
+    common AS (
+        SELECT a.doc_id AS x, b.doc_id AS y, COUNT(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id
+        GROUP BY ALL),
+    link AS (
+        SELECT x, y FROM common JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+        WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+    reach AS (
+        SELECT doc_id, doc_id AS other FROM documents
+        UNION SELECT reach.doc_id, link.y FROM reach JOIN link ON link.x = reach.other),
+    comp AS (SELECT doc_id, MIN(other) AS component_id FROM reach GROUP BY doc_id)
+    SELECT doc_id, COALESCE(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+    FROM comp LEFT JOIN n USING (doc_id)""",
+)
+def op3(spark, folder):
+    return near_groups(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query(
     "op8_substring_dedup",
     r"""
