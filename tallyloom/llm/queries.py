@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from tallyloom.llm.near_dedup import near_groups
 from tallyloom.llm.sharding import shard_documents
 from tallyloom.llm.shipping import ship
 from tallyloom.llm.substrings import remove_repeats
+from tallyloom.llm.token_counts import token_counts
 from tallyloom.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +82,12 @@ def op3(spark, folder):
     return near_groups(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+@query("op4_token_counts")
+def op4(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query(
     "op8_substring_dedup",
     r"""
