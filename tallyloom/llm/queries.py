@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.llm.bpe import encode_texts
 from tallyloom.llm.exact_dedup import exact_groups
 from tallyloom.llm.mixing import mix
 from tallyloom.llm.near_dedup import near_groups
@@ -88,6 +89,13 @@ def op4(spark, folder):
     return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query("op7_bpe_encode")
+def op7(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    coded = encode_texts(docs, public_tokenizers.path("byte_bpe_50k.json"), digests=True)
+    return coded.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
+
+
 @query(
     "op8_substring_dedup",
     r"""
