@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.bpe import encode_texts
 from tallyloom.llm.exact_dedup import exact_groups
+from tallyloom.llm.html import extract_pages
 from tallyloom.llm.mixing import mix
 from tallyloom.llm.near_dedup import near_groups
 from tallyloom.llm.sharding import shard_documents
@@ -89,6 +90,11 @@ def op4(spark, folder):
     return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query("op6_extract_html")
+def op6(spark, folder):
+    return extract_pages(table(spark, folder, "pages"))
+
+
 @query("op7_bpe_encode")
 def op7(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
