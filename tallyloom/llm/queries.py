@@ -8,11 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from tallyloom.llm.bpe import encode_texts
 from tallyloom.llm.exact_dedup import exact_groups
 from tallyloom.llm.html import extract_pages
 from tallyloom.llm.mixing import mix
 from tallyloom.llm.near_dedup import near_groups
+from tallyloom.llm.quality import fit, quality_scores
 from tallyloom.llm.sharding import shard_documents
 from tallyloom.llm.shipping import ship
 from tallyloom.llm.substrings import remove_repeats
@@ -57,6 +60,12 @@ def op1(spark, folder):
     return exact_groups(table(spark, folder, "documents")).drop("row")
 
 
+@query("op2_quality")
+def op2(spark, folder):
+    docs = table(spark, folder, "documents")
+    return quality_scores(docs, fit(docs, table(spark, folder, "labels")))
+
+
 @query(
     "op3_near_dedup",
     r"""
@@ -219,3 +228,8 @@ _SHARD_OF = """(
 )
 def op10(spark, folder):
     return shard_documents(table(spark, folder, "documents"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, folder):
+    return corpus_pipeline.run(spark, folder)
