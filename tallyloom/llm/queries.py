@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from tallyloom.llm.bpe import encode_texts
+from tallyloom.llm.embedding_dedup import embedding_groups
 from tallyloom.llm.exact_dedup import exact_groups
 from tallyloom.llm.html import extract_pages
 from tallyloom.llm.mixing import mix
@@ -99,6 +100,25 @@ def op4(spark, folder):
     return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query(
+    "op5_embedding_dedup",
+    """
+    WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    link AS (
+        SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b
+        ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+    reach AS (
+        SELECT vec_id, vec_id AS other FROM embeddings
+        UNION SELECT reach.vec_id, link.y FROM reach JOIN link ON link.x = reach.other),
+    comp AS (SELECT vec_id, MIN(other) AS component_id FROM reach GROUP BY vec_id),
+    n AS (SELECT x AS vec_id, COUNT(*) AS n FROM link GROUP BY x)
+    SELECT vec_id, COALESCE(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+    FROM comp LEFT JOIN n USING (vec_id)""",
+)
+def op5(spark, folder):
+    return embedding_groups(table(spark, folder, "embeddings"))
+
+
 @query("op6_extract_html")
 def op6(spark, folder):
     return extract_pages(table(spark, folder, "pages"))
