@@ -44,7 +44,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
     taken = mix(docs).filter("copies > 0")
     again = taken.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return again.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return again.select("doc.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,13 +75,15 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    keep: list[str] | None = None,
     limit: int = 3,
     cycle: int = 3,
     seed: str = "mix",
     shard_words: int = 1 << 20,
     block_words: int = 4096,
 ) -> DataFrame:
-    """``df`` with ``size``, ``source_size``, ``target``, ``taken``, ``copies``.
+    """Per row: ``doc`` (a struct of the columns ``keep``, default all) with
+    ``size``, ``source_size``, ``target``, ``taken``, ``copies``.
 
     Sizes are words; NULL text has none; a NULL source is a source. The words
     of a source are dealt by a seeded hash into shards of about
@@ -99,11 +101,12 @@ def mix(
     the same result. Rows that repeat an id count one by one; an empty table
     gives no rows; a document without words takes 0 and has 0 copies.
     """
-    clash = {"size", "source_size", "target", "taken", "copies"} & set(df.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are written here; rename them first")
-    sized = df.withColumn("size", words_in(text_col))
-    sizes = sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("size").alias("source_size"))
+    doc = F.struct(*[F.col(f"`{c}`") for c in (df.columns if keep is None else keep)])
+    sized = df.select(
+        doc.alias("doc"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").alias("_own"),
+        words_in(text_col).alias("size"),
+    )
+    sizes = sized.groupBy(F.col("_own").alias("source")).agg(F.sum("size").alias("source_size"))
     aims = targets(sizes, limit, cycle).selectExpr(
         "*", f"GREATEST(1, LEAST({block_words}, total DIV 65536)) AS _block",
         f"GREATEST(1, CAST(CEIL(source_size / {shard_words}) AS BIGINT)) AS _shards",
@@ -123,8 +126,8 @@ def mix(
 
     of_source = aims.select(F.col("source").alias("_source"), "_s", "_shards", "source_size", "target")
     rows = (
-        sized.withColumn("_key", key(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-        .join(of_source, F.col(source_col).eqNullSafe(F.col("_source")))
+        sized.withColumn("_key", key(F.coalesce(F.col("_id").cast("string"), F.lit("null"))))
+        .join(of_source, F.col("_own").eqNullSafe(F.col("_source")))
         .withColumn("_shard", F.pmod(number("_key"), F.col("_shards")))
     )
     rings = rows.groupBy("_s", "_shard").agg(F.sum("size").alias("_ring"))
@@ -143,7 +146,7 @@ def mix(
         )
     )
     placed = rows.selectExpr(
-        "*", f"SUM(size) OVER (PARTITION BY _s, _shard ORDER BY _key, {id_col}, size"
+        "*", "SUM(size) OVER (PARTITION BY _s, _shard ORDER BY _key, _id, size"
         " ROWS UNBOUNDED PRECEDING) - size AS _at",
     ).join(frozen(rings, "rings"), ["_s", "_shard"])
 
@@ -151,7 +154,7 @@ def mix(
         return f"GREATEST(0, LEAST(_at + size, _begin + _rest - {shift}) - GREATEST(_at, _begin - {shift}))"
 
     return placed.selectExpr(
-        *[f"`{c}`" for c in df.columns], "size", "source_size", "target",
+        "doc", "size", "source_size", "target",
         f"COALESCE(_rounds * size + {under('0')} + {under('_ring')}, 0) AS taken",
         "IF(size = 0, 0, _rounds + IF(PMOD(_at - _begin, _ring) < _rest, 1, 0)) AS copies",
     )

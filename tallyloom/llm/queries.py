@@ -216,8 +216,8 @@ def op8(spark, folder):
     FROM z""",
 )
 def op9(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
-    return mix(docs).drop("text", "source")
+    mixed = mix(table(spark, folder, "documents"), keep=["doc_id"])
+    return mixed.select("doc.doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 _SHARD_OF = """(

@@ -74,8 +74,8 @@ def _windows(batches: Iterator[pa.RecordBatch], size: int, bits: int) -> Iterato
     """Window hashes of whole texts, combined per slice: each distinct window
     goes on once, with its smallest id; larger ids are known to be repeats."""
     for batch in batches:
-        data, offsets = text_bytes(batch.column("text"))
-        ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+        data, offsets = text_bytes(batch.column("_text"))
+        ids = batch.column("_id").to_numpy(zero_copy_only=False).astype(np.int64)
         for a, b in slices(offsets):
             words = Words(data, offsets[a : b + 1])
             hashes, at = words.windows(size)
@@ -128,8 +128,8 @@ def _remove(batches: Iterator[pa.RecordBatch], size: int, names: list[str]) -> I
     """Removal intervals and what is left of each text."""
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
     for batch in batches:
-        data, offsets = text_bytes(batch.column("text"))
-        marks = batch.column("marks")
+        data, offsets = text_bytes(batch.column("_text"))
+        marks = batch.column("_marks")
         for a, b in slices(offsets):
             words = Words(data, offsets[a : b + 1])
             hashes, at = words.windows(size)
@@ -187,16 +187,16 @@ def remove_repeats(
     to a document are the hashes of its repeated windows.
     """
     rows = df.select(
-        F.col(id_col), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        F.col(id_col), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_id"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
     )
-    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    total = rows.agg(F.sum(F.octet_length("_text").cast("long"))).first()[0] or 0
     bits = max(6, (total // BUCKET_BYTES).bit_length())
-    sent = rows.select("id", "text").mapInArrow(partial(_windows, size=window, bits=bits), SENT)
+    sent = rows.select("_id", "_text").mapInArrow(partial(_windows, size=window, bits=bits), SENT)
     marks = sent.groupBy("bucket").applyInArrow(_judge, "id long, marks binary")
-    marks = marks.groupBy("id").agg(F.collect_list("marks").alias("marks"))
+    marks = marks.groupBy(F.col("id").alias("_id")).agg(F.collect_list("marks").alias("_marks"))
     kind = df.schema[id_col].dataType.simpleString()
-    joined = rows.join(marks, "id", "left").select(F.col(id_col), "text", "marks")
+    joined = rows.join(marks, "_id", "left").select(F.col(id_col), "_text", "_marks")
     return joined.mapInArrow(
         partial(_remove, size=window, names=[id_col]), f"`{id_col}` {kind}, {OUT}"
     )
