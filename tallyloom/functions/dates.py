@@ -122,7 +122,8 @@ def days_left(end: Column, as_of: str) -> Column:
 def time_band(moment: Column) -> Column:
     hour = F.hour(moment)
     return (
-        F.when(hour.between(6, 11), "morning")
+        F.when(hour.isNull(), None)
+        .when(hour.between(6, 11), "morning")
         .when(hour.between(12, 17), "afternoon")
         .when(hour.between(18, 22), "evening")
         .otherwise("night")

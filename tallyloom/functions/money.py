@@ -14,11 +14,13 @@ def to_minor(amount: Column | str, scale: int = 100) -> Column:
     """Major units (double) to an integer count of minor units.
 
     Rounds half away from zero. Written with floor and ceil: ``round`` on a
-    double goes through a decimal for every row.
+    double goes through a decimal for every row. NaN, infinities and what does
+    not fit a 64-bit integer become NULL.
     """
     col = F.col(amount) if isinstance(amount, str) else amount
     scaled = col * float(scale)
-    return F.when(scaled < 0, F.ceil(scaled - 0.5)).otherwise(F.floor(scaled + 0.5))
+    rounded = F.when(scaled < 0, F.ceil(scaled - 0.5)).otherwise(F.floor(scaled + 0.5))
+    return F.when(F.abs(scaled) < 9.2e18, rounded)  # NaN compares as larger
 
 
 def to_major(minor: Column | str, scale: int = 100) -> Column:

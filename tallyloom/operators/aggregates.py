@@ -58,11 +58,19 @@ def exact_median(
 def share_of_total(
     df: DataFrame, keys: list[str], measure: Column, total: str, share: str
 ) -> DataFrame:
-    """A group sum and its share of the overall sum, in percent."""
+    """A group sum and its share of the overall sum, in percent.
+
+    The overall sum is wider than a 64-bit integer; a group sum that does not
+    fit one stops the query."""
     groups = df.groupBy(*keys).agg(measure.alias(total))
-    whole = groups.agg(F.sum(total)).scalar().cast("double")
+    whole = groups.agg(wide_sum(total)).scalar().cast("double")
     pct = F.col(total).cast("double") / F.nullif(whole, F.lit(0.0)) * 100.0
-    return groups.withColumn(share, pct)
+    return groups.withColumn(share, pct).withColumn(total, F.col(total).cast("bigint"))
+
+
+def wide_sum(column: Column | str) -> Column:
+    """Sum of integers that may outgrow 64 bits."""
+    return F.sum((F.col(column) if isinstance(column, str) else column).cast("decimal(38,0)"))
 
 
 def guarded_avg(value: Column, at_least: int) -> Column:

@@ -74,13 +74,18 @@ def combine_partitions(path: str, batch: DataFrame, combine: Combine, partition:
     if _exists(spark, path):
         # One value per partition folder, not per row.
         touched = [r[0] for r in batch.select(partition).distinct().collect()]
-        old = spark.read.parquet(path).filter(F.col(partition).isin(touched))
+        is_touched = F.col(partition).isin([v for v in touched if v is not None])
+        if None in touched:
+            is_touched = F.coalesce(is_touched, F.lit(True))
+        old = spark.read.parquet(path).filter(is_touched)
         # Written first: a folder cannot be replaced while it is being read.
         combined = frozen(combine(old, batch), "combined")
     else:
         combined = combine(None, batch)
     (
-        combined.write.mode("overwrite")
+        # One partition's rows together, a large one over several tasks.
+        combined.hint("rebalance", partition)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition)
         .parquet(path)
@@ -99,23 +104,44 @@ def run_increment(
     combine: Combine,
     transform: Callable[[DataFrame], DataFrame] | None = None,
     target_mark: str | None = None,
+    look_back: str | None = None,
 ) -> DataFrame:
-    """One run of an incremental model: select, transform, combine, commit."""
+    """One run of an incremental model: select, transform, combine, commit.
+
+    With ``look_back`` rows that arrive late by less than that are loaded too;
+    ``combine`` must then give the same state when a row comes twice.
+    """
     target = table.current()
     seen = None
     if target is not None:
         seen = target.select(F.col(target_mark or mark).alias(mark))
-    batch = newer_rows(source, seen, mark)
+    batch = newer_rows(source, seen, mark, look_back)
     if transform is not None:
         batch = transform(batch)
     return table.commit(combine(target, batch))
 
 
-def append_to(path: str, source: DataFrame, mark: str, first_run: bool) -> DataFrame:
-    """Append newer rows to a Parquet folder; earlier files are not touched."""
+def append_to(
+    path: str,
+    source: DataFrame,
+    mark: str,
+    first_run: bool,
+    look_back: str | None = None,
+    keys: list[str] | None = None,
+) -> DataFrame:
+    """Append newer rows to a Parquet folder; earlier files are not touched.
+
+    With ``look_back`` late rows are appended too, those whose ``keys`` are
+    stored already left out.
+    """
+    if look_back and not keys:
+        raise ValueError("a look-back needs keys, or rows would be appended twice")
     spark = source.sparkSession
     target = None if first_run else spark.read.parquet(path)
-    newer_rows(source, target, mark).write.mode("append").parquet(path)
+    fresh = newer_rows(source, target, mark, look_back)
+    if look_back and target is not None:
+        fresh = without_match(fresh, newer_rows(target, target, mark, look_back), {k: k for k in keys})
+    fresh.write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -134,7 +160,8 @@ def refresh_partitions(
     if known is not None:
         high = known.agg(F.max(day).alias("high")).first()["high"]
         if high is not None:
-            rows = source.filter(F.col(day) >= F.lit(high))
+            # Rows without a date belong to a partition that is never final.
+            rows = source.filter((F.col(day) >= F.lit(high)) | F.col(day).isNull())
     (
         aggregate(rows)
         .repartition(day)

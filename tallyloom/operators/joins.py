@@ -15,7 +15,6 @@ from tallyloom.operators.windows import (
     first_rows,
     ordered_columns,
 )
-from tallyloom.session import frozen
 
 EPOCH = "1970-01-01"
 
@@ -65,10 +64,10 @@ def without_match(left: DataFrame, right: DataFrame, on: dict[str, str]) -> Data
 
 
 def outer_by_key(
-    key: str, sources: list[tuple[DataFrame, Column, dict[str, Column]]]
+    key: str, sources: list[tuple[DataFrame, Column, dict[str, Column]]], keep_null: bool = False
 ) -> DataFrame:
     """Summed metrics of several sources side by side on one key, 0 where a
-    source has nothing.
+    source has nothing (NULL with ``keep_null``).
 
     ``sources`` lists ``(frame, key column, {metric: summed column})``. A
     padded union and one aggregate replace a chain of full outer joins: every
@@ -82,7 +81,8 @@ def outer_by_key(
             for df, k, metrics in sources
         ],
     )
-    return rows.groupBy(key).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+    sums = rows.groupBy(key).agg(*[F.sum(n).alias(n) for n in names])
+    return sums if keep_null else sums.fillna(0, names)
 
 
 def pairs_within_days(df: DataFrame, key: str, row_id: str, day: str, days: int) -> DataFrame:
@@ -107,74 +107,27 @@ def pairs_within_days(df: DataFrame, key: str, row_id: str, day: str, days: int)
     return left.join(right, [key, "__band"]).filter(near & other).drop("__band")
 
 
-def _pairs_in(items: DataFrame, basket: str, item: str, width: int, largest: int) -> DataFrame:
-    """Count item pairs over all baskets.
-
-    Where a basket has more than ``width`` items, it is cut into slices of
-    about that many, and each slice meets the whole basket in a group of its
-    own.
-    """
-    on = [basket]
-    left = items.select(basket, F.col(item).alias("item_a"))
-    right = items.select(basket, F.col(item).alias("item_b"))
-    if largest > width:
-        slices = F.ceil(F.count(F.lit(1)) / width).cast("int")
-        sizes = items.groupBy(basket).agg(slices.alias("__slices"))
-        slot = F.pmod(F.xxhash64("item_a"), F.col("__slices")).cast("int")
-        every = F.explode(F.sequence(F.lit(0), F.col("__slices") - 1))
-        left = left.join(sizes, basket).withColumn("__slice", slot)
-        right = right.join(sizes, basket).withColumn("__slice", every)
-        on = [basket, "__slice"]
-    pairs = left.join(right, on).filter(F.col("item_a") < F.col("item_b"))
-    return pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("pair_count"))
-
-
 def basket_pairs(
-    lines: DataFrame,
-    basket: str,
-    item: str,
-    min_baskets: int = 2,
-    giant: int = 10_000,
-    width: int = 1_000,
+    lines: DataFrame, basket: str, item: str, min_baskets: int = 1, width: int = 1_000
 ) -> DataFrame:
-    """Pairs of items found together in at least ``min_baskets`` baskets.
+    """Pairs of items found together in at least ``min_baskets`` baskets
+    (default: every pair).
 
-    Exact. A pair inside a giant basket is not enumerated unless it can reach
-    the threshold: pairs seen in ordinary baskets look up which giants hold
-    both items, and among the giants alone only items in at least
-    ``min_baskets`` giants are paired.
+    Each basket is cut into slices of about ``width`` items, and each slice
+    meets the whole basket in a group of its own: one slice for an ordinary
+    basket, many small groups for a giant one. The plan is the same for both.
     """
     items = lines.select(basket, item).filter(F.col(item).isNotNull()).distinct()
-    # Read several times below: written once, as two narrow columns.
-    items = frozen(items, "baskets")
-    sizes = items.groupBy(basket).agg(F.count(F.lit(1)).alias("__size"))
-    largest = sizes.agg(F.max("__size")).first()[0] or 0
-    enough = F.col("pair_count") >= min_baskets
-    if largest <= giant:
-        return _pairs_in(items, basket, item, width, largest).filter(enough)
-
-    big = sizes.filter(F.col("__size") > giant).select(basket)
-    in_giants = items.join(big, basket)
-    seen = _pairs_in(items.join(big, basket, "left_anti"), basket, item, width, giant)
-    holds_a = in_giants.select(F.col(item).alias("item_a"), F.col(basket).alias("__giant"))
-    holds_b = in_giants.select(F.col(item).alias("item_b"), F.col(basket).alias("__giant"))
-    also = (
-        seen.join(holds_a, "item_a")
-        .join(holds_b, ["item_b", "__giant"])
-        .groupBy("item_a", "item_b")
-        .agg(F.count(F.lit(1)).alias("__more"))
-    )
-    both = seen.join(also, ["item_a", "item_b"], "left").select(
-        "item_a",
-        "item_b",
-        (F.col("pair_count") + F.coalesce(F.col("__more"), F.lit(0))).alias("pair_count"),
-    )
-    often = in_giants.groupBy(item).agg(F.count(F.lit(1)).alias("__n"))
-    often = often.filter(F.col("__n") >= min_baskets).select(item)
-    only = _pairs_in(in_giants.join(often, item), basket, item, width, largest).join(
-        seen.select("item_a", "item_b"), ["item_a", "item_b"], "left_anti"
-    )
-    return both.unionByName(only).filter(enough)
+    slices = F.ceil(F.count(F.lit(1)) / width).cast("int")
+    sizes = items.groupBy(basket).agg(slices.alias("__slices"))
+    sized = items.join(sizes, basket)
+    slot = F.pmod(F.xxhash64(item), F.col("__slices")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("__slices") - 1))
+    left = sized.select(basket, F.col(item).alias("item_a"), slot.alias("__slice"))
+    right = sized.select(basket, F.col(item).alias("item_b"), every.alias("__slice"))
+    pairs = left.join(right, [basket, "__slice"]).filter(F.col("item_a") < F.col("item_b"))
+    counts = pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("pair_count"))
+    return counts if min_baskets <= 1 else counts.filter(F.col("pair_count") >= min_baskets)
 
 
 def last_before(
@@ -204,6 +157,11 @@ def next_after(
 
 
 def _nearest(events, others, key, at, alias, rows_at_most, backwards):
+    # A NULL key equals no other key: such events find nothing and are not
+    # sorted, such marks are left out.
+    unknown = events.filter(F.col(key).isNull())
+    unknown = unknown.withColumn(alias, F.lit(None).cast(others.schema[at].dataType))
+    events, others = (df.filter(F.col(key).isNotNull()) for df in (events, others))
     # At equal times the other side sorts first: "not after" includes "same".
     marks = others.select(
         F.col(key), F.col(at).alias("__at"), F.lit(0).alias("__side"), F.col(at).alias("__mark")
@@ -213,7 +171,8 @@ def _nearest(events, others, key, at, alias, rows_at_most, backwards):
     order = ["__at" if backwards else "-__at", "__side"]
     how = "max" if backwards else "min"
     run = ordered_columns(both, [key], order, [Running(alias, "__mark", how)], rows_at_most)
-    return run.filter(F.col("__side") == 1).select(*events.columns, alias)
+    known = run.filter(F.col("__side") == 1).select(*events.columns, alias)
+    return known.unionByName(unknown)
 
 
 def merge_intervals(
@@ -249,8 +208,14 @@ def sum_in_intervals(
     ``intervals`` has ``key``, ``start``, ``end`` and any other columns;
     ``sums`` maps result names to columns of ``points``. Each interval reads
     the running totals at its two ends, so the cost does not grow with the
-    number of points per interval, and overlaps are allowed.
+    number of points per interval, and overlaps are allowed. An interval holds
+    nothing when its key or an end is NULL or its end lies before its start.
     """
+    holds = F.coalesce(F.col(key).isNotNull() & (F.col("start") <= F.col("end")), F.lit(False))
+    nothing = intervals.filter(~holds).select(
+        "*", *[F.lit(0).cast("bigint").alias(name) for name in sums]
+    )
+    intervals, points = intervals.filter(holds), points.filter(F.col(key).isNotNull())
     totals = {f"__t_{name}": column for name, column in sums.items()}
     boundary = F.struct(*[F.col(c) for c in intervals.columns])
     # Order at one moment: interval start, points, interval end.
@@ -276,7 +241,7 @@ def sum_in_intervals(
     )
     ends = run.filter(F.col("__side") != 1)
     sign = F.when(F.col("__side") == 2, 1).otherwise(-1)
-    return (
+    held = (
         ends.groupBy("__iv")
         .agg(
             *[
@@ -292,6 +257,7 @@ def sum_in_intervals(
             *[F.expr(f"`{name}` DIV __copies").alias(name) for name in sums],
         )
     )
+    return held.unionByName(nothing)
 
 
 def same_day(
@@ -313,10 +279,14 @@ def join_on_name(left: DataFrame, right: DataFrame, left_name: str, right_name:
 
 
 def parent_levels(nodes: DataFrame, node: str, parent: str, name: str, levels: int) -> DataFrame:
-    """Attach the names of up to ``levels`` ancestors, one left join each."""
+    """Attach the names of up to ``levels`` ancestors, one left join each.
+
+    Only nodes that are somebody's parent go into the joins as ancestors."""
+    parents = nodes.select(F.col(parent).alias(node)).filter(F.col(node).isNotNull()).distinct()
+    above = nodes.join(parents, node, "left_semi")
     out = nodes.select(node, name, F.col(parent).alias("__up"))
     for level in range(1, levels + 1):
-        ancestor = nodes.select(
+        ancestor = above.select(
             F.col(node).alias("__up"),
             F.col(name).alias(f"level_{level}_name"),
             F.col(parent).alias("__next"),

@@ -144,16 +144,15 @@ def score_items(items: DataFrame, tolerance: float = 0.2) -> DataFrame:
         return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
     errors = F.array_compact(F.array(
-        F.when(~c("__text"), F.lit("no text found")),
-        F.when(c("__text") & ~c("__compiled"), failed("compile failed: ", "compile_message")),
-        F.when(c("__compiled") & ~c("__ran"), failed("run failed: ", "run_message")),
-        F.when(c("__ran") & ~c("__columns"), F.lit("missing expected columns")),
+        F.when(~c("__text"), F.lit("no SQL in the answer")),
+        F.when(c("__text") & ~c("__compiled"), failed("not compiled: ", "compile_message")),
+        F.when(c("__compiled") & ~c("__ran"), failed("not run: ", "run_message")),
+        F.when(c("__ran") & ~c("__columns"), F.lit("columns are missing")),
         F.when(c("__columns") & ~c("__rows"), text(
-            "row count ", c("total_rows"), " outside [", low, ", ", high, "]")),
+            c("total_rows"), " rows, expected ", low, " to ", high)),
         F.when(c("__columns") & ~c("__unique"), text(
-            "duplicates on ", c("unique_key"), ": ", c("total_rows"), " rows but ",
-            c("distinct_keys"), " distinct")),
-        F.when(c("__rows") & c("__unique") & has_tests & ~c("__tests"), F.lit("declared tests failed")),
+            c("unique_key"), " repeats: ", c("distinct_keys"), " values in ", c("total_rows"), " rows")),
+        F.when(c("__rows") & c("__unique") & has_tests & ~c("__tests"), F.lit("own tests fail")),
     ))
     score = tiered_score(
         c("__text"), c("__compiled"), c("__ran"), c("__columns"), c("__rows"), c("__unique"),
@@ -248,10 +247,13 @@ class DuplicateNameError(ValueError):
 
 
 def require_unique(df: DataFrame, name: str, shown: int = 20) -> DataFrame:
-    """Stop when a name occurs more than once; ``df`` otherwise."""
-    found = [r[name] for r in duplicate_keys(df, [name]).orderBy(name).limit(shown).collect()]
+    """Stop when a name occurs more than once; ``df`` otherwise. The message
+    says how many such names there are and lists the first ``shown``."""
+    twice = duplicate_keys(df, [name])
+    found = [r[name] for r in twice.orderBy(name).limit(shown).collect()]
     if found:
-        raise DuplicateNameError(f"duplicate {name}: {', '.join(map(str, found))}")
+        listed = ", ".join(map(str, found))
+        raise DuplicateNameError(f"{twice.count()} duplicate values of {name}: {listed}")
     return df
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from tallyloom.functions.text import WHITESPACE, strip
 from tallyloom.operators.quality import require_unique, require_volume
 from tallyloom.operators.windows import first_rows, running_total
-from tallyloom.session import max_group_rows
 from tallyloom.sources.sinks import write_splits
 
 # The marks of answers and fenced blocks.
@@ -23,6 +22,7 @@ SCHEMA_HEADING = "## REQUIRED OUTPUT SCHEMA"
 COLUMN_HEADER = "| Column | Type |\n|--------|------|\n"
 EXPECTED_HEADING = "Expected output schema:"
 TABLES_HEADING = "Available tables:"
+NOT_KNOWN = "None"
 
 # The keyword lists that decide the class of a task, first list
 # that hits wins.
@@ -131,7 +131,9 @@ def schema_prompt(
     def table(entry: Column) -> Column:
         lines = F.transform(
             F.map_entries(entry["value"]["columns"]),
-            lambda c: F.concat(F.lit("| "), c["key"], F.lit(" | "), c["value"], F.lit(" |\n")),
+            lambda c: F.concat(
+                F.lit("| "), c["key"], F.lit(" | "), F.coalesce(c["value"], F.lit(NOT_KNOWN)), F.lit(" |\n")
+            ),
         )
         return F.concat(
             F.lit("### "), entry["key"], F.lit(f"\n{COLUMN_HEADER}"),
@@ -171,10 +173,17 @@ def metadata_lines(tables: Column, form: str = "map") -> Column:
     if form == "map":
         return F.transform(
             F.map_entries(tables),
-            lambda e: F.concat(F.lit("  - "), e["key"], F.lit(": "), F.array_join(e["value"], ", ")),
+            lambda e: F.concat(
+                F.lit("  - "), e["key"], F.lit(": "),
+                F.coalesce(F.array_join(e["value"], ", ", NOT_KNOWN), F.lit(NOT_KNOWN)),
+            ),
         )
     return F.transform(
-        tables, lambda t: F.concat(F.lit("  - "), t["name"], F.lit(": "), t["columns"])
+        tables,
+        lambda t: F.concat(
+            F.lit("  - "), F.coalesce(t["name"], F.lit(NOT_KNOWN)), F.lit(": "),
+            F.coalesce(t["columns"], F.lit(NOT_KNOWN)),
+        ),
     )
 
 
@@ -214,21 +223,19 @@ def chat_record(
 
 
 def exact_split(
-    df: DataFrame, key: str, test_ratio: float = 0.15, seed: int = 42
+    df: DataFrame, key: str, test_ratio: float = 0.15, seed: int = 42, digits: int = 4
 ) -> DataFrame:
     """Seeded shuffle and exact cut at ``int(rows * (1 - test_ratio))``.
 
     Rows are ordered by a seeded hash of their key, so the order is the same
-    on every run and layout. The first hash digits cut them into equal bands;
+    on every run and layout; a NULL key is a key like any other. The first
+    ``digits`` hash digits cut them into equal bands;
     band offsets come from a small count table, and each band is numbered on
     its own, so no task sorts the whole table. Adds ``split`` and ``index``
     (the position inside the split, from 0).
     """
-    # Enough bands that one holds a quarter of what a task may sort; never
-    # more than 16 ** 5 of them.
-    wanted = 4 * df.count() / max_group_rows(df.sparkSession)
-    digits = next((d for d in range(2, 5) if 16**d >= wanted), 5)
-    mixed = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    named = F.coalesce(F.col(key).cast("string"), F.lit("\x00"))
+    mixed = F.md5(F.concat(F.lit(f"{seed}:"), named))
     hashed = df.withColumn("__hash", mixed).withColumn("__band", F.substring("__hash", 1, digits))
     bands = hashed.groupBy("__band").agg(F.count(F.lit(1)).alias("__n"))
     offsets = running_total(bands, "__band", "__n", "__upto").select(

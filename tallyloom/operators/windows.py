@@ -61,13 +61,17 @@ class RowNumber:
 
 @dataclass(frozen=True)
 class Running:
-    """Running ``sum``, ``count``, ``max`` or ``min`` up to the current row."""
+    """Running ``sum``, ``count``, ``max`` or ``min`` up to the current row.
+
+    ``wide`` sums integers beyond 64 bits, as ``decimal(38,0)``."""
 
     alias: str
     column: str
     how: str = "sum"
+    wide: bool = False
 
     def _agg(self, col: Column) -> Column:
+        col = col.cast("decimal(38,0)") if self.wide else col
         return {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}[self.how](col)
 
     def over(self, w: WindowSpec) -> Column:
@@ -78,14 +82,16 @@ class Running:
 
     def carry(self, part: Column, prior: WindowSpec, step: WindowSpec) -> Column:
         combine = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}[self.how]
-        return combine(part).over(prior)
+        total = combine(part).over(prior)
+        return total.cast("decimal(38,0)") if self.wide else total
 
     def merge(self, local: Column, carry: Column) -> Column:
         if self.how == "max":
             return F.greatest(local, carry)
         if self.how == "min":
             return F.least(local, carry)
-        return F.coalesce(local + carry, local, carry)
+        total = F.coalesce(local + carry, local, carry)
+        return total.cast("decimal(38,0)") if self.wide else total
 
 
 @dataclass(frozen=True)
@@ -355,7 +361,7 @@ def first_last(
     df: DataFrame, keys: list[str], order: list[str], value: str, first: str, last: str
 ) -> DataFrame:
     """First and last value along an ascending order, one row per group."""
-    along = F.struct(*[F.col(o) for o in order])
+    along = F.struct(*[x for o in order for x in (F.isnull(o), F.col(o))])
     return df.groupBy(*keys).agg(
         F.min_by(value, along).alias(first), F.max_by(value, along).alias(last)
     )

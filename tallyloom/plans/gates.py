@@ -9,6 +9,7 @@ from tallyloom.functions.money import to_minor
 from tallyloom.operators import evals
 from tallyloom.operators import quality as q
 from tallyloom.operators import records as rec
+from tallyloom.operators.windows import join_beside
 from tallyloom.plans.registry import model
 from tallyloom.plans.shop import n_rows
 from tallyloom.session import scratch_path
@@ -33,7 +34,7 @@ def expected_columns(t):
     expected = tables.select("user_id", "day", F.explode(wanted).alias("column_name"))
     lost = q.missing_columns(present, expected, ["user_id", "day"])
     lost = lost.groupBy("user_id", "day").agg(n_rows().alias("missing"))
-    return tables.join(lost, ["user_id", "day"], "left").select(
+    return join_beside(tables, lost, ["user_id", "day"], "left").select(
         "user_id", "day", q.columns_ok(wanted, F.col("actual")).alias("columns_ok"),
         F.coalesce("missing", F.lit(0)).alias("missing"),
     )
@@ -59,11 +60,10 @@ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id AND d.lang <> 'de' GR
 def duplicates(t):
     """The label's document id is the key; unlabelled rows leave it NULL."""
     labels = t.labels.select("doc_id", F.col("doc_id").alias("label_key"))
-    other = t.documents.filter(F.col("lang") != "de").join(labels, "doc_id", "left")
-    german = t.documents.filter(F.col("lang") == "de").withColumn(
-        "label_key", F.lit(None).cast("bigint")
-    )
-    rows = other.select("source", "label_key").unionByName(german.select("source", "label_key"))
+    keyed = F.coalesce(F.col("lang") != "de", F.lit(False))
+    other = t.documents.filter(keyed).join(labels, "doc_id", "left")
+    rest = t.documents.filter(~keyed).withColumn("label_key", F.lit(None).cast("bigint"))
+    rows = other.select("source", "label_key").unionByName(rest.select("source", "label_key"))
     counts = q.key_counts(rows.withColumnRenamed("source", "item"), ["item"], "label_key")
     unique = q.no_duplicates(F.col("total_rows"), F.col("distinct_keys"))
     return counts.withColumn("no_duplicates", unique)
@@ -160,13 +160,13 @@ def declared(t):
 
 @model("qlt_07_error_list", GATED + """
 SELECT item_id, concat_ws('; ',
-  CASE WHEN NOT has_text THEN 'no text found' END,
-  CASE WHEN has_text AND NOT compile_ok THEN 'compile failed: ' || left(repeat('pending ', 40), 200) END,
-  CASE WHEN has_text AND compile_ok AND NOT run_ok THEN 'run failed: ' END,
-  CASE WHEN has_text AND compile_ok AND run_ok AND NOT columns_ok THEN 'missing expected columns' END,
-  CASE WHEN has_text AND compile_ok AND run_ok AND columns_ok AND NOT row_count_ok THEN 'row count ' || total_rows || ' outside [4, 6]' END,
-  CASE WHEN has_text AND compile_ok AND run_ok AND columns_ok AND NOT uniq THEN 'duplicates on l_partkey: ' || total_rows || ' rows but ' || distinct_keys || ' distinct' END,
-  CASE WHEN has_text AND compile_ok AND run_ok AND columns_ok AND row_count_ok AND uniq AND NOT tests_ok THEN 'declared tests failed' END) AS errors
+  CASE WHEN NOT has_text THEN 'no SQL in the answer' END,
+  CASE WHEN has_text AND NOT compile_ok THEN 'not compiled: ' || left(repeat('pending ', 40), 200) END,
+  CASE WHEN has_text AND compile_ok AND NOT run_ok THEN 'not run: ' END,
+  CASE WHEN has_text AND compile_ok AND run_ok AND NOT columns_ok THEN 'columns are missing' END,
+  CASE WHEN has_text AND compile_ok AND run_ok AND columns_ok AND NOT row_count_ok THEN total_rows || ' rows, expected 4 to 6' END,
+  CASE WHEN has_text AND compile_ok AND run_ok AND columns_ok AND NOT uniq THEN 'l_partkey repeats: ' || distinct_keys || ' values in ' || total_rows || ' rows' END,
+  CASE WHEN has_text AND compile_ok AND run_ok AND columns_ok AND row_count_ok AND uniq AND NOT tests_ok THEN 'own tests fail' END) AS errors
 FROM s
 """)
 def error_list(t):
@@ -357,7 +357,7 @@ def class_filter(t):
     return rec.tasks_of_class(tasks(t), "instruction").select("task_id")
 
 
-CLOSING = "Write the SQL for the primary output model."
+CLOSING = "Answer with one SELECT for the first table above."
 
 
 def two_tables():

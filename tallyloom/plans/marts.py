@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import conditions as cond
 from tallyloom.functions import dates
 from tallyloom.functions.money import percent, ratio, to_major, to_minor, weighted_score
-from tallyloom.operators.aggregates import any_true, count_where, sorted_list
+from tallyloom.operators.aggregates import any_true, count_where, sorted_list, wide_sum
 from tallyloom.operators.joins import (
     agg_then_join,
     basket_pairs,
@@ -162,7 +162,7 @@ SELECT strftime(first, '%Y-%m') AS cohort_month, date_diff('month', first, order
 FROM o JOIN f USING (customer_id) GROUP BY 1, 2
 """, tags=("marts",))
 def cohort(t):
-    orders = staged_orders(t)
+    orders = staged_orders(t).filter(F.col("customer_id").isNotNull())
     months = orders.groupBy(
         "customer_id", dates.period_start(F.col("order_date"), "month").alias("month")
     ).agg(F.sum("amount").alias("cents"))
@@ -181,7 +181,8 @@ SELECT strftime(first, '%Y-%m') AS cohort, COUNT(*) AS cohort_size, COUNT(*) FIL
        COUNT(*) FILTER (gap <= 60) AS ordered_within_60d, COUNT(*) FILTER (gap <= 90) AS ordered_within_90d FROM g GROUP BY 1
 """, tags=("marts",))
 def retention(t):
-    days = staged_orders(t).select("customer_id", "order_date").distinct()
+    known = staged_orders(t).filter(F.col("customer_id").isNotNull())
+    days = known.select("customer_id", "order_date").distinct()
     placed = group_values(days, ["customer_id"], {"first": F.min("order_date")})
     gap = dates.days_between(F.col("first"), F.col("order_date"))
     per = placed.groupBy("customer_id").agg(
@@ -220,7 +221,7 @@ def churn(t, as_of: str = AS_OF):
 def attributed(t, interval: str):
     """Purchases of users in the given time after a click, per campaign."""
     spans = merge_intervals(
-        staged_events(t, "click"), ["campaign_id", "user_id"], "ts",
+        staged_events(t, "click").filter(F.col("user_id").isNotNull()), ["campaign_id", "user_id"], "ts",
         F.expr(f"INTERVAL {interval}"), rows_at_most=t.row_count("events"),
     )
     bought = staged_events(t, "purchase").withColumn("one", F.lit(1))
@@ -246,7 +247,7 @@ SELECT k.*, COALESCE(orders, 0) AS orders_within_1d, (CAST(COALESCE(orders, 0) A
 FROM k LEFT JOIN {attributed_sql('1 DAY')} a ON a.campaign_id = k.campaign_id
 """, tags=("marts",))
 def funnel(t):
-    events = staged_events(t, "view", "click", "signup", "purchase", "error")
+    events = staged_events(t)
     steps = {"viewed": "view", "clicked": "click", "signed_up": "signup"}
     counts = events.groupBy("campaign_id").agg(
         *[count_where(F.col("event_type") == kind).alias(n) for n, kind in steps.items()]
@@ -268,7 +269,7 @@ SELECT k.campaign_id, COALESCE(cost_cents, 0) AS cost_cents, COALESCE(orders, 0)
 FROM k LEFT JOIN {attributed_sql('7 DAYS')} a ON a.campaign_id = k.campaign_id
 """, tags=("marts",))
 def attribution_roi(t):
-    events = staged_events(t, "view", "click", "signup", "purchase", "error")
+    events = staged_events(t)
     viewed = F.when(F.col("event_type") == "view", F.col("value_cents"))
     cost = events.groupBy("campaign_id").agg(F.sum(viewed).alias("cost"))
     joined = cost.join(attributed(t, "7 DAYS"), "campaign_id", "left")
@@ -339,7 +340,7 @@ FROM events JOIN f USING (user_id) GROUP BY user_id, first_touch, first_order
 """, tags=("marts",))
 def journey(t):
     bought = F.when(F.col("event_type") == "purchase", F.col("ts"))
-    events = t.events.select("user_id", "ts", "event_type")
+    events = t.events.select("user_id", "ts", "event_type").filter(F.col("user_id").isNotNull())
     beside = group_values(
         events, ["user_id"], {"first_touch": F.min("ts"), "first_order": F.min(bought)}
     )
@@ -369,8 +370,8 @@ FROM i x JOIN i y ON x.o = y.o AND x.b < y.b GROUP BY 1, 2
 """, tags=("marts",))
 def cross_sell(t):
     lines = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    pairs = basket_pairs(lines, "l_orderkey", "p_brand", min_baskets=1)
-    orders = t.lineitem.agg(F.countDistinct("l_orderkey")).scalar()
+    pairs = basket_pairs(lines, "l_orderkey", "p_brand")
+    orders = lines.agg(F.countDistinct("l_orderkey")).scalar()
     return pairs.select(
         F.col("item_a").alias("brand_a"), F.col("item_b").alias("brand_b"), "pair_count",
         (ratio(F.col("pair_count"), orders) * 100.0).alias("pct_of_orders"),
@@ -403,10 +404,10 @@ def pareto(t):
         F.sum(line_units()).alias("units")
     )
     run = ordered_columns(
-        sales, [], ["-units", "product_id"], [Running("upto", "units"), RowNumber("place")],
+        sales, [], ["-units", "product_id"], [Running("upto", "units", wide=True), RowNumber("place")],
         rows_at_most=t.row_count("lineitem"),
     )
-    run = group_values(run, [], {"whole": F.sum("units"), "n": n_rows()})
+    run = group_values(run, [], {"whole": wide_sum("units"), "n": n_rows()})
     return run.select(
         "product_id", "units",
         (ratio(F.col("upto"), F.col("whole")) * 100.0).alias("cumulative_pct"),
@@ -617,10 +618,11 @@ SELECT day, COUNT(s.user_id) AS subscribers, CAST(COALESCE(SUM(value_cents), 0)
   (SELECT COUNT(*) FROM s x WHERE x.b = d.day AND x.b > x.a) AS ended
 FROM d LEFT JOIN s ON s.a <= d.day AND (s.b IS NULL OR s.b > d.day) GROUP BY 1
 """, tags=("marts",))
-def mrr_trend(t):
-    """Active subscriptions per day from their starts and ends: a running
-    total over the calendar instead of a join of days and periods."""
+def mrr_trend(t, as_of: str = EVENTS_AS_OF):
+    """Active subscriptions per day up to ``as_of`` from their starts and ends:
+    a running total over the calendar instead of a join of days and periods."""
     signups = staged_events(t, "signup").select("user_id", "event_id", "ts", "value_cents")
+    signups = signups.filter(F.col("user_id").isNotNull())
     periods = ordered_columns(signups, ["user_id"], ["ts", "event_id"], [Lead("next", "ts")], t.row_count("events"))
     start, end = dates.as_date(F.col("ts")), dates.as_date(F.col("next"))
     periods = periods.select(start.alias("a"), end.alias("b"), "value_cents").filter(
@@ -638,7 +640,7 @@ def mrr_trend(t):
     )
     first = signups.agg(dates.as_date(F.min("ts")).alias("first"))
     spine = first.select(
-        F.explode(F.sequence("first", F.lit(EVENTS_AS_OF).cast("date"))).alias("day")
+        F.explode(F.sequence("first", F.lit(as_of).cast("date"))).alias("day")
     )
     series = spine.join(changes, "day", "left").fillna(0)
     series = running_total(series, "day", "n", "subscribers")
@@ -660,9 +662,11 @@ def period_kpis(t, unit: str):
             (t.lineitem, start(F.col("l_shipdate")), {"lines_shipped": one}),
             (first, start(F.col("d")), {"new_customers": one}),
         ],
+        keep_null=True,
     )
     mean = ratio(F.col("revenue_cents"), F.col("orders")) / 100.0
-    return kpis.withColumn("avg_order_value", mean)
+    sums = ["orders", "revenue_cents", "lines_shipped", "new_customers"]
+    return kpis.withColumn("avg_order_value", mean).fillna(0, sums)
 
 
 def period_kpis_sql(unit: str) -> str:

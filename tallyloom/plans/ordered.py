@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.dates import as_date, days_between, month_label, period_start
 from tallyloom.functions.money import ratio, to_major, to_minor
+from tallyloom.operators.aggregates import wide_sum
 from tallyloom.operators.sets import (
     first_dates,
     tagged,
@@ -186,7 +187,9 @@ FROM {ORDERS}
 """)
 def running_global(t):
     rows = staged_orders(t).select("order_id", "order_date", "amount")
-    return ordered_columns(rows, [], BY_DATE, [Running("running_total", "amount")], t.row_count("orders"))
+    total = Running("running_total", "amount", wide=True)
+    run = ordered_columns(rows, [], BY_DATE, [total], t.row_count("orders"))
+    return run.withColumn("running_total", F.col("running_total").cast("bigint"))
 
 
 @model("win_11_moving_average", f"""
@@ -281,8 +284,9 @@ def average_gap(t):
     dates = staged_orders(t).groupBy("customer_id").agg(
         n_rows().alias("order_count"),
         days_between(F.min("order_date"), F.max("order_date")).alias("span"),
+        (F.count("order_date") - 1).alias("gaps"),
     )
-    mean = ratio(F.col("span"), F.col("order_count") - 1)
+    mean = ratio(F.col("span"), F.col("gaps"))
     return dates.select("customer_id", "order_count", mean.alias("avg_days_between"))
 
 
@@ -296,9 +300,9 @@ FROM {SPEND}
 def cumulative_share(t):
     run = ordered_columns(
         spend(t), [], ["-spend", "customer_id"],
-        [Running("upto", "spend"), RowNumber("place")], rows_at_most=t.row_count("orders"),
+        [Running("upto", "spend", wide=True), RowNumber("place")], rows_at_most=t.row_count("orders"),
     )
-    run = group_values(run, [], {"whole": F.sum("spend"), "n": n_rows()})
+    run = group_values(run, [], {"whole": wide_sum("spend"), "n": n_rows()})
     return run.select(
         "customer_id", "spend",
         (ratio(F.col("upto"), F.col("whole")) * 100.0).alias("cumulative_pct"),
@@ -334,7 +338,7 @@ FROM {ORDERS}
 """)
 def first_or_returning(t):
     rows = staged_orders(t).select("order_id", "customer_id", "order_date")
-    first = F.min(F.struct("order_date", "order_id"))
+    first = F.min(F.struct(F.isnull("order_date"), "order_date", "order_id"))
     beside = group_values(rows, ["customer_id"], {"first": first})
     is_first = F.col("first.order_id") == F.col("order_id")
     return beside.select(

@@ -17,6 +17,7 @@ from tallyloom.operators.aggregates import (
     pivot_sums,
     share_of_total,
     sorted_list,
+    wide_sum,
 )
 from tallyloom.operators.joins import (
     agg_then_join,
@@ -195,10 +196,10 @@ def related_orders(t):
 @model("jon_08_basket_pairs", """
 WITH i AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem)
 SELECT a.p AS item_a, b.p AS item_b, COUNT(*) AS pair_count
-FROM i a JOIN i b ON a.o = b.o AND a.p < b.p GROUP BY 1, 2 HAVING COUNT(*) >= 2
+FROM i a JOIN i b ON a.o = b.o AND a.p < b.p GROUP BY 1, 2
 """)
 def co_purchase(t):
-    return basket_pairs(t.lineitem, "l_orderkey", "l_partkey", min_baskets=2)
+    return basket_pairs(t.lineitem, "l_orderkey", "l_partkey")
 
 
 @model("jon_09_event_window", f"""
@@ -215,9 +216,13 @@ def event_window(t):
     """Purchases within a day of any click of a campaign, each counted once."""
     clicks = staged_events(t, "click")
     bought = staged_events(t, "purchase").withColumn("one", F.lit(1))
+    known = clicks.filter(F.col("user_id").isNotNull())
     spans = merge_intervals(
-        clicks, ["campaign_id", "user_id"], "ts", F.expr("INTERVAL 1 DAY"), rows_at_most=t.row_count("events")
+        known, ["campaign_id", "user_id"], "ts", F.expr("INTERVAL 1 DAY"), rows_at_most=t.row_count("events")
     )
+    # Clicks of nobody keep their campaign in the result; they hold nothing.
+    nobody = clicks.filter(F.col("user_id").isNull()).select("campaign_id").distinct()
+    spans = spans.unionByName(nobody, allowMissingColumns=True)
     sums = {"attributed_orders": "one", "revenue_cents": "value_cents"}
     # Two ends per interval and one row per purchase.
     bound = 2 * t.row_count("events")
@@ -270,15 +275,15 @@ FROM s LEFT JOIN e p ON p.user_id = s.user_id AND p.event_type = 'purchase'
  AND p.ts BETWEEN s."start" AND s."end"
 GROUP BY 1, 2
 """)
-def validity_period(t):
-    """A signup is valid until the next one; the last one stays open."""
+def validity_period(t, as_of: str = EVENTS_AS_OF):
+    """A signup is valid until the next one; the last one until ``as_of``."""
     signups = staged_events(t, "signup").select(
         F.col("event_id").alias("period_id"), "user_id", F.col("ts").alias("start")
     )
     periods = ordered_columns(
         signups, ["user_id"], ["start", "period_id"], [Lead("next", "start")], t.row_count("events")
     )
-    open_end = F.lit(f"{EVENTS_AS_OF} 00:00:00").cast("timestamp_ntz")
+    open_end = F.lit(f"{as_of} 00:00:00").cast("timestamp_ntz")
     periods = periods.select(
         "period_id", "user_id", "start", F.coalesce("next", open_end).alias("end")
     )
@@ -355,7 +360,7 @@ def bridge(t):
     joined = links.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
     per_buyer = joined.groupBy("l_suppkey", "o_custkey").agg(n_rows().alias("n"))
     return per_buyer.groupBy(F.col("l_suppkey").alias("supplier_id")).agg(
-        n_rows().alias("customers"), F.sum("n").alias("orders")
+        F.count("o_custkey").alias("customers"), F.sum("n").alias("orders")
     )
 
 
@@ -525,7 +530,7 @@ def many_keys(t):
     )
     joined = per_part.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     return joined.groupBy(F.col("p_type").alias("category"), F.col("p_brand").alias("brand")).agg(
-        F.sum("n").alias("lines"), to_major(F.sum("units"), UNITS).alias("revenue")
+        F.sum("n").alias("lines"), to_major(wide_sum("units"), UNITS).alias("revenue")
     )
 
 
@@ -556,7 +561,7 @@ def share(t):
     joined = per_part.join(t.part, F.col("l_partkey") == F.col("p_partkey")).withColumnRenamed(
         "p_type", "category"
     )
-    return share_of_total(joined, ["category"], F.sum("units"), "revenue_units", "share_pct")
+    return share_of_total(joined, ["category"], wide_sum("units"), "revenue_units", "share_pct")
 
 
 @model("agg_09_mode", """
@@ -577,7 +582,7 @@ SELECT campaign_id, click_rate, median_click_rate AS median_click_rate
 FROM r, m WHERE click_rate > median_click_rate
 """)
 def median(t):
-    events = staged_events(t, "click", "view", "purchase", "signup", "error")
+    events = staged_events(t)
     clicked = count_where(F.col("event_type") == "click")
     rates = events.groupBy("campaign_id").agg(
         (clicked.cast("double") / n_rows()).alias("click_rate")

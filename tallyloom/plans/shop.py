@@ -42,8 +42,10 @@ def staged_orders(t: Tables) -> DataFrame:
 
 
 def staged_events(t: Tables, *kinds: str) -> DataFrame:
-    """Events of some kinds with an integer value and their campaign number."""
-    return t.events.filter(F.col("event_type").isin(*kinds)).select(
+    """Events of the given kinds, of all kinds without one, with an integer
+    value and their campaign number."""
+    events = t.events.filter(F.col("event_type").isin(*kinds)) if kinds else t.events
+    return events.select(
         "event_id",
         "user_id",
         "ts",

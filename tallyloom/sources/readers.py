@@ -119,9 +119,11 @@ TASK_SCHEMA = StructType([
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """CSV with a header row and doubled quotes; an empty field is NULL."""
+    """CSV with a header row and doubled quotes; an empty field is NULL.
+
+    A row that does not fit the schema stops the read."""
     return spark.read.csv(
-        path, schema=schema, header=True, nullValue="", emptyValue="", escape='"'
+        path, schema=schema, header=True, nullValue="", emptyValue="", escape='"', mode="FAILFAST"
     )
 
 
@@ -141,10 +143,11 @@ def read_tasks(
     schema: StructType = TASK_SCHEMA,
     max_tasks: int | None = None,
 ) -> DataFrame:
-    """JSON lines without blank lines and without ids that start with ``demo``."""
-    tasks = spark.read.json(path, schema=schema)
-    is_demo = F.coalesce(F.col("instance_id"), F.lit("")).startswith("demo")
-    tasks = tasks.filter(~is_demo & F.col("instruction").isNotNull())
+    """JSON lines without blank lines and without ids that start with ``demo``.
+
+    A line that is not JSON stops the read."""
+    tasks = spark.read.json(path, schema=schema, mode="FAILFAST")
+    tasks = tasks.filter(~F.coalesce(F.col("instance_id"), F.lit("")).startswith("demo"))
     return tasks if max_tasks is None else tasks.orderBy("instance_id").limit(max_tasks)
 
 

@@ -65,10 +65,10 @@ def test_pairs_within_days(spark):
 
 
 @pytest.mark.parametrize("least", [1, 2, 3])
-@pytest.mark.parametrize("giant", [4, 9, 100])
-def test_basket_pairs_with_giants(spark, least, giant):
+@pytest.mark.parametrize("width", [3, 100])
+def test_basket_pairs_with_giants(spark, least, width):
     """Two baskets hold a large part of the rows."""
-    r = random.Random(least * 100 + giant)
+    r = random.Random(least * 100 + width)
     data = [(b, r.randrange(12)) for b in range(15) for _ in range(4)]
     data += [(b, i) for b in (100, 101, 102) for i in range(r.randrange(8, 14))]
     data += [(5, None)]
@@ -79,7 +79,7 @@ def test_basket_pairs_with_giants(spark, least, giant):
             baskets.setdefault(b, set()).add(i)
     counts = Counter(p for items in baskets.values() for p in itertools.combinations(sorted(items), 2))
     want = sorted(((a, b, n) for (a, b), n in counts.items() if n >= least), key=repr)
-    got = basket_pairs(df, "b", "i", least, giant=giant, width=3)
+    got = basket_pairs(df, "b", "i", least, width=width)
     assert rows(got.select("item_a", "item_b", "pair_count")) == want
 
 
@@ -182,3 +182,15 @@ def test_hot_key_is_split_by_the_adaptive_skew_join(spark):
     finally:
         for key in small:
             spark.conf.unset(key)
+
+
+def test_null_keys_and_inverted_periods_match_nothing(spark):
+    left = spark.createDataFrame([(None, at(5), 1), ("u", at(5), 2)], "u string, ts timestamp_ntz, id int")
+    right = spark.createDataFrame([(None, at(4)), (None, at(6)), ("u", at(3))], "u string, ts timestamp_ntz")
+    assert rows(last_before(left, right, "u", "ts", "m").select("id", "m")) == [(1, None), (2, at(3))]
+    assert rows(next_after(left, right, "u", "ts", "m").select("id", "m")) == [(1, None), (2, None)]
+    periods = [(1, "u", at(0), at(9)), (2, "u", at(9), at(0)), (3, None, at(0), at(9)), (4, "u", at(0), None)]
+    spans = spark.createDataFrame(periods, 'id int, u string, start timestamp_ntz, `end` timestamp_ntz')
+    points = spark.createDataFrame([("u", at(1), 7), (None, at(1), 9), ("u", at(3), 5)], "u string, ts timestamp_ntz, v int")
+    got = sum_in_intervals(spans, points, "u", "ts", {"s": "v"})
+    assert rows(got.select("id", "s")) == [(1, 12), (2, 0), (3, 0), (4, 0)]
