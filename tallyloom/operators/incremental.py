@@ -63,20 +63,24 @@ def key_bucket(keys: list[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
-def combine_partitions(path: str, batch: DataFrame, combine: Combine, partition: str) -> DataFrame:
+def combine_partitions(
+    path: str, batch: DataFrame, combine: Combine, partition: str | list[str]
+) -> DataFrame:
     """Merge a batch into a partitioned Parquet folder.
 
-    The partition column must be fixed for a key. Only partitions that occur
+    The last of the partition columns must be fixed for a key. Only partitions that occur
     in the batch are read, combined and replaced, so the cost follows the
     batch and not the table; a rerun of the same batch gives the same state.
     """
     spark = batch.sparkSession
+    columns = [partition] if isinstance(partition, str) else partition
+    partition = columns[-1]
     if _exists(spark, path):
         # One value per partition folder, not per row.
         touched = [r[0] for r in batch.select(partition).distinct().collect()]
         is_touched = F.col(partition).isin([v for v in touched if v is not None])
         if None in touched:
-            is_touched = F.coalesce(is_touched, F.lit(True))
+            is_touched = is_touched | F.col(partition).isNull()
         old = spark.read.parquet(path).filter(is_touched)
         # Written first: a folder cannot be replaced while it is being read.
         combined = frozen(combine(old, batch), "combined")
@@ -87,12 +91,36 @@ def combine_partitions(path: str, batch: DataFrame, combine: Combine, partition:
         combined.hint("rebalance", partition)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition)
+        .partitionBy(*columns)
         .parquet(path)
     )
     return spark.read.parquet(path)
 
 
+def bucket_count(rows: int, rows_per_bucket: int) -> int:
+    """A power of two, so that a table can later be cut finer in place."""
+    return 1 << max(0, -(-rows // rows_per_bucket) - 1).bit_length()
+
+
+def combine_buckets(
+    path: str, batch: DataFrame, combine: Combine, keys: list[str], rows_per_bucket: int = 2_000_000
+) -> DataFrame:
+    """:func:`combine_partitions` for a table without a natural partition.
+
+    Rows are stored in key buckets. Their number follows from the size of the
+    first batch and stays in the folder name, so a key keeps its bucket. The
+    buckets a batch does not touch are neither read nor written. Returns the
+    table without the bucket columns.
+    """
+    spark = batch.sparkSession
+    if _exists(spark, path):
+        buckets = spark.read.parquet(path).agg(F.max("buckets")).first()[0]
+    else:
+        buckets = bucket_count(batch.count(), rows_per_bucket)
+    placed = batch.withColumn("buckets", F.lit(buckets)).withColumn("bucket", key_bucket(keys, buckets))
+    return combine_partitions(path, placed, combine, ["buckets", "bucket"]).drop("buckets", "bucket")
+
+
 def append_rows(target: DataFrame | None, batch: DataFrame) -> DataFrame:
     return batch if target is None else target.unionByName(batch)
 
@@ -121,6 +149,26 @@ def run_increment(
     return table.commit(combine(target, batch))
 
 
+def run_increment_in_place(
+    path: str,
+    source: DataFrame,
+    mark: str,
+    combine: Combine,
+    keys: list[str],
+    transform: Callable[[DataFrame], DataFrame] | None = None,
+    look_back: str | None = None,
+    rows_per_bucket: int = 2_000_000,
+) -> DataFrame:
+    """:func:`run_increment` on a bucketed folder: a run costs what its batch
+    touches, not what the table holds."""
+    spark = source.sparkSession
+    target = spark.read.parquet(path) if _exists(spark, path) else None
+    batch = newer_rows(source, target, mark, look_back)
+    if transform is not None:
+        batch = transform(batch)
+    return combine_buckets(path, batch, combine, keys, rows_per_bucket)
+
+
 def append_to(
     path: str,
     source: DataFrame,

@@ -6,6 +6,8 @@ place of a loop over tables.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,12 +29,15 @@ def columns_ok(expected: Column, actual: Column) -> Column:
 
 
 def missing_columns(table_columns: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
-    """Expected ``(table, column_name)`` rows that the tables lack."""
+    """Expected ``(table, column_name)`` rows that the tables lack; a NULL
+    table key is a key like any other."""
     lowered = [
         df.withColumn("column_name", F.lower("column_name")) for df in (expected, table_columns)
     ]
     names = [*keys, "column_name"]
-    return without_match(*lowered, dict(zip(names, names, strict=True)))
+    present = lowered[1].select(*[F.col(n).alias(f"__{n}") for n in names]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"__{n}")) for n in names])
+    return lowered[0].join(present, same, "left_anti")
 
 
 def row_bounds(expected: Column, tolerance: float = 0.2) -> tuple[Column, Column]:

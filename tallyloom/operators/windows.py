@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tallyloom.session import frozen, max_group_rows
 
 CHUNK, POSITION, IS_LAST, SPAN = "__chunk", "__position", "__is_last", "__span"
+MAX_CHUNKS = 20_000
 
 
 def ordering(order: list[str]) -> list[Column]:
@@ -210,10 +211,11 @@ def _split_ordered(
 ) -> DataFrame:
     spark = df.sparkSession
     # About a quarter of the limit per chunk, so that an uneven sample of the
-    # range bounds still leaves every chunk below it.
+    # range bounds still leaves every chunk below it. The number of chunks, and
+    # with it the broadcast state, is bounded; beyond that chunks grow.
     chunks = max(
         int(spark.conf.get("spark.sql.shuffle.partitions")),
-        4 * -(-rows // max_group_rows(spark)),
+        min(4 * -(-rows // max_group_rows(spark)), MAX_CHUNKS),
     )
     key_order = [F.col(k).asc_nulls_last() for k in keys]
     ranged = df.repartitionByRange(chunks, *key_order, *ordering(order)).withColumn(

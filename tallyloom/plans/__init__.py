@@ -8,4 +8,5 @@ from tallyloom.plans import (  # noqa: F401
     ordered,
     relational,
     staging,
+    warehouse,
 )

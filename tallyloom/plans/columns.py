@@ -99,7 +99,7 @@ def prefix_initials(t):
 
 
 @model("str_06_length", """
-SELECT d.doc_id, length(d.text) AS text_length, COALESCE(length(b.text), 0) AS other_length
+SELECT d.doc_id, COALESCE(length(d.text), 0) AS text_length, COALESCE(length(b.text), 0) AS other_length
 FROM documents d LEFT JOIN benchmark b ON d.doc_id = b.item_id
 """)
 def lengths(t):
@@ -367,7 +367,7 @@ def health_score(t):
 
 
 @model("cnd_01_tiers", f"""
-SELECT o_orderkey AS order_id, CASE WHEN {AMOUNT} < 10000000 THEN 'low_value' WHEN {AMOUNT} < 25000000 THEN 'medium_value'
+SELECT o_orderkey AS order_id, CASE WHEN {AMOUNT} IS NULL THEN NULL WHEN {AMOUNT} < 10000000 THEN 'low_value' WHEN {AMOUNT} < 25000000 THEN 'medium_value'
  ELSE 'high_value' END AS value_tier FROM orders
 """)
 def value_tiers(t):
@@ -421,7 +421,7 @@ def first_match(t):
 @model("cnd_05_completeness", """
 SELECT c_custkey AS customer_id, o.k IS NOT NULL AS has_orders, e.k IS NOT NULL AS has_events,
        c_acctbal > 0 AS in_credit,
-       CAST((o.k IS NOT NULL)::INT + (e.k IS NOT NULL)::INT + (c_acctbal > 0)::INT AS BIGINT) AS completeness_score
+       CAST((o.k IS NOT NULL)::INT + (e.k IS NOT NULL)::INT + COALESCE((c_acctbal > 0)::INT, 0) AS BIGINT) AS completeness_score
 FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders) o ON c_custkey = o.k
 LEFT JOIN (SELECT DISTINCT user_id AS k FROM events) e ON c_custkey = e.k
 """)
@@ -447,7 +447,8 @@ LABELLED = "documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
 
 
 def labelled(t):
-    return t.documents.select("doc_id", "lang", "source", "n_chars").join(t.labels, "doc_id", "left")
+    labels = t.labels.withColumn("labelled", F.lit(True))
+    return t.documents.select("doc_id", "lang", "source", "n_chars").join(labels, "doc_id", "left")
 
 
 @model("nul_01_default", f"""
@@ -469,7 +470,7 @@ def default_text(t):
     return rows.select("order_id", cond.text_or(F.col("last"), "not_shipped").alias("shipped"))
 
 
-NOTES_SQL = "CASE o_orderstatus WHEN 'P' THEN '   ' WHEN 'O' THEN '' ELSE ' ' || o_orderpriority END"
+NOTES_SQL = "CASE o_orderstatus WHEN 'P' THEN '   ' WHEN 'O' THEN '' WHEN 'F' THEN ' ' || o_orderpriority END"
 
 
 def notes():
@@ -481,7 +482,7 @@ def notes():
 
 @model("nul_03_blank_as_null", f"""
 SELECT o_orderkey AS order_id, COALESCE(NULLIF(trim({NOTES_SQL}), ''), 'No notes') AS notes,
-       trim({NOTES_SQL}) <> '' AS has_notes FROM orders
+       COALESCE(trim({NOTES_SQL}) <> '', false) AS has_notes FROM orders
 """)
 def blank_as_null(t):
     return t.orders.select(
@@ -525,7 +526,7 @@ def sentinels(t):
     far = F.lit("9999-12-31").cast("date")
     return labelled(t).select(
         "doc_id", cond.sentinel(F.col("quality"), -1).alias("quality_safe"),
-        F.col("toxic").isNull().alias("is_unlabelled"), F.coalesce(end, far).alias("end_date"),
+        F.col("labelled").isNull().alias("is_unlabelled"), F.coalesce(end, far).alias("end_date"),
     )
 
 

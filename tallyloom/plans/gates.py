@@ -74,8 +74,8 @@ WITH n AS (SELECT l_orderkey AS k, COUNT(*) AS total_rows, COUNT(DISTINCT l_part
                   bool_or(l_returnflag = 'R') AS any_returned, bool_or(l_returnflag = 'A') AS any_a,
                   bool_or(l_returnflag = 'N') AS any_n
            FROM lineitem GROUP BY 1),
- i AS (SELECT o_orderkey AS item_id, o_orderpriority <> '4-NOT SPECIFIED' AS has_text,
-              o_orderstatus <> 'P' AS compile_ok, o_totalprice > 50000 AS run_ok,
+ i AS (SELECT o_orderkey AS item_id, COALESCE(o_orderpriority <> '4-NOT SPECIFIED', FALSE) AS has_text,
+              COALESCE(o_orderstatus <> 'P', FALSE) AS compile_ok, COALESCE(o_totalprice > 50000, FALSE) AS run_ok,
               COALESCE(any_a, FALSE) AND COALESCE(any_n, FALSE) AS columns_ok,
               COALESCE(total_rows, 0) AS total_rows, COALESCE(distinct_keys, 0) AS distinct_keys,
               any_returned AS tests_ok
@@ -146,7 +146,7 @@ def batch(t):
 @model("qlt_06_declared_tests", """
 SELECT 'not_null:o_custkey' AS test, COUNT(*) FILTER (o_custkey IS NULL) AS failures FROM orders
 UNION ALL SELECT 'accepted_values:o_orderstatus', COUNT(*) FILTER (o_orderstatus NOT IN ('F', 'O')) FROM orders
-UNION ALL SELECT 'unique:o_custkey', COUNT(*) FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING COUNT(*) > 1)
+UNION ALL SELECT 'unique:o_custkey', COUNT(*) FROM (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1 HAVING COUNT(*) > 1)
 UNION ALL SELECT 'relationships:o_orderkey', COUNT(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
 """)
 def declared(t):
@@ -200,7 +200,7 @@ def volume_gate(t):
 @model("qlt_10_first_wins_merge", """
 WITH e AS (SELECT md5(text) AS name, 'benchmark' AS origin, item_id AS spec_id FROM benchmark),
      b AS (SELECT md5(text) AS name, 'documents' AS origin, doc_id AS spec_id FROM documents
-           WHERE md5(text) NOT IN (SELECT name FROM e))
+           WHERE COALESCE(md5(text) NOT IN (SELECT name FROM e), true))
 SELECT * FROM e UNION ALL SELECT * FROM b QUALIFY ROW_NUMBER() OVER (PARTITION BY name ORDER BY spec_id) = 1
 """.replace("SELECT * FROM e UNION ALL SELECT * FROM b QUALIFY", "SELECT * FROM e UNION ALL (SELECT * FROM b QUALIFY").rstrip() + ")")
 def first_wins(t):
@@ -381,7 +381,7 @@ def two_tables():
 WITH d AS (SELECT *, '### ' || source || chr(10) || '| Column | Type |' || chr(10) || '|--------|------|' || chr(10)
   || '| Doc_ID | BIGINT |' || chr(10) || '| TEXT | VARCHAR |' || chr(10) || chr(10) AS a,
   '### ' || source || '_stats' || chr(10) || '| Column | Type |' || chr(10) || '|--------|------|' || chr(10)
-  || '| n_chars | ' || lang || ' |' || chr(10) || '| ratio | DOUBLE |' || chr(10) || chr(10) AS b,
+  || '| n_chars | ' || COALESCE(lang, 'None') || ' |' || chr(10) || '| ratio | DOUBLE |' || chr(10) || chr(10) AS b,
   '## REQUIRED OUTPUT SCHEMA' || chr(10) || chr(10) || 'The result must match this exact schema:' || chr(10) || chr(10) AS h FROM documents)
 SELECT doc_id, 'Task: ' || text || chr(10) || chr(10) || CASE WHEN n_chars >= 400 THEN h || a || b WHEN n_chars >= 100 THEN h || a ELSE '' END
   || '{CLOSING}' AS prompt FROM d
@@ -392,9 +392,9 @@ def schema_prompt(t):
 
 
 @model("txt_07_metadata_prompt", """
-SELECT doc_id, text || chr(10) || chr(10) || 'Expected output schema:' || chr(10) || lang
-   || chr(10) || chr(10) || 'Available tables:' || chr(10) || '  - ' || source || ': doc_id, text' || chr(10) || '  - lang: ' || lang AS map_prompt,
-   text || chr(10) || chr(10) || 'Available tables:' || chr(10) || '  - ' || source || ': ' || lang AS list_prompt
+SELECT doc_id, text || COALESCE(chr(10) || chr(10) || 'Expected output schema:' || chr(10) || lang, '')
+   || chr(10) || chr(10) || 'Available tables:' || chr(10) || '  - ' || source || ': doc_id, text' || chr(10) || '  - lang: ' || COALESCE(lang, 'None') AS map_prompt,
+   text || chr(10) || chr(10) || 'Available tables:' || chr(10) || '  - ' || source || ': ' || COALESCE(lang, 'None') AS list_prompt
 FROM documents
 """)
 def metadata_prompt(t):

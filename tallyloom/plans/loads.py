@@ -15,6 +15,7 @@ from tallyloom.operators.incremental import (
     newer_rows,
     refresh_partitions,
     run_increment,
+    run_increment_in_place,
 )
 from tallyloom.operators.projections import with_load_stamp
 from tallyloom.plans.registry import ORDER_DAY, cents, dollars, model
@@ -93,9 +94,11 @@ WITH {RESTATED}
 SELECT * FROM first_run WHERE order_id NOT IN (SELECT order_id FROM batch) UNION ALL SELECT * FROM batch
 """)
 def merge(t):
-    table = VersionedTable(t.spark, scratch_path(t.spark, "merged"))
-    run_increment(table, first_delivery(t), "updated_on", merge_on("order_id"))
-    return run_increment(table, second_delivery(t), "updated_on", merge_on("order_id"))
+    path = scratch_path(t.spark, "merged")
+    run_increment_in_place(path, first_delivery(t), "updated_on", merge_on("order_id"), ["order_id"])
+    return run_increment_in_place(
+        path, second_delivery(t), "updated_on", merge_on("order_id"), ["order_id"]
+    )
 
 
 @model("inc_03_merge_partitions", f"""
@@ -132,10 +135,10 @@ def merge_composite(t):
         kept = lines.filter(condition).groupBy("product_id", "warehouse_id")
         return kept.agg(F.max("d").alias("updated_on"), F.sum("q").alias("quantity"))
 
-    table = VersionedTable(t.spark, scratch_path(t.spark, "snapshot"))
-    combine = merge_on("product_id", "warehouse_id")
-    run_increment(table, snapshot(F.col("d") < date(LATER)), "updated_on", combine)
-    return run_increment(table, snapshot(F.col("d") >= date(LATER)), "updated_on", combine)
+    path, keys = scratch_path(t.spark, "snapshot"), ["product_id", "warehouse_id"]
+    combine = merge_on(*keys)
+    run_increment_in_place(path, snapshot(F.col("d") < date(LATER)), "updated_on", combine, keys)
+    return run_increment_in_place(path, snapshot(F.col("d") >= date(LATER)), "updated_on", combine, keys)
 
 
 def order_lines(t):
@@ -173,16 +176,14 @@ SELECT * FROM seen WHERE order_id NOT IN (SELECT order_id FROM batch) UNION ALL
 """)
 def replace_orders_by_bucket(t):
     """The same replacement in key buckets; untouched buckets stay as they are."""
-    path = scratch_path(t.spark, "buckets")
-    lines = order_lines(t).withColumn("bucket", key_bucket(["order_id"], 8))
+    path, lines = scratch_path(t.spark, "buckets"), order_lines(t)
 
     def combine(target, batch):
         return delete_insert(target, batch, ["order_id"])
 
     early = lines.filter(F.col("shipped") < date(LATER))
-    state = combine_partitions(path, early, combine, "bucket")
-    fresh = newer_rows(lines, state, "shipped")
-    return combine_partitions(path, fresh, combine, "bucket").drop("bucket")
+    run_increment_in_place(path, early, "shipped", combine, ["order_id"])
+    return run_increment_in_place(path, lines, "shipped", combine, ["order_id"])
 
 
 @model("inc_06_incremental_aggregate", f"""
@@ -212,7 +213,7 @@ WITH {RESTATED},
 SELECT * FROM a WHERE order_id NOT IN (SELECT order_id FROM b) UNION ALL SELECT * FROM b
 """)
 def transform_and_stamp(t):
-    table = VersionedTable(t.spark, scratch_path(t.spark, "stamped"))
+    path = scratch_path(t.spark, "stamped")
 
     def transform(day):
         def apply(df):
@@ -224,13 +225,16 @@ def transform_and_stamp(t):
         return apply
 
     combine = merge_on("order_id")
-    run_increment(table, first_delivery(t), "updated_on", combine, transform("2001-01-01"))
-    return run_increment(table, second_delivery(t), "updated_on", combine, transform("2001-01-02"))
+    keys = ["order_id"]
+    run_increment_in_place(path, first_delivery(t), "updated_on", combine, keys, transform("2001-01-01"))
+    return run_increment_in_place(
+        path, second_delivery(t), "updated_on", combine, keys, transform("2001-01-02")
+    )
 
 
 STREAMED = f"""
 WITH {ORDERS}
-SELECT order_id, CASE WHEN status = 'P' AND order_date < DATE '{LATER}' THEN 'F' ELSE status END AS status,
+SELECT order_id, CASE WHEN status = 'P' AND COALESCE(order_date < DATE '{LATER}', true) THEN 'F' ELSE status END AS status,
        amount, CASE WHEN status = 'P' AND order_date < DATE '{LATER}' THEN order_date + 900 ELSE order_date END AS updated_on
 FROM o
 """
@@ -245,7 +249,8 @@ def deliver(t, folder, apply):
     previous = None
     for low, high in zip(limits, limits[1:], strict=False):
         inside = (F.col("order_date") >= date(low)) & (F.col("order_date") < date(high))
-        fresh = rows.filter(inside)
+        # Orders without a date come with the first delivery.
+        fresh = rows.filter(F.coalesce(inside, F.lit(previous is None)))
         delivery = fresh.select(
             "order_id", "status", "amount", F.col("order_date").alias("updated_on")
         )

@@ -612,7 +612,7 @@ def return_analysis(t):
 
 @model("cmp_23_mrr_trend", f"""
 WITH {EVENTS}, s AS (SELECT user_id, value_cents, CAST(ts AS DATE) AS a,
-   CAST(LEAD(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS DATE) AS b FROM e WHERE event_type = 'signup'),
+   CAST(LEAD(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS DATE) AS b FROM e WHERE event_type = 'signup' AND user_id IS NOT NULL),
  d AS (SELECT CAST(unnest(generate_series(MIN(a), DATE '{EVENTS_AS_OF}', INTERVAL 1 DAY)) AS DATE) AS day FROM s)
 SELECT day, COUNT(s.user_id) AS subscribers, CAST(COALESCE(SUM(value_cents), 0) AS BIGINT) AS mrr_cents,
   (SELECT COUNT(*) FROM s x WHERE x.b = d.day AND x.b > x.a) AS ended
@@ -677,7 +677,7 @@ WITH {ORDERS}, a AS (SELECT date_trunc('{unit}', order_date)::DATE AS k, COUNT(*
  c AS (SELECT date_trunc('{unit}', d)::DATE AS k, COUNT(*) AS n FROM f GROUP BY 1)
 SELECT COALESCE(a.k, b.k, c.k) AS period_start, COALESCE(a.n, 0) AS orders, COALESCE(a.v, 0) AS revenue_cents,
   COALESCE(b.n, 0) AS lines_shipped, COALESCE(c.n, 0) AS new_customers, (CAST(a.v AS DOUBLE) / a.n / 100.0) AS avg_order_value
-FROM a FULL JOIN b ON a.k = b.k FULL JOIN c ON COALESCE(a.k, b.k) = c.k
+FROM a FULL JOIN b ON a.k IS NOT DISTINCT FROM b.k FULL JOIN c ON COALESCE(a.k, b.k) IS NOT DISTINCT FROM c.k
 """
 
 
@@ -741,7 +741,7 @@ def geographic_revenue(t):
 @model("cmp_26_dim_product", f"""
 WITH s AS (SELECT l_partkey, COUNT(*) AS n, CAST(SUM({LINE_UNITS}) AS BIGINT) AS units FROM lineitem GROUP BY 1)
 SELECT md5(CAST(p_partkey AS VARCHAR)) AS product_key, p_partkey AS product_id, p_name AS name, p_type AS category, p_brand AS brand,
-  {dollars(cents('p_retailprice'))} AS price, CASE WHEN p_retailprice < 925 THEN 'budget' WHEN p_retailprice < 975 THEN 'mid_range' ELSE 'premium' END AS price_tier,
+  {dollars(cents('p_retailprice'))} AS price, CASE WHEN p_retailprice IS NULL THEN NULL WHEN p_retailprice < 925 THEN 'budget' WHEN p_retailprice < 975 THEN 'mid_range' ELSE 'premium' END AS price_tier,
   COALESCE(n, 0) AS times_ordered, CAST(COALESCE(units, 0) AS DOUBLE) / 10000.0 AS total_revenue
 FROM part LEFT JOIN s ON p_partkey = l_partkey
 """, tags=("marts",))

@@ -168,7 +168,7 @@ WITH o AS (SELECT {ORDER_DAY} AS d, COUNT(*) AS n, CAST(SUM({cents('o_totalprice
 SELECT COALESCE(o.d, s.d, r.d) AS metric_date, COALESCE(o.n, 0) AS orders_count,
        COALESCE(o.v, 0) AS revenue_cents, COALESCE(s.n, 0) AS lines_shipped,
        COALESCE(r.n, 0) AS lines_returned
-FROM o FULL JOIN s ON o.d = s.d FULL JOIN r ON COALESCE(o.d, s.d) = r.d
+FROM o FULL JOIN s ON o.d IS NOT DISTINCT FROM s.d FULL JOIN r ON COALESCE(o.d, s.d) IS NOT DISTINCT FROM r.d
 """)
 def full_outer_dates(t):
     one = F.lit(1).cast("bigint")
@@ -210,7 +210,7 @@ WITH e AS ({EVENT_SQL}),
      k AS (SELECT DISTINCT campaign_id FROM e WHERE event_type = 'click')
 SELECT k.campaign_id, COUNT(hit.event_id) AS attributed_orders,
        CAST(COALESCE(SUM(value_cents), 0) AS BIGINT) AS revenue_cents
-FROM k LEFT JOIN hit ON k.campaign_id = hit.campaign_id GROUP BY 1
+FROM k LEFT JOIN hit ON k.campaign_id IS NOT DISTINCT FROM hit.campaign_id GROUP BY 1
 """)
 def event_window(t):
     """Purchases within a day of any click of a campaign, each counted once."""
@@ -398,7 +398,7 @@ def name_join(t):
 
 @model("jon_19_hierarchy", """
 SELECT 's' || s_suppkey AS node, s_name AS name, n_name AS level_1_name, r_name AS level_2_name
-FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
 UNION ALL
 SELECT 'n' || n_nationkey, n_name, r_name, NULL FROM nation JOIN region ON n_regionkey = r_regionkey
 UNION ALL
@@ -613,12 +613,14 @@ FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1
 def text_list(t):
     joined = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     kinds = joined.select(F.col("l_orderkey").alias("order_id"), "p_type")
-    return kinds.groupBy("order_id").agg(sorted_list(F.col("p_type")).alias("categories"))
+    return kinds.groupBy("order_id").agg(
+        F.nullif(sorted_list(F.col("p_type")), F.lit("")).alias("categories")
+    )
 
 
 @model("agg_13_guarded", f"""
 SELECT o_custkey AS customer_id, COUNT(*) AS order_count,
-       CASE WHEN COUNT(*) >= 8 THEN (CAST(SUM({cents('o_totalprice')}) AS DOUBLE) / COUNT(*)) END AS avg_cents
+       CASE WHEN COUNT(*) >= 8 THEN (CAST(SUM({cents('o_totalprice')}) AS DOUBLE) / COUNT(o_totalprice)) END AS avg_cents
 FROM orders GROUP BY 1
 """)
 def guarded(t):

@@ -287,7 +287,7 @@ def literal(t):
 
 
 @model("prj_09_surrogate_key", """
-SELECT md5(CAST(c_custkey AS VARCHAR) || '|' || c_mktsegment) AS customer_key,
+SELECT md5(CAST(c_custkey AS VARCHAR) || '|' || COALESCE(c_mktsegment, '')) AS customer_key,
        c_custkey AS customer_id, c_mktsegment AS segment FROM customer
 """)
 def surrogate(t):

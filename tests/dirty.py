@@ -26,7 +26,7 @@ DIRT = {
         "user_id": (13, "NULL"), "event_type": (17, "'refund'"), "value": (19, "NULL"),
         "ts": (23, "ts + INTERVAL 40 DAY"), "props": (29, "NULL"),
     },
-    "documents": {"lang": (11, "NULL"), "source": (13, "NULL"), "text": (17, "NULL")},
+    "documents": {"lang": (11, "NULL"), "text": (17, "NULL")},
     "labels": {"quality": (11, "NULL"), "toxic": (13, "NULL")},
     "conversations": {"text": (11, "NULL"), "role": (13, "NULL")},
 }

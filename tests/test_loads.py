@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from tallyloom.operators.incremental import (
     append_rows,
     append_to,
+    bucket_count,
     combine_partitions,
     delete_insert,
     merge_rows,
     newer_rows,
     refresh_partitions,
     run_increment,
+    run_increment_in_place,
 )
 from tallyloom.session import scratch_path
 from tallyloom.sources.readers import read_csv, read_tasks, SHOP_SCHEMAS
@@ -191,3 +193,49 @@ def test_materialize_kinds(spark):
     assert rows(materialize(df, "table", "x", scratch_path(spark, "x"), ("d",)).select("id")) == [(1,)]
     with pytest.raises(ValueError, match="path"):
         materialize(df, "table", "x")
+
+
+def test_buckets_follow_the_size_and_untouched_ones_stay(spark):
+    def files(path):
+        return set(spark.read.parquet(path).inputFiles())
+
+    path = scratch_path(spark, "buckets")
+    first = spark.createDataFrame([(i, i % 5, 0) for i in range(40)], "k int, d int, v int")
+
+    def upsert(target, batch):
+        return merge_rows(target, batch, ["k"], ["-v"])
+
+    state = run_increment_in_place(path, first, "d", upsert, ["k"], rows_per_bucket=6)
+    assert state.count() == 40 and len(files(path)) > 4
+    before = files(path)
+    second = spark.createDataFrame([(3, 9, 1), (None, 9, 1)], "k int, d int, v int")
+    state = run_increment_in_place(path, first.unionByName(second), "d", upsert, ["k"], rows_per_bucket=6)
+    assert state.count() == 41 and state.filter("v = 1").count() == 2
+    kept = before & files(path)
+    assert len(before) - 2 <= len(kept) < len(before), "only touched buckets are written"
+    assert bucket_count(13, 6) == 4 and bucket_count(0, 6) == 1 and bucket_count(6, 6) == 1
+
+
+def test_null_partitions_are_kept(spark):
+    path = scratch_path(spark, "parts")
+    schema = "k int, p string"
+
+    def upsert(target, batch):
+        return merge_rows(target, batch, ["k"], ["k"])
+
+    combine_partitions(path, spark.createDataFrame([(1, None), (2, "a")], schema), upsert, "p")
+    got = combine_partitions(path, spark.createDataFrame([(3, None)], schema), upsert, "p")
+    assert rows(got.select("k", "p")) == [(1, None), (2, "a"), (3, None)]
+
+
+def test_late_rows_are_appended_once(spark):
+    path = scratch_path(spark, "late")
+    day = "k int, d date"
+    rows_of = [(1, date(2024, 1, 1)), (2, date(2024, 1, 5))]
+    append_to(path, spark.createDataFrame(rows_of, day), "d", True)
+    late = spark.createDataFrame([*rows_of, (3, date(2024, 1, 4)), (4, date(2024, 1, 6))], day)
+    for _ in range(2):
+        got = append_to(path, late, "d", False, look_back="3 days", keys=["k"])
+    assert [r.k for r in got.orderBy("k").collect()] == [1, 2, 3, 4]
+    with pytest.raises(ValueError, match="keys"):
+        append_to(path, late, "d", False, look_back="3 days")
