@@ -142,36 +142,28 @@ Bound = DataFrame | int | None
 # --- the two plans ----------------------------------------------------------
 
 
-def fits_one_task(df: DataFrame, keys: list[str], rows_at_most: Bound = None) -> bool:
-    """Whether every group is small enough to be sorted by one task.
+def measured(df: DataFrame, keys: list[str], rows_at_most: Bound = None) -> tuple[DataFrame, int | None]:
+    """``df`` and, where a group is too large for one task, its row count.
 
     ``rows_at_most`` is an upper bound of the rows of ``df``: a number, or a
     frame that is cheap to count (a bare table: its row count comes from the
-    file footers). Without it, and wherever the bound is too high to decide,
-    ``df`` itself is counted.
+    file footers). Where it does not settle the question, ``df`` is stored
+    once; its rows and its largest group are counted there, and the caller
+    goes on from what is stored.
     """
-    return _rows_to_split(df, keys, rows_at_most) is None
-
-
-def _rows_to_split(df: DataFrame, keys: list[str], rows_at_most: Bound) -> int | None:
-    """None when one task per group will do, else the number of rows at most."""
     limit = max_group_rows(df.sparkSession)
-    if rows_at_most is None:
-        rows = df.count()
-    elif isinstance(rows_at_most, int):
-        rows = rows_at_most
-    else:
-        rows = rows_at_most.count()
+    if rows_at_most is not None:
+        bound = rows_at_most if isinstance(rows_at_most, int) else rows_at_most.count()
+        if bound <= limit:
+            return df, None
+    df = frozen(df, "window-input")
+    rows = df.count()
     if rows <= limit:
-        return None
-    if keys:
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        largest = sizes.agg(F.max("n")).first()[0] or 0
-    elif rows_at_most is None:
-        largest = rows
-    else:
-        rows = largest = df.count()
-    return rows if largest > limit else None
+        return df, None
+    if not keys:
+        return df, rows
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return df, rows if (sizes.agg(F.max("n")).first()[0] or 0) > limit else None
 
 
 def join_beside(
@@ -199,7 +191,7 @@ def ordered_columns(
 
     ``order`` should be total: add a unique column at its end.
     """
-    rows = _rows_to_split(df, keys, rows_at_most)
+    df, rows = measured(df, keys, rows_at_most)
     if rows is None:
         w = W.partitionBy(*keys).orderBy(*ordering(order))
         return df.select("*", *[m.over(w).alias(m.alias) for m in measures])
@@ -293,7 +285,8 @@ def rank_columns(
     values and their counts, so that any number of ties costs one row.
     """
     wanted = [a for a in (rank, dense, percent) if a]
-    if fits_one_task(df, keys, rows_at_most):
+    df, rows = measured(df, keys, rows_at_most)
+    if rows is None:
         w = W.partitionBy(*keys).orderBy(*ordering(order))
         made = {
             rank: F.rank().over(w).cast("bigint"),
@@ -304,7 +297,7 @@ def rank_columns(
     values = [*keys, *order_names(order)]
     counts = df.groupBy(*values).agg(F.count(F.lit(1)).alias("__ties"))
     run = ordered_columns(
-        counts, keys, order, [Running("__upto", "__ties"), RowNumber("__dense")]
+        counts, keys, order, [Running("__upto", "__ties"), RowNumber("__dense")], rows
     )
     run = group_values(run, keys, {"__rows": F.sum("__ties")})
     at = F.col("__upto") - F.col("__ties") + 1
@@ -323,10 +316,11 @@ def ntile_column(
     rows_at_most: Bound = None,
 ) -> DataFrame:
     """NTILE: the first ``rows % buckets`` tiles hold one row more."""
-    if fits_one_task(df, keys, rows_at_most):
+    df, rows = measured(df, keys, rows_at_most)
+    if rows is None:
         w = W.partitionBy(*keys).orderBy(*ordering(order))
         return df.select("*", F.ntile(buckets).over(w).cast("bigint").alias(alias))
-    placed = ordered_columns(df, keys, order, [RowNumber("__row")])
+    placed = _split_ordered(df, keys, order, [RowNumber("__row")], rows)
     placed = group_values(placed, keys, {"__rows": F.count(F.lit(1))})
     tile = F.expr(
         f"""CASE WHEN __row <= (__rows % {buckets}) * (__rows DIV {buckets} + 1)

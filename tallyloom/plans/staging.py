@@ -13,6 +13,7 @@ from tallyloom.operators.projections import (
     with_load_stamp,
 )
 from tallyloom.operators.windows import first_rows
+from tallyloom.operators.incremental import bucket_count
 from tallyloom.plans.registry import AS_OF, LINE_UNITS, MODELS, ORDER_DAY, cents, dollars, model
 from tallyloom.plans.shop import amount_cents, day, line_units, staged_orders
 from tallyloom.session import scratch_path
@@ -139,9 +140,11 @@ def as_table(t):
 SELECT o_orderkey AS order_id, o_orderstatus AS status, COUNT(l_linenumber) AS lines
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2
 """)
-def bucketed_tables(t, buckets: int = 8):
+def bucketed_tables(t, rows_per_bucket: int = 2_000_000):
     """Orders and lines stored in buckets of the order key: the join and the
-    aggregate on that key need no exchange."""
+    aggregate on that key need no exchange. Their number follows the lines."""
+    buckets = bucket_count(t.row_count("lineitem"), rows_per_bucket)
+
     def stored(df, label):
         path = scratch_path(t.spark, label)
         name = "tallyloom_" + path.rsplit("/", 1)[1].replace("-", "_")

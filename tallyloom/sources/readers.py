@@ -184,3 +184,26 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         return self.source(name)
+
+
+class ShopTables(Tables):
+    """Named source lookup over the CSV files of the shop tables:
+    ``ShopTables(spark, folder).customers`` reads ``<folder>/raw_customers.csv``."""
+
+    def __init__(self, spark: SparkSession, folder: str, prefix: str = "raw_"):
+        super().__init__(spark, folder, list(SHOP_SCHEMAS))
+        self.prefix = prefix
+
+    def source(self, name: str) -> DataFrame:
+        if name not in self.names:
+            raise KeyError(f"unknown source {name!r}; known: {', '.join(self.names)}")
+        return read_shop_table(self.spark, self.folder, name, self.prefix)
+
+
+def named_source(spark: SparkSession, groups: dict[str, str], group: str, table: str) -> DataFrame:
+    """``source(group, table)``: ``groups`` maps a group to its folder, of CSV
+    files when the group is called ``raw``, of Parquet files otherwise."""
+    if group not in groups:
+        raise KeyError(f"unknown group {group!r}; known: {', '.join(groups)}")
+    kind = ShopTables if group == "raw" else Tables
+    return kind(spark, groups[group]).source(table)

@@ -5,6 +5,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom.functions.money import to_minor
 from tallyloom.operators.incremental import (
     append_rows,
     append_to,
@@ -18,7 +19,7 @@ from tallyloom.operators.incremental import (
     run_increment_in_place,
 )
 from tallyloom.session import scratch_path
-from tallyloom.sources.readers import read_csv, read_tasks, SHOP_SCHEMAS
+from tallyloom.sources.readers import SHOP_SCHEMAS, ShopTables, named_source, read_csv, read_tasks
 from tallyloom.sources.sinks import VersionedTable, materialize
 from tallyloom.streaming.upsert import into_partitions, into_versions, load_arrived
 from tests.conftest import rows
@@ -239,3 +240,30 @@ def test_late_rows_are_appended_once(spark):
     assert [r.k for r in got.orderBy("k").collect()] == [1, 2, 3, 4]
     with pytest.raises(ValueError, match="keys"):
         append_to(path, late, "d", False, look_back="3 days")
+
+
+def test_named_sources_reach_the_csv_tables(spark, tmp_path):
+    (tmp_path / "raw_warehouses.csv").write_text("id,name,city,state,capacity\n1,Main,Ulm,,12\n")
+    got = named_source(spark, {"raw": str(tmp_path)}, "raw", "warehouses")
+    assert rows(got) == [(1, "Main", "Ulm", None, 12)]
+    assert ShopTables(spark, str(tmp_path)).warehouses.schema == SHOP_SCHEMAS["warehouses"]
+    with pytest.raises(KeyError, match="unknown source"):
+        named_source(spark, {"raw": str(tmp_path)}, "raw", "nothing")
+    with pytest.raises(KeyError, match="unknown group"):
+        named_source(spark, {}, "raw", "warehouses")
+
+
+def test_broken_input_stops_the_read(spark, tmp_path):
+    (tmp_path / "raw_warehouses.csv").write_text("id,name,city,state,capacity\n1,Main,Ulm,,twelve\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        ShopTables(spark, str(tmp_path)).warehouses.collect()
+    (tmp_path / "tasks").write_text('{"instance_id": "a", "instruction": "x"}\n{"instance_id": "b"}\n\n')
+    assert [r.instance_id for r in read_tasks(spark, str(tmp_path / "tasks")).collect()] == ["a", "b"]
+    (tmp_path / "bad").write_text('{"instance_id": "a"}\nnot json\n')
+    with pytest.raises(Exception, match="MALFORMED"):
+        read_tasks(spark, str(tmp_path / "bad")).collect()
+
+
+def test_money_that_does_not_fit_is_null(spark):
+    df = spark.createDataFrame([(1, 1.125), (2, float("nan")), (3, 1e17), (4, -2.5), (5, None)], "i int, x double")
+    assert rows(df.select("i", to_minor("x"))) == [(1, 113), (2, None), (3, None), (4, -250), (5, None)]
