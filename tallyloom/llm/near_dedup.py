@@ -16,11 +16,11 @@ from tallyloom.llm.components import components
 from tallyloom.llm.words import Words, binary_array, slices, text_bytes
 from tallyloom.session import frozen
 
-#: Registers of a sketch; a shingle goes to one by its first 7 bits.
-BUCKET_BITS = 7
-REGISTERS = 1 << BUCKET_BITS
-#: Bits kept after the leading one of a register's smallest hash.
-MANTISSA = 10
+#: Two sketches of a set, each as (index bits, leading zeros at most, mantissa
+#: bits): wide registers for the bands, where unrelated sets must not agree,
+#: and more but narrower ones where many pairs of one bucket are compared.
+WIDE, FINE = (7, 57, 10), (9, 14, 4)
+REGISTERS = 1 << WIDE[0]
 #: Registers of one band; 32 bands of 4 find a pair of similarity 0.8 with
 #: probability 1 - (1 - 0.8 ** 4) ** 32, over 0.9999999.
 BAND = 4
@@ -32,45 +32,52 @@ BLOCK = 1024
 FAN = 256
 
 
-def registers(value: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    """HyperMinHash registers (rows, REGISTERS) of sorted distinct shingles.
+def registers(value: np.ndarray, row: np.ndarray, rows: int, shape: tuple[int, int, int] = WIDE) -> np.ndarray:
+    """HyperMinHash registers of sorted distinct shingles, a row per text.
 
     A register holds, of the smallest hash of its bucket, the count of leading
-    zeros plus one and the MANTISSA bits after the leading one; 0 is empty.
+    zeros plus one and the mantissa bits after the leading one; 0 is empty.
     """
-    out = np.zeros((rows, REGISTERS), np.uint16)
+    bits, most, mantissa = shape
+    out = np.zeros((rows, 1 << bits), np.uint16 if mantissa > 4 else np.uint8)
     if not len(value):
         return out
-    bucket = (value >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-    cell = row * REGISTERS + bucket
+    cell = row * (1 << bits) + (value >> np.uint64(64 - bits)).astype(np.int64)
     first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))  # sorted: the smallest
-    rest = (value[first] << np.uint64(BUCKET_BITS)) | np.uint64(1 << (BUCKET_BITS - 1))
+    rest = (value[first] << np.uint64(bits)) | np.uint64(1 << (bits - 1))
     exponent = np.frexp((rest >> np.uint64(11)).astype(np.float64))[1]
-    zeros = np.minimum(53 - exponent, 57)
-    after = (rest << (zeros + 1).astype(np.uint64)) >> np.uint64(64 - MANTISSA)
-    out.ravel()[cell[first]] = ((zeros + 1) << MANTISSA) | after.astype(np.int64)
+    zeros = np.clip(53 - exponent, 0, most)
+    after = (rest << (zeros + 1).astype(np.uint64)) >> np.uint64(64 - mantissa)
+    out.ravel()[cell[first]] = ((zeros + 1) << mantissa) | after.astype(np.int64)
     return out
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def estimate(
+    a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, shape: tuple[int, int, int] = WIDE
+) -> tuple[np.ndarray, np.ndarray]:
     """Jaccard estimates from registers, less the expected chance collisions,
     and the registers they rest on."""
+    bits, _, mantissa = shape
     used = ((a > 0) | (b > 0)).sum(1)
     equal = ((a == b) & (a > 0)).sum(1)
     ratio = np.maximum(n_a, n_b) / np.maximum(np.minimum(n_a, n_b), 1)
-    chance = 0.169919487159739 * 2.0 ** (BUCKET_BITS - MANTISSA) * 4 * ratio / (1 + ratio) ** 2
-    return np.maximum(equal - chance * used / REGISTERS, 0) / np.maximum(used, 1), used
+    chance = 0.169919487159739 * 2.0 ** (bits - mantissa) * 4 * ratio / (1 + ratio) ** 2
+    share = np.maximum(1 - equal / np.maximum(used, 1), 0)  # equal ones are no chance
+    return np.maximum(equal - chance * share * used / (1 << bits), 0) / np.maximum(used, 1), used
 
 
-def plausible(a, b, n_a, n_b, least: float) -> np.ndarray:
+def plausible(a, b, n_a, n_b, least: float, shape: tuple[int, int, int] = WIDE) -> np.ndarray:
     """Pairs whose estimate is within five standard errors of ``least`` and
-    whose set sizes allow it."""
-    value, used = estimate(a, b, n_a, n_b)
-    slack = 5 * np.sqrt(least * (1 - least) / np.maximum(used, 1))
+    whose set sizes allow it. The registers are a sample, without repetition,
+    of the union; the error vanishes as they cover it."""
+    value, used = estimate(a, b, n_a, n_b, shape)
+    union = (n_a + n_b) / (1 + least)
+    used = np.maximum(used, 1)
+    slack = 5 * np.sqrt(least * (1 - least) / used * np.clip(1 - used / union, 0, 1)) + 1 / used
     return (value >= least - slack) & (np.minimum(n_a, n_b) >= least * np.maximum(n_a, n_b) - 1e-9)
 
 
-SKETCH = "id long, n_shingles long, class binary, registers binary"
+SKETCH = "id long, n_shingles long, class binary, registers binary, fine binary"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -83,15 +90,16 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
                 _class(value[s:e]) if e > s else None
                 for s, e in zip(ends[:-1], ends[1:], strict=True)
             ]
-            sketch = registers(value, row, b - a)
+            wide, fine = (registers(value, row, b - a, shape) for shape in (WIDE, FINE))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id").slice(a, b - a),
                     pa.array(np.diff(ends), pa.int64()),
                     pa.array(classes, pa.binary()),
-                    binary_array(sketch.view(np.uint8).ravel(), np.full(b - a, 2 * REGISTERS)),
+                    binary_array(wide.view(np.uint8).ravel(), np.full(b - a, 2 * REGISTERS)),
+                    binary_array(fine.ravel(), np.full(b - a, 1 << FINE[0])),
                 ],
-                names=["id", "n_shingles", "class", "registers"],
+                names=["id", "n_shingles", "class", "registers", "fine"],
             )
 
 
@@ -116,9 +124,10 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
             ).filter(same)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    data, _ = text_bytes(column)
-    return data.view(np.uint16).reshape(-1, REGISTERS)
+def _matrix(column: pa.Array, shape: tuple[int, int, int] = WIDE) -> np.ndarray:
+    data, offsets = text_bytes(column)
+    data = data[offsets[0] : offsets[-1]]
+    return (data.view(np.uint16) if shape is WIDE else data).reshape(-1, 1 << shape[0])
 
 
 def _promising(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -131,28 +140,26 @@ def _promising(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.R
 def _across(group: pa.Table, least: float) -> pa.Table:
     """Plausible pairs of one block pair of a bucket that lie in different
     components, each reported in the first band that brings it together."""
-    ids, part, n, side, band = (
-        group.column(c).to_numpy() for c in ("id", "component", "n_shingles", "side", "band")
+    ids, part, n, side, key = (
+        group.column(c).to_numpy() for c in ("id", "component", "n_shingles", "side", "key")
     )
-    sketch = _matrix(group.column("registers"))
+    sketch, fine = _matrix(group.column("registers")), _matrix(group.column("fine"), FINE)
+    band = int(key[0]) % (REGISTERS // BAND)
     left = np.flatnonzero(side <= 0)
     right = np.flatnonzero(side >= 0)
     found = []
     for i in left:
         j = right[(part[right] != part[i])]
         j = j[ids[j] > ids[i]] if side[i] == 0 else j
-        if not len(j):
-            continue
-        same = np.broadcast_to(sketch[i], (len(j), REGISTERS))
-        good = plausible(same, sketch[j], np.full(len(j), n[i]), n[j], least)
-        j = j[good]
-        if not len(j):
-            continue
-        bands = ((sketch[j] == sketch[i]).reshape(len(j), -1, BAND).all(2)) & (
+        bands = ((sketch[j] == sketch[i]).reshape(len(j), REGISTERS // BAND, BAND).all(2)) & (
             sketch[i].reshape(-1, BAND).any(1)
         )
-        j = j[bands.argmax(1) == band[i]]
-        found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1))
+        j = j[bands.argmax(1) == band]
+        for own, shape in ((sketch, WIDE), (fine, FINE)):
+            same = np.broadcast_to(own[i], (len(j), 1 << shape[0]))
+            j = j[plausible(same, own[j], np.full(len(j), n[i]), n[j], least, shape)]
+        if len(j):
+            found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1))
     pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
     return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
@@ -193,22 +200,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """One row per class and band that is not empty: the band's key."""
-    width = 2 * BAND
+    """One row per class and band that is not empty: a key that ends in the
+    number of the band."""
+    width, count = 2 * BAND, REGISTERS // BAND
     empty = F.lit(bytearray(width))
     keys = [
-        F.struct(
-            F.lit(k).alias("band"),
-            F.when(part != empty, F.xxhash64(F.lit(k), part)).alias("key"),
-        )
-        for k in range(REGISTERS // BAND)
+        F.when(part != empty, F.shiftleft(F.xxhash64(F.lit(k), part), 5).bitwiseOR(F.lit(k).cast("long")))
+        for k in range(count)
         for part in [F.substring("registers", k * width + 1, width)]
     ]
-    return (
-        classes.select("id", F.explode(F.array(*keys)).alias("b"))
-        .select("id", "b.band", "b.key")
-        .filter("key IS NOT NULL")
-    )
+    return classes.select("id", F.explode(F.array_compact(F.array(*keys))).alias("key"))
 
 
 def near_groups(
@@ -242,21 +243,19 @@ def near_groups(
         .withColumn("node", F.monotonically_increasing_id()),
         "sketches",
     )
-    first = F.min(F.struct(F.col("id").alias("smallest"), F.col("node").alias("id"), "registers"))
+    first = F.min(F.struct(F.col("id").alias("smallest"), F.col("node").alias("id"), "registers", "fine"))
     found = (
         sketches.filter("class IS NOT NULL AND id IS NOT NULL")
         .groupBy("class", "n_shingles").agg(first.alias("f")).select("class", "n_shingles", "f.*")
     )
     classes = frozen(found, "classes")  # from here on id is the number of a class
     bands = _bands(classes)
+    several = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    shared = frozen(bands.join(several, "key", "left_semi"), "buckets")
     orders = [F.min("id")] + [F.min(F.struct(F.xxhash64(F.lit(s), "id"), "id"))["id"] for s in HUB_SEEDS]
-    buckets = (
-        bands.groupBy("key").agg(F.count("*").alias("members"), F.array(*orders).alias("hubs"))
-        .filter("members > 1")
-    )
-    shared = frozen(bands.join(buckets, "key"), "buckets")
+    hubs = shared.groupBy("key").agg(F.array_distinct(F.array(*orders)).alias("hubs"))
     stars = (
-        shared.select("id", F.explode(F.array_distinct("hubs")).alias("hub")).filter("id <> hub")
+        shared.join(hubs, "key").select("id", F.explode("hubs").alias("hub")).filter("id <> hub")
         .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     )
     side = classes.select("id", "n_shingles", "registers")
@@ -277,18 +276,21 @@ def near_groups(
 
     ids = sketches.filter("id IS NOT NULL").groupBy("id").count()
     repeated = not ids.filter("count > 1").isEmpty()
-    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+
+    sets = sets_of(ends(pairs))
     links = frozen(confirmed(pairs, sets, percent), "near")
     parts = frozen(components(links, "a", "b"), "parts")
 
-    labelled = shared.select("key", "band", "id").join(parts.withColumnRenamed("node", "id"), "id", "left")
+    labelled = shared.join(parts.withColumnRenamed("node", "id"), "id", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("key").agg(
         F.min("component").alias("low"), F.max("component").alias("high"),
         F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"),
     ).filter("low <> high").select("key", "blocks")
     blocks = (
-        labelled.join(mixed, "key").join(side, "id")
+        labelled.join(mixed, "key").join(classes.select("id", "n_shingles", "registers", "fine"), "id")
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
@@ -298,7 +300,7 @@ def near_groups(
         lambda group: _across(group, least), "a long, b long"
     )
     more = frozen(more.distinct(), "pairs")
-    unseen = more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id", "left_anti")
+    unseen = ends(more).join(sets, "id", "left_anti")
     if not unseen.isEmpty():
         sets = sets.union(sets_of(unseen))
     links = links.union(confirmed(more, sets, percent))
