@@ -28,6 +28,8 @@ BAND = 4
 HUB_SEEDS = (11, 12, 13)
 #: Members of one block of a bucket that is compared pair by pair.
 BLOCK = 1024
+#: Pairs that one numpy pass compares.
+PAIRS = 1 << 14
 #: Members that are confirmed against one copy of a hub's shingle set.
 FAN = 256
 
@@ -145,21 +147,25 @@ def _across(group: pa.Table, least: float) -> pa.Table:
     )
     sketch, fine = _matrix(group.column("registers")), _matrix(group.column("fine"), FINE)
     band = int(key[0]) % (REGISTERS // BAND)
-    left = np.flatnonzero(side <= 0)
-    right = np.flatnonzero(side >= 0)
+    filled = sketch.reshape(len(ids), REGISTERS // BAND, BAND).any(2)
+    left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
     found = []
-    for i in left:
-        j = right[(part[right] != part[i])]
-        j = j[ids[j] > ids[i]] if side[i] == 0 else j
-        bands = ((sketch[j] == sketch[i]).reshape(len(j), REGISTERS // BAND, BAND).all(2)) & (
-            sketch[i].reshape(-1, BAND).any(1)
-        )
-        j = j[bands.argmax(1) == band]
-        for own, shape in ((sketch, WIDE), (fine, FINE)):
-            same = np.broadcast_to(own[i], (len(j), 1 << shape[0]))
-            j = j[plausible(same, own[j], np.full(len(j), n[i]), n[j], least, shape)]
-        if len(j):
-            found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1))
+    step = max(1, PAIRS // max(len(right), 1))
+    for start in range(0, len(left), step):
+        some = left[start : start + step]
+        fits = part[some][:, None] != part[right][None, :]
+        fits &= (side[some] != 0)[:, None] | (ids[right][None, :] > ids[some][:, None])
+        i, j = np.nonzero(fits)
+        i, j = some[i], right[j]
+        enough = np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9
+        i, j = i[enough], j[enough]
+        bands = (sketch[i] == sketch[j]).reshape(len(i), REGISTERS // BAND, BAND).all(2)
+        bands &= filled[i]
+        first = bands.argmax(1) == band
+        i, j = i[first], j[first]
+        near = plausible(fine[i], fine[j], n[i], n[j], least, FINE)
+        i, j = ids[i[near]], ids[j[near]]
+        found.append(np.stack([np.minimum(i, j), np.maximum(i, j)], 1))
     pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
     return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
@@ -254,8 +260,9 @@ def near_groups(
     shared = frozen(bands.join(several, "key", "left_semi"), "buckets")
     orders = [F.min("id")] + [F.min(F.struct(F.xxhash64(F.lit(s), "id"), "id"))["id"] for s in HUB_SEEDS]
     hubs = shared.groupBy("key").agg(F.array_distinct(F.array(*orders)).alias("hubs"))
+    members = frozen(shared.join(hubs, "key"), "members")
     stars = (
-        shared.join(hubs, "key").select("id", F.explode("hubs").alias("hub")).filter("id <> hub")
+        members.select("id", F.explode("hubs").alias("hub")).filter("id <> hub")
         .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     )
     side = classes.select("id", "n_shingles", "registers")
@@ -283,12 +290,18 @@ def near_groups(
     links = frozen(confirmed(pairs, sets, percent), "near")
     parts = frozen(components(links, "a", "b"), "parts")
 
-    labelled = shared.join(parts.withColumnRenamed("node", "id"), "id", "left")
+    # Hubs have met all of their bucket. Of buckets with the same other members
+    # the one of the first band is compared; a pair's first band is among them.
+    rest = members.filter(~F.array_contains("hubs", F.col("id"))).select("key", "id")
+    labelled = rest.join(parts.withColumnRenamed("node", "id"), "id", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "id"))
+    band = F.col("key").bitwiseAND(F.lit(REGISTERS // BAND - 1))
     mixed = labelled.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"),
-        F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"),
-    ).filter("low <> high").select("key", "blocks")
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"),
+    ).filter("low <> high")
+    mixed = mixed.groupBy("n", "low", "high", "x", "y").agg(F.min(F.struct(band, "key"))["key"].alias("key"))
+    mixed = mixed.select("key", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
     blocks = (
         labelled.join(mixed, "key").join(classes.select("id", "n_shingles", "registers", "fine"), "id")
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
