@@ -30,6 +30,9 @@ HUB_SEEDS = (11, 12, 13)
 BLOCK = 1024
 #: Pairs that one numpy pass compares.
 PAIRS = 1 << 14
+#: Texts are fetched for a small part of the documents; from this size on a
+#: Bloom filter of the wanted ids, of bounded size, goes to the scan first.
+FILTER_FROM = {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1MB"}
 #: Members that are confirmed against one copy of a hub's shingle set.
 FAN = 256
 
@@ -241,6 +244,8 @@ def near_groups(
        inside a component cannot change it and are left out.
     """
     least = percent / 100
+    for key, value in FILTER_FROM.items():
+        df.sparkSession.conf.set(key, value)
     texts = df.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
@@ -273,7 +278,8 @@ def near_groups(
     pairs = frozen(pairs, "pairs")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        wanted = classes.join(nodes, "id", "left_semi").select(
+        wanted = frozen(classes.select("smallest", "id", "class", "n_shingles").join(nodes, "id", "left_semi"), "wanted")
+        wanted = wanted.filter("n_shingles > 0").select(
             F.col("smallest").alias("id"), F.col("id").alias("node"), "class"
         )
         made = texts.join(wanted, "id").select("node", "class", "text").mapInArrow(
