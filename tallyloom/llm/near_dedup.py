@@ -82,10 +82,13 @@ def plausible(a, b, n_a, n_b, least: float, shape: tuple[int, int, int] = WIDE)
     return (value >= least - slack) & (np.minimum(n_a, n_b) >= least * np.maximum(n_a, n_b) - 1e-9)
 
 
-SKETCH = "id long, n_shingles long, class binary, registers binary, fine binary"
+NAMED = "id long, n_shingles long, class binary"
+SKETCH = f"{NAMED}, registers binary, fine binary"
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], size: int, sketched: bool) -> Iterator[pa.RecordBatch]:
+    """Size and class (a digest of the set) of each text; with ``sketched``
+    its registers too."""
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
         for a, b in slices(offsets):
@@ -95,17 +98,15 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
                 _class(value[s:e]) if e > s else None
                 for s, e in zip(ends[:-1], ends[1:], strict=True)
             ]
-            wide, fine = (registers(value, row, b - a, shape) for shape in (WIDE, FINE))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id").slice(a, b - a),
-                    pa.array(np.diff(ends), pa.int64()),
-                    pa.array(classes, pa.binary()),
-                    binary_array(wide.view(np.uint8).ravel(), np.full(b - a, 2 * REGISTERS)),
-                    binary_array(fine.ravel(), np.full(b - a, 1 << FINE[0])),
-                ],
-                names=["id", "n_shingles", "class", "registers", "fine"],
-            )
+            columns = [
+                batch.column("id").slice(a, b - a), pa.array(np.diff(ends), pa.int64()),
+                pa.array(classes, pa.binary()),
+            ]
+            for shape in (WIDE, FINE) if sketched else ():
+                sketch = registers(value, row, b - a, shape).view(np.uint8)
+                columns.append(binary_array(sketch.ravel(), np.full(b - a, sketch.shape[1])))
+            names = ["id", "n_shingles", "class", "registers", "fine"][: len(columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def _class(shingles: np.ndarray) -> bytes:
@@ -249,15 +250,15 @@ def near_groups(
     texts = df.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
-    sketches = frozen(
-        texts.mapInArrow(partial(_sketch, size=shingle), SKETCH)
-        .withColumn("node", F.monotonically_increasing_id()),
-        "sketches",
-    )
-    first = F.min(F.struct(F.col("id").alias("smallest"), F.col("node").alias("id"), "registers", "fine"))
+    # Two readings of the texts: only classes keep registers, rows their names.
+    named = frozen(texts.mapInArrow(partial(_sketch, size=shingle, sketched=False), NAMED), "named")
+    first = F.min(F.struct(F.col("id").alias("smallest"), "registers", "fine"))
     found = (
-        sketches.filter("class IS NOT NULL AND id IS NOT NULL")
-        .groupBy("class", "n_shingles").agg(first.alias("f")).select("class", "n_shingles", "f.*")
+        texts.filter("id IS NOT NULL")
+        .mapInArrow(partial(_sketch, size=shingle, sketched=True), SKETCH)
+        .filter("class IS NOT NULL")
+        .groupBy("class", "n_shingles").agg(first.alias("f"))
+        .select("class", "n_shingles", F.monotonically_increasing_id().alias("id"), "f.*")
     )
     classes = frozen(found, "classes")  # from here on id is the number of a class
     bands = _bands(classes)
@@ -287,7 +288,7 @@ def near_groups(
         )
         return frozen(made.dropDuplicates(["id"]) if repeated else made, "sets")
 
-    ids = sketches.filter("id IS NOT NULL").groupBy("id").count()
+    ids = named.filter("id IS NOT NULL").groupBy("id").count()
     repeated = not ids.filter("count > 1").isEmpty()
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -324,11 +325,11 @@ def near_groups(
         sets = sets.union(sets_of(unseen))
     links = links.union(confirmed(more, sets, percent))
     parts = components(links, "a", "b").toDF("id", "part")
-    named = classes.select("class", "n_shingles", "id", "smallest").join(parts, "id", "left")
-    named = named.withColumn("part", F.coalesce("part", "id"))
-    smallest = named.groupBy("part").agg(F.min("smallest").alias("component"))
-    of_class = named.join(smallest, "part").select("class", "n_shingles", "component")
-    rows = sketches.select("id", "n_shingles", "class").join(of_class, ["class", "n_shingles"], "left")
+    placed = classes.select("class", "n_shingles", "id", "smallest").join(parts, "id", "left")
+    placed = placed.withColumn("part", F.coalesce("part", "id"))
+    smallest = placed.groupBy("part").agg(F.min("smallest").alias("component"))
+    of_class = placed.join(smallest, "part").select("class", "n_shingles", "component")
+    rows = named.join(of_class, ["class", "n_shingles"], "left")
     rows = rows.withColumn("component", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")))
     return rows.select(
         F.col("id").cast(df.schema[id_col].dataType).alias(id_col),
