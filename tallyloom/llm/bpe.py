@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.words import BASE, BASE_INVERSE, BYTE, mix, powers, text_bytes
+from tallyloom.llm.words import BASE, BASE_INVERSE, BYTE, mix, powers, slices, text_bytes
 
 # Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -273,31 +273,34 @@ def _coded(
     codec = Codec.load(path)
     chunks = Chunks(codec, shared.value)
     text_of = codec.text_of
-    for batch in batches:
-        n, ids_out, decoded_out = [], [], []
-        for text in _texts(batch):
-            ids: list[int] = []
-            for part, token in segments(text, codec.special):
-                if part:
-                    ids += chunks.encode(part, cut(np.frombuffer(part, np.uint8)))
-                if token is not None:
-                    ids.append(token)
-            n.append(len(ids))
-            decoded = codec.decode(ids).decode("utf-8", "replace").encode()
-            if digests:
-                ids_out.append(hashlib.sha256(b",".join([text_of[i] for i in ids])).hexdigest())
-                decoded_out.append(hashlib.sha256(decoded).hexdigest())
-            else:
-                ids_out.append(ids)
-                decoded_out.append(decoded.decode())
-        kind = pa.string() if digests else pa.list_(pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [
-                *[batch.column(c) for c in names], pa.array(n, pa.int64()),
-                pa.array(ids_out, kind), pa.array(decoded_out, pa.string()),
-            ],
-            names=[*names, "n_tokens", "ids", "decoded"],
-        )
+    for whole in batches:
+        _, offsets = text_bytes(whole.column("text"))
+        for a, b in slices(offsets):  # what is returned at once stays small
+            batch = whole.slice(a, b - a)
+            n, ids_out, decoded_out = [], [], []
+            for text in _texts(batch):
+                ids: list[int] = []
+                for part, token in segments(text, codec.special):
+                    if part:
+                        ids += chunks.encode(part, cut(np.frombuffer(part, np.uint8)))
+                    if token is not None:
+                        ids.append(token)
+                n.append(len(ids))
+                decoded = codec.decode(ids).decode("utf-8", "replace").encode()
+                if digests:
+                    ids_out.append(hashlib.sha256(b",".join([text_of[i] for i in ids])).hexdigest())
+                    decoded_out.append(hashlib.sha256(decoded).hexdigest())
+                else:
+                    ids_out.append(np.array(ids, np.int32))
+                    decoded_out.append(decoded.decode())
+            kind = pa.string() if digests else pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(c) for c in names], pa.array(n, pa.int64()),
+                    pa.array(ids_out, kind), pa.array(decoded_out, pa.string()),
+                ],
+                names=[*names, "n_tokens", "ids", "decoded"],
+            )
 
 
 def encode_texts(
