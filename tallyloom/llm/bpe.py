@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -108,7 +109,7 @@ class Chunks:
     def ids(self, chunk: bytes) -> list[int]:
         found = self.shared.get(chunk) or self.kept.get(chunk)
         if found is None:
-            found = self.codec.encode(chunk)
+            found = array("i", self.codec.encode(chunk))
             if len(self.kept) >= KEPT_CHUNKS:
                 self.kept.clear()
             if len(chunk) <= SHARED_BYTES:
@@ -326,7 +327,8 @@ def encode_texts(
     cut = partial(cuts, word_bits=word_bits, any_bits=any_bits)
     special = Codec.load(path).special
     known = shared_chunks(texts.select(F.xxhash64(id_col).alias("key"), "text"), path, cut, special)
-    shared = df.sparkSession.sparkContext.broadcast(known)
+    shared = df.sparkSession.sparkContext.broadcast({c: array("i", ids) for c, ids in known.items()})
+    del known
     kind = df.schema[id_col].dataType.simpleString()
     out = "ids string, decoded string" if digests else "ids array<int>, decoded string"
     return texts.mapInArrow(

@@ -15,6 +15,8 @@ from tallyloom.llm.words import Words, binary_array, slices, text_bytes
 
 #: Bytes of text whose windows one bucket is meant to hold.
 BUCKET_BYTES = 16 << 20
+#: Bytes of text whose windows are combined before they are sent.
+SENT_BYTES = 2 << 20
 #: A NULL id counts as larger than all others.
 LAST_ID = 2**63 - 1
 LOW = np.uint64((1 << 56) - 1)
@@ -76,7 +78,7 @@ def _windows(batches: Iterator[pa.RecordBatch], size: int, bits: int) -> Iterato
     for batch in batches:
         data, offsets = text_bytes(batch.column("_text"))
         ids = batch.column("_id").to_numpy(zero_copy_only=False).astype(np.int64)
-        for a, b in slices(offsets):
+        for a, b in slices(offsets, SENT_BYTES):
             words = Words(data, offsets[a : b + 1])
             hashes, at = words.windows(size)
             owner = ids[a:b][words.row[at]]

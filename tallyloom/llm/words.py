@@ -8,14 +8,15 @@ run gives the same value. Work goes slice by slice to keep memory bounded.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that one numpy pass holds; a longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
+#: Powers that are kept for the next slice; longer texts make their own.
+KEPT_POWERS = 4 << 20
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -35,19 +36,19 @@ BYTE_LOWER = BYTE.copy()
 BYTE_LOWER[65:91] = BYTE[97:123]
 
 
-@lru_cache(maxsize=2)
-def _powers(base: int, size: int) -> np.ndarray:
-    out = np.full(size, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
+_kept: dict[int, np.ndarray] = {}
 
 
 def powers(base: np.uint64, size: int) -> np.ndarray:
     """``base ** 0 .. base ** (size - 1)`` modulo 2**64."""
-    room = max(1 << 16, 1 << (max(size, 1) - 1).bit_length())
-    if room > 2 * SLICE_BYTES:  # a very long text: not worth keeping
-        return _powers.__wrapped__(int(base), size)
-    return _powers(int(base), room)[:size]
+    known = _kept.get(int(base))
+    if known is None or len(known) < size:
+        known = np.full(max(1 << 16, 1 << (max(size, 1) - 1).bit_length()), base, np.uint64)
+        known[0] = 1
+        np.cumprod(known, out=known)
+        if len(known) <= KEPT_POWERS:
+            _kept[int(base)] = known
+    return known[:size]
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
