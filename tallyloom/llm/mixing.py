@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tallyloom.session import frozen
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: The target of every source, and of every shard, holds at least so many blocks.
+SOURCE_BLOCKS, RING_BLOCKS = 64, 16
 
 
 def words_in(text: str) -> F.Column:
@@ -88,7 +90,8 @@ def mix(
     Sizes are words; NULL text has none; a NULL source is a source. The words
     of a source are dealt by a seeded hash into shards of about
     ``shard_words``; blocks of equal size (at most ``block_words``, smaller on
-    small inputs) are apportioned to sources by target and then to each
+    small inputs and where a source or a shard is small, down to a word) are
+    apportioned to sources by target and then to each
     source's shards by size, which gives every shard an integer quota. A shard
     lays its documents out in seeded order as a ring and takes the quota's
     blocks one after another from a seeded block start, going round again
@@ -108,15 +111,10 @@ def mix(
     )
     sizes = sized.groupBy(F.col("_own").alias("source")).agg(F.sum("size").alias("source_size"))
     aims = targets(sizes, limit, cycle).selectExpr(
-        "*", f"GREATEST(1, LEAST({block_words}, total DIV 65536)) AS _block",
-        f"GREATEST(1, CAST(CEIL(source_size / {shard_words}) AS BIGINT)) AS _shards",
+        "*", f"GREATEST(1, CAST(CEIL(source_size / {shard_words}) AS BIGINT)) AS _shards",
         "ROW_NUMBER() OVER (ORDER BY source NULLS LAST) AS _s",
     )
-    aims = aims.selectExpr(
-        "*", "target AS claim", f"{limit} * source_size DIV _block AS most",
-        "total DIV _block AS seats", "total AS sum_claim",
-    )
-    aims = frozen(apportion(aims, [], ["_s"]), "aims")  # a row per source
+    aims = frozen(aims, "aims")  # a row per source
 
     def key(*parts):
         return F.md5(F.concat_ws(":", F.lit(seed), *parts).cast("binary"))
@@ -130,9 +128,19 @@ def mix(
         .join(of_source, F.col("_own").eqNullSafe(F.col("_source")))
         .withColumn("_shard", F.pmod(number("_key"), F.col("_shards")))
     )
-    rings = rows.groupBy("_s", "_shard").agg(F.sum("size").alias("_ring"))
-    rings = rings.join(aims.select("_s", "source_size", "_block", F.col("quota").alias("seats")), "_s").selectExpr(
-        "*", "_ring AS claim", f"{limit} * _ring DIV _block AS most", "source_size AS sum_claim"
+    rings = frozen(rows.groupBy("_s", "_shard").agg(F.sum("size").alias("_ring")), "ring-sizes")
+    least = rings.filter("_ring > 0").groupBy("_s").agg(F.min("_ring").alias("_least"))
+    quotas = aims.join(least, "_s", "left").selectExpr(
+        "*", f"GREATEST(1, LEAST({block_words}, total DIV 65536,"
+        f" CAST(MIN(NULLIF(target, 0)) OVER () AS BIGINT) DIV {SOURCE_BLOCKS},"
+        f" CAST(MIN(target * _least / NULLIF(source_size, 0)) OVER () AS BIGINT) DIV {RING_BLOCKS})) AS _block",
+    ).selectExpr(
+        "*", "target AS claim", f"{limit} * source_size DIV _block AS most",
+        "total DIV _block AS seats", "total AS sum_claim",
+    )
+    quotas = frozen(apportion(quotas, [], ["_s"]), "quotas")  # a row per source
+    rings = rings.join(quotas.select("_s", "source_size", "_block", F.col("quota").alias("seats")), "_s").selectExpr(
+        "*", "CAST(_ring AS DOUBLE) AS claim", f"{limit} * _ring DIV _block AS most", "source_size AS sum_claim"
     )
     begin = number("_draw") % F.expr("NULLIF(_ring, 0)")
     rings = (

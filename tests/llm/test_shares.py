@@ -189,3 +189,28 @@ def test_pipeline(spark):
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
     assert QUERIES["pipeline"](spark, SMALL).count() == len(rows[5])
+
+
+def test_tiny_sources_in_a_large_table(spark):
+    """Blocks follow the smallest source and the smallest shard, not the table alone."""
+    big = spark.range(650).selectExpr("id AS doc_id", "IF(id % 2 = 0, 'x', 'y') AS source", "repeat('w ', 10000) AS text")
+    rows = [(1000, "a", "w " * 5), (1001, "b", "w " * 20), (1002, "b", "w " * 30), (1003, "c", "")]
+    tiny = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    rows = mix(big.unionByName(tiny)).collect()
+    assert sum(r.size for r in rows) // 65536 > 3 * 20, "a block of the table's share would not fit the tiny source"
+    for name, times in (("a", 3), ("b", 3), ("c", 0)):
+        own = [r for r in rows if r.doc.source == name]
+        assert sum(r.taken for r in own) == sum(r.target for r in {r.target: r for r in own}.values())
+        assert {(r.taken, r.copies) for r in own} == {(times * r.size, times) for r in own}
+    for name in ("x", "y"):
+        own = [r for r in rows if r.doc.source == name]
+        assert math.isclose(sum(r.taken for r in own), own[0].target, rel_tol=1e-4)
+
+
+def test_tiny_shards_of_a_source(spark):
+    """A shard that holds only a few short texts gives them as often as the rest."""
+    one = [(k, "x", "w " * (900_000 if k == 0 else 2)) for k in range(12)]
+    other = spark.range(1, 120).selectExpr("100 + id AS doc_id", "'y' AS source", "repeat('w ', 90000) AS text")
+    docs = spark.createDataFrame(one, "doc_id long, source string, text string").unionByName(other)
+    rows = [r for r in mix(docs, shard_words=150_000).collect() if r.doc.source == "x"]
+    assert rows[0].target == 3 * sum(r.size for r in rows) and {r.copies for r in rows} == {3}
