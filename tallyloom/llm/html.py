@@ -38,6 +38,9 @@ NOISE = frozenset(
 )
 PAGE_HEADER = frozenset("header topbar".split())
 GOOD = frozenset("article main content post entry story text body".split())
+#: First and last words of class names that tell a state of the page.
+STATE_FIRST, STATE_LAST = frozenset("has no with without".split()), frozenset("open closed enabled disabled".split())
+NEVER_NOISE = frozenset("html body main article".split())
 NOISE_ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split()
 )
@@ -50,6 +53,9 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: A group with a noise word is a wrapper, not noise, if it holds so much of the
+#: page's text outside links: where a class of its own is GOOD, and else.
+GOOD_WRAPPER, WRAPPER = 0.5, 0.9
 #: What a container keeps of the text of one nested a level deeper.
 DECAY = 0.7
 #: Votes kept per host, and the least score of a host's path against the
@@ -62,6 +68,7 @@ class Page:
 
     def __init__(self, html: str):
         self.parent, self.label, self.tag, self.out = [-1], [""], [""], [False]
+        self._doubt: dict[int, float] = {}  # nodes with noise words: the share that makes them wrappers
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
         self._stack, self._text, self._links, self._in_link = [0], [], 0, 0
         at = 0
@@ -87,6 +94,8 @@ class Page:
                 at = found.end() if found else len(html)
                 self._end(name)
         self._flush()
+        if self._doubt:
+            self._drop_noise()
 
     def _add(self, text: str) -> None:
         if text and not self.out[self._stack[-1]]:
@@ -118,7 +127,8 @@ class Page:
             hidden, classes, role = _attributes(rest)
         elif rest and ("class" in rest or "hidden" in rest or "style" in rest or "role" in rest):
             hidden, classes, role = _attributes(rest)
-        noise = hidden or role in NOISE_ROLES or (classes and self._noisy(classes))
+        doubt = self._noisy(classes) if classes and name not in NEVER_NOISE else 0.0
+        noise = hidden or role in NOISE_ROLES or doubt
         if not (name in LEAVES or name in GROUPS or name in LEFT_OUT or name in RAW or noise):
             return  # inline, or unknown: markup only
         if name in ENDS_P or noise:
@@ -128,18 +138,43 @@ class Page:
         if name in CLOSES:
             self._close_open(CLOSES[name])
         top = self._stack[-1]
-        out = self.out[top] or bool(noise) or name in LEFT_OUT or name in RAW or self._page_header(name, top)
+        sure = hidden or role in NOISE_ROLES or (doubt and name not in GROUPS)
+        out = self.out[top] or bool(sure) or name in LEFT_OUT or name in RAW or self._page_header(name, top)
         self.parent.append(top)
         self.tag.append(name)
         self.label.append(_general(name, classes))
         self.out.append(out)
+        if doubt and not out:
+            self._doubt[len(self.out) - 1] = doubt
         self._stack.append(len(self.parent) - 1)
 
-    def _noisy(self, classes: str) -> bool:
-        words = {w.lower() for w in WORD.findall(classes)}
-        if words & NOISE:
-            return True
-        return bool(words & PAGE_HEADER) and not words & GOOD and not self._in_article()
+    def _noisy(self, classes: str) -> float:
+        """0, or the share of the page's text that makes up for noise words."""
+        names = [[w.lower() for w in WORD.findall(c)] for c in classes.split()]
+        names = [n for n in names if len(n) < 2 or not (n[0] in STATE_FIRST or n[-1] in STATE_LAST)]
+        words = {w for n in names for w in n}
+        if words & NOISE or (words & PAGE_HEADER and not words & GOOD and not self._in_article()):
+            return GOOD_WRAPPER if any(n and GOOD.issuperset(n) for n in names) else WRAPPER
+        return 0.0
+
+    def _drop_noise(self) -> None:
+        """Leave out the blocks of noise, but not of wrappers: groups that hold
+        ``main``, or several blocks and nearly all text."""
+        held, blocks, mains = ([0.0] * len(self.parent) for _ in range(3))
+        for node, text, links in self.blocks:
+            held[node] += max(0.0, len(text) - 2.0 * links)
+            blocks[node] += 1
+        for node in range(len(self.parent) - 1, 0, -1):
+            up = self.parent[node]
+            held[up] += held[node]
+            blocks[up] += blocks[node]
+            mains[up] += mains[node] + (self.tag[node] == "main")
+        drop = [False] * len(self.parent)
+        for node in range(1, len(self.parent)):
+            least = self._doubt.get(node)
+            wraps = least is None or mains[node] or (blocks[node] > 1 and held[node] > least * held[0])
+            drop[node] = drop[self.parent[node]] or not wraps
+        self.blocks = [b for b in self.blocks if not drop[b[0]]]
 
     def _in_article(self) -> bool:
         return any(self.tag[n] in ("article", "main") for n in self._stack)

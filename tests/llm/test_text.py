@@ -162,3 +162,21 @@ def test_quality(spark, docs, no_docs):
     assert quality.quality_scores(no_docs, model).count() == 0
     nothing = quality.fit(no_docs, told.limit(0))
     assert {r.score for r in quality.quality_scores(docs, nothing).collect()} == {0.5}
+
+
+LEAD = "<h1>Title</h1><p>The first paragraph of the text, long enough.</p><p>The second paragraph of it.</p>"
+LEAD_TEXT = "Title\n\nThe first paragraph of the text, long enough.\n\nThe second paragraph of it."
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    [
+        "body class='single no-sidebar'", "div class='content has-sidebar'", "article class='post comments-open'",
+        "main class='search-enabled'", "div class='content sidebar-left'", "div class='wrap menu-layout'",
+        "body id='search'", "div class=withSidebar", "article class='related'",
+    ],
+)
+def test_wrappers_with_noise_words_are_kept(wrapper):
+    name = wrapper.split()[0]
+    page = f"<html><{wrapper}>{LEAD}<div class='share'><p>Share this</p></div></{name}><div class='no-js ad'>x</div></html>"
+    assert html.main_text(page, []) == LEAD_TEXT
