@@ -236,12 +236,28 @@ class Page:
         return "/".join(reversed(labels))
 
     def best(self) -> tuple[dict[str, float], str | None]:
-        """Scores by generalised path, and the best path."""
+        """Scores by generalised path, and the best path, widened."""
         by_path: dict[str, float] = {}
         for node, value in self.scores().items():
             path = self.path(node)
             by_path[path] = by_path.get(path, 0.0) + value
-        return by_path, max(by_path, key=lambda p: (by_path[p], p), default=None)
+        best = max(by_path, key=lambda p: (by_path[p], p), default=None)
+        return by_path, best and self._widened(best)
+
+    def _widened(self, path: str) -> str:
+        """The outermost article or main around ``path``, else the longest part
+        of it under which all blocks lie that are not mostly links."""
+        labels = path.split("/")
+        for depth, label in enumerate(labels, 1):
+            if label.split(".")[0] in ("article", "main"):
+                return "/".join(labels[:depth])
+        for node in {node for node, text, links in self.blocks if len(text) > 2 * links}:
+            own = self.path(self.container(node)).split("/")
+            same = 0
+            while same < min(len(own), len(labels)) and own[same] == labels[same]:
+                same += 1
+            del labels[same:]
+        return "/".join(labels)
 
     def text(self, path: str) -> str:
         """The blocks under the nodes of ``path``, in page order."""
@@ -282,7 +298,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if best is not None:
                 entry = seen.setdefault((host, best), [0, 0])
                 entry[0] += 1
-                entry[1] += int(scores[best])
+                entry[1] += int(scores.get(best, 0.0))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([h for h, _ in seen], pa.string()), pa.array([p for _, p in seen], pa.string()),
@@ -299,7 +315,7 @@ def main_text(html: str, paths: list[str]) -> str:
     scores, best = page.best()
     if best is None:
         return ""
-    enough = LEAST_SHARE * scores[best]
+    enough = LEAST_SHARE * max(scores.values())
     return page.text(next((p for p in paths if scores.get(p, -1.0) >= enough), best))
 
 

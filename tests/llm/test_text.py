@@ -180,3 +180,21 @@ def test_wrappers_with_noise_words_are_kept(wrapper):
     name = wrapper.split()[0]
     page = f"<html><{wrapper}>{LEAD}<div class='share'><p>Share this</p></div></{name}><div class='no-js ad'>x</div></html>"
     assert html.main_text(page, []) == LEAD_TEXT
+
+
+LONG_BODY = "".join(f"<p>Paragraph {k} of a body that is much longer than its lead.</p>" for k in range(9))
+LONG_TEXT = "\n\n".join(f"Paragraph {k} of a body that is much longer than its lead." for k in range(9))
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body><article><h1>Title</h1><p>lead</p><div class='content'>{LONG_BODY}</div></article>", f"Title\n\nlead\n\n{LONG_TEXT}"),
+        (f"<main><h1>Title</h1><article>{LONG_BODY}</article></main><p>beside", f"Title\n\n{LONG_TEXT}"),
+        (f"<div class='wrap'><div class='part-a'>{LONG_BODY}</div><div class='part-b'><p>rest</p></div></div>", f"{LONG_TEXT}\n\nrest"),
+        (f"<div class='part-a'>{LONG_BODY}</div><div class='part-b'><p>rest</p></div>", f"{LONG_TEXT}\n\nrest"),
+        (f"<div class='list'><a href='/'>Home</a></div><div class='part'>{LONG_BODY}</div>", LONG_TEXT),
+    ],
+)
+def test_parts_beside_the_largest_container_are_kept(page, text):
+    assert html.main_text(page, []) == text
