@@ -26,6 +26,7 @@ GROUPS = frozenset(
     "html body main article section div center header hgroup ul ol dl table tbody thead tfoot figure details "
     "fieldset search".split()
 )
+IN_HEAD = frozenset("html head title meta link base basefont bgsound script style noscript template".split())
 CELLS = frozenset("td th".split())
 ENDS_P = LEAVES | GROUPS | LEFT_OUT - {"script", "style", "template", "noscript"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}}
@@ -52,6 +53,7 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+HREF = re.compile(r"(?:^|[\s\"'/])href\s*=", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: A group with a noise word is a wrapper, not noise, if it holds so much of the
 #: page's text outside links: where a class of its own is GOOD, and else.
@@ -70,7 +72,7 @@ class Page:
         self.parent, self.label, self.tag, self.out = [-1], [""], [""], [False]
         self._doubt: dict[int, float] = {}  # nodes with noise words: the share that makes them wrappers
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
-        self._stack, self._text, self._links, self._in_link = [0], [], 0, 0
+        self._stack, self._text, self._links, self._link = [0], [], 0, 0  # _link: depth of an open link
         at = 0
         while at < len(html):
             token = TOKEN.search(html, at)
@@ -98,9 +100,11 @@ class Page:
             self._drop_noise()
 
     def _add(self, text: str) -> None:
+        if self.tag[self._stack[-1]] == "head" and text.strip():
+            self._close(len(self._stack) - 1)
         if text and not self.out[self._stack[-1]]:
             self._text.append(text)
-            if self._in_link:
+            if self._link:
                 self._links += len(text.strip())
 
     def _flush(self) -> None:
@@ -110,9 +114,17 @@ class Page:
                 self.blocks.append((self._stack[-1], text, self._links))
             self._text, self._links = [], 0
 
+    def _close(self, depth: int) -> None:
+        """Close the open elements from ``depth`` on, and a link begun inside."""
+        del self._stack[depth:]
+        if self._link > depth:
+            self._link = 0
+
     def _start(self, name: str, rest: str) -> None:
+        if name not in IN_HEAD and self.tag[self._stack[-1]] == "head":
+            self._close(len(self._stack) - 1)
         if name == "a":
-            self._in_link = 1
+            self._link = len(self._stack) if HREF.search(rest or "") else 0
         if name in VOID:
             if name == "hr":
                 self._flush()
@@ -134,7 +146,7 @@ class Page:
         if name in ENDS_P or noise:
             self._flush()
         if name in ENDS_P and self.tag[self._stack[-1]] == "p":
-            self._stack.pop()
+            self._close(len(self._stack) - 1)
         if name in CLOSES:
             self._close_open(CLOSES[name])
         top = self._stack[-1]
@@ -188,21 +200,21 @@ class Page:
             tag = self.tag[self._stack[depth]]
             if tag in names:
                 self._flush()
-                del self._stack[depth:]
+                self._close(depth)
                 return
             if tag in SCOPES:
                 return
 
     def _end(self, name: str) -> None:
         if name == "a":
-            self._in_link = 0
+            self._link = 0
         if name in CELLS:
             self._add(" ")
             return
         for depth in range(len(self._stack) - 1, 0, -1):
             if self.tag[self._stack[depth]] == name:
                 self._flush()
-                del self._stack[depth:]
+                self._close(depth)
                 return
 
     def container(self, node: int) -> int:
@@ -313,8 +325,8 @@ def main_text(html: str, paths: list[str]) -> str:
     enough text, else under the page's own best container."""
     page = Page(html)
     scores, best = page.best()
-    if best is None:
-        return ""
+    if best is None:  # all blocks are mostly links
+        return page.text("")
     enough = LEAST_SHARE * max(scores.values())
     return page.text(next((p for p in paths if scores.get(p, -1.0) >= enough), best))
 

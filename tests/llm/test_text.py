@@ -198,3 +198,24 @@ LONG_TEXT = "\n\n".join(f"Paragraph {k} of a body that is much longer than its l
 )
 def test_parts_beside_the_largest_container_are_kept(page, text):
     assert html.main_text(page, []) == text
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><head><title>t</title><body><p>text", "text"),
+        ("<html><head><meta charset=utf-8><link rel=x><p>one<p>two", "one\n\ntwo"),
+        ("<head><title>t</title><script>x</script>bare text", "bare text"),
+        ("<head><title>t</title><noscript><p>no</p></noscript></head><p>text", "text"),
+        ("<body><p><a name=top>one<p>two<p>three", "one\n\ntwo\n\nthree"),
+        ("<body><div><p><a href=/x>one<p>two and more</div><div><p>q <a data-href=x>w</a></div>", "one\n\ntwo and more\n\nq w"),
+        ("<body><nav>n</nav><p><a href=/x>only</a></p><p><a href=/y>links</a></p>", "only\n\nlinks"),
+    ],
+)
+def test_markup_that_leaves_out_tags(page, text):
+    assert html.main_text(page, []) == text
+
+
+def test_links_end_with_their_block():
+    page = html.Page("<p>a <a href=/x>bc<p>de<p><a name=y>fg<div><a href=/z><p>hi</p></a><p>jk</div>")
+    assert [(t, n) for _, t, n in page.blocks] == [("a bc", 2), ("de", 0), ("fg", 0), ("hi", 2), ("jk", 0)]
