@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import partial
+from hashlib import md5
 from html import unescape
 
 import pyarrow as pa
@@ -60,9 +61,9 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 GOOD_WRAPPER, WRAPPER = 0.5, 0.9
 #: What a container keeps of the text of one nested a level deeper.
 DECAY = 0.7
-#: Votes kept per host, and the least score of a host's path against the
-#: page's own best container for it to be used.
-HOST_PATHS, LEAST_SHARE = 64, 0.25
+#: The least score of a path against the page's best container for the votes of
+#: the host to choose it.
+LEAST_SHARE = 0.25
 
 
 class Page:
@@ -301,41 +302,65 @@ def _general(name: str, classes: str) -> str:
     return f"{name}.{'.'.join(parts)}"
 
 
+def _choice(page: Page) -> tuple[list[str], str | None, float]:
+    """The paths that votes may choose for a page, its own vote and its score."""
+    scores, best = page.best()
+    if best is None:
+        return [], None, 0.0
+    enough = LEAST_SHARE * max(scores.values())
+    return sorted({p for p, score in scores.items() if score >= enough} | {best}), best, scores.get(best, 0.0)
+
+
+def _template(paths: list[str]) -> str:
+    return md5("\n".join(paths).encode()).hexdigest()
+
+
+BALLOTS = "host string, template string, paths array<string>, path string, votes long, score long"
+
+
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each page's best path, combined per batch."""
+    """Each page's vote and the paths it has to choose from, combined per batch."""
     for batch in batches:
-        seen: dict[tuple[str, str], list[int]] = {}
+        seen: dict[tuple, list[int]] = {}
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            scores, best = Page(html).best()
+            paths, best, score = _choice(Page(html))
             if best is not None:
-                entry = seen.setdefault((host, best), [0, 0])
+                entry = seen.setdefault((host, tuple(paths), best), [0, 0])
                 entry[0] += 1
-                entry[1] += int(scores.get(best, 0.0))
+                entry[1] += int(score)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([h for h, _ in seen], pa.string()), pa.array([p for _, p in seen], pa.string()),
+                pa.array([h for h, _, _ in seen], pa.string()),
+                pa.array([_template(list(c)) for _, c, _ in seen], pa.string()),
+                pa.array([list(c) for _, c, _ in seen], pa.list_(pa.string())),
+                pa.array([p for _, _, p in seen], pa.string()),
                 pa.array([v for v, _ in seen.values()], pa.int64()), pa.array([c for _, c in seen.values()], pa.int64()),
             ],
-            names=["host", "path", "votes", "score"],
+            names=["host", "template", "paths", "path", "votes", "score"],
         )
 
 
+def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [_template(_choice(Page(html))[0]) for html in batch.column("html").to_pylist()]
+        yield batch.append_column("template", pa.array(found, pa.string()))
+
+
 def main_text(html: str, paths: list[str]) -> str:
-    """The text under the first of the host's ``paths`` that the page has with
-    enough text, else under the page's own best container."""
+    """The text under the first of ``paths`` that the page has with enough
+    text, else under the page's own best container."""
     page = Page(html)
-    scores, best = page.best()
+    choice, best, _ = _choice(page)
     if best is None:  # all blocks are mostly links
         return page.text("")
-    enough = LEAST_SHARE * max(scores.values())
-    return page.text(next((p for p in paths if scores.get(p, -1.0) >= enough), best))
+    return page.text(next((p for p in paths if p in choice), best))
 
 
 def _extract(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [
-            main_text(html, paths or [])
-            for html, paths in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist(), strict=True)
+            main_text(html, [] if path is None else [path])
+            for html, path in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)
         ]
         yield pa.RecordBatch.from_arrays(
             [
@@ -352,33 +377,47 @@ def extract_pages(
     """Per page: id, url, ``text``, ``n_chars``.
 
     Every page scores its containers and votes for the generalised tag-class
-    path of the best one; votes are added up per host, and every page is then
-    read again by its host's paths in the order of their votes. A page that
-    has none of them with enough text, or no host, goes by its own best
-    container. NULL html is empty and gives an empty text; so does a page
-    without text outside menus and other boilerplate. Rows that repeat an id
-    are extracted one by one and vote one by one; an empty table gives no
-    rows; other columns are ignored.
+    path of the best one; votes are added up per host. Pages of a host with
+    the same choice of well-filled paths are of one template; each template
+    takes the path of its choice that the largest part of the host's pages
+    with that path vote for. A page without a host goes by its own best container. NULL html is empty and
+    gives an empty text; so does a page without text outside menus and other
+    boilerplate. Rows that repeat an id are extracted one by one and vote one
+    by one; an empty table gives no rows; other columns are ignored.
 
     Votes are combined in the task before they are shuffled, so a host with a
-    third of the pages sends few rows. ``HOST_PATHS`` paths of a host are kept
-    in order of votes; pages of rarer layouts go by their own container.
+    third of the pages sends few rows. All paths of a host count, and they
+    meet the templates by (host, path); no task holds the paths of a host. Only
+    templates in which some page did not vote for the path chosen go back to
+    the pages.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     pages = df.select(
         F.col(id_col), F.col(url_col), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html")
     )
-    votes = pages.filter("host <> ''").select("host", "html").mapInArrow(
-        _votes, "host string, path string, votes long, score long"
+    ballots = pages.filter("host <> ''").select("host", "html").mapInArrow(_votes, BALLOTS)
+    ballots = frozen(
+        ballots.groupBy("host", "template", "path").agg(
+            F.sum("votes").alias("votes"), F.sum("score").alias("score"), F.first("paths").alias("paths")
+        ),
+        "ballots",
+    )
+    totals = ballots.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("score").alias("score"))
+    templates = ballots.groupBy("host", "template").agg(
+        F.first("paths").alias("paths"), F.sum("votes").alias("pages"),
+        F.min("path").alias("low"), F.max("path").alias("high"),
+    )
+    choices = templates.select("host", "template", "pages", "low", "high", F.explode("paths").alias("path"))
+    seen = choices.groupBy("host", "path").agg(F.sum("pages").alias("on"))
+    rates = totals.join(seen, ["host", "path"]).selectExpr(
+        "host", "path", "struct(-votes / (on + 1) AS rate, -votes AS votes, -score AS score, path) AS place"
     )
-    totals = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("score").alias("score"))
-    ranked = totals.selectExpr(
-        "*", "ROW_NUMBER() OVER (PARTITION BY host ORDER BY votes DESC, score DESC, path) AS place"
-    ).filter(F.col("place") <= HOST_PATHS)
-    places = F.array_sort(F.collect_list(F.struct("place", "path")))
-    winners = frozen(
-        ranked.groupBy("host").agg(F.transform(places, lambda p: p["path"]).alias("paths")), "paths"
+    chosen = choices.join(rates, ["host", "path"]).groupBy("host", "template").agg(
+        F.min("place")["path"].alias("path"), F.min("low").alias("low"), F.max("high").alias("high")
     )
+    winners = frozen(chosen.filter("low <> path OR high <> path").select("host", "template", "path"), "paths")
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (id_col, url_col))
-    joined = pages.join(winners, "host", "left").select(id_col, url_col, "html", "paths")
+    fields = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in pages.columns)
+    known = pages.mapInArrow(_templates, f"{fields}, template string")
+    joined = known.join(winners, ["host", "template"], "left").select(id_col, url_col, "html", "path")
     return joined.mapInArrow(partial(_extract, names=[id_col, url_col]), f"{kinds}, text string, n_chars long")

@@ -219,3 +219,17 @@ def test_markup_that_leaves_out_tags(page, text):
 def test_links_end_with_their_block():
     page = html.Page("<p>a <a href=/x>bc<p>de<p><a name=y>fg<div><a href=/z><p>hi</p></a><p>jk</div>")
     assert [(t, n) for _, t, n in page.blocks] == [("a bc", 2), ("de", 0), ("fg", 0), ("hi", 2), ("jk", 0)]
+
+
+def test_rare_layouts_of_a_host_have_their_votes(spark):
+    """Votes count for every layout of a host, however many there are."""
+    side = "<div class='extra'><p>" + "long unrelated side text " * 10 + "</p></div>"
+    rows = []
+    for k in range(90):
+        name = f"content lay{chr(97 + k // 10)}{chr(97 + k % 10)}"
+        for copy in range(2 if k >= 80 else 3):
+            rows.append((len(rows), "http://host.example/", f"<body><div class='{name}'>{LEAD}</div></body>"))
+        if k >= 80:
+            rows.append((1000 + k, "http://host.example/", f"<body><div class='{name}'>{LEAD}</div>{side}</body>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.text for r in html.extract_pages(pages).collect()} == {LEAD_TEXT}
