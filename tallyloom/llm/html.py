@@ -61,9 +61,9 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 GOOD_WRAPPER, WRAPPER = 0.5, 0.9
 #: What a container keeps of the text of one nested a level deeper.
 DECAY = 0.7
-#: The least score of a path against the page's best container for the votes of
-#: the host to choose it.
-LEAST_SHARE = 0.25
+#: The least score of a path against the page's best container for votes to
+#: choose it.
+LEAST_SHARE = 0.4
 
 
 class Page:
@@ -378,9 +378,10 @@ def extract_pages(
 
     Every page scores its containers and votes for the generalised tag-class
     path of the best one; votes are added up per host. Pages of a host with
-    the same choice of well-filled paths are of one template; each template
-    takes the path of its choice that the largest part of the host's pages
-    with that path vote for. A page without a host goes by its own best container. NULL html is empty and
+    the same choice of well-filled paths are of one template. A template of
+    several pages takes the path that most of them vote for; a page that is
+    the only one of its template takes the path of its choice that the largest
+    part of the host's pages with that path vote for. A page without a host goes by its own best container. NULL html is empty and
     gives an empty text; so does a page without text outside menus and other
     boilerplate. Rows that repeat an id are extracted one by one and vote one
     by one; an empty table gives no rows; other columns are ignored.
@@ -406,14 +407,16 @@ def extract_pages(
     templates = ballots.groupBy("host", "template").agg(
         F.first("paths").alias("paths"), F.sum("votes").alias("pages"),
         F.min("path").alias("low"), F.max("path").alias("high"),
+        F.expr("MIN(struct(-votes AS votes, -score AS score, path))")["path"].alias("own"),
     )
-    choices = templates.select("host", "template", "pages", "low", "high", F.explode("paths").alias("path"))
+    choices = templates.select("host", "template", "pages", "low", "high", "own", F.explode("paths").alias("path"))
     seen = choices.groupBy("host", "path").agg(F.sum("pages").alias("on"))
     rates = totals.join(seen, ["host", "path"]).selectExpr(
         "host", "path", "struct(-votes / (on + 1) AS rate, -votes AS votes, -score AS score, path) AS place"
     )
     chosen = choices.join(rates, ["host", "path"]).groupBy("host", "template").agg(
-        F.min("place")["path"].alias("path"), F.min("low").alias("low"), F.max("high").alias("high")
+        F.expr("IF(MAX(pages) > 1, MIN(own), MIN(place).path)").alias("path"),
+        F.min("low").alias("low"), F.max("high").alias("high"),
     )
     winners = frozen(chosen.filter("low <> path OR high <> path").select("host", "template", "path"), "paths")
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (id_col, url_col))

@@ -233,3 +233,14 @@ def test_rare_layouts_of_a_host_have_their_votes(spark):
             rows.append((1000 + k, "http://host.example/", f"<body><div class='{name}'>{LEAD}</div>{side}</body>"))
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r.text for r in html.extract_pages(pages).collect()} == {LEAD_TEXT}
+
+
+def test_templates_of_a_host_have_votes_of_their_own(spark):
+    """A page is not cut to the container of the host's other template."""
+    lead = "<div class='content'><p>" + "a short lead " * 16 + "</p></div>"
+    rows = [(k, "http://host.example/", f"<body>{lead}</body>") for k in range(6)]
+    rows += [(k, "http://host.example/", f"<body>{lead}<div class='longread'>{LONG_BODY}</div></body>") for k in range(6, 9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = ("a short lead " * 16).strip()
+    got = {r.page_id: r.text for r in html.extract_pages(pages).collect()}
+    assert got == {k: text if k < 6 else f"{text}\n\n{LONG_TEXT}" for k in range(9)}
