@@ -19,8 +19,10 @@ from tallyloom.llm.near_dedup import near_groups
 from tallyloom.llm.quality import fit, quality_scores
 from tallyloom.llm.sharding import shard_documents
 from tallyloom.llm.shipping import ship
+from tallyloom.llm.source_audit import source_audit
 from tallyloom.llm.substrings import remove_repeats
 from tallyloom.llm.token_counts import token_counts
+from tallyloom.llm.vector_codes import vector_codes
 from tallyloom.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -250,6 +252,93 @@ def op10(spark, folder):
     return shard_documents(table(spark, folder, "documents"))
 
 
+@query(
+    "op12_source_audit",
+    r"""
+    WITH d AS (
+        SELECT doc_id, COALESCE(lang, '') AS lang, COALESCE(source, '') AS source,
+               regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws,
+               ROW_NUMBER() OVER () AS r
+        FROM documents),
+    t AS (SELECT r, lang, source, term, COUNT(*) AS n FROM (SELECT r, lang, source, UNNEST(ws) AS term FROM d) GROUP BY ALL),
+    kept AS (SELECT lang, term, SUM(n)::HUGEINT AS n FROM t GROUP BY lang, term HAVING COUNT(*) >= 30),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    v AS (SELECT lang, COUNT(term) AS v, COALESCE(SUM(n), 0)::HUGEINT AS total
+          FROM (SELECT DISTINCT lang FROM g) LEFT JOIN kept USING (lang) GROUP BY lang),
+    c AS (SELECT g.lang, g.source, kept.term, COALESCE(SUM(t.n), 0)::HUGEINT AS n
+          FROM g JOIN kept ON kept.lang = g.lang
+          LEFT JOIN t ON t.lang = g.lang AND t.source = g.source AND t.term = kept.term GROUP BY ALL),
+    p AS (
+        SELECT c.lang, c.source, c.term, c.n, 1 + (1000000000 * (c.n + 5))
+               // (SUM(c.n) OVER (PARTITION BY c.lang, c.source) + 5 * v.v)::HUGEINT AS p,
+               1 + (1000000000 * (kept.n + 5)) // (v.total + 5 * v.v) AS q
+        FROM c JOIN v ON v.lang = c.lang JOIN kept ON kept.lang = c.lang AND kept.term = c.term),
+    f AS (SELECT a.lang, a.source, b.source AS item, SUM(ABS(a.p - b.p)) AS value
+          FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    pairs AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, COALESCE(f.value, 0)::BIGINT AS value
+        FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+    terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, value, rank::INT AS rank FROM (
+        SELECT *, ROW_NUMBER() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+        FROM (FROM pairs UNION ALL FROM terms))
+    WHERE part = 'pair' OR rank <= 50""",
+)
+def op12(spark, folder):
+    return source_audit(table(spark, folder, "documents"))
+
+
+_LLOYD_PARTS = """
+    kept AS (
+        SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+        FROM embeddings WHERE embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    x AS (
+        SELECT vec_id, label, pos, list_slice(v, pos * w + 1, pos * w + w) AS part
+        FROM (SELECT *, len(v) // 16 AS w, UNNEST(range(16)) AS pos FROM kept))"""
+
+
+def _lloyd_round(before: str, entries: str, after: str) -> str:
+    """Assignment to ``entries`` (pos, entry, part) as table ``before``, means as table ``after``."""
+    return f"""
+    {before} AS (
+        SELECT vec_id, x.pos, ANY_VALUE(x.part) AS part, arg_min(e.entry, (d, e.entry)) AS entry, MIN(d) AS d
+        FROM (SELECT x.vec_id, x.pos, x.part, e.entry, e.part AS c, list_sum(list_transform(
+                  list_zip(x.part, e.part), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+              FROM x JOIN {entries} e ON e.pos = x.pos) e JOIN x USING (vec_id, pos) GROUP BY vec_id, x.pos),
+    {after} AS (
+        SELECT o.pos, o.entry, COALESCE(n.part, o.part) AS part FROM {entries} o LEFT JOIN (
+            SELECT pos, entry, list(m ORDER BY i) AS part FROM (
+                SELECT pos, entry, i, floor(SUM(c)::DOUBLE / COUNT(*))::BIGINT AS m
+                FROM (SELECT pos, entry, UNNEST(part) AS c, UNNEST(range(len(part))) AS i FROM {before})
+                GROUP BY pos, entry, i) GROUP BY pos, entry) n
+        ON n.pos = o.pos AND n.entry = o.entry)"""
+
+
+@query(
+    "op13_vector_codes",
+    f"""
+    WITH {_LLOYD_PARTS},
+    b0 AS (
+        SELECT pos, part, (ROW_NUMBER() OVER (PARTITION BY pos ORDER BY vec_id)) - 1 AS entry
+        FROM x WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 64)),
+    {_lloyd_round("a0", "b0", "b1")},
+    {_lloyd_round("a1", "b1", "b2")},
+    {_lloyd_round("a2", "b2", "unused")},
+    coded AS (
+        SELECT vec_id, string_agg(format('{{:02x}}', entry), '' ORDER BY pos) AS code, SUM(d)::BIGINT AS error
+        FROM a2 GROUP BY vec_id),
+    books AS (
+        SELECT sha256(string_agg(array_to_string(part, ','), ',' ORDER BY pos, entry)) AS codebooks_sha256 FROM b2)
+    SELECT vec_id, code, error, (SUM(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+    FROM coded JOIN kept USING (vec_id), books""",
+)
+def op13(spark, folder):
+    return vector_codes(table(spark, folder, "embeddings")).drop("label")
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)
