@@ -14,6 +14,7 @@ from tallyloom.llm.bpe import encode_texts
 from tallyloom.llm.embedding_dedup import embedding_groups
 from tallyloom.llm.exact_dedup import exact_groups
 from tallyloom.llm.html import extract_pages
+from tallyloom.llm.long_matches import remove_long_matches
 from tallyloom.llm.mixing import mix
 from tallyloom.llm.near_dedup import near_groups
 from tallyloom.llm.quality import fit, quality_scores
@@ -252,6 +253,35 @@ def op10(spark, folder):
     return shard_documents(table(spark, folder, "documents"))
 
 
+@query(
+    "op11_suffix_dedup",
+    r"""
+    WITH t AS (
+        SELECT doc_id, hex(encode(COALESCE(text, ''))) AS h, octet_length(encode(COALESCE(text, ''))) AS n,
+               ROW_NUMBER() OVER () AS r
+        FROM documents),
+    b AS (SELECT r, doc_id, n, i, substr(h, 2 * i + 1, 2) AS byte, substr(h, 2 * i + 1, 100) AS seq
+          FROM (SELECT *, UNNEST(range(n)) AS i FROM t)),
+    hit AS (
+        SELECT r, doc_id, i, byte, i + 50 <= n AND COALESCE(doc_id > MIN(doc_id) OVER (PARTITION BY seq),
+               MIN(doc_id) OVER (PARTITION BY seq) IS NOT NULL) AS bad FROM b),
+    cov AS (
+        SELECT *, BOOL_OR(bad) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM hit),
+    edge AS (SELECT *, gone AND NOT COALESCE(LAG(gone) OVER (PARTITION BY r ORDER BY i), FALSE) AS opens FROM cov),
+    res AS (
+        SELECT r, COUNT(*) FILTER (WHERE gone) AS n_removed, COUNT(*) FILTER (WHERE opens) AS n_spans,
+               COALESCE(string_agg(byte, '' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept
+        FROM edge GROUP BY r)
+    SELECT t.doc_id, t.n::BIGINT AS n_bytes, COALESCE(n_removed, 0)::BIGINT AS n_removed,
+           COALESCE(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(COALESCE(kept, ''))) AS kept_sha256
+    FROM t LEFT JOIN res ON res.r = t.r""",
+)
+def op11(spark, folder):
+    left = remove_long_matches(table(spark, folder, "documents"))
+    spans = F.size("removed").cast("long").alias("n_spans")
+    return left.select("doc_id", "n_bytes", "n_removed", spans, F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query(
     "op12_source_audit",
     r"""
