@@ -14,9 +14,9 @@ from tallyloom.llm.words import BASE, BASE_INVERSE, BYTE, binary_array, mix, pow
 
 #: Bytes of text that are handled together, and that one census bucket or one
 #: index is answerable for.
-SLICE_BYTES, BUCKET_BYTES, ROUTE_BYTES = 2 << 20, 32 << 20, 8 << 20
+SLICE_BYTES, BUCKET_BYTES, ROUTE_BYTES = 2 << 20, 8 << 20, 8 << 20
 #: Bytes of an anchor, and of the anchor that splits a hot one.
-ANCHOR, FINE_ANCHOR = 16, 32
+ANCHOR, FINE_ANCHOR = 16, 40
 #: Slices that hold an anchor before it is hot.
 HOT_SLICES = 64
 #: Window starts of one numpy pass, and of one string that is streamed.
@@ -64,7 +64,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, size: int, window: int) -> tu
         own = inside[at]
         starts.append(a + at[own])
         stops.append(a + end[own])
-        values.append(value[at[own]] >> np.uint64(64 - VALUE_BITS))
+        # scrambled again: the smallest of many hashes has few high bits
+        values.append(mix(value[at[own]]) >> np.uint64(64 - VALUE_BITS))
     if not starts:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0, np.uint64), none
@@ -127,7 +128,7 @@ def _census(table: pa.Table, window: int, bits: int) -> pa.Table:
         known, owner = np.unique(ids[a:b], return_inverse=True)
         rows.append({
             "bucket": int(bucket[a]), "slice": table.column("slice")[0].as_py(), "vals": _pack(value[a:b]).tobytes(),
-            "owners": _narrow(owner, len(known)).tobytes(), "ids": known.tobytes(), "many": np.packbits(many[a:b]).tobytes(),
+            "owners": _narrow(owner, len(known)).tobytes(), "ids": np.diff(known, prepend=0).tobytes(), "many": np.packbits(many[a:b]).tobytes(),
         })
     names = [("bucket", pa.int32()), ("slice", pa.int64()), *[(n, pa.binary()) for n in ("vals", "owners", "ids", "many")]]
     return pa.Table.from_pylist(rows, pa.schema(names))
@@ -145,12 +146,13 @@ def _judge(table: pa.Table, routes: int) -> pa.Table:
     values = [_unpack(r["vals"]) for r in rows]
     sizes = np.array([len(v) for v in values])
     ids = np.concatenate([
-        np.frombuffer(r["ids"], np.int64)[_wide(r["owners"], n)] for r, n in zip(rows, sizes, strict=True)
+        np.cumsum(np.frombuffer(r["ids"], np.int64))[_wide(r["owners"], n)] for r, n in zip(rows, sizes, strict=True)
     ])
     many = np.concatenate([
         np.unpackbits(np.frombuffer(r["many"], np.uint8), count=n) for r, n in zip(rows, sizes, strict=True)
     ])
     value = np.concatenate(values)
+    del values
     order = np.lexsort((ids, value))
     ordered = value[order]
     at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
@@ -287,14 +289,44 @@ def _consecutive(position: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, n
     return first, np.append(first[1:], len(position)) - 1 if len(first) else first
 
 
+def _text(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    return data, np.append(0, np.cumsum([len(s) for s in strings], dtype=np.int64))
+
+
+def _narrowed(data: np.ndarray, runs: tuple[np.ndarray, ...], keep: np.ndarray, window: int) -> tuple[np.ndarray, list[bytes]]:
+    """Where the kept runs of windows begin, neighbours as one, and their bytes."""
+    start, stop, _, row = (x[keep] for x in runs)
+    new = np.append(True, (start[1:] != stop[:-1]) | (row[1:] != row[:-1])) if len(start) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(start)) - 1
+    blob = data.tobytes()
+    ends = zip(start[at].tolist(), stop[last].tolist(), strict=True) if len(at) else ()
+    return start[at], [blob[a : b + window - 1] for a, b in ends]
+
+
 def long_matches(indexed: list[bytes], streamed: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which windows of the streamed strings stand in an indexed one: a flag
-    per byte of the strings put together, those bytes, and where strings begin."""
-    data = np.frombuffer(b"".join(streamed), np.uint8)
-    offsets = np.append(0, np.cumsum([len(s) for s in streamed], dtype=np.int64))
-    if not indexed or not streamed:
-        return np.zeros(len(data), bool), data, offsets
-    return index_of(indexed).matching_statistics(data, offsets, window) >= window, data, offsets
+    per byte of the strings put together, those bytes, and where strings begin.
+
+    Only windows whose longer anchor both sides have are indexed or streamed,
+    equal stretches of them once.
+    """
+    data, offsets = _text(streamed)
+    found = np.zeros(len(data), bool)
+    base, begins = _text(indexed)
+    ours, theirs = anchors(base, begins, FINE_ANCHOR, window), anchors(data, offsets, FINE_ANCHOR, window)
+    _, held = _narrowed(base, ours, np.isin(ours[2], theirs[2]), window)
+    at, wanted = _narrowed(data, theirs, np.isin(theirs[2], ours[2]), window)
+    if held and wanted:
+        distinct = {s: k for k, s in enumerate(dict.fromkeys(wanted))}
+        text, begin = _text(list(distinct))
+        hit = index_of(sorted(set(held))).matching_statistics(text, begin, window) >= window
+        size = np.array([len(s) for s in wanted])
+        into, _ = _gathered(at, size)
+        source, _ = _gathered(begin[[distinct[s] for s in wanted]], size)
+        found[into[hit[source]]] = True
+    return found, data, offsets
 
 
 def _found(indexed: list[bytes], strings: list[bytes], smallest: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -435,7 +467,7 @@ def remove_long_matches(
     are matched among themselves in the same way. Anchors found in more than 64
     slices are split by longer anchors. Equal strings of a slice go on once.
     """
-    if window < FINE_ANCHOR:
+    if window <= FINE_ANCHOR:
         raise ValueError(f"windows of fewer than {FINE_ANCHOR} bytes have no anchor")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_id"), text.alias("_text"))

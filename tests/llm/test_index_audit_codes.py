@@ -110,8 +110,8 @@ def test_long_matches_by_steps(monkeypatch, seed, hot):
             a = rng.integers(0, 70)
             pieces += [p[a : a + rng.integers(10, 90)], bytes(rng.integers(97, 123, rng.integers(0, 30)).astype(np.uint8))]
         rows.append((None if k % 17 == 16 else int(rng.integers(-5, 50)), b"".join(pieces)))
-    got = in_process(rows, 40, slices=7)
-    want = removed(rows, 40)
+    got = in_process(rows, 45, slices=7)
+    want = removed(rows, 45)
     assert sorted((r["id"] is None, r["id"] or 0, r["n_bytes"], r["n_removed"], repr([list(s.values()) for s in r["removed"]]), r["kept"]) for r in got) == sorted(
         (i is None, i or 0, len(t), len(g), repr(spans(g)), bytes(b for k, b in enumerate(t) if k not in set(g)))
         for (i, t), g in zip(rows, want, strict=True)
