@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import partial
@@ -171,15 +172,17 @@ class Chunks:
 
 
 def segments(text: bytes, special: dict[bytes, int]) -> Iterator[tuple[bytes, int | None]]:
-    """Stretches of ordinary text, each with the special token behind it."""
-    while True:
-        hits = [(at, s) for s in special if (at := text.find(s)) >= 0]
-        if not hits:
-            yield text, None
-            return
-        at, token = min(hits, key=lambda h: (h[0], -len(h[1])))
-        yield text[:at], special[token]
-        text = text[at + len(token) :]
+    """Stretches of ordinary text, each with the special token behind it: the
+    first special string, of several at one place the longest."""
+    if not special:
+        yield text, None
+        return
+    at = 0
+    wanted = b"|".join(re.escape(s) for s in sorted(special, key=len, reverse=True))
+    for hit in re.finditer(wanted, text):
+        yield text[at : hit.start()], special[hit.group()]
+        at = hit.end()
+    yield text[at:], None
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
@@ -240,15 +243,35 @@ def _fetch(batches: Iterator[pa.RecordBatch], cut: Callable, special: dict, owne
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Chunks and their ids, packed into one value for each batch."""
     codec = Codec.load(path)
     for batch in batches:
-        ids = [codec.encode(c) for c in batch.column("chunk").to_pylist()]
-        yield batch.append_column("ids", pa.array(ids, pa.list_(pa.int32())))
-
-
-def shared_chunks(texts: DataFrame, path: str, cut: Callable, special: dict) -> dict[bytes, list[int]]:
-    """The chunks that save most when encoded once: at most SHARED_CHUNKS of
-    at most SHARED_BYTES bytes, by bytes times further documents."""
+        chunks = batch.column("chunk").to_pylist()
+        ids = [codec.encode(c) for c in chunks]
+        sizes = np.array([[len(c), len(i)] for c, i in zip(chunks, ids, strict=True)], np.int32)
+        packed = [np.int32(len(chunks)).tobytes(), sizes.tobytes(), b"".join(chunks)]
+        packed += [np.array(i, np.int32).tobytes() for i in ids]
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(packed)], pa.binary())], names=["packed"])
+
+
+def unpacked(parts: list[bytes]) -> dict[bytes, array]:
+    """The dictionary that the parts of :func:`_encoded` hold."""
+    out: dict[bytes, array] = {}
+    for part in parts:
+        count = int(np.frombuffer(part, np.int32, 1)[0])
+        sizes = np.frombuffer(part, np.int32, 2 * count, 4).reshape(-1, 2).tolist()
+        at = 4 + 8 * count
+        behind = at + sum(s for s, _ in sizes)
+        for size, ids in sizes:
+            out[part[at : at + size]] = array("i", part[behind : behind + 4 * ids])
+            at, behind = at + size, behind + 4 * ids
+    return out
+
+
+def shared_chunks(texts: DataFrame, path: str, cut: Callable, special: dict) -> list[bytes]:
+    """The chunks that save most when encoded once, packed with their ids: at
+    most SHARED_CHUNKS of at most SHARED_BYTES bytes, by bytes times further
+    documents. What reaches the driver are these bytes, as they are."""
     spark = texts.sparkSession
     census = texts.mapInArrow(
         partial(_census, cut=cut, special=special), "name long, size long, n long, key long"
@@ -260,19 +283,26 @@ def shared_chunks(texts: DataFrame, path: str, cut: Callable, special: dict) ->
     )
     owners = spark.sparkContext.broadcast([(r.name, r.key) for r in top.select("name", "key").collect()])
     if not owners.value:
-        return {}
+        return []
     found = texts.mapInArrow(
         partial(_fetch, cut=cut, special=special, owners=owners), "name long, chunk binary"
     ).dropDuplicates(["name"])
-    rows = found.mapInArrow(partial(_encoded, path=path), "name long, chunk binary, ids array<int>")
-    return {bytes(r.chunk): list(r.ids) for r in rows.toLocalIterator()}
+    parts = [bytes(r.packed) for r in found.mapInArrow(partial(_encoded, path=path), "packed binary").collect()]
+    owners.destroy()
+    return parts
+
+
+def special_tokens(path: str) -> dict[bytes, int]:
+    """The special strings of a tokenizer file, without building an encoder."""
+    with open(path, encoding="utf-8") as file:
+        return {t["content"].encode(): t["id"] for t in json.load(file)["added_tokens"]}
 
 
 def _coded(
     batches: Iterator[pa.RecordBatch], path: str, cut: Callable, shared, names: list[str], digests: bool
 ) -> Iterator[pa.RecordBatch]:
     codec = Codec.load(path)
-    chunks = Chunks(codec, shared.value)
+    chunks = Chunks(codec, unpacked(shared.value))
     text_of = codec.text_of
     for whole in batches:
         _, offsets = text_bytes(whole.column("text"))
@@ -325,10 +355,9 @@ def encode_texts(
     """
     texts = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     cut = partial(cuts, word_bits=word_bits, any_bits=any_bits)
-    special = Codec.load(path).special
+    special = special_tokens(path)
     known = shared_chunks(texts.select(F.xxhash64(id_col).alias("key"), "text"), path, cut, special)
-    shared = df.sparkSession.sparkContext.broadcast({c: array("i", ids) for c, ids in known.items()})
-    del known
+    shared = df.sparkSession.sparkContext.broadcast(known)
     kind = df.schema[id_col].dataType.simpleString()
     out = "ids string, decoded string" if digests else "ids array<int>, decoded string"
     return texts.mapInArrow(

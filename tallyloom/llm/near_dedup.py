@@ -26,6 +26,8 @@ REGISTERS = 1 << WIDE[0]
 BAND = 4
 #: Seeds of the orders in which a bucket's hubs are chosen, beside the id.
 HUB_SEEDS = (11, 12, 13)
+#: Bands of the first round of pairs.
+FIRST_BANDS = 4
 #: Members of one block of a bucket that is compared pair by pair.
 BLOCK = 1024
 #: Pairs that one numpy pass compares.
@@ -236,10 +238,12 @@ def near_groups(
     component. An empty table gives no rows; other columns are ignored.
 
     1. Equal sets are one class from here on, its smallest id stands for it.
-    2. Classes that agree in a band of registers share a bucket. Each member
-       is paired with a few hubs of its bucket, so pairs grow with members.
-    3. Pairs that pass the estimate are confirmed on full sets and give
-       partial components.
+    2. Classes that agree in a band of registers share a bucket, which has a
+       few hubs. Members are paired with hubs in rounds: with the first hub in
+       a few bands, in all bands, then with the other hubs.
+    3. After each round pairs that pass the estimate are confirmed on full sets
+       and components are contracted; the next round pairs only members and
+       hubs that still lie in different ones.
     4. Members of a bucket that are still in different components are compared
        with each other, block by block, so no link between them is lost. Pairs
        inside a component cannot change it and are left out.
@@ -267,16 +271,9 @@ def near_groups(
     orders = [F.min("id")] + [F.min(F.struct(F.xxhash64(F.lit(s), "id"), "id"))["id"] for s in HUB_SEEDS]
     hubs = shared.groupBy("key").agg(F.array_distinct(F.array(*orders)).alias("hubs"))
     members = frozen(shared.join(hubs, "key"), "members")
-    stars = (
-        members.select("id", F.explode("hubs").alias("hub")).filter("id <> hub")
-        .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    )
     side = classes.select("id", "n_shingles", "registers")
-    pairs = (
-        stars.join(side.toDF("a", "n_a", "reg_a"), "a").join(side.toDF("b", "n_b", "reg_b"), "b")
-        .mapInArrow(partial(_promising, least=least), "a long, b long")
-    )
-    pairs = frozen(pairs, "pairs")
+    band = F.col("key").bitwiseAND(F.lit(REGISTERS // BAND - 1))
+    repeated = not named.filter("id IS NOT NULL").groupBy("id").count().filter("count > 1").isEmpty()
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         wanted = frozen(classes.select("smallest", "id", "class", "n_shingles").join(nodes, "id", "left_semi"), "wanted")
@@ -288,21 +285,46 @@ def near_groups(
         )
         return frozen(made.dropDuplicates(["id"]) if repeated else made, "sets")
 
-    ids = named.filter("id IS NOT NULL").groupBy("id").count()
-    repeated = not ids.filter("count > 1").isEmpty()
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
-    sets = sets_of(ends(pairs))
-    links = frozen(confirmed(pairs, sets, percent), "near")
-    parts = frozen(components(links, "a", "b"), "parts")
+    def linked(pairs: DataFrame, sets: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Links among ``pairs``, and the shingle sets fetched so far."""
+        unseen = ends(pairs) if sets is None else ends(pairs).join(sets, "id", "left_anti")
+        if sets is None or not unseen.isEmpty():
+            fetched = sets_of(unseen)
+            sets = fetched if sets is None else sets.union(fetched)
+        return frozen(confirmed(pairs, sets, percent), "near"), sets
+
+    sets = links = parts = tried = None
+    first_hub = F.slice("hubs", 1, 1)
+    for some, hubs_now in (
+        (members.filter(band < FIRST_BANDS), first_hub), (members, first_hub), (members, F.slice("hubs", 2, len(orders))),
+    ):
+        stars = some.select("id", F.explode(hubs_now).alias("hub")).filter("id <> hub")
+        stars = stars.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        if parts is not None:
+            apart = stars.join(parts.toDF("a", "part_a"), "a", "left").join(parts.toDF("b", "part_b"), "b", "left")
+            apart = apart.filter(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
+            stars = apart.join(tried, ["a", "b"], "left_anti")
+        stars = frozen(stars, "stars")
+        tried = stars if tried is None else tried.union(stars)
+        pairs = (
+            stars.join(side.toDF("a", "n_a", "reg_a"), "a").join(side.toDF("b", "n_b", "reg_b"), "b")
+            .mapInArrow(partial(_promising, least=least), "a long, b long")
+        )
+        pairs = frozen(pairs, "pairs")
+        if parts is not None and pairs.isEmpty():
+            continue
+        found, sets = linked(pairs, sets)
+        links = found if links is None else links.union(found)
+        parts = frozen(components(links, "a", "b"), "parts")
 
     # Hubs have met all of their bucket. Of buckets with the same other members
     # the one of the first band is compared; a pair's first band is among them.
     rest = members.filter(~F.array_contains("hubs", F.col("id"))).select("key", "id")
     labelled = rest.join(parts.withColumnRenamed("node", "id"), "id", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "id"))
-    band = F.col("key").bitwiseAND(F.lit(REGISTERS // BAND - 1))
     mixed = labelled.groupBy("key").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"),
         F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"),
@@ -320,10 +342,7 @@ def near_groups(
         lambda group: _across(group, least), "a long, b long"
     )
     more = frozen(more.distinct(), "pairs")
-    unseen = ends(more).join(sets, "id", "left_anti")
-    if not unseen.isEmpty():
-        sets = sets.union(sets_of(unseen))
-    links = links.union(confirmed(more, sets, percent))
+    links = links.union(linked(more, sets)[0])
     parts = components(links, "a", "b").toDF("id", "part")
     placed = classes.select("class", "n_shingles", "id", "smallest").join(parts, "id", "left")
     placed = placed.withColumn("part", F.coalesce("part", "id"))

@@ -133,7 +133,7 @@ def fit(
     """A model learnt from labelled rows that are not held out.
 
     At most ``per_class`` rows of each label are used, those whose hashed id is
-    smallest; their feature bags come to the driver, the class shares are
+    smallest; one task learns from their feature bags, the class shares are
     counted over all labels. Labels other than 0 and 1, NULL labels and labels
     of unknown documents teach nothing. Without any label the score is 0.5.
     """
@@ -148,10 +148,25 @@ def fit(
     texts = docs.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     ).join(F.broadcast(sample), "id")
-    found = texts.mapInArrow(_bags, "id long, label int, rows binary, shares binary").collect()
-    found.sort(key=lambda r: (r.id, r.label, bytes(r.rows)))
-    y = np.array([r.label for r in found], np.int64)
-    bags = [(np.frombuffer(r.rows, np.int32), np.frombuffer(r.shares, np.float32)) for r in found]
+    found = texts.mapInArrow(_bags, "id long, label int, rows binary, shares binary")
+
+    def learn(sample: pa.Table) -> pa.Table:
+        model = _learnt(sample, counts)
+        return pa.table({"gain": [model.gain.tobytes()], "bias": [model.bias]})
+
+    # The bounded sample meets in one task; only the finished model comes back.
+    made = found.groupBy(F.lit(1)).applyInArrow(learn, "gain binary, bias double").collect()
+    if not made:
+        return _learnt(None, counts)
+    return Model(np.frombuffer(bytes(made[0].gain), np.float32), made[0].bias)
+
+
+def _learnt(sample: pa.Table | None, counts: dict[int, int]) -> Model:
+    """The model of a sample of bags; ``counts`` are the labels of all classes."""
+    found = sample.to_pylist() if sample is not None else []
+    found.sort(key=lambda r: (r["id"], r["label"], r["rows"]))
+    y = np.array([r["label"] for r in found], np.int64)
+    bags = [(np.frombuffer(r["rows"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in found]
 
     def odds(positive: float, negative: float) -> float:
         return float(np.log((positive + 0.5) / (negative + 0.5)))

@@ -86,7 +86,8 @@ def test_shared_chunks_come_from_the_corpus(docs):
     codec = bpe.Codec.load(BYTES)
     texts = docs.selectExpr("xxhash64(doc_id) AS key", "coalesce(text, '') AS text")
     cut = lambda data: bpe.cuts(data, 2, 6)
-    shared = bpe.shared_chunks(texts, BYTES, cut, codec.special)
+    assert bpe.special_tokens(BYTES) == codec.special
+    shared = bpe.unpacked(bpe.shared_chunks(texts, BYTES, cut, codec.special))
     assert shared and all(ids == codec.encode(chunk) for chunk, ids in shared.items())
 
 
