@@ -155,7 +155,7 @@ def fit(
         return pa.table({"gain": [model.gain.tobytes()], "bias": [model.bias]})
 
     # The bounded sample meets in one task; only the finished model comes back.
-    made = found.groupBy(F.lit(1)).applyInArrow(learn, "gain binary, bias double").collect()
+    made = found.withColumn("sample", F.lit(0)).groupBy("sample").applyInArrow(learn, "gain binary, bias double").collect()
     if not made:
         return _learnt(None, counts)
     return Model(np.frombuffer(bytes(made[0].gain), np.float32), made[0].bias)
