@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.operators.joins import without_match
@@ -43,24 +45,66 @@ def merge_rows(
 
     Of several batch rows with one key the first along ``newest`` counts. The
     target is only probed with the batch's keys; a small batch is broadcast by
-    the planner and the target is not shuffled.
+    the planner and the target is not shuffled. Rows with a NULL in their key
+    have no identity: see :func:`unkeyed_rows`.
     """
-    latest = first_rows(batch, keys, newest)
+    keyed = _keyed(keys)
+    latest = first_rows(batch.filter(keyed), keys, newest)
+    loose = unkeyed_rows(target, batch, keys)
     if target is None:
-        return latest
-    return without_match(target, latest, {k: k for k in keys}).unionByName(latest)
+        return latest.unionByName(loose)
+    return without_match(target, latest, {k: k for k in keys}).unionByName(latest).unionByName(loose)
 
 
 def delete_insert(target: DataFrame | None, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """Drop target rows whose key is in the batch, then add the whole batch."""
+    """Drop target rows whose key is in the batch, then add the whole batch.
+    Rows with a NULL in their key: see :func:`unkeyed_rows`."""
     if target is None:
         return batch
-    return without_match(target, batch, {k: k for k in keys}).unionByName(batch)
+    known = batch.filter(_keyed(keys))
+    kept = without_match(target, known, {k: k for k in keys})
+    return kept.unionByName(known).unionByName(unkeyed_rows(target, batch, keys))
+
+
+def _keyed(keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+
+
+def unkeyed_rows(target: DataFrame | None, batch: DataFrame, keys: list[str]) -> DataFrame:
+    """The batch's rows with a NULL in their key that the target lacks.
+
+    Such rows match no key, so all of them are kept. A row counts as stored
+    when the target holds an equal one (all columns, NULL equal to NULL), as
+    often as it does: a batch that comes again adds nothing, and equal rows of
+    one batch stay as many as they are.
+    """
+    loose = batch.filter(~_keyed(keys))
+    if target is None:
+        return loose
+    # Numbered among equal rows: the n-th of the batch meets the n-th stored.
+    equal = W.partitionBy(*batch.columns).orderBy(F.lit(0))
+    number = F.row_number().over(equal).alias("__nth")
+    stored = target.filter(~_keyed(keys)).select(*batch.columns, number)
+    stored = stored.withColumnsRenamed({c: f"__old_{c}" for c in stored.columns})
+    same = reduce(
+        lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__old_{c}")) for c in [*batch.columns, "__nth"]]
+    )
+    return loose.select("*", number).join(stored, same, "left_anti").drop("__nth")
 
 
 def key_bucket(keys: list[str], buckets: int) -> Column:
-    """A partition number that is fixed for a key."""
-    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    """The bucket of a key among ``buckets``, by linear hashing: going from n
+    to n + 1 buckets moves keys of one bucket only, all into the new one."""
+    fine = 1 << buckets.bit_length()
+    place = F.pmod(F.xxhash64(*keys), F.lit(fine)).cast("int")
+    return F.when(place < buckets, place).otherwise(place % F.lit(fine // 2)).cast("int")
+
+
+def split_from(bucket: int, buckets: int) -> int:
+    """The bucket below ``buckets`` whose keys go to ``bucket`` as the table grows."""
+    while bucket >= buckets:
+        bucket -= 1 << (bucket.bit_length() - 1)
+    return bucket
 
 
 def combine_partitions(
@@ -98,27 +142,95 @@ def combine_partitions(
 
 
 def bucket_count(rows: int, rows_per_bucket: int) -> int:
-    """A power of two, so that a table can later be cut finer in place."""
+    """A power of two, for tables that are joined bucket by bucket."""
     return 1 << max(0, -(-rows // rows_per_bucket) - 1).bit_length()
 
 
+class BucketTable:
+    """A Parquet folder of key buckets whose number grows with the table.
+
+    A run reads and writes the buckets its batch touches, and those that are
+    split because the table has outgrown ``rows_per_bucket``; all others keep
+    their files. Buckets split in turn (linear hashing), so growth by a bucket
+    rewrites one bucket.
+
+    The number of buckets is the largest name in ``_buckets``. New buckets are
+    written before that name appears and count for nothing until then; buckets
+    they were split from are rewritten afterwards, and rows that have moved are
+    not read from them any more. A run that fails at any point is repeated with
+    the same batch.
+    """
+
+    def __init__(self, spark, path: str, keys: list[str], rows_per_bucket: int = 2_000_000):
+        self.spark, self.path, self.keys, self.rows_per_bucket = spark, path, keys, rows_per_bucket
+
+    def buckets(self) -> int:
+        """The number of buckets; 0 before the first run."""
+        return max((int(n) for n in _names(self.spark, f"{self.path}/_buckets")), default=0)
+
+    def _stored(self) -> DataFrame:
+        schema = self.spark.read.parquet(f"{self.path}/_schema").schema
+        return self.spark.read.schema(schema.add("bucket", "integer")).parquet(self.path)
+
+    def current(self) -> DataFrame | None:
+        """The table, or None before the first run."""
+        buckets = self.buckets()
+        if not buckets:
+            return None
+        rows = self._stored().filter(F.col("bucket") < buckets)
+        return rows.filter(F.col("bucket") == key_bucket(self.keys, buckets)).drop("bucket")
+
+    def apply(self, batch: DataFrame, combine: Combine) -> DataFrame:
+        """Combine ``batch`` with the rows of the buckets it touches.
+
+        ``combine`` must give the same state when a batch comes twice, and may
+        look at rows of the batch's keys only. A batch without rows changes
+        nothing; the first one leaves an empty table.
+        """
+        batch = frozen(batch, "batch")
+        arrived, before = batch.count(), self.buckets()
+        if not before:
+            batch.limit(0).write.mode("overwrite").parquet(f"{self.path}/_schema")
+        if before and not arrived:
+            return self.current()
+        rows = self._stored().filter(F.col("bucket") < before).count() if before else 0
+        after = max(before, 1, -(-(rows + arrived) // self.rows_per_bucket))
+        if before:
+            # One number per touched or split bucket comes to the driver.
+            touched = {r[0] for r in batch.select(key_bucket(self.keys, before)).distinct().collect()}
+            touched |= {split_from(n, before) for n in range(before, after)}
+            old = self._stored().filter(F.col("bucket").isin(*touched))
+            old = old.filter(F.col("bucket") == key_bucket(self.keys, before)).drop("bucket")
+            combined = combine(old, batch)
+        else:
+            touched, combined = set(), combine(None, batch)
+        # Written first: a folder cannot be replaced while it is being read.
+        combined = frozen(combined.withColumn("bucket", key_bucket(self.keys, after)), "combined")
+        self._replace(combined.filter(F.col("bucket") >= before))
+        _touch(self.spark, f"{self.path}/_buckets", f"{after:012d}")
+        if before:
+            self._replace(combined.filter(F.col("bucket") < before))
+            for gone in touched - {r[0] for r in combined.select("bucket").distinct().collect()}:
+                _delete(self.spark, f"{self.path}/bucket={gone}")
+        return self.current()
+
+    def _replace(self, rows: DataFrame) -> None:
+        (
+            # One bucket's rows together, a large one over several tasks.
+            rows.hint("rebalance", "bucket")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("bucket")
+            .parquet(self.path)
+        )
+
+
 def combine_buckets(
     path: str, batch: DataFrame, combine: Combine, keys: list[str], rows_per_bucket: int = 2_000_000
 ) -> DataFrame:
-    """:func:`combine_partitions` for a table without a natural partition.
-
-    Rows are stored in key buckets. Their number follows from the size of the
-    first batch and stays in the folder name, so a key keeps its bucket. The
-    buckets a batch does not touch are neither read nor written. Returns the
-    table without the bucket columns.
-    """
-    spark = batch.sparkSession
-    if _exists(spark, path):
-        buckets = spark.read.parquet(path).agg(F.max("buckets")).first()[0]
-    else:
-        buckets = bucket_count(batch.count(), rows_per_bucket)
-    placed = batch.withColumn("buckets", F.lit(buckets)).withColumn("bucket", key_bucket(keys, buckets))
-    return combine_partitions(path, placed, combine, ["buckets", "bucket"]).drop("buckets", "bucket")
+    """:func:`combine_partitions` for a table without a natural partition: one
+    batch into a :class:`BucketTable`."""
+    return BucketTable(batch.sparkSession, path, keys, rows_per_bucket).apply(batch, combine)
 
 
 def append_rows(target: DataFrame | None, batch: DataFrame) -> DataFrame:
@@ -161,12 +273,11 @@ def run_increment_in_place(
 ) -> DataFrame:
     """:func:`run_increment` on a bucketed folder: a run costs what its batch
     touches, not what the table holds."""
-    spark = source.sparkSession
-    target = spark.read.parquet(path) if _exists(spark, path) else None
-    batch = newer_rows(source, target, mark, look_back)
+    table = BucketTable(source.sparkSession, path, keys, rows_per_bucket)
+    batch = newer_rows(source, table.current(), mark, look_back)
     if transform is not None:
         batch = transform(batch)
-    return combine_buckets(path, batch, combine, keys, rows_per_bucket)
+    return table.apply(batch, combine)
 
 
 def append_to(
@@ -221,6 +332,26 @@ def refresh_partitions(
     return spark.read.parquet(path)
 
 
-def _exists(spark, path: str) -> bool:
+def _file_system(spark, path: str):
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root)
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), root
+
+
+def _exists(spark, path: str) -> bool:
+    files, root = _file_system(spark, path)
+    return files.exists(root)
+
+
+def _names(spark, path: str) -> list[str]:
+    files, root = _file_system(spark, path)
+    return [s.getPath().getName() for s in files.listStatus(root)] if files.exists(root) else []
+
+
+def _touch(spark, path: str, name: str) -> None:
+    files, file = _file_system(spark, f"{path}/{name}")
+    files.create(file, True).close()
+
+
+def _delete(spark, path: str) -> None:
+    files, root = _file_system(spark, path)
+    files.delete(root, True)

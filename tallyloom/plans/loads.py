@@ -7,22 +7,20 @@ from pyspark.sql import functions as F
 from tallyloom.functions.dates import period_start
 from tallyloom.functions.money import to_major, to_minor
 from tallyloom.operators.incremental import (
+    BucketTable,
     append_to,
     combine_partitions,
     delete_insert,
-    key_bucket,
     merge_rows,
     newer_rows,
     refresh_partitions,
-    run_increment,
     run_increment_in_place,
 )
 from tallyloom.operators.projections import with_load_stamp
 from tallyloom.plans.registry import ORDER_DAY, cents, dollars, model
 from tallyloom.plans.shop import n_rows, staged_orders
 from tallyloom.session import scratch_path
-from tallyloom.sources.sinks import VersionedTable
-from tallyloom.streaming.upsert import into_partitions, into_versions, load_arrived
+from tallyloom.streaming.upsert import into_buckets, into_partitions, load_arrived
 
 CUT, LATER = "1998-01-01", "2000-01-01"
 AMOUNT = cents("o_totalprice")
@@ -49,7 +47,7 @@ def first_delivery(t):
     return rows.select("order_id", "status", "amount", F.col("order_date").alias("updated_on"))
 
 
-def second_delivery(t):
+def second_delivery(t, *more):
     pending = F.col("status") == "P"
     return orders(t).select(
         "order_id",
@@ -58,6 +56,7 @@ def second_delivery(t):
         F.when(pending, F.date_add("order_date", 900))
         .otherwise(F.col("order_date"))
         .alias("updated_on"),
+        *more,
     )
 
 
@@ -91,7 +90,7 @@ def append(t):
 
 @model("inc_03_merge", f"""
 WITH {RESTATED}
-SELECT * FROM first_run WHERE order_id NOT IN (SELECT order_id FROM batch) UNION ALL SELECT * FROM batch
+SELECT * FROM first_run f WHERE NOT EXISTS (SELECT 1 FROM batch b WHERE b.order_id = f.order_id) UNION ALL SELECT * FROM batch
 """)
 def merge(t):
     path = scratch_path(t.spark, "merged")
@@ -105,15 +104,15 @@ def merge(t):
 WITH {RESTATED.replace("order_date AS updated_on FROM o WHERE", "order_date AS updated_on, year(order_date) AS order_year FROM o WHERE")
       .replace("END AS updated_on FROM o)", "END AS updated_on, year(order_date) AS order_year FROM o)")}
 SELECT order_id, status, amount, updated_on, CAST(order_year AS INTEGER) AS order_year FROM (
-SELECT * FROM first_run WHERE order_id NOT IN (SELECT order_id FROM batch) UNION ALL SELECT * FROM batch)
+SELECT * FROM first_run f WHERE NOT EXISTS (SELECT 1 FROM batch b WHERE b.order_id = f.order_id) UNION ALL SELECT * FROM batch)
 """)
 def merge_by_partition(t):
     """The same upsert into yearly partitions; untouched years stay as they are."""
     path = scratch_path(t.spark, "yearly")
-    year = orders(t).select("order_id", F.year("order_date").alias("order_year"))
+    year = F.year("order_date").alias("order_year")
     first = first_delivery(t).withColumn("order_year", F.year("updated_on"))
     state = combine_partitions(path, first, merge_on("order_id"), "order_year")
-    fresh = newer_rows(second_delivery(t), state, "updated_on").join(year, "order_id")
+    fresh = newer_rows(second_delivery(t, year), state, "updated_on")
     return combine_partitions(path, fresh, merge_on("order_id"), "order_year")
 
 
@@ -153,18 +152,18 @@ WITH l AS (SELECT l_orderkey AS order_id, l_linenumber AS line_no, CAST(l_shipda
                   {cents('l_extendedprice')} AS price FROM lineitem),
  seen AS (SELECT * FROM l WHERE shipped < DATE '{LATER}'),
  batch AS (SELECT * FROM l WHERE shipped > (SELECT MAX(shipped) FROM seen))
-SELECT * FROM seen WHERE order_id NOT IN (SELECT order_id FROM batch) UNION ALL SELECT * FROM batch
+SELECT * FROM seen s WHERE NOT EXISTS (SELECT 1 FROM batch b WHERE b.order_id = s.order_id) UNION ALL SELECT * FROM batch
 """)
 def replace_orders(t):
     """The key repeats inside the batch: every batch row is inserted."""
-    lines = order_lines(t)
-    table = VersionedTable(t.spark, scratch_path(t.spark, "replaced"))
+    path, lines = scratch_path(t.spark, "replaced"), order_lines(t)
 
     def combine(target, batch):
         return delete_insert(target, batch, ["order_id"])
 
-    run_increment(table, lines.filter(F.col("shipped") < date(LATER)), "shipped", combine)
-    return run_increment(table, lines, "shipped", combine)
+    early = lines.filter(F.col("shipped") < date(LATER))
+    run_increment_in_place(path, early, "shipped", combine, ["order_id"])
+    return run_increment_in_place(path, lines, "shipped", combine, ["order_id"])
 
 
 @model("inc_05_delete_insert_partitions", f"""
@@ -172,18 +171,19 @@ WITH l AS (SELECT l_orderkey AS order_id, l_linenumber AS line_no, CAST(l_shipda
                   {cents('l_extendedprice')} AS price FROM lineitem),
  seen AS (SELECT * FROM l WHERE shipped < DATE '{LATER}'),
  batch AS (SELECT * FROM l WHERE shipped > (SELECT MAX(shipped) FROM seen))
-SELECT * FROM seen WHERE order_id NOT IN (SELECT order_id FROM batch) UNION ALL SELECT * FROM batch
+SELECT * FROM seen s WHERE NOT EXISTS (SELECT 1 FROM batch b WHERE b.order_id = s.order_id) UNION ALL SELECT * FROM batch
 """)
 def replace_orders_by_bucket(t):
-    """The same replacement in key buckets; untouched buckets stay as they are."""
+    """The same replacement in small buckets: the second run splits some of
+    them, and leaves those it neither touches nor splits as they are."""
     path, lines = scratch_path(t.spark, "buckets"), order_lines(t)
 
     def combine(target, batch):
         return delete_insert(target, batch, ["order_id"])
 
     early = lines.filter(F.col("shipped") < date(LATER))
-    run_increment_in_place(path, early, "shipped", combine, ["order_id"])
-    return run_increment_in_place(path, lines, "shipped", combine, ["order_id"])
+    run_increment_in_place(path, early, "shipped", combine, ["order_id"], rows_per_bucket=5_000)
+    return run_increment_in_place(path, lines, "shipped", combine, ["order_id"], rows_per_bucket=5_000)
 
 
 @model("inc_06_incremental_aggregate", f"""
@@ -210,7 +210,7 @@ def incremental_aggregate(t):
 WITH {RESTATED},
  a AS (SELECT order_id, status, {dollars('amount')} AS amount_dollars, updated_on, TIMESTAMP '2001-01-01 00:00:00' AS loaded_at FROM first_run),
  b AS (SELECT order_id, status, {dollars('amount')} AS amount_dollars, updated_on, TIMESTAMP '2001-01-02 00:00:00' AS loaded_at FROM batch)
-SELECT * FROM a WHERE order_id NOT IN (SELECT order_id FROM b) UNION ALL SELECT * FROM b
+SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.order_id = a.order_id) UNION ALL SELECT * FROM b
 """)
 def transform_and_stamp(t):
     path = scratch_path(t.spark, "stamped")
@@ -236,7 +236,9 @@ STREAMED = f"""
 WITH {ORDERS}
 SELECT order_id, CASE WHEN status = 'P' AND COALESCE(order_date < DATE '{LATER}', true) THEN 'F' ELSE status END AS status,
        amount, CASE WHEN status = 'P' AND order_date < DATE '{LATER}' THEN order_date + 900 ELSE order_date END AS updated_on
-FROM o
+FROM o UNION ALL
+-- nothing tells which row without a number the second delivery restates
+SELECT order_id, status, amount, order_date FROM o WHERE order_id IS NULL AND status = 'P' AND COALESCE(order_date < DATE '{LATER}', true)
 """
 
 
@@ -251,16 +253,16 @@ def deliver(t, folder, apply):
         inside = (F.col("order_date") >= date(low)) & (F.col("order_date") < date(high))
         # Orders without a date come with the first delivery.
         fresh = rows.filter(F.coalesce(inside, F.lit(previous is None)))
+        year = F.year("order_date").alias("year")
         delivery = fresh.select(
-            "order_id", "status", "amount", F.col("order_date").alias("updated_on")
+            "order_id", "status", "amount", F.col("order_date").alias("updated_on"), year
         )
         if previous is not None:
             done = previous.filter(F.col("status") == "P").select(
                 "order_id", F.lit("F").alias("status"), "amount",
-                F.date_add("order_date", 900).alias("updated_on"),
+                F.date_add("order_date", 900).alias("updated_on"), year,
             )
             delivery = delivery.unionByName(done)
-        delivery = delivery.withColumn("bucket", key_bucket(["order_id"], 4))
         delivery.write.mode("append").parquet(folder)
         load_arrived(t.spark, folder, delivery.schema, checkpoint, apply)
         previous = fresh
@@ -268,14 +270,15 @@ def deliver(t, folder, apply):
 
 @model("inc_08_stream_upsert", STREAMED)
 def stream_upsert(t):
-    table = VersionedTable(t.spark, scratch_path(t.spark, "kept"))
-    deliver(t, scratch_path(t.spark, "inbox"), into_versions(table, merge_on("order_id")))
-    return table.current().drop("bucket")
+    table = BucketTable(t.spark, scratch_path(t.spark, "kept"), ["order_id"])
+    deliver(t, scratch_path(t.spark, "inbox"), into_buckets(table, merge_on("order_id")))
+    return table.current().drop("year")
 
 
 @model("inc_08_stream_partitions", STREAMED)
 def stream_partitions(t):
+    """Into natural partitions: the year of an order, which is fixed for its key."""
     path = scratch_path(t.spark, "kept")
-    apply = into_partitions(path, merge_on("order_id"), "bucket")
+    apply = into_partitions(path, merge_on("order_id"), "year")
     deliver(t, scratch_path(t.spark, "inbox"), apply)
-    return t.spark.read.parquet(path).drop("bucket")
+    return t.spark.read.parquet(path).drop("year")

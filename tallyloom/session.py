@@ -16,6 +16,8 @@ SETTINGS = {
     # more exchange above the join.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Texts travel to Python workers in batches of bytes, not of rows only.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
 #: Rows one task may sort for one window group before the work is split.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from tallyloom.operators.incremental import Combine, combine_partitions
+from tallyloom.operators.incremental import BucketTable, Combine, combine_partitions
 from tallyloom.sources.sinks import VersionedTable
 
 #: What a micro-batch does: ``(rows, batch number)``.
@@ -35,6 +35,16 @@ def into_partitions(path: str, combine: Combine, partition: str) -> Apply:
     return apply
 
 
+def into_buckets(table: BucketTable, combine: Combine) -> Apply:
+    """A micro-batch touches only its own key buckets, which split as the table
+    grows. ``combine`` must give the same state when a batch comes twice."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        table.apply(batch, combine)
+
+    return apply
+
+
 def load_arrived(
     spark: SparkSession,
     source: str,

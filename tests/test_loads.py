@@ -1,28 +1,36 @@
 """Increments of two and more runs, replays, late rows; batch equals stream."""
 
+import os
+import shutil
 from datetime import date
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions.money import to_minor
 from tallyloom.operators.incremental import (
+    BucketTable,
     append_rows,
     append_to,
-    bucket_count,
+    combine_buckets,
     combine_partitions,
     delete_insert,
+    key_bucket,
     merge_rows,
     newer_rows,
     refresh_partitions,
     run_increment,
     run_increment_in_place,
+    split_from,
 )
+from tallyloom.plans.registry import MODELS
 from tallyloom.session import scratch_path
-from tallyloom.sources.readers import SHOP_SCHEMAS, ShopTables, named_source, read_csv, read_tasks
+from tallyloom.sources.readers import SHOP_SCHEMAS, TABLES, ShopTables, named_source, read_csv, read_tasks
 from tallyloom.sources.sinks import VersionedTable, materialize
-from tallyloom.streaming.upsert import into_partitions, into_versions, load_arrived
+from tallyloom.streaming.upsert import into_buckets, into_partitions, into_versions, load_arrived
 from tests.conftest import rows
+from tests.oracle import check, connect
 
 SCHEMA = "id int, v string, d date"
 
@@ -125,17 +133,23 @@ def test_partition_merge_touches_only_its_partitions(spark):
 
 
 @pytest.mark.parametrize("per_trigger", [None, 1])
-@pytest.mark.parametrize("kind", ["versions", "partitions"])
+@pytest.mark.parametrize("kind", ["versions", "partitions", "buckets"])
 def test_stream_equals_batch(spark, per_trigger, kind):
     folder, progress, out = (scratch_path(spark, p) for p in ("in", "cp", "out"))
     table = VersionedTable(spark, out)
+    buckets = BucketTable(spark, out, ["id"], 1)
     if kind == "versions":
         apply = into_versions(table, upsert)
+    elif kind == "buckets":
+        apply = into_buckets(buckets, upsert)
     else:
         apply = into_partitions(out, upsert, "p")
 
     def state():
-        df = table.current() if kind == "versions" else spark.read.parquet(out)
+        if kind == "partitions":
+            df = spark.read.parquet(out)
+        else:
+            df = (table if kind == "versions" else buckets).current()
         return rows(df.select("id", "v", "d"))
 
     drops = [
@@ -214,7 +228,116 @@ def test_buckets_follow_the_size_and_untouched_ones_stay(spark):
     assert state.count() == 41 and state.filter("v = 1").count() == 2
     kept = before & files(path)
     assert len(before) - 2 <= len(kept) < len(before), "only touched buckets are written"
-    assert bucket_count(13, 6) == 4 and bucket_count(0, 6) == 1 and bucket_count(6, 6) == 1
+
+
+KV = "k int, d int, v int"
+
+
+def newest(target, batch):
+    return merge_rows(target, batch, ["k"], ["-v"])
+
+
+def bucket_sizes(spark, path):
+    return {r.bucket: r.n for r in spark.read.parquet(path).groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+
+
+def test_buckets_split_as_the_table_grows(spark):
+    path = scratch_path(spark, "grown")
+    state = combine_buckets(path, spark.range(10).selectExpr("int(id) k", "0 d", "0 v"), newest, ["k"], 100)
+    assert list(bucket_sizes(spark, path).values()) == [10]
+    many = spark.range(20_000).selectExpr("int(id) k", "1 d", "1 v")
+    state = combine_buckets(path, many, newest, ["k"], 100)
+    sizes = bucket_sizes(spark, path)
+    assert state.count() == 20_000 and state.filter("v <> 1").isEmpty()
+    assert len(sizes) == 201 and max(sizes.values()) < 400
+    # one bucket more: the one it is split from and the touched one are written
+    before = set(spark.read.parquet(path).inputFiles())
+    table = BucketTable(spark, path, ["k"], 100)
+    state = table.apply(spark.createDataFrame([(5, 2, 9), (90_000, 2, 9)], KV), newest)
+    assert state.count() == 20_001 and table.buckets() == 201
+    state = table.apply(spark.range(90_001, 90_101).selectExpr("int(id) k", "2 d", "9 v").limit(60), newest)
+    assert table.buckets() == 201 and state.count() == 20_061
+    assert len(before & set(spark.read.parquet(path).inputFiles())) > 100
+    assert sorted(r.k for r in state.filter("v = 9").select("k").collect())[:2] == [5, 90_000]
+
+
+def test_growth_moves_keys_of_one_bucket_only(spark):
+    for n in (1, 2, 3, 5, 8, 13):
+        moved = spark.range(2_000).select(key_bucket(["id"], n).alias("a"), key_bucket(["id"], n + 1).alias("b"))
+        gone = {(r.a, r.b) for r in moved.filter("a <> b").distinct().collect()}
+        assert gone <= {(split_from(n, n), n)} and gone
+        assert {r.a for r in moved.select("a").distinct().collect()} == set(range(n))
+
+
+def test_rows_without_a_key_survive_and_come_once(spark):
+    data = [(None, 1, 1), (None, 1, 2), (None, 1, 2), (3, 1, 3)]
+    batch = spark.createDataFrame(data, KV)
+    path = scratch_path(spark, "loose")
+    for _ in range(3):
+        state = combine_buckets(path, batch, newest, ["k"], 2)
+        assert rows(state) == sorted(data, key=repr)
+
+    def replace(target, batch):
+        return delete_insert(target, batch, ["k"])
+
+    path = scratch_path(spark, "loose")
+    twice = batch.unionByName(spark.createDataFrame([(3, 1, 3)], KV))
+    for _ in range(2):
+        state = combine_buckets(path, twice, replace, ["k"], 2)
+        assert rows(state) == sorted([*data, (3, 1, 3)], key=repr)
+
+
+def test_empty_batches_change_nothing(spark):
+    path, none = scratch_path(spark, "empty"), spark.createDataFrame([], KV)
+    first = run_increment_in_place(path, none, "d", newest, ["k"])
+    assert first.columns == ["k", "d", "v"] and first.count() == 0
+    rows_in = spark.createDataFrame([(1, 1, 1), (2, 1, 1)], KV)
+    assert run_increment_in_place(path, rows_in, "d", newest, ["k"]).count() == 2
+    files = set(spark.read.parquet(path).inputFiles())
+    assert run_increment_in_place(path, none, "d", newest, ["k"]).count() == 2
+    assert files == set(spark.read.parquet(path).inputFiles())
+
+
+def test_a_run_that_stops_before_its_buckets_count(spark, monkeypatch):
+    path = scratch_path(spark, "stopped")
+    table = BucketTable(spark, path, ["k"], 5)
+    table.apply(spark.range(10).selectExpr("int(id) k", "0 d", "0 v"), newest)
+    batch = spark.range(5, 40).selectExpr("int(id) k", "1 d", "1 v")
+    real = BucketTable._replace
+    for stop in (1, 2):  # before the new number of buckets counts, and after
+        calls = []
+
+        def failing(self, rows, calls=calls, stop=stop):
+            calls.append(1)
+            if len(calls) == stop and stop == 2:
+                raise OSError("lost")
+            real(self, rows)
+            if len(calls) == stop:
+                raise OSError("lost")
+
+        monkeypatch.setattr(BucketTable, "_replace", failing)
+        with pytest.raises(OSError):
+            table.apply(batch, newest)
+        got = table.current()
+        assert got.select("k").distinct().count() == got.count() >= 10
+        assert got.filter("k < 5").count() == 5
+    monkeypatch.setattr(BucketTable, "_replace", real)
+    state = table.apply(batch, newest)
+    want = [(k, int(k >= 5), int(k >= 5)) for k in range(10)] + [(k, 1, 1) for k in range(10, 40)]
+    assert rows(state) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("name", [n for n in MODELS if n.startswith("inc_") and n not in ("inc_06_incremental_aggregate",)])
+def test_increments_with_null_keys(spark, tmp_path, name):
+    """Orders and lines without a number, in all models of this family."""
+    for source in TABLES:
+        shutil.copy(f"/root/testdata/sf0.001/{source}.parquet", tmp_path)
+    for source, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey"), ("lineitem", "l_partkey")):
+        file = f"{tmp_path}/{source}.parquet"
+        duckdb.sql(f"""COPY (SELECT * EXCLUDE (r) REPLACE (CASE WHEN r % 17 = 0 THEN NULL ELSE {key} END AS {key})
+                       FROM (SELECT *, row_number() OVER () AS r FROM '{file}')) TO '{file}.new' (FORMAT parquet)""")
+        os.replace(f"{file}.new", file)
+    assert check(spark, connect(str(tmp_path)), str(tmp_path), MODELS[name]) is None
 
 
 def test_null_partitions_are_kept(spark):
