@@ -15,6 +15,7 @@ from tallyloom.operators.windows import (
     first_rows,
     ordered_columns,
 )
+from tallyloom.session import frozen
 
 EPOCH = "1970-01-01"
 
@@ -295,6 +296,106 @@ def parent_levels(nodes: DataFrame, node: str, parent: str, name: str, levels: i
     return out.drop("__up")
 
 
+def ancestor_paths(nodes: DataFrame, node: str, parent: str, name: str) -> DataFrame:
+    """Root, depth and path of every node of a hierarchy of any depth.
+
+    One row per node: ``node``, ``name``, ``root`` (the topmost ancestor),
+    ``depth`` (0 for a root), ``path`` (names from the root down to the node)
+    and ``in_cycle``. A node is a root when its parent is NULL or unknown. Nodes
+    on a cycle or below one have no root: their root, depth and path are NULL.
+    Of several rows of one node that of the smallest parent and name counts;
+    rows without a node are left out.
+
+    Pointer doubling: after k rounds a row knows its 2^k nearest ancestors, so
+    a chain of a thousand takes ten rounds. Only rows that have not reached a
+    root are joined. A round in which none does ends the search: what is left
+    leads into a cycle. Each round is stored.
+    """
+    one = F.min(F.struct(F.col(parent).alias("up"), F.col(name).alias("name"))).alias("r")
+    rows = nodes.filter(F.col(node).isNotNull()).groupBy(F.col(node).alias("node")).agg(one)
+    rows = frozen(rows.select("node", "r.up", "r.name"), "nodes")
+    known = rows.select(F.col("node").alias("up"), F.col("name").alias("__above"), F.lit(True).alias("__known"))
+    below = F.coalesce("__known", F.lit(False))
+    none = F.array().cast("array<string>")
+    state = rows.join(known, "up", "left").select(
+        "node", "name",
+        F.when(below, F.col("up")).alias("up"),
+        F.when(below, F.col("up")).otherwise(F.col("node")).alias("root"),
+        below.cast("bigint").alias("depth"),
+        F.when(below, F.array(F.col("__above").cast("string"))).otherwise(none).alias("above"),
+    )
+    state = frozen(state, "ancestors")
+    left = state.filter("up IS NOT NULL").count()
+    while left:
+        higher = state.select(
+            F.col("node").alias("up"), F.col("up").alias("__up"), F.col("root").alias("__root"),
+            F.col("depth").alias("__depth"), F.col("above").alias("__above"),
+        )
+        moved = state.filter("up IS NOT NULL").join(higher, "up").select(
+            "node", "name", F.col("__up").alias("up"), F.col("__root").alias("root"),
+            (F.col("depth") + F.col("__depth")).alias("depth"), F.concat("above", "__above").alias("above"),
+        )
+        state = frozen(state.filter("up IS NULL").unionByName(moved), "ancestors")
+        before, left = left, state.filter("up IS NOT NULL").count()
+        if left == before:
+            break
+    ends = F.col("up").isNull()
+    path = F.concat(F.reverse("above"), F.array(F.col("name").cast("string")))
+    return state.select(
+        "node", "name", F.when(ends, F.col("root")).alias("root"), F.when(ends, F.col("depth")).alias("depth"),
+        F.when(ends, path).alias("path"), (~ends).alias("in_cycle"),
+    )
+
+
+def dyadic_blocks(low: Column, high: Column) -> Column:
+    """The closed range of integers as disjoint blocks of 2^level numbers each:
+    an array of (level, block), two at most for each level. Empty when the
+    range is; ends lie below 2^62 in size."""
+    block = "array<struct<level:int,block:bigint>>"
+    nothing = F.array().cast(block)
+
+    def step(state: Column, level: Column) -> Column:
+        lo, hi = state["lo"], state["hi"]
+        holds = lo <= hi
+        left = F.coalesce(holds & (lo.bitwiseAND(F.lit(1)) == 1), F.lit(False))
+        right = F.coalesce(holds & (hi.bitwiseAND(F.lit(1)) == 0), F.lit(False))
+
+        def one(at: Column) -> Column:
+            return F.array(F.struct(level.alias("level"), at.alias("block"))).cast(block)
+
+        blocks = F.concat(
+            state["blocks"], F.when(left, one(lo)).otherwise(nothing), F.when(right, one(hi)).otherwise(nothing)
+        )
+        lo, hi = lo + left.cast("bigint"), hi - right.cast("bigint")
+        over = F.coalesce(lo > hi, F.lit(True))  # stays so when halved
+        return F.struct(
+            F.when(over, F.lit(2)).otherwise(F.shiftright(lo, 1)).cast("bigint").alias("lo"),
+            F.when(over, F.lit(-2)).otherwise(F.shiftright(hi, 1)).cast("bigint").alias("hi"),
+            blocks.alias("blocks"),
+        )
+
+    start = F.struct(low.cast("bigint").alias("lo"), high.cast("bigint").alias("hi"), nothing.alias("blocks"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(62)), start, step, lambda state: state["blocks"])
+
+
+def range_join(points: DataFrame, at: Column, ranges: DataFrame, low: Column, high: Column) -> DataFrame:
+    """Each point beside every closed range of ``ranges`` that holds it, by an
+    equi-join: all columns of both. Ranges may overlap; NULL ends, empty ranges
+    and NULL points match nothing.
+
+    A range is a few dyadic blocks; a point lies in one block of each level that
+    the table of ranges uses (64 at most), and in one block of a range at most.
+    Ends and points are integers below 2^62 in size; dates go as day numbers.
+    """
+    cut = ranges.withColumn("__cell", F.explode(dyadic_blocks(low, high)))
+    cut = cut.select(*ranges.columns, F.col("__cell.level").alias("__level"), F.col("__cell.block").alias("__block"))
+    levels = sorted(r[0] for r in cut.select("__level").distinct().collect())
+    marked = points.withColumn("__at", at.cast("bigint")).filter("__at IS NOT NULL")
+    marked = marked.withColumn("__level", F.explode(F.lit(levels).cast("array<int>")))
+    marked = marked.withColumn("__block", F.expr("shiftright(__at, __level)"))
+    return marked.join(cut, ["__level", "__block"]).drop("__level", "__block", "__at")
+
+
 def join_first(
     left: DataFrame, right: DataFrame, key: str, order: list[str], how: str = "inner"
 ) -> DataFrame:

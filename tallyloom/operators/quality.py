@@ -266,6 +266,7 @@ def merge_first_wins(
     existing: DataFrame, batch: DataFrame, name: str, order: list[str]
 ) -> DataFrame:
     """Add the specs of a batch whose name is new; inside the batch the first
-    one along ``order`` wins."""
-    fresh = without_match(batch, existing, {name: name})
-    return existing.unionByName(first_rows(fresh, [name], [*order]))
+    one along ``order`` wins. Specs without a name equal no other: all stay."""
+    named = batch.filter(F.col(name).isNotNull())
+    fresh = first_rows(without_match(named, existing, {name: name}), [name], [*order])
+    return existing.unionByName(fresh).unionByName(batch.filter(F.col(name).isNull()))

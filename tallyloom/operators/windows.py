@@ -25,6 +25,8 @@ from tallyloom.session import frozen, max_group_rows
 
 CHUNK, POSITION, IS_LAST, SPAN = "__chunk", "__position", "__is_last", "__span"
 MAX_CHUNKS = 20_000
+#: Rows and days of a group that one task holds for moving frames.
+BAND_ROWS, BAND_DAYS = 100_000, 1_024
 
 
 def ordering(order: list[str]) -> list[Column]:
@@ -363,6 +365,59 @@ def first_last(
     )
 
 
+def _banded(rows: DataFrame, at: Column, band: int, before: int) -> DataFrame:
+    """Rows with the band of ``at`` as ``CHUNK``, and copies of those that the
+    frames of the next band reach back to (no longer the band's ``__own``)."""
+    place, chunk = F.pmod(at, F.lit(band)), F.floor(at / F.lit(band)).cast("bigint")
+    late = place >= band - before
+    both = F.when(late, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
+    rows = rows.withColumn("__band", chunk).withColumn(CHUNK, F.explode(both))
+    return rows.withColumn("__own", F.col(CHUNK).eqNullSafe(F.col("__band"))).drop("__band")
+
+
+def moving_rows(
+    df: DataFrame, keys: list[str], order: list[str], aggs: dict[str, Column], rows: int,
+    rows_at_most: Bound = None, band: int = BAND_ROWS,
+) -> DataFrame:
+    """Aggregates over the current and the ``rows - 1`` previous rows of a group.
+
+    Rows are numbered along ``order`` (total, in the plan for groups of any
+    size) and cut into bands of numbers; each band also receives the rows
+    before its edge, so that no task sorts more than a band of a group.
+    """
+    band = max(band, rows)
+    placed = ordered_columns(df, keys, order, [RowNumber("__row")], rows_at_most)
+    cut = _banded(placed, F.col("__row") - 1, band, rows - 1)
+    w = W.partitionBy(*keys, CHUNK).orderBy("__row").rowsBetween(-(rows - 1), 0)
+    cut = cut.select(*df.columns, "__own", *[a.over(w).alias(name) for name, a in aggs.items()])
+    return cut.filter("__own").drop("__own")
+
+
+def moving_days(
+    df: DataFrame, keys: list[str], day: str, sums: dict[str, str], days: int, count: str | None = None,
+    band: int = BAND_DAYS,
+) -> DataFrame:
+    """Sums of integer columns over the ``days`` calendar days that end with the
+    row's day, all rows of that day included, beside each row; with ``count``
+    the number of rows too. Rows without a day have only each other.
+
+    Rows are added up by key and day first, so that a hot key or day is combined
+    before the shuffle; a band of days also receives the days before its edge.
+    ``sums`` maps result names to columns.
+    """
+    band = max(band, days)
+    totals = {name: F.sum(column) for name, column in sums.items()}
+    if count:
+        totals[count] = F.count(F.lit(1))
+    daily = df.groupBy(*keys, day).agg(*[t.alias(name) for name, t in totals.items()])
+    daily = daily.withColumn("__day", F.datediff(F.col(day), F.lit("1970-01-01").cast("date")))
+    cut = _banded(daily, F.col("__day"), band, days - 1)
+    w = W.partitionBy(*keys, CHUNK).orderBy("__day").rangeBetween(-(days - 1), 0)
+    moved = cut.select(*keys, day, "__own", *[F.sum(name).over(w).alias(name) for name in totals])
+    moved = moved.filter("__own").drop("__own")
+    return join_beside(df, moved, [*keys, day]).select(*df.columns, *totals)
+
+
 def moving_average(
     series: DataFrame,
     order: str,
@@ -373,11 +428,9 @@ def moving_average(
 ) -> DataFrame:
     """Average of the current and the ``rows - 1`` previous rows of a series.
 
-    Meant for a series that has one row per period already (a few thousand
-    days at most); the frame counts rows, not calendar days.
+    The frame counts rows, not calendar days: see :func:`moving_days`.
     """
-    w = W.partitionBy(*(keys or [])).orderBy(F.col(order).asc_nulls_last())
-    return series.withColumn(alias, F.avg(value).over(w.rowsBetween(-(rows - 1), 0)))
+    return moving_rows(series, keys or [], [order], {alias: F.avg(value)}, rows)
 
 
 def growth(

@@ -201,7 +201,7 @@ def volume_gate(t):
 WITH e AS (SELECT md5(text) AS name, 'benchmark' AS origin, item_id AS spec_id FROM benchmark),
      b AS (SELECT md5(text) AS name, 'documents' AS origin, doc_id AS spec_id FROM documents
            WHERE COALESCE(md5(text) NOT IN (SELECT name FROM e), true))
-SELECT * FROM e UNION ALL SELECT * FROM b QUALIFY ROW_NUMBER() OVER (PARTITION BY name ORDER BY spec_id) = 1
+SELECT * FROM e UNION ALL SELECT * FROM b QUALIFY name IS NULL OR ROW_NUMBER() OVER (PARTITION BY name ORDER BY spec_id) = 1
 """.replace("SELECT * FROM e UNION ALL SELECT * FROM b QUALIFY", "SELECT * FROM e UNION ALL (SELECT * FROM b QUALIFY").rstrip() + ")")
 def first_wins(t):
     def specs(df, origin, key):

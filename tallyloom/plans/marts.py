@@ -654,7 +654,8 @@ def period_kpis(t, unit: str):
         return dates.as_date(moment) if unit == "day" else dates.period_start(moment, unit)
 
     one = F.lit(1).cast("bigint")
-    first = staged_orders(t).groupBy("customer_id").agg(F.min("order_date").alias("d"))
+    known = staged_orders(t).filter(F.col("customer_id").isNotNull())  # nobody is no customer
+    first = known.groupBy("customer_id").agg(F.min("order_date").alias("d"))
     kpis = outer_by_key(
         "period_start",
         [
@@ -673,7 +674,7 @@ def period_kpis_sql(unit: str) -> str:
     return f"""
 WITH {ORDERS}, a AS (SELECT date_trunc('{unit}', order_date)::DATE AS k, COUNT(*) AS n, CAST(SUM(amount) AS BIGINT) AS v FROM o GROUP BY 1),
  b AS (SELECT date_trunc('{unit}', {SHIP})::DATE AS k, COUNT(*) AS n FROM lineitem GROUP BY 1),
- f AS (SELECT customer_id, MIN(order_date) AS d FROM o GROUP BY 1),
+ f AS (SELECT customer_id, MIN(order_date) AS d FROM o WHERE customer_id IS NOT NULL GROUP BY 1),
  c AS (SELECT date_trunc('{unit}', d)::DATE AS k, COUNT(*) AS n FROM f GROUP BY 1)
 SELECT COALESCE(a.k, b.k, c.k) AS period_start, COALESCE(a.n, 0) AS orders, COALESCE(a.v, 0) AS revenue_cents,
   COALESCE(b.n, 0) AS lines_shipped, COALESCE(c.n, 0) AS new_customers, (CAST(a.v AS DOUBLE) / a.n / 100.0) AS avg_order_value

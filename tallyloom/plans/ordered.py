@@ -26,6 +26,8 @@ from tallyloom.operators.windows import (
     group_values,
     growth,
     moving_average,
+    moving_days,
+    moving_rows,
     ntile_column,
     ordered_columns,
     rank_columns,
@@ -209,6 +211,28 @@ def moving_months(t):
     return moving_average(monthly(t), "order_month", "revenue", "moving_avg_3m", rows=3)
 
 
+@model("win_11_moving_days", f"""
+SELECT order_id, customer_id, order_date, amount,
+       CAST(SUM(amount) OVER w AS BIGINT) AS spend_90d, COUNT(*) OVER w AS orders_90d
+FROM {ORDERS}
+WINDOW w AS (PARTITION BY customer_id ORDER BY order_date RANGE BETWEEN INTERVAL 89 DAY PRECEDING AND CURRENT ROW)
+""")
+def moving_spend(t):
+    """Calendar days on raw rows: what a customer ordered in the last 90 days."""
+    rows = staged_orders(t).select("order_id", "customer_id", "order_date", "amount")
+    return moving_days(rows, ["customer_id"], "order_date", {"spend_90d": "amount"}, 90, "orders_90d")
+
+
+@model("win_11_moving_raw_rows", f"""
+SELECT order_id, order_date, amount, AVG(amount) OVER (ORDER BY order_date, order_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS avg_10
+FROM {ORDERS}
+""")
+def moving_orders(t):
+    """Rows of the whole table in one order, without a partition key."""
+    rows = staged_orders(t).select("order_id", "order_date", "amount")
+    return moving_rows(rows, [], BY_DATE, {"avg_10": F.avg("amount")}, 10, t.row_count("orders"))
+
+
 @model("win_12_group_total_beside", f"""
 SELECT order_id, customer_id, amount, CAST(SUM(amount) OVER w AS BIGINT) AS customer_total,
        (CAST(amount AS DOUBLE) / CAST(SUM(amount) OVER w AS DOUBLE) * 100.0) AS pct_of_total

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tallyloom.functions.conditions import range_map
@@ -10,6 +12,8 @@ from tallyloom.functions.money import ratio, to_major, to_minor
 from tallyloom.operators.aggregates import (
     any_true,
     count_where,
+    distinct_bitmaps,
+    distinct_rollup,
     exact_median,
     group_by_named,
     guarded_avg,
@@ -21,6 +25,7 @@ from tallyloom.operators.aggregates import (
 )
 from tallyloom.operators.joins import (
     agg_then_join,
+    ancestor_paths,
     basket_pairs,
     having_match,
     join_first,
@@ -31,6 +36,7 @@ from tallyloom.operators.joins import (
     outer_by_key,
     pairs_within_days,
     parent_levels,
+    range_join,
     same_day,
     sum_in_intervals,
     without_match,
@@ -53,7 +59,9 @@ from tallyloom.plans.shop import (
     staged_events,
     staged_orders,
 )
+from tallyloom.session import frozen
 
+ROLLUP_UNITS = ("day", "week", "month", "quarter", "year")
 SHIP_DAY = "CAST(l_shipdate AS DATE)"
 EVENT_SQL = """
 SELECT event_id, user_id, ts, event_type, CAST(ROUND(value * 100) AS BIGINT) AS value_cents,
@@ -379,6 +387,23 @@ def range_mapping(t):
     )
 
 
+@model("jon_17_range_table", """
+WITH m AS (SELECT s_suppkey, s_suppkey % 40 - 3 AS low, s_suppkey % 40 - 3 + s_suppkey % 11 AS high FROM supplier)
+SELECT p_partkey AS product_id, COUNT(*) AS suppliers, MIN(s_suppkey) AS first_supplier, MAX(high - low) AS widest
+FROM part JOIN m ON p_size BETWEEN low AND high GROUP BY 1
+""")
+def range_table(t):
+    """Which suppliers deliver a size stands in a table of overlapping ranges."""
+    low = F.col("s_suppkey") % 40 - 3
+    mapping = t.supplier.select("s_suppkey", low.alias("low"), (low + F.col("s_suppkey") % 11).alias("high"))
+    parts = t.part.select(F.col("p_partkey").alias("product_id"), "p_size")
+    held = range_join(parts, F.col("p_size"), mapping, F.col("low"), F.col("high"))
+    return held.groupBy("product_id").agg(
+        n_rows().alias("suppliers"), F.min("s_suppkey").alias("first_supplier"),
+        F.max(F.col("high") - F.col("low")).alias("widest"),
+    )
+
+
 @model("jon_18_name_join", """
 WITH c AS (SELECT DISTINCT ' ' || lower(p_type) || ' ' AS category FROM part),
      p AS (SELECT p_type, COUNT(*) AS n FROM part WHERE p_size > 5 GROUP BY 1)
@@ -426,6 +451,27 @@ def hierarchy(t):
     return parent_levels(nodes, "node", "parent", "name", 2)
 
 
+@model("jon_19_category_tree", """
+WITH RECURSIVE h AS (
+ SELECT p_partkey AS k, p_name AS name, p_partkey AS root, 0 AS depth, p_name AS path FROM part
+ WHERE CAST(floor((p_partkey - 1) / 3) AS BIGINT) NOT IN (SELECT p_partkey FROM part)
+ UNION ALL
+ SELECT p.p_partkey, p.p_name, h.root, h.depth + 1, h.path || '/' || p.p_name FROM part p JOIN h ON CAST(floor((p.p_partkey - 1) / 3) AS BIGINT) = h.k)
+SELECT k AS category_id, name, root AS root_id, CAST(depth AS BIGINT) AS depth, path FROM h
+""")
+def category_tree(t):
+    """A tree of unknown depth: each part as a category under another part."""
+    parts = t.part.select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("name"),
+        F.floor((F.col("p_partkey") - 1) / F.lit(3)).cast("bigint").alias("parent"),
+    )
+    paths = ancestor_paths(parts, "id", "parent", "name")
+    return paths.select(
+        F.col("node").alias("category_id"), "name", F.col("root").alias("root_id"), "depth",
+        F.array_join("path", "/").alias("path"),
+    )
+
+
 @model("jon_20_first_row_join", f"""
 WITH f AS (SELECT o_custkey, o_orderkey, {ORDER_DAY} AS d, {cents('o_totalprice')} AS amount FROM orders
            QUALIFY ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY {ORDER_DAY}, o_orderkey) = 1)
@@ -507,6 +553,23 @@ def distinct_count(t):
     )
 
 
+@model("agg_04_distinct_rollup", " UNION ALL ".join(f"""
+SELECT '{unit}' AS unit, date_trunc('{unit}', {ORDER_DAY})::DATE AS period_start,
+       CAST(COUNT(DISTINCT o_custkey) AS BIGINT) AS customers FROM orders WHERE o_custkey IS NOT NULL GROUP BY ALL
+""" for unit in ROLLUP_UNITS))
+def distinct_periods(t):
+    """Exact distinct buyers of five period lengths from one scan: bitmaps by
+    day are stored, wider periods merge them."""
+    daily = frozen(distinct_bitmaps(staged_orders(t), ["order_date"], "customer_id"), "buyers")
+
+    def of(unit):
+        start = F.col("order_date") if unit == "day" else period_start(F.col("order_date"), unit)
+        counts = distinct_rollup(daily, {"period_start": start}, "customers")
+        return counts.select(F.lit(unit).alias("unit"), "period_start", "customers")
+
+    return reduce(lambda a, b: a.unionAll(b), map(of, ROLLUP_UNITS))
+
+
 @model("agg_05_global", """
 WITH c AS (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY 1)
 SELECT COUNT(*) AS customers, COUNT(*) FILTER (n > 1) AS repeat_customers, MAX(n) AS most_orders FROM c

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators.joins import (
     agg_then_join,
+    ancestor_paths,
     basket_pairs,
     having_match,
     join_first,
@@ -20,6 +21,7 @@ from tallyloom.operators.joins import (
     outer_by_key,
     pairs_within_days,
     parent_levels,
+    range_join,
     same_day,
     sum_in_intervals,
     without_match,
@@ -194,3 +196,43 @@ def test_null_keys_and_inverted_periods_match_nothing(spark):
     points = spark.createDataFrame([("u", at(1), 7), (None, at(1), 9), ("u", at(3), 5)], "u string, ts timestamp_ntz, v int")
     got = sum_in_intervals(spans, points, "u", "ts", {"s": "v"})
     assert rows(got.select("id", "s")) == [(1, 12), (2, 0), (3, 0), (4, 0)]
+
+
+def chain(spark, n, cycle=False):
+    data = [(k, k - 1 if k else (n - 1 if cycle else None), f"n{k}") for k in range(n)]
+    return spark.createDataFrame(data, "id int, up int, name string")
+
+
+def test_paths_of_a_long_chain(spark):
+    got = {r.node: r for r in ancestor_paths(chain(spark, 1000), "id", "up", "name").collect()}
+    assert len(got) == 1000 and got[999].depth == 999 and got[999].root == 0
+    assert got[700].path == [f"n{k}" for k in range(701)] and not got[700].in_cycle
+
+
+def test_cycles_orphans_and_repeated_nodes(spark):
+    loop = chain(spark, 3, cycle=True).unionByName(spark.createDataFrame(
+        [(10, 2, "below"), (20, 99, "orphan"), (21, 20, "child"), (21, 20, "a child"), (30, 30, "self"), (None, 20, "none"), (40, None, None)],
+        "id int, up int, name string",
+    ))
+    got = {r.node: (r.root, r.depth, r.path, r.in_cycle) for r in ancestor_paths(loop, "id", "up", "name").collect()}
+    lost = (None, None, None, True)
+    assert got == {0: lost, 1: lost, 2: lost, 10: lost, 30: lost, 20: (20, 0, ["orphan"], False),
+                   21: (20, 1, ["orphan", "a child"], False), 40: (40, 0, [None], False)}
+    assert ancestor_paths(loop.limit(0), "id", "up", "name").count() == 0
+
+
+def test_range_join_against_brute_force(spark):
+    rng = random.Random(3)
+    ranges = [(k, low, low + rng.randrange(-3, 1 << rng.randrange(1, 16))) for k in range(10_000) for low in [rng.randrange(-70_000, 70_000)]]
+    ranges += [(-1, None, 5), (-2, 5, None), (-3, 0, 1 << 61), (-4, -(1 << 61), 0), (-5, 7, 7)]
+    points = [(k, rng.randrange(-80_000, 80_000)) for k in range(300)] + [(900, None), (901, 7), (902, 0), (902, 0), (903, -1)]
+    left = spark.createDataFrame(points, "p int, x long")
+    right = spark.createDataFrame(ranges, "r int, low long, high long")
+    joined = range_join(left, F.col("x"), right, F.col("low"), F.col("high"))
+    want = sorted(
+        (p, r) for p, x in points for r, a, b in ranges if None not in (x, a, b) and a <= x <= b
+    )
+    assert sorted((r.p, r.r) for r in joined.collect()) == want
+    plan = joined._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert range_join(left, F.col("x"), right.limit(0), F.col("low"), F.col("high")).count() == 0

@@ -4,6 +4,7 @@ import random
 from datetime import date
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.operators.aggregates import exact_median, mode_per_group
@@ -17,6 +18,8 @@ from tallyloom.operators.windows import (
     measured,
     group_values,
     moving_average,
+    moving_days,
+    moving_rows,
     ntile_column,
     ordered_columns,
     rank_columns,
@@ -124,3 +127,18 @@ def test_exact_median(spark):
 def test_mode_takes_the_smallest_on_a_tie(spark):
     df = spark.createDataFrame([("a", "x"), ("a", "w"), ("a", None), ("a", None)], "k string, v string")
     assert rows(mode_per_group(df, ["k"], "v", "m", "n")) == [("a", "w", 1)]
+
+
+@pytest.mark.parametrize("band", [1, 8, 100])
+def test_moving_frames_in_bands(spark, split_groups, band):
+    data = [(k, k % 3 if k % 7 else None, date(2024, 1, 1 + (k * k) % 29) if k % 11 else None, k) for k in range(200)]
+    df = spark.createDataFrame(data, "id int, g int, d date, v long")
+    by_row = W.partitionBy("g").orderBy(F.col("d").asc_nulls_last(), "id").rowsBetween(-4, 0)
+    want = df.withColumn("s", F.sum("v").over(by_row)).withColumn("n", F.count("*").over(by_row))
+    got = moving_rows(df, ["g"], ["d", "id"], {"s": F.sum("v"), "n": F.count("*")}, 5, band=band)
+    assert rows(got) == rows(want)
+    whole = moving_rows(df, [], ["d", "id"], {"s": F.sum("v")}, 5, band=band)
+    assert rows(whole) == rows(df.withColumn("s", F.sum("v").over(W.orderBy(F.col("d").asc_nulls_last(), "id").rowsBetween(-4, 0))))
+    by_day = W.partitionBy("g").orderBy(F.unix_date("d")).rangeBetween(-6, 0)
+    want = df.withColumn("s", F.sum("v").over(by_day)).withColumn("n", F.count(F.lit(1)).over(by_day))
+    assert rows(moving_days(df, ["g"], "d", {"s": "v"}, 7, "n", band=band)) == rows(want)
