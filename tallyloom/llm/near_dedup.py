@@ -24,8 +24,9 @@ REGISTERS = 1 << WIDE[0]
 #: Registers of one band; 32 bands of 4 find a pair of similarity 0.8 with
 #: probability 1 - (1 - 0.8 ** 4) ** 32, over 0.9999999.
 BAND = 4
-#: Seeds of the orders in which a bucket's hubs are chosen, beside the id.
-HUB_SEEDS = (11, 12, 13)
+#: Seeds of the orders in which a bucket's hubs are chosen, beside the member
+#: that meets most others and the smallest one.
+HUB_SEEDS = (11, 12)
 #: Bands of the first round of pairs.
 FIRST_BANDS = 4
 #: Members of one block of a bucket that is compared pair by pair.
@@ -239,8 +240,9 @@ def near_groups(
 
     1. Equal sets are one class from here on, its smallest id stands for it.
     2. Classes that agree in a band of registers share a bucket, which has a
-       few hubs. Members are paired with hubs in rounds: with the first hub in
-       a few bands, in all bands, then with the other hubs.
+       few hubs, first the member whose buckets are largest. Members are paired
+       with hubs in rounds: with the first hub in a few bands, in all bands,
+       then with the other hubs.
     3. After each round pairs that pass the estimate are confirmed on full sets
        and components are contracted; the next round pairs only members and
        hubs that still lie in different ones.
@@ -266,10 +268,15 @@ def near_groups(
     )
     classes = frozen(found, "classes")  # from here on id is the number of a class
     bands = _bands(classes)
-    several = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    shared = frozen(bands.join(several, "key", "left_semi"), "buckets")
-    orders = [F.min("id")] + [F.min(F.struct(F.xxhash64(F.lit(s), "id"), "id"))["id"] for s in HUB_SEEDS]
+    several = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = frozen(bands.join(several, "key"), "buckets")
+    # The first hub is the member that meets most others: the middle of a group.
+    weights = shared.groupBy("id").agg(F.sum("n").alias("weight"))
+    shared = shared.join(weights, "id").select("key", "id", "weight")
+    orders = [F.max(F.struct("weight", -F.col("id"), "id"))["id"], F.min("id")]
+    orders += [F.min(F.struct(F.xxhash64(F.lit(s), "id"), "id"))["id"] for s in HUB_SEEDS]
     hubs = shared.groupBy("key").agg(F.array_distinct(F.array(*orders)).alias("hubs"))
+    shared = shared.drop("weight")
     members = frozen(shared.join(hubs, "key"), "members")
     side = classes.select("id", "n_shingles", "registers")
     band = F.col("key").bitwiseAND(F.lit(REGISTERS // BAND - 1))

@@ -181,22 +181,25 @@ def op8(spark, folder):
     t AS (
         SELECT *, COALESCE(LEAST(top::DOUBLE, (SELECT share FROM p WHERE share <= fill ORDER BY fill, s LIMIT 1) * weight),
                            top) AS target,
-               GREATEST(1, LEAST(4096, total // 65536)) AS block,
                GREATEST(1, CEIL(source_size / 1048576))::BIGINT AS shards FROM p),
+    r AS (
+        SELECT d.*, t.s, t.source_size, t.target, ('0x' || substr(key, 1, 8))::BIGINT % t.shards AS shard
+        FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+    rings AS (SELECT s, shard, SUM(size)::BIGINT AS ring FROM r GROUP BY s, shard),
+    blk AS (
+        SELECT GREATEST(1, LEAST(4096, ANY_VALUE(total) // 65536, floor(MIN(NULLIF(target, 0)))::BIGINT // 64,
+               floor(MIN(target * least_ring / NULLIF(source_size, 0)))::BIGINT // 16)) AS block
+        FROM t LEFT JOIN (SELECT s, MIN(ring) AS least_ring FROM rings WHERE ring > 0 GROUP BY s) USING (s)),
     q AS (
         SELECT s, target / (2 * k + 1) AS quotient, k, total // block AS seats
-        FROM (SELECT *, UNNEST(range(3 * source_size // block)) AS k FROM t)),
+        FROM (SELECT *, UNNEST(range(3 * source_size // block)) AS k FROM t, blk)),
     won AS (
         SELECT s, COUNT(*) AS quota FROM (
             SELECT s, seats, ROW_NUMBER() OVER (ORDER BY quotient DESC, k, s) AS place FROM q)
         WHERE place <= seats GROUP BY s),
-    r AS (
-        SELECT d.*, t.s, t.source_size, t.target, t.block, ('0x' || substr(key, 1, 8))::BIGINT % t.shards AS shard
-        FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-    rings AS (SELECT s, shard, SUM(size)::BIGINT AS ring, ANY_VALUE(block) AS block FROM r GROUP BY s, shard),
     q2 AS (
         SELECT rings.s, shard, ring / (2 * k + 1) AS quotient, k, quota AS seats
-        FROM (SELECT *, UNNEST(range(3 * ring // block)) AS k FROM rings) rings JOIN won ON won.s = rings.s),
+        FROM (SELECT *, UNNEST(range(3 * ring // block)) AS k FROM rings, blk) rings JOIN won ON won.s = rings.s),
     won2 AS (
         SELECT s, shard, COUNT(*) AS quota FROM (
             SELECT *, ROW_NUMBER() OVER (PARTITION BY s ORDER BY quotient DESC, k, shard) AS place FROM q2)
@@ -205,7 +208,7 @@ def op8(spark, folder):
         SELECT rings.s, rings.shard, ring, COALESCE(quota, 0) * block // ring AS rounds,
                COALESCE(quota, 0) * block % ring AS rest,
                ('0x' || substr(md5('mix:' || rings.s || ':' || rings.shard), 1, 8))::BIGINT % ring AS bgn
-        FROM rings LEFT JOIN won2 ON won2.s = rings.s AND won2.shard = rings.shard WHERE ring > 0),
+        FROM rings LEFT JOIN won2 ON won2.s = rings.s AND won2.shard = rings.shard, blk WHERE ring > 0),
     z AS (
         SELECT r.*, ring, rounds, rest, bgn,
                (SUM(size) OVER (PARTITION BY r.s, r.shard ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT

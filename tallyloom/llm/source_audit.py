@@ -27,6 +27,8 @@ PIECE_BYTES = 1 << 20
 SHARD_BYTES, FAN_IN = 24 << 20, 512
 #: Sources whose pairs one correction task holds.
 TILE = 256
+#: Postings of a shard whose corrections one task streams, for all languages.
+CORRECTED = 50_000
 #: Cells of the term by source matrix of one pass.
 CELLS = 1 << 20
 #: The unit of a probability and what is added to a count.
@@ -310,7 +312,7 @@ def source_audit(
     top = above.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
     top = top.withColumn("rank", F.row_number().over(by_value)).filter(F.col("rank") <= top_terms)
 
-    shards = max(1, kept.count() // 400_000)
+    shards = 1 + kept.count() // CORRECTED
     tiles = groups.select("lang", (F.col("s") / TILE).cast("int").alias("tile")).distinct()
     tiles = tiles.groupBy("lang").agg((F.max("tile") + 1).alias("tiles"))
 

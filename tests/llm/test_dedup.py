@@ -1,6 +1,8 @@
 """Exact, near and substring dedup against plain Python on awkward rows."""
 
+import glob
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -12,6 +14,7 @@ from tallyloom.llm.components import components
 from tallyloom.llm.exact_dedup import drop_copies, exact_groups
 from tallyloom.llm.near_dedup import drop_near_copies, near_groups
 from tallyloom.llm.substrings import LAST_ID, remove_repeats
+from tallyloom.session import scratch_path
 from tests.llm.conftest import rows_of
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -163,3 +166,21 @@ def test_remove_repeats(docs, monkeypatch, size):
 
 def test_remove_repeats_of_nothing(no_docs):
     assert remove_repeats(no_docs).count() == 0
+
+
+def test_pairs_of_a_large_cluster(spark):
+    """Candidates of one cluster of near copies stay under five a member."""
+    rng = random.Random(1)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for _ in range(2000):
+        words = list(base)
+        for _ in range(2):
+            words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    root = scratch_path(spark, "x").rsplit("/", 1)[0].removeprefix("file:")
+    before = set(glob.glob(f"{root}/stars-*"))
+    got = near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shingle=5)
+    assert got.select("component_id").distinct().count() == 1
+    pairs = sum(spark.read.parquet(p).count() for p in set(glob.glob(f"{root}/stars-*")) - before)
+    assert 2000 <= pairs + 1 < 5 * 2000

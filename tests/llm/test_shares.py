@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -214,3 +215,16 @@ def test_tiny_shards_of_a_source(spark):
     docs = spark.createDataFrame(one, "doc_id long, source string, text string").unionByName(other)
     rows = [r for r in mix(docs, shard_words=150_000).collect() if r.doc.source == "x"]
     assert rows[0].target == 3 * sum(r.size for r in rows) and {r.copies for r in rows} == {3}
+
+
+def test_mix_oracle_with_tiny_sources(spark, tmp_path):
+    """The registered SQL follows the block rule where a source is tiny."""
+    rows = [(k, "word " * (300 + k % 50), "big" if k % 2 else "other") for k in range(600)]
+    rows += [(900, "a b c", "tiny"), (901, "a " * 40, "small"), (902, None, None), (903, "", "none")]
+    schema = "doc_id long, text string, source string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    names = ["doc_id", "size", "source_size", "target", "taken", "copies"]
+    want = sorted(con.execute(ORACLES["op9_mix_sources"]).fetchdf()[names].itertuples(index=False, name=None))
+    assert sorted(map(tuple, QUERIES["op9_mix_sources"](spark, str(tmp_path)).select(*names).collect())) == want
