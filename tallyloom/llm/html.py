@@ -53,12 +53,17 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
     re.S,
 )
+UNENDED = re.compile(r"<!--.*\Z|<!\[CDATA\[.*\Z", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 HREF = re.compile(r"(?:^|[\s\"'/])href\s*=", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: A group with a noise word is a wrapper, not noise, if it holds so much of the
-#: page's text outside links: where a class of its own is GOOD, and else.
-GOOD_WRAPPER, WRAPPER = 0.5, 0.9
+#: A group with a class of noise words only is a wrapper, not noise, if it holds
+#: several blocks and so much of the page's text outside links: where a class of
+#: its own is GOOD, and else. Where a class merely has a noise word, the second
+#: share is enough, whatever the blocks.
+GOOD_WRAPPER, WRAPPER, WORD_WRAPPER = (0.5, 2), (0.9, 2), (0.5, 1)
+#: What is less than this of a block's score is not handed further up.
+LEAST_SCORE = 1e-3
 #: What a container keeps of the text of one nested a level deeper.
 DECAY = 0.7
 #: The least score of a path against the page's best container for votes to
@@ -71,18 +76,22 @@ class Page:
 
     def __init__(self, html: str):
         self.parent, self.label, self.tag, self.out = [-1], [""], [""], [False]
-        self._doubt: dict[int, float] = {}  # nodes with noise words: the share that makes them wrappers
+        self._doubt: dict[int, tuple[float, int]] = {}  # nodes with noise words: what makes them wrappers
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
         self._stack, self._text, self._links, self._link = [0], [], 0, 0  # _link: depth of an open link
-        at = 0
+        at, last = 0, html.rfind(">")
         while at < len(html):
-            token = TOKEN.search(html, at)
+            # without a further ">" only a comment or a section can begin
+            token = (TOKEN if at <= last else UNENDED).search(html, at)
             if token is None:
                 self._add(html[at:])
                 break
             self._add(html[at : token.start()])
             at = token.end()
-            close, name, rest = token.group(1, 2, 3) if token.group(2) else token.group(4, 5, 6)
+            if token.re is UNENDED:
+                close, name, rest = None, None, None
+            else:
+                close, name, rest = token.group(1, 2, 3) if token.group(2) else token.group(4, 5, 6)
             if name is None:
                 if token.group().startswith("<![CDATA["):
                     self._add(token.group()[9:-3])
@@ -140,8 +149,8 @@ class Page:
             hidden, classes, role = _attributes(rest)
         elif rest and ("class" in rest or "hidden" in rest or "style" in rest or "role" in rest):
             hidden, classes, role = _attributes(rest)
-        doubt = self._noisy(classes) if classes and name not in NEVER_NOISE else 0.0
-        noise = hidden or role in NOISE_ROLES or doubt
+        doubt = self._noisy(classes, name in GROUPS) if classes and name not in NEVER_NOISE else None
+        noise = hidden or role in NOISE_ROLES or doubt is not None
         if not (name in LEAVES or name in GROUPS or name in LEFT_OUT or name in RAW or noise):
             return  # inline, or unknown: markup only
         if name in ENDS_P or noise:
@@ -161,14 +170,17 @@ class Page:
             self._doubt[len(self.out) - 1] = doubt
         self._stack.append(len(self.parent) - 1)
 
-    def _noisy(self, classes: str) -> float:
-        """0, or the share of the page's text that makes up for noise words."""
+    def _noisy(self, classes: str, group: bool) -> tuple[float, int] | None:
+        """The share of the page's text and the blocks that make up for noise
+        words; None without them. Only a class of nothing but such words says
+        anything about a leaf or an inline element."""
         names = [[w.lower() for w in WORD.findall(c)] for c in classes.split()]
         names = [n for n in names if len(n) < 2 or not (n[0] in STATE_FIRST or n[-1] in STATE_LAST)]
         words = {w for n in names for w in n}
-        if words & NOISE or (words & PAGE_HEADER and not words & GOOD and not self._in_article()):
+        header = words & PAGE_HEADER and not words & GOOD and not self._in_article()
+        if header or any(n and NOISE.issuperset(n) for n in names):
             return GOOD_WRAPPER if any(n and GOOD.issuperset(n) for n in names) else WRAPPER
-        return 0.0
+        return WORD_WRAPPER if group and words & NOISE else None
 
     def _drop_noise(self) -> None:
         """Leave out the blocks of noise, but not of wrappers: groups that hold
@@ -184,8 +196,8 @@ class Page:
             mains[up] += mains[node] + (self.tag[node] == "main")
         drop = [False] * len(self.parent)
         for node in range(1, len(self.parent)):
-            least = self._doubt.get(node)
-            wraps = least is None or mains[node] or (blocks[node] > 1 and held[node] > least * held[0])
+            least, several = self._doubt.get(node, (0.0, 0))
+            wraps = not several or mains[node] or (blocks[node] >= several and held[node] > least * held[0])
             drop[node] = drop[self.parent[node]] or not wraps
         self.blocks = [b for b in self.blocks if not drop[b[0]]]
 
@@ -231,7 +243,7 @@ class Page:
         for node, text, links in self.blocks:
             value = max(0.0, len(text) - 2.0 * links)
             at = self.container(node)
-            while at >= 0 and value > 0:
+            while at >= 0 and value > LEAST_SCORE:
                 found[at] = found.get(at, 0.0) + value
                 value *= DECAY
                 at = self.container(self.parent[at])

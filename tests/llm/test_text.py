@@ -1,6 +1,7 @@
 """Token counts, BPE, HTML, quality against the libraries themselves."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -245,3 +246,32 @@ def test_templates_of_a_host_have_votes_of_their_own(spark):
     text = ("a short lead " * 16).strip()
     got = {r.page_id: r.text for r in html.extract_pages(pages).collect()}
     assert got == {k: text if k < 6 else f"{text}\n\n{LONG_TEXT}" for k in range(9)}
+
+
+def best_text(page):
+    page = html.Page(page)
+    return page.text(page.best()[1] or "")
+
+
+def test_words_alone_do_not_drop_text():
+    head = "<html><body><main>"
+    leaves = '<p class="related-info">Keep this.</p><p class="share-price">This too.</p><p class="advert">Buy now</p>'
+    assert best_text(head + leaves + "<p>Rest of it.</p></main></body></html>") == "Keep this.\n\nThis too.\n\nRest of it."
+    one = '<div class="social-network-analysis"><p>All of the long article text stands in one block.</p></div><p>foot line</p>'
+    assert best_text(f"<body>{one}</body>").startswith("All of the long article text")
+
+
+@pytest.mark.parametrize("text", ["<a " * 350_000, "<div>" * 5_000 + "text", "<p>a<!-- " * 100_000, '<a href="' * 100_000 + ">x"])
+def test_broken_markup_is_read_in_one_pass(text):
+    start = time.process_time()
+    best_text(text)
+    assert time.process_time() - start < 2
+
+
+def test_many_special_strings_in_one_pass():
+    codec = bpe.Codec.load(BYTES)
+    text = b"a <|endoftext|>" * 80_000
+    start = time.process_time()
+    parts = list(bpe.segments(text, codec.special))
+    assert time.process_time() - start < 1 and len(parts) == 80_001
+    assert b"".join(p + (b"<|endoftext|>" if t is not None else b"") for p, t in parts) == text
