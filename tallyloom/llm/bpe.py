@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from functools import partial
@@ -243,7 +244,7 @@ def _fetch(batches: Iterator[pa.RecordBatch], cut: Callable, special: dict, owne
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """Chunks and their ids, packed into one value for each batch."""
+    """Chunks and their ids, packed and compressed into one value for each batch."""
     codec = Codec.load(path)
     for batch in batches:
         chunks = batch.column("chunk").to_pylist()
@@ -251,13 +252,13 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
         sizes = np.array([[len(c), len(i)] for c, i in zip(chunks, ids, strict=True)], np.int32)
         packed = [np.int32(len(chunks)).tobytes(), sizes.tobytes(), b"".join(chunks)]
         packed += [np.array(i, np.int32).tobytes() for i in ids]
-        yield pa.RecordBatch.from_arrays([pa.array([b"".join(packed)], pa.binary())], names=["packed"])
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(b"".join(packed))], pa.binary())], names=["packed"])
 
 
 def unpacked(parts: list[bytes]) -> dict[bytes, array]:
     """The dictionary that the parts of :func:`_encoded` hold."""
     out: dict[bytes, array] = {}
-    for part in parts:
+    for part in map(zlib.decompress, parts):
         count = int(np.frombuffer(part, np.int32, 1)[0])
         sizes = np.frombuffer(part, np.int32, 2 * count, 4).reshape(-1, 2).tolist()
         at = 4 + 8 * count
