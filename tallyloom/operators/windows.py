@@ -1,12 +1,13 @@
 """Window columns that hold up when one group owns a large part of the rows.
 
 Spark sorts a window group inside one task. That is right for groups of
-ordinary size and is what happens here as long as the largest group stays
-under ``spark.tallyloom.maxGroupRows``. Beyond it (one customer with a third
-of all orders, or a window without any partition key) the rows are
-range-partitioned over ``(keys, order)`` instead. A chunk boundary cuts at
-most one group, so the state handed from chunk to chunk has at most two rows
-per chunk, whatever the size of the table.
+ordinary size and is what happens to all groups here that stay under
+``spark.tallyloom.maxGroupRows``. Groups beyond it (one customer with a third
+of all orders, or a window without any partition key) are found by a summary
+of frequent keys in the pass that stores the input; their rows, and only
+theirs, are range-partitioned over ``(keys, order)`` instead. A chunk boundary
+cuts at most one group, so the state handed from chunk to chunk has at most
+two rows per chunk, whatever the size of the table.
 
 Orderings are lists of column names; a leading ``-`` means descending. NULLs
 sort last in both directions.
@@ -14,10 +15,11 @@ sort last in both directions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Observation, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,6 +29,9 @@ CHUNK, POSITION, IS_LAST, SPAN = "__chunk", "__position", "__is_last", "__span"
 MAX_CHUNKS = 20_000
 #: Rows and days of a group that one task holds for moving frames.
 BAND_ROWS, BAND_DAYS = 100_000, 1_024
+#: Keys that the summary of large groups tracks (1 MB in a task and in the
+#: driver). Every group with over 1/18,000 of all rows is found for certain.
+TRACKED_KEYS = 65_536
 
 
 def ordering(order: list[str]) -> list[Column]:
@@ -144,28 +149,64 @@ Bound = DataFrame | int | None
 # --- the two plans ----------------------------------------------------------
 
 
-def measured(df: DataFrame, keys: list[str], rows_at_most: Bound = None) -> tuple[DataFrame, int | None]:
-    """``df`` and, where a group is too large for one task, its row count.
+@dataclass(frozen=True)
+class Groups:
+    """The rows of groups that one task may sort, and those of larger groups
+    with their number (at most a little too high). Either may be None."""
+
+    plain: DataFrame | None
+    large: DataFrame | None = None
+    large_rows: int = 0
+
+    def each(
+        self,
+        in_task: Callable[[DataFrame], DataFrame],
+        split: Callable[[DataFrame, int], DataFrame],
+    ) -> DataFrame:
+        """One plan for either part, and the results of both."""
+        if self.large is None:
+            return in_task(self.plain)
+        parted = split(self.large, self.large_rows)
+        return parted if self.plain is None else in_task(self.plain).unionByName(parted)
+
+
+def by_group_size(df: DataFrame, keys: list[str], rows_at_most: Bound = None) -> Groups:
+    """``df`` parted into ordinary groups and those too large for one task.
 
     ``rows_at_most`` is an upper bound of the rows of ``df``: a number, or a
     frame that is cheap to count (a bare table: its row count comes from the
-    file footers). Where it does not settle the question, ``df`` is stored
-    once; its rows and its largest group are counted there, and the caller
-    goes on from what is stored.
+    file footers). A table that fits one task has no large group, and nothing
+    is stored. Otherwise ``df`` is stored once, and the same pass counts its
+    rows and merges the tasks' summaries of frequent keys in the driver (at most
+    ``TRACKED_KEYS`` hashes and counts). A summary may count a key too high by
+    its known error, never too low: a group it takes for large without need is
+    merely split. Groups above the limit that it misses hold under 1/18,000 of
+    the rows each; one task sorts such a group, on disk where it must.
+
+    A NULL key is a group like any other.
     """
     limit = max_group_rows(df.sparkSession)
     if rows_at_most is not None:
         bound = rows_at_most if isinstance(rows_at_most, int) else rows_at_most.count()
         if bound <= limit:
-            return df, None
-    df = frozen(df, "window-input")
-    rows = df.count()
+            return Groups(df)
+    seen = Observation()
+    counts = [F.count(F.lit(1)).alias("rows")]
+    if keys:
+        tracked = F.lit(TRACKED_KEYS)
+        counts.append(F.call_function("approx_top_k", F.xxhash64(*keys), tracked, tracked).alias("frequent"))
+    stored = frozen(df.observe(seen, *counts), "window-input")
+    rows = seen.get["rows"]
     if rows <= limit:
-        return df, None
+        return Groups(stored)
     if not keys:
-        return df, rows
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return df, rows if (sizes.agg(F.max("n")).first()[0] or 0) > limit else None
+        return Groups(None, stored, rows)
+    large = {r["item"]: r["count"] for r in seen.get["frequent"] or [] if r["count"] > limit}
+    if not large:
+        return Groups(stored)
+    names = ", ".join(f"`{k}`" for k in keys)
+    is_large = F.expr(f"xxhash64({names}) IN ({', '.join(f'{h}L' for h in sorted(large))})")
+    return Groups(stored.filter(~is_large), stored.filter(is_large), sum(large.values()))
 
 
 def join_beside(
@@ -193,11 +234,11 @@ def ordered_columns(
 
     ``order`` should be total: add a unique column at its end.
     """
-    df, rows = measured(df, keys, rows_at_most)
-    if rows is None:
-        w = W.partitionBy(*keys).orderBy(*ordering(order))
-        return df.select("*", *[m.over(w).alias(m.alias) for m in measures])
-    return _split_ordered(df, keys, order, measures, rows)
+    w = W.partitionBy(*keys).orderBy(*ordering(order))
+    return by_group_size(df, keys, rows_at_most).each(
+        lambda part: part.select("*", *[m.over(w).alias(m.alias) for m in measures]),
+        lambda part, rows: _split_ordered(part, keys, order, measures, rows),
+    )
 
 
 def _split_ordered(
@@ -283,19 +324,27 @@ def rank_columns(
 ) -> DataFrame:
     """RANK, DENSE_RANK and PERCENT_RANK; ties share a rank.
 
-    Beyond the group limit the ranks are found on the distinct ordering
+    In groups beyond the limit the ranks are found on the distinct ordering
     values and their counts, so that any number of ties costs one row.
     """
     wanted = [a for a in (rank, dense, percent) if a]
-    df, rows = measured(df, keys, rows_at_most)
-    if rows is None:
-        w = W.partitionBy(*keys).orderBy(*ordering(order))
-        made = {
-            rank: F.rank().over(w).cast("bigint"),
-            dense: F.dense_rank().over(w).cast("bigint"),
-            percent: F.percent_rank().over(w),
-        }
-        return df.select("*", *[made[a].alias(a) for a in wanted])
+    w = W.partitionBy(*keys).orderBy(*ordering(order))
+    made = {
+        rank: F.rank().over(w).cast("bigint"),
+        dense: F.dense_rank().over(w).cast("bigint"),
+        percent: F.percent_rank().over(w),
+    }
+    return by_group_size(df, keys, rows_at_most).each(
+        lambda part: part.select("*", *[made[a].alias(a) for a in wanted]),
+        lambda part, rows: _ranks_by_value(part, keys, order, rank, dense, percent, rows),
+    )
+
+
+def _ranks_by_value(
+    df: DataFrame, keys: list[str], order: list[str],
+    rank: str | None, dense: str | None, percent: str | None, rows: int,
+) -> DataFrame:
+    wanted = [a for a in (rank, dense, percent) if a]
     values = [*keys, *order_names(order)]
     counts = df.groupBy(*values).agg(F.count(F.lit(1)).alias("__ties"))
     run = ordered_columns(
@@ -318,10 +367,17 @@ def ntile_column(
     rows_at_most: Bound = None,
 ) -> DataFrame:
     """NTILE: the first ``rows % buckets`` tiles hold one row more."""
-    df, rows = measured(df, keys, rows_at_most)
-    if rows is None:
-        w = W.partitionBy(*keys).orderBy(*ordering(order))
-        return df.select("*", F.ntile(buckets).over(w).cast("bigint").alias(alias))
+    w = W.partitionBy(*keys).orderBy(*ordering(order))
+    tile = F.ntile(buckets).over(w).cast("bigint").alias(alias)
+    return by_group_size(df, keys, rows_at_most).each(
+        lambda part: part.select("*", tile),
+        lambda part, rows: _tiles_by_place(part, keys, order, buckets, alias, rows),
+    )
+
+
+def _tiles_by_place(
+    df: DataFrame, keys: list[str], order: list[str], buckets: int, alias: str, rows: int
+) -> DataFrame:
     placed = _split_ordered(df, keys, order, [RowNumber("__row")], rows)
     placed = group_values(placed, keys, {"__rows": F.count(F.lit(1))})
     tile = F.expr(

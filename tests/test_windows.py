@@ -13,9 +13,9 @@ from tallyloom.operators.windows import (
     Lead,
     RowNumber,
     Running,
+    by_group_size,
     first_last,
     first_rows,
-    measured,
     group_values,
     moving_average,
     moving_days,
@@ -52,12 +52,50 @@ def test_split_equals_one_task(spark, keys, order):
     plain = rows(ordered_columns(df, keys, order, MEASURES))
     spark.conf.set(GROUP_ROWS_KEY, "5")
     try:
-        assert measured(df, keys)[1] is not None
+        assert by_group_size(df, keys).large is not None
         assert rows(ordered_columns(df, keys, order, MEASURES)) == plain
     finally:
         spark.conf.unset(GROUP_ROWS_KEY)
 
 
+@pytest.mark.parametrize("limit, large", [(5, {"hot", "a", "b", "c", "d", None}), (60, {"hot"}), (100, set())])
+def test_only_large_groups_are_split(spark, limit, large):
+    """One hot key among others: all groups, the hot one, or none take the plan
+    for large groups; the results are the same."""
+    df = skewed(spark)
+    plain = rows(ordered_columns(df, ["k"], ["at", "id"], MEASURES))
+    spark.conf.set(GROUP_ROWS_KEY, str(limit))
+    try:
+        groups = by_group_size(df, ["k"])
+        split = [] if groups.large is None else groups.large.select("k").collect()
+        assert {r.k for r in split} == large and groups.large_rows == len(split)
+        assert rows(ordered_columns(df, ["k"], ["at", "id"], MEASURES)) == plain
+    finally:
+        spark.conf.unset(GROUP_ROWS_KEY)
+
+
+def test_large_group_among_many_keys(spark):
+    """More keys than the summary tracks: the hot one is found, and no small one
+    is missing from the results. Names with a space and NULL keys are fine."""
+    kind = F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id"))
+    df = spark.range(300_000).select(kind.alias("k 1"), "id")
+    spark.conf.set(GROUP_ROWS_KEY, "50000")
+    try:
+        groups = by_group_size(df, ["k 1"])
+        assert groups.large_rows >= 100_000 and groups.large.count() == 100_000
+        got = ordered_columns(groups.large, [], ["id"], [RowNumber("n")])
+        assert got.agg(F.max("n"), F.count_distinct("n")).first() == (100_000, 100_000)
+        assert groups.plain.count() == 200_000
+    finally:
+        spark.conf.unset(GROUP_ROWS_KEY)
+
+
+def test_no_rows_above_the_bound(spark, split_groups):
+    empty = spark.createDataFrame([], "k string, at int, id int, v int")
+    groups = by_group_size(empty, ["k"], 10)
+    assert groups.large is None and rows(groups.plain) == []
+
+
 @pytest.mark.parametrize("keys", [["k"], []])
 def test_split_ranks_and_tiles(spark, keys):
     df = skewed(spark)
