@@ -332,6 +332,24 @@ def refresh_partitions(
     return spark.read.parquet(path)
 
 
+def mark_before(spark, path: str, number: int):
+    """The highest mark stored under a number below ``number``, or None."""
+    older = [n for n in _names(spark, path) if n.isdigit() and int(n) < number]
+    return spark.read.parquet(f"{path}/{max(older)}").first()["high"] if older else None
+
+
+def store_mark(spark, path: str, number: int, high, kind) -> None:
+    row = spark.range(1).select(F.lit(high).cast(kind).alias("high"))
+    row.coalesce(1).write.mode("overwrite").parquet(f"{path}/{number:012d}")
+
+
+def forget_marks(spark, path: str, number: int) -> None:
+    """Delete marks that no replay needs: only the newest batch is replayed."""
+    older = sorted(n for n in _names(spark, path) if n.isdigit() and int(n) < number)
+    for name in older[:-1]:
+        _delete(spark, f"{path}/{name}")
+
+
 def _file_system(spark, path: str):
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), root

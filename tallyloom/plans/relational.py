@@ -17,10 +17,10 @@ from tallyloom.operators.aggregates import (
     exact_median,
     group_by_named,
     guarded_avg,
+    list_per_group,
     mode_per_group,
     pivot_sums,
     share_of_total,
-    sorted_list,
     wide_sum,
 )
 from tallyloom.operators.joins import (
@@ -676,9 +676,7 @@ FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1
 def text_list(t):
     joined = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     kinds = joined.select(F.col("l_orderkey").alias("order_id"), "p_type")
-    return kinds.groupBy("order_id").agg(
-        F.nullif(sorted_list(F.col("p_type")), F.lit("")).alias("categories")
-    )
+    return list_per_group(kinds, ["order_id"], "p_type", "categories", rows_at_most=t.row_count("lineitem"))
 
 
 @model("agg_13_guarded", f"""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     BooleanType,
@@ -16,6 +18,8 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
+from tallyloom.session import frozen
+
 TABLES = (
     "region nation customer supplier part orders lineitem events "
     "documents embeddings pages benchmark labels conversations"
@@ -118,13 +122,81 @@ TASK_SCHEMA = StructType([
 ])
 
 
+# How the shop's CSV files mark empty fields and quotes.
+CSV_OPTIONS = {"header": "true", "nullValue": "", "emptyValue": "", "escape": '"'}
+LINE, FILE = "__line", "__file"
+
+
+@dataclass(frozen=True)
+class Parsed:
+    """The rows that fit the schema, and the lines that do not: ``file``,
+    ``line`` (its whole text) and ``reason``."""
+
+    rows: DataFrame
+    rejects: DataFrame
+
+    def counts(self) -> DataFrame:
+        """Rejected lines by file and reason."""
+        return self.rejects.groupBy("file", "reason").agg(F.count(F.lit(1)).alias("lines"))
+
+
+def _parsed(raw: DataFrame, schema: StructType, reason: Column) -> Parsed:
+    # Written once with all columns: which lines fail must not depend on the
+    # columns a later query reads, and no line is parsed twice.
+    raw = frozen(raw.select("*", F.col("_metadata.file_path").alias(FILE)), "parsed")
+    bad = F.col(LINE).isNotNull()
+    rejects = raw.filter(bad).select(
+        F.col(FILE).alias("file"), F.col(LINE).alias("line"), reason.alias("reason")
+    )
+    return Parsed(raw.filter(~bad).select(*[F.col(f"`{c}`") for c in schema.names]), rejects)
+
+
+def _with_line(schema: StructType) -> StructType:
+    return StructType([*schema.fields, StructField(LINE, StringType(), True)])
+
+
+def read_csv_parted(spark: SparkSession, path: str, schema: StructType) -> Parsed:
+    """:func:`read_csv` that goes on past rows that do not fit the schema.
+
+    The reason names the columns whose field is not of their type, or says that
+    the line has too many or too few fields. A file without lines gives no
+    rows and no rejects.
+    """
+    raw = spark.read.csv(
+        path, schema=_with_line(schema), mode="PERMISSIVE", columnNameOfCorruptRecord=LINE, **CSV_OPTIONS
+    )
+    # The fields of a rejected line as texts, beside what became of them.
+    texts = ", ".join(f"f{i} STRING" for i in range(len(schema) + 1))
+    options = {k: v for k, v in CSV_OPTIONS.items() if k != "header"}
+    fields = F.from_csv(F.col(LINE), F.lit(texts), options)
+    wrong = [
+        F.when(fields[f"f{i}"].isNotNull() & F.col(f"`{c.name}`").isNull(),
+               F.lit(f"{c.name} is not {c.dataType.simpleString()}"))
+        for i, c in enumerate(schema.fields)
+        if not isinstance(c.dataType, StringType)
+    ]
+    types = F.nullif(F.concat_ws(", ", *wrong), F.lit(""))
+    many = F.when(fields[f"f{len(schema)}"].isNotNull(), F.lit("too many fields"))
+    return _parsed(raw, schema, F.coalesce(many, types, F.lit("wrong number of fields")))
+
+
+def read_json_parted(spark: SparkSession, path: str, schema: StructType) -> Parsed:
+    """JSON lines that fit the schema, and those that are not JSON or do not.
+    Blank lines are skipped."""
+    raw = spark.read.json(
+        path, schema=_with_line(schema), mode="PERMISSIVE", columnNameOfCorruptRecord=LINE
+    )
+    is_json = F.try_parse_json(F.col(LINE)).isNotNull()
+    reason = F.when(is_json, F.lit("does not fit the schema")).otherwise(F.lit("not JSON"))
+    return _parsed(raw, schema, reason)
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """CSV with a header row and doubled quotes; an empty field is NULL.
 
-    A row that does not fit the schema stops the read."""
-    return spark.read.csv(
-        path, schema=schema, header=True, nullValue="", emptyValue="", escape='"', mode="FAILFAST"
-    )
+    A row that does not fit the schema stops the read; :func:`read_csv_parted`
+    sets it aside instead."""
+    return spark.read.csv(path, schema=schema, mode="FAILFAST", **CSV_OPTIONS)
 
 
 def read_shop_table(spark: SparkSession, folder: str, name: str, prefix: str = "raw_") -> DataFrame:
@@ -145,8 +217,20 @@ def read_tasks(
 ) -> DataFrame:
     """JSON lines without blank lines and without ids that start with ``demo``.
 
-    A line that is not JSON stops the read."""
-    tasks = spark.read.json(path, schema=schema, mode="FAILFAST")
+    A line that is not JSON stops the read; :func:`read_tasks_parted` sets it
+    aside instead."""
+    return _tasks(spark.read.json(path, schema=schema, mode="FAILFAST"), max_tasks)
+
+
+def read_tasks_parted(
+    spark: SparkSession, path: str, schema: StructType = TASK_SCHEMA, max_tasks: int | None = None
+) -> Parsed:
+    """:func:`read_tasks` beside the lines that are no tasks."""
+    parsed = read_json_parted(spark, path, schema)
+    return Parsed(_tasks(parsed.rows, max_tasks), parsed.rejects)
+
+
+def _tasks(tasks: DataFrame, max_tasks: int | None) -> DataFrame:
     tasks = tasks.filter(~F.coalesce(F.col("instance_id"), F.lit("")).startswith("demo"))
     return tasks if max_tasks is None else tasks.orderBy("instance_id").limit(max_tasks)
 

@@ -7,9 +7,21 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import conditions as cond
 from tallyloom.functions import dates, money, text
-from tallyloom.operators import sets
-from tallyloom.operators.aggregates import any_true, guarded_avg, pivot_sums, share_of_total, sorted_list
+from tallyloom.operators import aggregates, sets
+from tallyloom.operators.aggregates import (
+    any_true,
+    estimated_distinct,
+    estimated_quantile,
+    guarded_avg,
+    list_per_group,
+    merge_sketches,
+    pivot_sums,
+    share_of_total,
+    sorted_list,
+    value_sketches,
+)
 from tallyloom.operators.projections import clean_columns, surrogate_key, with_load_stamp
+from tallyloom.session import GROUP_ROWS_KEY
 from tests.conftest import rows
 
 
@@ -136,3 +148,42 @@ def test_projections(spark):
     assert rows(keys) == rows(keys.repartition(3))
     assert with_load_stamp(df, "2024-01-01 00:00:00").first()["loaded_at"] == datetime(2024, 1, 1)
     assert "loaded_at" in with_load_stamp(df).columns
+
+
+@pytest.mark.parametrize("limit", ["1000000", "20"])
+def test_list_of_a_giant_group(spark, monkeypatch, limit):
+    """In one task and in pieces of three; NULLs, empty texts and repeats."""
+    monkeypatch.setattr(aggregates, "LIST_PIECE", 3)
+    data = [("hot", f"v{i % 97}") for i in range(500)] + [("hot", None), ("b", "y"), ("b", "x"), ("b", "x")]
+    data += [("none", None), ("blank", ""), ("both", ""), ("both", "z"), (None, "q")]
+    df = spark.createDataFrame(data, "k string, v string")
+    spark.conf.set(GROUP_ROWS_KEY, limit)
+    try:
+        got = dict(rows(list_per_group(df, ["k"], "v", "l")))
+        whole = rows(list_per_group(df, [], "v", "l"))
+    finally:
+        spark.conf.unset(GROUP_ROWS_KEY)
+    hot = ", ".join(sorted({f"v{i}" for i in range(97)}))
+    assert got == {"hot": hot, "b": "x, y", "none": None, "blank": "", "both": ", z", None: "q"}
+    assert whole == [(", ".join(sorted({v for _, v in data if v is not None})),)]
+
+
+def test_sketches_of_days_merge_to_wider_groups(spark):
+    df = spark.range(60_000).select(
+        (F.col("id") % 30).alias("day"), (F.col("id") * 7 % 20_000).alias("buyer"),
+        F.when(F.col("id") % 5 > 0, F.col("id") / 10).alias("v"),
+    )
+    stored = value_sketches(df, ["day"], "buyer", "v")
+    wide = merge_sketches(stored, {"third": F.col("day") % 3})
+    made = wide.select("third", estimated_distinct().alias("n"), estimated_quantile(0.5).alias("m")).collect()
+    exact = {r.third: (r.n, r.m) for r in df.groupBy((F.col("day") % 3).alias("third")).agg(
+        F.count_distinct("buyer").alias("n"), F.expr("percentile(v, 0.5)").alias("m")).collect()}
+    assert len(made) == 3
+    for r in made:
+        n, m = exact[r.third]
+        # Five standard errors of either.
+        assert abs(r.n - n) <= 5 * 0.0163 * n and abs(r.m - m) <= 5 * 0.0133 * 6_000
+    one = value_sketches(df.filter("v IS NULL"), ["day"], measured="v").select(estimated_quantile(0.5)).first()[0]
+    assert one is None
+    with pytest.raises(ValueError):
+        value_sketches(df, ["day"])

@@ -26,9 +26,18 @@ from tallyloom.operators.incremental import (
 )
 from tallyloom.plans.registry import MODELS
 from tallyloom.session import scratch_path
-from tallyloom.sources.readers import SHOP_SCHEMAS, TABLES, ShopTables, named_source, read_csv, read_tasks
+from tallyloom.sources.readers import (
+    SHOP_SCHEMAS,
+    TABLES,
+    ShopTables,
+    named_source,
+    read_csv,
+    read_csv_parted,
+    read_tasks,
+    read_tasks_parted,
+)
 from tallyloom.sources.sinks import VersionedTable, materialize
-from tallyloom.streaming.upsert import into_buckets, into_partitions, into_versions, load_arrived
+from tallyloom.streaming.upsert import above_mark, into_buckets, into_partitions, into_versions, load_arrived
 from tests.conftest import rows
 from tests.oracle import check, connect
 
@@ -390,3 +399,96 @@ def test_broken_input_stops_the_read(spark, tmp_path):
 def test_money_that_does_not_fit_is_null(spark):
     df = spark.createDataFrame([(1, 1.125), (2, float("nan")), (3, 1e17), (4, -2.5), (5, None)], "i int, x double")
     assert rows(df.select("i", to_minor("x"))) == [(1, 113), (2, None), (3, None), (4, -250), (5, None)]
+
+
+def test_rows_that_do_not_parse_are_set_aside(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(
+        'id,v,d\n1,x,2024-01-02\nno,"y, z",2024-01-03\n3,,\n4,w,2024-13-77\nno,w,never\n5,w,2024-01-05,more\n6,w\n'
+    )
+    (tmp_path / "b.csv").write_text("id,v,d\n7,x,2024-01-02\nno,q,2024-01-02\n")
+    schema = spark.createDataFrame([], SCHEMA).schema
+    parsed = read_csv_parted(spark, f"{tmp_path}/*.csv", schema)
+    assert parsed.rows.schema == schema
+    assert rows(parsed.rows) == [(1, "x", date(2024, 1, 2)), (3, None, None), (7, "x", date(2024, 1, 2))]
+    got = {(r.file.rsplit("/", 1)[1], r.line): r.reason for r in parsed.rejects.collect()}
+    assert got == {
+        ("a.csv", 'no,"y, z",2024-01-03'): "id is not int",
+        ("a.csv", "4,w,2024-13-77"): "d is not date",
+        ("a.csv", "no,w,never"): "id is not int, d is not date",
+        ("a.csv", "5,w,2024-01-05,more"): "too many fields",
+        ("a.csv", "6,w"): "wrong number of fields",
+        ("b.csv", "no,q,2024-01-02"): "id is not int",
+    }
+    counts = {(r.file.rsplit("/", 1)[1], r.reason): r.lines for r in parsed.counts().collect()}
+    assert counts["a.csv", "id is not int"] == 1 and counts["b.csv", "id is not int"] == 1 and len(counts) == 6
+    # Columns left out of a query do not change which lines fail.
+    assert rows(parsed.rows.select("v")) == [("x",), ("x",), (None,)]
+    with pytest.raises(Exception):
+        read_csv(spark, f"{tmp_path}/a.csv", schema).collect()
+    (tmp_path / "none.csv").write_text("")
+    nothing = read_csv_parted(spark, f"{tmp_path}/none.csv", schema)
+    assert rows(nothing.rows) == [] and rows(nothing.counts()) == []
+
+
+def test_lines_that_are_no_tasks_are_set_aside(spark, tmp_path):
+    (tmp_path / "tasks.jsonl").write_text(
+        '{"instance_id": "t1", "instruction": "do"}\n\n{"instance_id": "demo1"}\nnot json\n'
+        '{"instance_id": "t2", "output_schema": 7}\n{"instance_id": "t3"\n'
+    )
+    parsed = read_tasks_parted(spark, f"{tmp_path}/tasks.jsonl")
+    assert [r.instance_id for r in parsed.rows.collect()] == ["t1"]
+    assert {r.line: r.reason for r in parsed.rejects.collect()} == {
+        "not json": "not JSON",
+        '{"instance_id": "t2", "output_schema": 7}': "does not fit the schema",
+        '{"instance_id": "t3"': "not JSON",
+    }
+
+
+def arrivals(spark):
+    """Deliveries of (id, v, at): late rows within and beyond two days, rows
+    that come again in the same file and later, and a newer version."""
+    days = [
+        [(1, "a", 1), (2, "b", 5), (2, "b", 5)],
+        [(3, "c", 4), (4, "late", 2), (2, "b", 5), (5, "d", 9)],
+        [(6, "e", 8), (2, "b", 5), (5, "d2", 9), (7, "late", 7), (5, "d", 9)],
+        [(8, "f", 10), (6, "e", 8), (9, "g", 12)],
+        [(10, "late", 10), (11, "h", 11), (11, "h", 11)],
+    ]
+    schema = "id int, v string, day int"
+    at = F.timestamp_seconds(F.col("day") * 86_400).alias("at")
+    return [spark.createDataFrame(d, schema).select("id", "v", at) for d in days]
+
+
+@pytest.mark.parametrize("restarts", [False, True])
+def test_late_and_repeated_rows_in_a_stream(spark, tmp_path, restarts):
+    """The stream keeps what the batch form with the same look-back keeps;
+    every row once, in one call and with a restart after each file."""
+    files = arrivals(spark)
+    want, taken = None, set()
+    for f in files:
+        new = newer_rows(f, want, "at", "2 days")
+        taken |= {(r.id, r.v) for r in new.collect()}
+        want = new if want is None else want.unionByName(new)
+    assert "late" not in {v for _, v in taken} and len(taken) == 9
+
+    source = tmp_path / "in"
+    table = VersionedTable(spark, str(tmp_path / "table"))
+    apply = above_mark(str(tmp_path / "marks"), "at", into_versions(table, append_rows), "2 days")
+    for i, f in enumerate(files):
+        f.coalesce(1).write.mode("append").parquet(str(source))
+        newest = max(source.glob("*.parquet"), key=lambda p: p.stat().st_mtime_ns)
+        os.utime(newest, (1_700_000_000 + i, 1_700_000_000 + i))
+        if restarts:
+            load_arrived(spark, str(source), f.schema, str(tmp_path / "progress"), apply, 1, ("at", "2 days"))
+    load_arrived(spark, str(source), f.schema, str(tmp_path / "progress"), apply, 1, ("at", "2 days"))
+    got = [(r.id, r.v) for r in table.current().collect()]
+    assert sorted(got) == sorted(taken)
+    assert len(os.listdir(tmp_path / "marks")) <= 2
+
+
+def test_replayed_micro_batch_is_cut_at_the_same_mark(spark, tmp_path):
+    files, seen = arrivals(spark), []
+    apply = above_mark(str(tmp_path / "m"), "at", lambda b, n: seen.append(rows(b)), "2 days")
+    for n in (0, 1, 1, 2, 2):
+        apply(files[n], n)
+    assert seen[1] == seen[2] and seen[3] == seen[4] and len(seen[1]) == 3
