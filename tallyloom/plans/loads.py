@@ -20,7 +20,7 @@ from tallyloom.operators.projections import with_load_stamp
 from tallyloom.plans.registry import ORDER_DAY, cents, dollars, model
 from tallyloom.plans.shop import n_rows, staged_orders
 from tallyloom.session import scratch_path
-from tallyloom.streaming.upsert import into_buckets, into_partitions, load_arrived
+from tallyloom.streaming.upsert import above_mark, into_buckets, into_partitions, load_arrived
 
 CUT, LATER = "1998-01-01", "2000-01-01"
 AMOUNT = cents("o_totalprice")
@@ -282,3 +282,35 @@ def stream_partitions(t):
     apply = into_partitions(path, merge_on("order_id"), "year")
     deliver(t, scratch_path(t.spark, "inbox"), apply)
     return t.spark.read.parquet(path).drop("year")
+
+
+@model("inc_08_stream_late_rows", """
+WITH e AS (SELECT event_id, user_id, event_type, ts,
+   CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 1 WHEN ts < TIMESTAMP '2024-01-21' THEN 2 ELSE 3 END AS period
+   FROM events WHERE ts IS NOT NULL),
+ d AS (SELECT e.*, n FROM e JOIN (SELECT unnest([1, 2, 3, 4]) AS n) ON
+   (period = n AND event_type IS DISTINCT FROM 'purchase') OR (period = n - 1 AND event_type IN ('purchase', 'signup'))),
+ h AS (SELECT n, (SELECT MAX(ts) FROM d WHERE d.n < k.n) AS high FROM (SELECT unnest([1, 2, 3, 4]) AS n) k)
+SELECT DISTINCT event_id, user_id, event_type, ts FROM d JOIN h USING (n) WHERE high IS NULL OR ts > high - INTERVAL 3 DAY
+""")
+def stream_late_rows(t):
+    """Four deliveries of events: purchases come with the delivery after their
+    own, signups come again with it. Those up to three days late are taken,
+    every row once; the stream is started anew for each delivery."""
+    at = F.col("seen_at")
+    events = t.events.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("seen_at"))
+    period = F.when(at < F.lit("2024-01-11"), 1).when(at < F.lit("2024-01-21"), 2).otherwise(3)
+    inbox, progress, marks, kept = (
+        scratch_path(t.spark, label) for label in ("inbox", "progress", "marks", "kept")
+    )
+    table = BucketTable(t.spark, kept, ["event_id"])
+    upsert = into_buckets(table, lambda old, batch: merge_rows(old, batch, ["event_id"], ["-seen_at"]))
+    apply = above_mark(marks, "seen_at", upsert, "3 days")
+    late = F.col("event_type").eqNullSafe("purchase")
+    for n in (1, 2, 3, 4):
+        own = (period == n) & ~late
+        delayed = (period == n - 1) & (late | F.col("event_type").eqNullSafe("signup"))
+        events.filter(at.isNotNull() & (own | delayed)).write.mode("append").parquet(inbox)
+        load_arrived(t.spark, inbox, events.schema, progress, apply, once=("seen_at", "3 days"))
+    kept_rows = table.current()
+    return kept_rows.select("event_id", "user_id", "event_type", at.cast("timestamp_ntz").alias("ts"))

@@ -17,7 +17,7 @@ from tallyloom.operators.incremental import bucket_count
 from tallyloom.plans.registry import AS_OF, LINE_UNITS, MODELS, ORDER_DAY, cents, dollars, model
 from tallyloom.plans.shop import amount_cents, day, line_units, staged_orders
 from tallyloom.session import scratch_path
-from tallyloom.sources.readers import read_csv, read_parquet, read_tasks
+from tallyloom.sources.readers import read_csv, read_csv_parted, read_parquet, read_tasks
 from tallyloom.sources.sinks import (
     bucketed_table,
     materialize,
@@ -53,6 +53,29 @@ def csv_load(t):
     return read_csv(t.spark, path, rows.schema)
 
 
+@model("src_01_csv_rejects", f"""
+SELECT o_orderkey AS order_id, o_orderpriority AS priority, {cents('o_totalprice')} AS amount, NULL AS line, NULL AS reason
+FROM orders WHERE o_orderstatus IS DISTINCT FROM 'P'
+UNION ALL
+SELECT NULL, NULL, NULL, COALESCE(CAST(o_orderkey AS VARCHAR), '') || ',' || COALESCE(o_orderpriority, '') || ',pending', 'amount is not bigint'
+FROM orders WHERE o_orderstatus = 'P'
+""")
+def csv_rejects(t):
+    """Orders as a file in which pending ones have a word for their amount: the
+    rows that fit, and the lines that do not."""
+    rows = staged_orders(t).select("order_id", "priority", "amount", "status")
+    fits = rows.select("order_id", "priority", "amount").schema
+    amount = F.when(F.col("status") == "P", "pending").otherwise(F.col("amount").cast("string"))
+    path = scratch_path(t.spark, "orders-csv")
+    rows.select("order_id", "priority", amount.alias("amount")).write.csv(path, header=True, escape='"')
+    parsed = read_csv_parted(t.spark, path, fits)
+    none = F.lit(None).cast("string")
+    rejects = parsed.rejects.select(
+        *[F.lit(None).cast(c.dataType).alias(c.name) for c in fits], "line", "reason"
+    )
+    return parsed.rows.select("*", none.alias("line"), none.alias("reason")).unionByName(rejects)
+
+
 @model("src_02_named_source", "SELECT c_custkey AS customer_id, c_name AS name FROM customer")
 def named_source(t):
     return stage(t.source("customer"), {"c_custkey": "customer_id", "c_name": "name"})
