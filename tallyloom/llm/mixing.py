@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.lanes import numbered, placed
 from tallyloom.session import frozen
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,7 +21,8 @@ def targets(sizes: DataFrame, limit: float, cycle: int) -> DataFrame:
     """Target words of each source: its weight's share of all words, at most
     ``limit`` times its own, the excess shared again by weight.
 
-    ``sizes`` has ``source`` and ``source_size``, a row per source. Weights
+    ``sizes`` has ``source`` and ``source_size``, a row per source, and may have
+    more columns, which stay. Weights
     run 1..cycle, repeating, in code point order with NULL last. Water is
     poured over the sources: sorted by limit / weight, the first source that
     its share does not fill, and all behind it, get ``level * weight``.
@@ -37,7 +39,7 @@ def targets(sizes: DataFrame, limit: float, cycle: int) -> DataFrame:
     )
     level = poured.selectExpr("*", "MIN(IF(share <= fill, struct(fill, share), NULL)) OVER () AS stop")
     return level.selectExpr(
-        "source", "source_size", "total",
+        *sizes.columns, "total",
         "CASE WHEN stop IS NULL THEN top ELSE LEAST(top, stop.share * weight) END AS target",
     )
 
@@ -82,6 +84,7 @@ def mix(
     cycle: int = 3,
     seed: str = "mix",
     shard_words: int = 1 << 20,
+    shard_rows: int = 1 << 20,
     block_words: int = 4096,
 ) -> DataFrame:
     """Per row: ``doc`` (a struct of the columns ``keep``, default all) with
@@ -89,7 +92,7 @@ def mix(
 
     Sizes are words; NULL text has none; a NULL source is a source. The words
     of a source are dealt by a seeded hash into shards of about
-    ``shard_words``; blocks of equal size (at most ``block_words``, smaller on
+    ``shard_words`` and ``shard_rows`` at most; blocks of equal size (at most ``block_words``, smaller on
     small inputs and where a source or a shard is small, down to a word) are
     apportioned to sources by target and then to each
     source's shards by size, which gives every shard an integer quota. A shard
@@ -101,32 +104,37 @@ def mix(
     included: at most ``limit`` times its size, up to one block's rounding
     equal to the target in sum. ``copies`` is how often its first word is
     taken: whole documents for those who do not cut them. The same input gives
-    the same result. Rows that repeat an id count one by one; an empty table
-    gives no rows; a document without words takes 0 and has 0 copies.
+    the same result. Rows that repeat an id count one by one, and any number of
+    them may (a NULL id counts as the id ``null``); of rows equal in id and size
+    either may get the other's share. An empty table gives no rows; a document
+    without words takes 0 and has 0 copies. The columns ``keep`` are written
+    once to the scratch folder, with the sizes.
     """
+
+    def key(*parts):
+        return F.md5(F.concat_ws(":", F.lit(seed), *parts).cast("binary"))
+
+    def number(digest: str) -> F.Column:
+        return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
     doc = F.struct(*[F.col(f"`{c}`") for c in (df.columns if keep is None else keep)])
     sized = df.select(
-        doc.alias("doc"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").alias("_own"),
-        words_in(text_col).alias("size"),
+        doc.alias("doc"), F.col(f"`{source_col}`").alias("_own"), words_in(text_col).alias("size"),
+        key(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))).alias("_key"),
+    )
+    sized = numbered(sized, "sized")
+    sizes = sized.groupBy(F.col("_own").alias("source")).agg(
+        F.sum("size").alias("source_size"), F.count("*").alias("_rows")
     )
-    sizes = sized.groupBy(F.col("_own").alias("source")).agg(F.sum("size").alias("source_size"))
     aims = targets(sizes, limit, cycle).selectExpr(
-        "*", f"GREATEST(1, CAST(CEIL(source_size / {shard_words}) AS BIGINT)) AS _shards",
+        "*", f"CAST(GREATEST(1, CEIL(source_size / {shard_words}), CEIL(_rows / {shard_rows})) AS BIGINT) AS _shards",
         "ROW_NUMBER() OVER (ORDER BY source NULLS LAST) AS _s",
     )
     aims = frozen(aims, "aims")  # a row per source
 
-    def key(*parts):
-        return F.md5(F.concat_ws(":", F.lit(seed), *parts).cast("binary"))
-
-    def number(digest: str) -> F.Column:
-        return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
-
     of_source = aims.select(F.col("source").alias("_source"), "_s", "_shards", "source_size", "target")
-    rows = (
-        sized.withColumn("_key", key(F.coalesce(F.col("_id").cast("string"), F.lit("null"))))
-        .join(of_source, F.col("_own").eqNullSafe(F.col("_source")))
-        .withColumn("_shard", F.pmod(number("_key"), F.col("_shards")))
+    rows = sized.join(of_source, F.col("_own").eqNullSafe(F.col("_source"))).withColumn(
+        "_shard", F.pmod(number("_key"), F.col("_shards"))
     )
     rings = frozen(rows.groupBy("_s", "_shard").agg(F.sum("size").alias("_ring")), "ring-sizes")
     least = rings.filter("_ring > 0").groupBy("_s").agg(F.min("_ring").alias("_least"))
@@ -153,15 +161,12 @@ def mix(
             "COALESCE(quota * _block % NULLIF(_ring, 0), 0) AS _rest",
         )
     )
-    placed = rows.selectExpr(
-        "*", "SUM(size) OVER (PARTITION BY _s, _shard ORDER BY _key, _id, size"
-        " ROWS UNBOUNDED PRECEDING) - size AS _at",
-    ).join(frozen(rings, "rings"), ["_s", "_shard"])
+    laid = placed(rows, ["_s", "_shard"], ["_key", "size"], "size", "_at").join(frozen(rings, "rings"), ["_s", "_shard"])
 
     def under(shift: str) -> str:
         return f"GREATEST(0, LEAST(_at + size, _begin + _rest - {shift}) - GREATEST(_at, _begin - {shift}))"
 
-    return placed.selectExpr(
+    return laid.selectExpr(
         "doc", "size", "source_size", "target",
         f"COALESCE(_rounds * size + {under('0')} + {under('_ring')}, 0) AS taken",
         "IF(size = 0, 0, _rounds + IF(PMOD(_at - _begin, _ring) < _rest, 1, 0)) AS copies",

@@ -169,7 +169,7 @@ def op8(spark, folder):
                md5('mix:' || COALESCE(doc_id::VARCHAR, 'null')) AS key
         FROM documents),
     a AS (
-        SELECT source, SUM(size)::BIGINT AS source_size,
+        SELECT source, SUM(size)::BIGINT AS source_size, COUNT(*) AS n_rows,
                ROW_NUMBER() OVER (ORDER BY source NULLS LAST) AS s FROM d GROUP BY source),
     w AS (
         SELECT *, ((s - 1) % 3 + 1)::DOUBLE AS weight, SUM(source_size) OVER ()::BIGINT AS total,
@@ -181,7 +181,7 @@ def op8(spark, folder):
     t AS (
         SELECT *, COALESCE(LEAST(top::DOUBLE, (SELECT share FROM p WHERE share <= fill ORDER BY fill, s LIMIT 1) * weight),
                            top) AS target,
-               GREATEST(1, CEIL(source_size / 1048576))::BIGINT AS shards FROM p),
+               GREATEST(1, CEIL(source_size / 1048576), CEIL(n_rows / 1048576))::BIGINT AS shards FROM p),
     r AS (
         SELECT d.*, t.s, t.source_size, t.target, ('0x' || substr(key, 1, 8))::BIGINT % t.shards AS shard
         FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),

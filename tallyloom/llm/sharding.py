@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.lanes import numbered, placed
+
 
 def uniform(text: F.Column) -> F.Column:
     """A number in (0, 1] from the first 52 bits of the MD5 of ``text``."""
@@ -47,26 +49,26 @@ def with_shard(
 def with_slot(df: DataFrame, id_col: str, shard_col: str = "shard", lane_digits: int = 3) -> DataFrame:
     """``df`` with ``slot``, the row's place in its shard, from 0 without gaps.
 
-    Rows of a shard are ordered by the MD5 of the id, then by the id. Its
-    first ``lane_digits`` digits cut the shard into lanes; a lane is numbered
-    in one task, and lanes are put after each other by their counts, a table
+    Rows of a shard are ordered by the MD5 of the id. Its
+    first ``lane_digits`` digits cut the shard into lanes; lanes are put after
+    each other by their counts, a table
     of ``shards * 16 ** lane_digits`` rows whatever the input. Copies of one id
-    get neighbouring slots in any order.
+    (a NULL id counts as the id ``null``) get neighbouring slots in any order;
+    they are numbered in pieces, so any number of rows may share an id. ``df``
+    is written once to the scratch folder.
     """
     order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary"))
-    rows = df.withColumn("_order", order).withColumn("_lane", F.substring("_order", 1, lane_digits))
-    sizes = rows.groupBy(shard_col, "_lane").agg(F.count("*").alias("_n"))
+    rows = df.withColumn("__order", order).withColumn("__lane", F.substring("__order", 1, lane_digits))
+    rows = numbered(rows, "slots")
+    sizes = rows.groupBy(shard_col, "__lane").agg(F.count("*").alias("__n"))
     starts = sizes.selectExpr(
-        shard_col, "_lane",
-        f"SUM(_n) OVER (PARTITION BY {shard_col} ORDER BY _lane) - _n AS _start",
-    )
-    placed = rows.selectExpr(
-        "*", f"ROW_NUMBER() OVER (PARTITION BY {shard_col}, _lane ORDER BY _order, {id_col}) - 1 AS _place"
+        shard_col, "__lane",
+        f"SUM(__n) OVER (PARTITION BY {shard_col} ORDER BY __lane) - __n AS __start",
     )
     return (
-        placed.join(starts, [shard_col, "_lane"])
-        .withColumn("slot", F.col("_start") + F.col("_place"))
-        .drop("_order", "_lane", "_start", "_place")
+        placed(rows, [shard_col, "__lane"], ["__order"], "1L", "__place")
+        .join(starts, [shard_col, "__lane"])
+        .select(*df.columns, (F.col("__start") + F.col("__place")).alias("slot"))
     )
 
 

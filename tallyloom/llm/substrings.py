@@ -8,6 +8,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,12 +42,16 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _send(bits: int, hashes: np.ndarray, ids: np.ndarray, known: bool) -> pa.RecordBatch | None:
+def _send(bits: int, hashes: np.ndarray, ids: np.ndarray, known: int | None = None) -> pa.RecordBatch | None:
     """One row per bucket: its hashes in id order, the ids as differences and
-    how many hashes each has."""
+    how many hashes each has. ``known`` is the bucket of known repeats, which
+    need no comparison: a negative one, dealt by slice and not by hash."""
     if not len(hashes):
         return None
-    bucket = (hashes >> np.uint64(64 - bits)).astype(np.int32)
+    if known is None:
+        bucket = (hashes >> np.uint64(64 - bits)).astype(np.int32)
+    else:
+        bucket = np.full(len(hashes), known, np.int32)
     order = np.lexsort((ids, bucket))
     hashes, ids, bucket = hashes[order], ids[order], bucket[order]
     at = _runs(bucket, ids)
@@ -60,21 +65,21 @@ def _send(bits: int, hashes: np.ndarray, ids: np.ndarray, known: bool) -> pa.Rec
     return pa.RecordBatch.from_arrays(
         [
             pa.array(bucket[at[first]], pa.int32()),
-            pa.array(np.full(len(first), known)),
             binary_array(_pack(hashes), sizes * 7),
             binary_array(steps.astype(np.int64).view(np.uint8), per_row * 8),
             binary_array(counts.view(np.uint8), per_row * 4),
         ],
-        names=["bucket", "known", "hashes", "ids", "counts"],
+        names=["bucket", "hashes", "ids", "counts"],
     )
 
 
-SENT = "bucket int, known boolean, hashes binary, ids binary, counts binary"
+SENT = "bucket int, hashes binary, ids binary, counts binary"
 
 
 def _windows(batches: Iterator[pa.RecordBatch], size: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Window hashes of whole texts, combined per slice: each distinct window
     goes on once, with its smallest id; larger ids are known to be repeats."""
+    turn = TaskContext.get().partitionId()  # slices of all tasks are spread evenly
     for batch in batches:
         data, offsets = text_bytes(batch.column("_text"))
         ids = batch.column("_id").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -88,28 +93,29 @@ def _windows(batches: Iterator[pa.RecordBatch], size: int, bits: int) -> Iterato
             hashes, owner = hashes[own], owner[own]
             fresh = np.zeros(len(hashes), bool)
             fresh[_runs(hashes)] = True
-            for some, known in ((fresh, False), (~fresh, True)):
+            turn += 1
+            for some, known in ((fresh, None), (~fresh, -1 - turn % (1 << bits))):
                 sent = _send(bits, hashes[some], owner[some], known)
                 if sent is not None:
                     yield sent
 
 
 def _judge(group: pa.Table) -> pa.Table:
-    """The repeats of one bucket: windows whose id is not their smallest."""
-    hashes, ids, known = [], [], []
-    for row in group.select(["known", "hashes", "ids", "counts"]).to_pylist():
+    """The repeats of one bucket: windows whose id is not their smallest, and
+    all windows of a bucket of known repeats."""
+    hashes, ids = [], []
+    for row in group.select(["hashes", "ids", "counts"]).to_pylist():
         hashes.append(_unpack(row["hashes"]))
         owner = np.cumsum(np.frombuffer(row["ids"], np.int64))
         ids.append(np.repeat(owner, np.frombuffer(row["counts"], np.uint32)))
-        known.append(np.full(len(hashes[-1]), row["known"]))
-    value, owner, repeat = np.concatenate(hashes), np.concatenate(ids), np.concatenate(known)
-    del hashes, ids, known
-    order = np.lexsort((owner, value))
-    value, owner, repeat = value[order], owner[order], repeat[order]
-    first = _runs(value)
-    smallest = np.repeat(owner[first], np.diff(np.append(first, len(value))))
-    repeat |= owner > smallest
-    value, owner = value[repeat], owner[repeat]
+    value, owner = np.concatenate(hashes), np.concatenate(ids)
+    del hashes, ids
+    if group.column("bucket")[0].as_py() >= 0:
+        order = np.lexsort((owner, value))
+        value, owner = value[order], owner[order]
+        first = _runs(value)
+        repeat = owner > np.repeat(owner[first], np.diff(np.append(first, len(value))))
+        value, owner = value[repeat], owner[repeat]
     order = np.argsort(owner, kind="stable")
     value, owner = value[order], owner[order]
     at = _runs(owner)
@@ -183,8 +189,10 @@ def remove_repeats(
     ignored.
 
     Windows are compared by 62 or more bits of their Rabin-Karp hash. Each
-    slice of a task sends a distinct window once, so a passage that a third of
-    the documents share costs one entry per slice. The number of buckets grows
+    slice of a task sends a distinct window once to the bucket of its hash, so a
+    passage that a third of the documents share costs that bucket one entry per
+    slice; the slice's other documents are known repeats, which go to buckets
+    dealt by slice and are compared with nothing. The number of buckets grows
     with the bytes of text, so one bucket always fits a task. What comes back
     to a document are the hashes of its repeated windows.
     """

@@ -14,10 +14,11 @@ from tokenizers import Tokenizer
 
 from tallyloom.llm import embedding_dedup
 from tallyloom.llm.embedding_dedup import Plan, embedding_groups
+from tallyloom.llm.lanes import numbered, placed
 from tallyloom.llm.mixing import apportion, mix
 from tallyloom.llm.queries import ORACLES, QUERIES
 from tallyloom.llm.quality import fit, quality_scores
-from tallyloom.llm.sharding import shard_documents, with_shard
+from tallyloom.llm.sharding import shard_documents, with_shard, with_slot
 from tallyloom.session import frozen
 from tests import oracle
 from tests.llm.conftest import rows_of
@@ -192,6 +193,44 @@ def test_pipeline(spark):
     assert QUERIES["pipeline"](spark, SMALL).count() == len(rows[5])
 
 
+def test_a_third_of_the_rows_share_an_id(spark, docs):
+    """Hot, NULL and equal ids, rows without words: numbered in pieces, with the
+    results of one sorted lane."""
+    rows = [(None if k % 3 else 7, "w " * (k % 5), "x") for k in range(300)]
+    rows += [(k, "w " * (k % 7), "x") for k in range(150)] + [(k % 50, "", "y") for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    slots = defaultdict(list)
+    shards = shard_documents(df).collect()
+    for r in shards:
+        slots[r.shard].append((r.slot, hashlib.md5(str("null" if r.doc_id is None else r.doc_id).encode()).hexdigest()))
+    assert len(shards) == len(rows)
+    for found in slots.values():
+        assert [s for s, _ in sorted(found)] == list(range(len(found)))
+        assert [k for _, k in sorted(found)] == sorted(k for _, k in found)
+    lane = placed(numbered(shard_documents(df).select("shard", "size"), "t", 3), ["shard"], ["size"], "size", "at").collect()
+    for shard in slots:
+        at = 0
+        for r in sorted((r for r in lane if r.shard == shard), key=lambda r: r.at):
+            assert r.at == at
+            at += r.size
+    mixed = mix(df, shard_words=100, shard_rows=40, block_words=4)
+    assert rows_of(mixed, "doc.doc_id", "size", "taken") == rows_of(
+        mix(df.repartition(5), shard_words=100, shard_rows=40, block_words=4), "doc.doc_id", "size", "taken"
+    )
+    for name in ("x", "y"):
+        own = [r for r in mixed.collect() if r.doc.source == name]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 0.03 * own[0].target
+        assert all(0 <= r.taken <= 3 * r.size for r in own)
+
+
+def test_slots_beside_clashing_names(docs):
+    """The caller's columns stay as they are."""
+    df = docs.withColumnRenamed("id", "_order").withColumnRenamed("kept", "_lane").withColumn("shard", docs.doc_id % 2)
+    got = with_slot(df.filter("doc_id IS NOT NULL"), "doc_id")
+    assert got.columns == [*df.columns, "slot"]
+    assert rows_of(got, *df.columns) == rows_of(df.filter("doc_id IS NOT NULL"), *df.columns)
+
+
 def test_tiny_sources_in_a_large_table(spark):
     """Blocks follow the smallest source and the smallest shard, not the table alone."""
     big = spark.range(650).selectExpr("id AS doc_id", "IF(id % 2 = 0, 'x', 'y') AS source", "repeat('w ', 10000) AS text")
