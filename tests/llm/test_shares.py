@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -231,6 +232,27 @@ def test_slots_beside_clashing_names(docs):
     assert rows_of(got, *df.columns) == rows_of(df.filter("doc_id IS NOT NULL"), *df.columns)
 
 
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES[1:])
+def test_stages_on_awkward_rows(spark, docs, no_docs, name, stage):
+    """NULLs, repeated ids and rows, empty texts, clashing columns, no rows."""
+    rows, out = docs.collect(), stage(spark, docs, SMALL)
+    got = out.collect()
+    assert stage(spark, no_docs, SMALL).count() == 0
+    if name == "BPE encoding":
+        assert sorted(r.doc_id or -1 for r in got) == sorted(r.doc_id or -1 for r in rows)
+        assert all((r.n_tokens, r.ids) == (0, []) for r in got if r.doc_id in (3, 4))
+        return
+    assert out.schema == docs.schema and set(got) <= set(rows)
+    if name == "exact dedup":
+        texts = [" ".join(re.split(r"[\x20\x09-\x0D]+", r.text or "")) for r in got]
+        assert sorted(texts) == sorted({" ".join(re.split(r"[\x20\x09-\x0D]+", r.text or "")) for r in rows})
+    if name == "MinHash near-dedup":
+        gone = {r.doc_id for r in rows} - {r.doc_id for r in got}
+        assert {1, 10} <= gone and not gone & {None, 0, 3, 4, 5, 9}
+    if name == "mixing sources":
+        assert all(words(r.text) for r in got)
+
+
 def test_tiny_sources_in_a_large_table(spark):
     """Blocks follow the smallest source and the smallest shard, not the table alone."""
     big = spark.range(650).selectExpr("id AS doc_id", "IF(id % 2 = 0, 'x', 'y') AS source", "repeat('w ', 10000) AS text")
