@@ -3,7 +3,8 @@
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame. Its rows
 are written as Parquet to the shared scratch folder and read again as the next
 stage's ``docs``, so a lost executor never costs an earlier stage. All stages
-but the last return the columns of ``documents``.
+but the last return the columns of ``documents``, further columns of any name
+included.
 """
 
 from __future__ import annotations
@@ -22,25 +23,42 @@ from tallyloom.session import configure, frozen
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject.
+
+    NULL text is scored as empty text; rows that repeat an id are scored one by
+    one; a score equal to the threshold stays.
+    """
     ship(configure(spark))
     return drop_poor(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts, the one with the smallest id.
+
+    NULL text counts as empty, so one such document stays. An id that other
+    texts repeat does not matter: rows are told apart by number.
+    """
     configure(spark)
     return drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, 0.8)."""
+    """One document of each group of near copies (five words, 0.8), the one with
+    the smallest id.
+
+    Documents without words are near copies of nothing and stay, and so do rows
+    without an id; rows that repeat the id that stays all stay.
+    """
     ship(configure(spark))
     return drop_near_copies(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; none is cut."""
+    """Documents as often as the mix takes them; none is cut.
+
+    A NULL source is a source; documents without words are not taken; a document
+    that is taken several times is as many equal rows.
+    """
     configure(spark)
     taken = mix(docs).filter("copies > 0")
     again = taken.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
@@ -48,7 +66,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document and digests of ids and decoded text."""
+    """Token ids of every document and digests of ids and decoded text.
+
+    NULL and empty texts have no ids; rows that repeat an id are encoded one by
+    one; columns other than the id are not returned.
+    """
     ship(configure(spark))
     coded = encode_texts(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select(
