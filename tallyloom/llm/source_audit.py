@@ -6,7 +6,7 @@ import heapq
 import struct
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -174,6 +174,11 @@ def _merge(group: pa.Table, fewer: int) -> pa.Table:
     return pa.Table.from_batches(list(_rows(postings, names, runs[0]["lane"] % fewer)))
 
 
+def _merging(fewer: int) -> Callable[[pa.Table], pa.Table]:
+    """:func:`_merge` with one parameter: Spark gives one with two the key first."""
+    return lambda group: _merge(group, fewer)
+
+
 FREQUENCIES = "lang string, source string, term string, n long, n_lang long, lead boolean"
 
 
@@ -222,7 +227,7 @@ def term_frequencies(
     while lanes > 1:
         lanes = -(-lanes // FAN_IN)
         runs = runs.groupBy("shard", (F.col("lane") % F.lit(lanes * FAN_IN)).alias("_lane"))
-        runs = runs.applyInArrow(lambda group, fewer=lanes: _merge(group, fewer), RUN)
+        runs = runs.applyInArrow(_merging(lanes), RUN)
     return runs.groupBy("shard").applyInArrow(lambda group: _frequencies(group, least_docs), FREQUENCIES)
 
 

@@ -174,6 +174,16 @@ def test_source_audit(docs, no_docs):
     assert source_audit(no_docs).count() == 0
 
 
+def test_source_audit_in_lanes(monkeypatch, docs):
+    """Many runs of a shard are merged on Spark, in three rounds here."""
+    monkeypatch.setattr(audit, "FAN_IN", 2)
+    monkeypatch.setattr(audit, "BLOCK_BYTES", 1 << 18)
+    rows = [(r.lang, r.source, r.text) for r in docs.collect()]
+    assert sum(len((t or "").encode()) for _, _, t in rows) > 4 * audit.FAN_IN * (audit.BLOCK_BYTES // 4)
+    got = source_audit(docs, least_docs=2).select(*AUDIT).collect()
+    assert sorted(map(tuple, got)) == expected_audit(rows, 2)
+
+
 def test_runs_merge_in_rounds(monkeypatch):
     """Full blocks leave as runs; merging them in rounds or at once is the same."""
     rng = np.random.default_rng(3)
