@@ -378,7 +378,14 @@ def dyadic_blocks(low: Column, high: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(62)), start, step, lambda state: state["blocks"])
 
 
-def range_join(points: DataFrame, at: Column, ranges: DataFrame, low: Column, high: Column) -> DataFrame:
+def range_join(
+    points: DataFrame,
+    at: Column,
+    ranges: DataFrame,
+    low: Column,
+    high: Column,
+    per_block: list[Column] | None = None,
+) -> DataFrame:
     """Each point beside every closed range of ``ranges`` that holds it, by an
     equi-join: all columns of both. Ranges may overlap; NULL ends, empty ranges
     and NULL points match nothing.
@@ -386,10 +393,17 @@ def range_join(points: DataFrame, at: Column, ranges: DataFrame, low: Column, hi
     A range is a few dyadic blocks; a point lies in one block of each level that
     the table of ranges uses (64 at most), and in one block of a range at most.
     Ends and points are integers below 2^62 in size; dates go as day numbers.
+
+    With ``per_block``, aggregates over columns of ``ranges``, a point stands
+    beside these aggregates of each block that holds it instead. A range holds
+    it in one block, so sums of sums and minima of minima are those over all
+    its ranges, and no point meets more rows than there are levels.
     """
     cut = ranges.withColumn("__cell", F.explode(dyadic_blocks(low, high)))
     cut = cut.select(*ranges.columns, F.col("__cell.level").alias("__level"), F.col("__cell.block").alias("__block"))
     levels = sorted(r[0] for r in cut.select("__level").distinct().collect())
+    if per_block:
+        cut = cut.groupBy("__level", "__block").agg(*per_block)
     marked = points.withColumn("__at", at.cast("bigint")).filter("__at IS NOT NULL")
     marked = marked.withColumn("__level", F.explode(F.lit(levels).cast("array<int>")))
     marked = marked.withColumn("__block", F.expr("shiftright(__at, __level)"))

@@ -397,10 +397,14 @@ def range_table(t):
     low = F.col("s_suppkey") % 40 - 3
     mapping = t.supplier.select("s_suppkey", low.alias("low"), (low + F.col("s_suppkey") % 11).alias("high"))
     parts = t.part.select(F.col("p_partkey").alias("product_id"), "p_size")
-    held = range_join(parts, F.col("p_size"), mapping, F.col("low"), F.col("high"))
+    held = range_join(
+        parts, F.col("p_size"), mapping, F.col("low"), F.col("high"),
+        per_block=[
+            n_rows().alias("n"), F.min("s_suppkey").alias("first"), F.max(F.col("high") - F.col("low")).alias("width"),
+        ],
+    )
     return held.groupBy("product_id").agg(
-        n_rows().alias("suppliers"), F.min("s_suppkey").alias("first_supplier"),
-        F.max(F.col("high") - F.col("low")).alias("widest"),
+        F.sum("n").alias("suppliers"), F.min("first").alias("first_supplier"), F.max("width").alias("widest"),
     )
 
 

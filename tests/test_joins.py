@@ -236,3 +236,24 @@ def test_range_join_against_brute_force(spark):
     plan = joined._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert range_join(left, F.col("x"), right.limit(0), F.col("low"), F.col("high")).count() == 0
+
+
+def test_range_join_by_block_meets_no_range_twice(spark):
+    """A point meets a row per level, not one per range that holds it."""
+    rng = random.Random(4)
+    ranges = [(k, low, low + rng.randrange(-2, 90)) for k in range(3_000) for low in [rng.randrange(-50, 50)]]
+    ranges += [(-1, None, 5), (-2, 5, None), (None, 0, 3)]
+    points = [(k, rng.randrange(-60, 150)) for k in range(100)] + [(900, None), (901, 7), (901, 7), (None, 1)]
+    left = spark.createDataFrame(points, "p int, x int")
+    right = spark.createDataFrame(ranges, "r int, low int, high int")
+    sums = [F.count(F.lit(1)).alias("n"), F.min("r").alias("first")]
+    held = range_join(left, F.col("x"), right, F.col("low"), F.col("high"), per_block=sums)
+    assert held.count() <= 8 * len(points)
+    want = {}
+    for p, x in points:
+        for r, a, b in ranges:
+            if None not in (x, a, b) and a <= x <= b:
+                n, first = want.get(p, (0, None))
+                want[p] = n + 1, r if first is None else first if r is None else min(first, r)
+    got = held.groupBy("p").agg(F.sum("n"), F.min("first")).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == want
