@@ -19,6 +19,9 @@ from tallyloom.session import frozen
 
 EPOCH = "1970-01-01"
 
+#: Pairs of basket items that one task counts, and parts of cells dealt to it.
+PAIRS_PER_TASK, PARTS = 1 << 20, 16
+
 
 def agg_then_join(
     parent: DataFrame,
@@ -114,20 +117,34 @@ def basket_pairs(
     """Pairs of items found together in at least ``min_baskets`` baskets
     (default: every pair).
 
-    Each basket is cut into slices of about ``width`` items, and each slice
-    meets the whole basket in a group of its own: one slice for an ordinary
-    basket, many small groups for a giant one. The plan is the same for both.
+    Each basket is cut into slices of about ``width`` items, and every two
+    slices meet in a cell of their own: one cell for an ordinary basket, many
+    small ones for a giant one. The plan is the same for both. Cells are dealt
+    to as many tasks as their pairs need, ``PAIRS_PER_TASK`` each. A task counts
+    the pairs of its cells before they are shuffled to as many tasks again, so
+    neither count outgrows a task, and a pair of most baskets is a few rows.
     """
-    items = lines.select(basket, item).filter(F.col(item).isNotNull()).distinct()
-    slices = F.ceil(F.count(F.lit(1)) / width).cast("int")
-    sizes = items.groupBy(basket).agg(slices.alias("__slices"))
-    sized = items.join(sizes, basket)
-    slot = F.pmod(F.xxhash64(item), F.col("__slices")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("__slices") - 1))
-    left = sized.select(basket, F.col(item).alias("item_a"), slot.alias("__slice"))
-    right = sized.select(basket, F.col(item).alias("item_b"), every.alias("__slice"))
-    pairs = left.join(right, [basket, "__slice"]).filter(F.col("item_a") < F.col("item_b"))
-    counts = pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("pair_count"))
+    known = F.col(basket).isNotNull() & F.col(item).isNotNull()
+    items = lines.select(basket, item).filter(known).distinct()
+    sizes = items.groupBy(basket).agg(F.count(F.lit(1)).alias("__size"))
+    sized = frozen(items.join(sizes, basket).filter("__size > 1"), "baskets")
+    pairs = (sized.agg(F.sum(F.col("__size") - 1)).first()[0] or 0) // 2
+    tasks = max(lines.sparkSession.sparkContext.defaultParallelism, -(-pairs // PAIRS_PER_TASK))
+    slices = F.ceil(F.col("__size") / width).cast("int")
+    own = F.pmod(F.xxhash64(item), slices).cast("int")
+    every = F.explode(F.sequence(F.lit(0), slices - 1))
+    cell = [basket, "__row", "__column"]
+
+    def dealt(name: str, row: Column, column: Column) -> DataFrame:
+        rows = sized.select(basket, F.col(item).alias(name), row.alias("__row"), column.alias("__column"))
+        part = F.pmod(F.xxhash64(*cell), F.lit(PARTS * tasks))
+        return rows.withColumn("__part", part).repartition(tasks, "__part")
+
+    left, right = dealt("item_a", own, every), dealt("item_b", every, own)
+    met = left.join(right, ["__part", *cell]).filter(F.col("item_a") < F.col("item_b"))
+    counted = met.groupBy("__part", "item_a", "item_b").agg(F.count(F.lit(1)).alias("__n"))
+    counts = counted.repartition(tasks, "item_a", "item_b").groupBy("item_a", "item_b")
+    counts = counts.agg(F.sum("__n").alias("pair_count"))
     return counts if min_baskets <= 1 else counts.filter(F.col("pair_count") >= min_baskets)
 
 

@@ -8,6 +8,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom.operators import joins
 from tallyloom.operators.joins import (
     agg_then_join,
     ancestor_paths,
@@ -85,6 +86,18 @@ def test_basket_pairs_with_giants(spark, least, width):
     assert rows(got.select("item_a", "item_b", "pair_count")) == want
 
 
+def test_basket_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    """No task counts more than its share, whatever the shuffle settings; a pair
+    that most baskets hold reaches its last count as a few rows."""
+    monkeypatch.setattr(joins, "PAIRS_PER_TASK", 100)
+    data = [(b, i) for b in range(400) for i in (1, 2, 1000 + b, 2000 + b)] + [(None, 1), (None, 2)]
+    got = basket_pairs(spark.createDataFrame(data, "b int, i int"), "b", "i")
+    per_task = Counter(r.p for r in got.select(F.spark_partition_id().alias("p")).collect())
+    assert len(per_task) > 20 and max(per_task.values()) < 300
+    counts = {(r.item_a, r.item_b): r.pair_count for r in got.collect()}
+    assert counts.pop((1, 2)) == 400 and set(counts.values()) == {1} and len(counts) == 400 * 5
+
+
 def events(spark, n, seed):
     r = random.Random(seed)
     data = [(r.choice(["u", "u", "v", "w"]), at(r.randrange(60)), i, r.randrange(9)) for i in range(n)]
